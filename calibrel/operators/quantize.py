@@ -1,0 +1,169 @@
+"""Codes and scales in place of floats, and back."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from calibrel.operators.stats import by_position, channel_stats, importance
+
+# The E4M3 format.
+FP8_MAX = 448.0
+FP8_MIN_EXPONENT = -6
+FP8_MANTISSA_BITS = 3
+
+
+def largest_code(bits: int) -> int:
+    if not 2 <= bits <= 8:
+        raise ValueError(f"bits must be between 2 and 8, not {bits}")
+    return 2 ** (bits - 1) - 1
+
+
+def _abs_max(values: Column) -> Column:
+    return F.array_max(F.transform(values, F.abs))
+
+
+def _code(x: Column, scale: Column, qmax: int) -> Column:
+    """Half-even rounding to [-qmax, qmax]; a zero scale gives code 0."""
+    rounded = F.rint(x / scale)
+    clipped = F.greatest(F.least(rounded, F.lit(float(qmax))), F.lit(float(-qmax)))
+    return F.when(scale == 0, F.lit(0.0)).otherwise(clipped).cast("tinyint")
+
+
+def _groups(values: Column, group_size: int | None) -> Column:
+    """Consecutive slices of ``group_size``; the last one may be short."""
+    if group_size is None:
+        return F.array(values)
+    starts = F.sequence(F.lit(1), F.size(values), F.lit(group_size))
+    return F.when(
+        F.size(values) > 0, F.transform(starts, lambda s: F.slice(values, s, F.lit(group_size)))
+    ).otherwise(F.array(values))
+
+
+def channel_scales(stats: DataFrame, largest: float) -> DataFrame:
+    """``(pos, scale)`` of per-channel quantization."""
+    return stats.select("pos", (F.col("abs_max") / largest).alias("scale"))
+
+
+def quantize_int(
+    df: DataFrame,
+    vec: str,
+    bits: int = 8,
+    per: str = "row",
+    group_size: int | None = None,
+    order: str = "natural",
+    stats: DataFrame | None = None,
+) -> DataFrame:
+    """Adds ``codes`` and, unless per channel, ``scales``.
+
+    ``row``: one scale per vector. ``group``: one per ``group_size`` dimensions, taken in
+    their natural order or in order of importance; codes always stand at their own
+    dimension. Both need no shuffle. ``channel``: one scale per dimension for the whole
+    table, from ``stats`` (``channel_stats`` of the column where not given); read them with
+    ``channel_scales``.
+    """
+    qmax = largest_code(bits)
+    if order not in ("natural", "importance"):
+        raise ValueError(f"unknown order {order!r}")
+    if (per == "group") != (group_size is not None):
+        raise ValueError("group_size belongs to per='group'")
+    wide = df.withColumn("_x", F.col(vec).cast("array<double>"))
+    if per == "channel" or order == "importance":
+        stats = channel_stats(df, vec) if stats is None else stats
+    if per == "channel":
+        scales = by_position(channel_scales(stats, qmax), "scale")
+        codes = F.zip_with("_x", scales, lambda x, s: _code(x, s, qmax))
+        return wide.withColumn("codes", codes).drop("_x")
+    if per not in ("row", "group"):
+        raise ValueError(f"unknown per {per!r}")
+    if order == "importance":
+        ranked = importance(stats)
+        positions = by_position(
+            ranked.select(F.col("rank").alias("pos"), F.col("pos").alias("at")), "at"
+        )
+        wide = wide.withColumn(
+            "_x", F.transform(positions, lambda p: F.get(F.col("_x"), p))
+        )
+    wide = (
+        wide.withColumn("_groups", _groups(F.col("_x"), group_size))
+        .withColumn("scales", F.transform("_groups", lambda g: _abs_max(g) / qmax))
+        .withColumn(
+            "codes",
+            F.flatten(
+                F.zip_with(
+                    "_groups", "scales", lambda g, s: F.transform(g, lambda x: _code(x, s, qmax))
+                )
+            ),
+        )
+    )
+    if order == "importance":
+        ranks = by_position(ranked, "rank")
+        wide = wide.withColumn("codes", F.transform(ranks, lambda r: F.get(F.col("codes"), r)))
+    columns = [c for c in df.columns if c not in ("codes", "scales")]
+    return wide.select(*columns, "codes", "scales")
+
+
+def dequantize(
+    df: DataFrame,
+    name: str = "decoded",
+    group_size: int | None = None,
+    ranks: DataFrame | None = None,
+    scales: DataFrame | None = None,
+) -> DataFrame:
+    """Adds the floats that codes and scales stand for.
+
+    Give ``group_size`` for groups, ``ranks`` (``importance`` of the statistics) as well for
+    groups in order of importance, and ``scales`` (``channel_scales``) for per-channel codes.
+    """
+    codes = F.col("codes")
+    if scales is not None:
+        decoded = F.zip_with(codes, by_position(scales, "scale"), lambda c, s: c * s)
+    elif ranks is not None:
+        if group_size is None:
+            raise ValueError("ranks need a group_size")
+        groups = F.transform(
+            by_position(ranks, "rank"), lambda r: F.floor(r / group_size).cast("int")
+        )
+        decoded = F.zip_with(codes, groups, lambda c, g: c * F.get(F.col("scales"), g))
+    else:
+        decoded = F.flatten(
+            F.zip_with(
+                _groups(codes, group_size), "scales", lambda g, s: F.transform(g, lambda c: c * s)
+            )
+        )
+    return df.withColumn(name, decoded)
+
+
+def _to_fp8(y: Column) -> Column:
+    """The E4M3 value next to y, half to even; values below the smallest normal keep a fixed step."""
+    size = F.abs(y)
+    exponent = F.greatest(F.floor(F.log2(size)), F.lit(FP8_MIN_EXPONENT))
+    step = F.pow(F.lit(2.0), exponent - FP8_MANTISSA_BITS)
+    near = F.least(F.rint(size / step) * step, F.lit(FP8_MAX))
+    return F.when(size == 0, F.lit(0.0)).otherwise(F.signum(y) * near)
+
+
+def quantize_fp8(
+    df: DataFrame, vec: str, per: str = "row", stats: DataFrame | None = None
+) -> DataFrame:
+    """Adds ``codes``, the E4M3 values as doubles, and per row their ``scales``.
+
+    ``channel`` takes one scale per dimension from ``stats``; read them with
+    ``channel_scales(stats, FP8_MAX)``. ``dequantize`` turns either back.
+    """
+
+    def one(x: Column, scale: Column) -> Column:
+        return F.when(scale == 0, F.lit(0.0)).otherwise(_to_fp8(x / scale))
+
+    wide = df.withColumn("_x", F.col(vec).cast("array<double>"))
+    if per == "channel":
+        stats = channel_stats(df, vec) if stats is None else stats
+        scales = by_position(channel_scales(stats, FP8_MAX), "scale")
+        return wide.withColumn("codes", F.zip_with("_x", scales, one)).drop("_x")
+    if per != "row":
+        raise ValueError(f"unknown per {per!r}")
+    return (
+        wide.withColumn("scales", F.array(_abs_max(F.col("_x")) / FP8_MAX))
+        .withColumn("codes", F.transform("_x", lambda x: one(x, F.get(F.col("scales"), F.lit(0)))))
+        .select(*[c for c in df.columns if c not in ("codes", "scales")], "codes", "scales")
+    )
