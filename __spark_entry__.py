@@ -213,7 +213,12 @@ vocabulary AS (
 
 
 def vocabulary_of(texts: DataFrame) -> DataFrame:
-    return build_vocabulary(texts.select(F.explode(tokenize(F.col("text"))).alias("token")))
+    """The vocabulary of a text column, written once and read from there."""
+    spark = texts.sparkSession
+    path = scratch_path(spark, "vocabulary")
+    tokens = texts.select(F.explode(tokenize(F.col("text"))).alias("token"))
+    build_vocabulary(tokens).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def joined(values: str | Column, glue: str = ",") -> Column:
@@ -1291,7 +1296,7 @@ def _(spark, sf_dir):
 @query(
     "stage_log",
     """
-SELECT strftime(ts, '%Y-%m-%d %H') || ':00:00' AS started, event_type AS stage, count(*) AS n
+SELECT strftime(ts, '%Y-%m-%d') || ' 00:00:00' AS started, event_type AS stage, count(*) AS n
 FROM events GROUP BY 1, 2""",
 )
 def _(spark, sf_dir):
@@ -1299,7 +1304,7 @@ def _(spark, sf_dir):
     (
         table(spark, sf_dir, "events")
         .select(
-            F.date_format("ts", "dd-MM-yyyy_HH.'00.00.log'").alias("log"),
+            F.date_format("ts", "dd-MM-yyyy_'00.00.00.log'").alias("log"),
             F.concat(F.lit("manager stage: "), "event_type").alias("value"),
         )
         .repartition("log", F.pmod(F.hash("value"), F.lit(4)))

@@ -11,8 +11,9 @@ REASONS = ("missing", "error", "few_turns", "short", "ok")
 def merge_parts(rows: DataFrame, key: str = "conv_id") -> DataFrame:
     """Facts of whole conversations from rows that may each hold a part of one.
 
-    Takes the columns ``missing``, ``failed``, ``n_turns``, ``dropped`` and ``n_tokens`` of
-    ``with_facts`` and keeps them; every aggregate is combined before the shuffle.
+    Takes the columns ``missing``, ``failed``, ``n_turns``, ``dropped``, ``n_tokens`` and
+    ``digest`` of ``with_facts`` and keeps them; every aggregate is combined before the
+    shuffle. The digests of several parts are combined by exclusive or.
     """
     return rows.groupBy(key).agg(
         F.bool_or("missing").alias("missing"),
@@ -20,6 +21,7 @@ def merge_parts(rows: DataFrame, key: str = "conv_id") -> DataFrame:
         F.sum("n_turns").alias("n_turns"),
         F.sum("dropped").alias("dropped"),
         F.sum("n_tokens").alias("n_tokens"),
+        F.bit_xor("digest").alias("digest"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calibrel.operators.quantize import _groups
-from calibrel.operators.stats import by_position
+from calibrel.operators.stats import with_channels
 
 
 def _total(values: Column) -> Column:
@@ -30,12 +30,10 @@ def recon_error(
         F.col(original).cast("array<double>"), decoded, lambda a, b: (a - b) * (a - b)
     )
     if weights is None:
-        shares = F.transform(errors, lambda _: F.lit(1.0))
+        weighed = df.withColumn("_shares", F.transform(decoded, lambda _: F.lit(1.0)))
     else:
-        shares = by_position(weights, "mean_sq")
-    measured = df.withColumn("_shares", shares).withColumn(
-        "_errors", F.zip_with(errors, "_shares", lambda e, w: e * w)
-    )
+        weighed = with_channels(df, "_shares", weights, "mean_sq")
+    measured = weighed.withColumn("_errors", F.zip_with(errors, "_shares", lambda e, w: e * w))
     if by == "row":
         mse = _total(F.col("_errors")) / _total(F.col("_shares"))
         return measured.select(*([key] if key else []), mse.alias("mse"))

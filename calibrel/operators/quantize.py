@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibrel.operators.stats import by_position, channel_stats, importance
+from calibrel.operators.stats import channel_stats, importance, with_channels
 
 # The E4M3 format.
 FP8_MAX = 448.0
@@ -71,18 +71,16 @@ def quantize_int(
     if per == "channel" or order == "importance":
         stats = channel_stats(df, vec) if stats is None else stats
     if per == "channel":
-        scales = by_position(channel_scales(stats, qmax), "scale")
-        codes = F.zip_with("_x", scales, lambda x, s: _code(x, s, qmax))
-        return wide.withColumn("codes", codes).drop("_x")
+        wide = with_channels(wide, "_scales", channel_scales(stats, qmax), "scale")
+        codes = F.zip_with("_x", "_scales", lambda x, s: _code(x, s, qmax))
+        return wide.withColumn("codes", codes).drop("_x", "_scales")
     if per not in ("row", "group"):
         raise ValueError(f"unknown per {per!r}")
     if order == "importance":
         ranked = importance(stats)
-        positions = by_position(
-            ranked.select(F.col("rank").alias("pos"), F.col("pos").alias("at")), "at"
-        )
-        wide = wide.withColumn(
-            "_x", F.transform(positions, lambda p: F.get(F.col("_x"), p))
+        by_rank = ranked.select(F.col("rank").alias("pos"), F.col("pos").alias("at"))
+        wide = with_channels(wide, "_order", by_rank, "at").withColumn(
+            "_x", F.transform("_order", lambda p: F.get(F.col("_x"), p))
         )
     wide = (
         wide.withColumn("_groups", _groups(F.col("_x"), group_size))
@@ -97,8 +95,9 @@ def quantize_int(
         )
     )
     if order == "importance":
-        ranks = by_position(ranked, "rank")
-        wide = wide.withColumn("codes", F.transform(ranks, lambda r: F.get(F.col("codes"), r)))
+        wide = with_channels(wide, "_ranks", ranked, "rank").withColumn(
+            "codes", F.transform("_ranks", lambda r: F.get(F.col("codes"), r))
+        )
     columns = [c for c in df.columns if c not in ("codes", "scales")]
     return wide.select(*columns, "codes", "scales")
 
@@ -117,21 +116,21 @@ def dequantize(
     """
     codes = F.col("codes")
     if scales is not None:
-        decoded = F.zip_with(codes, by_position(scales, "scale"), lambda c, s: c * s)
+        df = with_channels(df, "_channels", scales, "scale")
+        decoded = F.zip_with(codes, "_channels", lambda c, s: c * s)
     elif ranks is not None:
         if group_size is None:
             raise ValueError("ranks need a group_size")
-        groups = F.transform(
-            by_position(ranks, "rank"), lambda r: F.floor(r / group_size).cast("int")
-        )
-        decoded = F.zip_with(codes, groups, lambda c, g: c * F.get(F.col("scales"), g))
+        group = F.floor(F.col("rank") / group_size).cast("int")
+        df = with_channels(df, "_channels", ranks, group)
+        decoded = F.zip_with(codes, "_channels", lambda c, g: c * F.get(F.col("scales"), g))
     else:
         decoded = F.flatten(
             F.zip_with(
                 _groups(codes, group_size), "scales", lambda g, s: F.transform(g, lambda c: c * s)
             )
         )
-    return df.withColumn(name, decoded)
+    return df.withColumn(name, decoded).drop("_channels")
 
 
 def _to_fp8(y: Column) -> Column:
@@ -158,8 +157,8 @@ def quantize_fp8(
     wide = df.withColumn("_x", F.col(vec).cast("array<double>"))
     if per == "channel":
         stats = channel_stats(df, vec) if stats is None else stats
-        scales = by_position(channel_scales(stats, FP8_MAX), "scale")
-        return wide.withColumn("codes", F.zip_with("_x", scales, one)).drop("_x")
+        wide = with_channels(wide, "_scales", channel_scales(stats, FP8_MAX), "scale")
+        return wide.withColumn("codes", F.zip_with("_x", "_scales", one)).drop("_x", "_scales")
     if per != "row":
         raise ValueError(f"unknown per {per!r}")
     return (

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibrel.operators.stats import by_position, channel_stats
+from calibrel.operators.stats import channel_stats, with_channels
 
 
 def smooth_scales(x_stats: DataFrame, w_stats: DataFrame, strength: float = 0.8) -> DataFrame:
@@ -22,14 +22,14 @@ def smooth_scales(x_stats: DataFrame, w_stats: DataFrame, strength: float = 0.8)
     )
 
 
-def divide_by(df: DataFrame, vec: str, factors: Column) -> DataFrame:
-    divided = F.zip_with(F.col(vec).cast("array<double>"), factors, lambda a, s: a / s)
-    return df.withColumn(vec, divided)
+def divide_by(df: DataFrame, vec: str, scales: DataFrame) -> DataFrame:
+    divided = F.zip_with(F.col(vec).cast("array<double>"), "_s", lambda a, s: a / s)
+    return with_channels(df, "_s", scales, "s").withColumn(vec, divided).drop("_s")
 
 
-def multiply_by(df: DataFrame, vec: str, factors: Column) -> DataFrame:
-    product = F.zip_with(F.col(vec).cast("array<double>"), factors, lambda a, s: a * s)
-    return df.withColumn(vec, product)
+def multiply_by(df: DataFrame, vec: str, scales: DataFrame) -> DataFrame:
+    product = F.zip_with(F.col(vec).cast("array<double>"), "_s", lambda a, s: a * s)
+    return with_channels(df, "_s", scales, "s").withColumn(vec, product).drop("_s")
 
 
 def smooth(
@@ -37,5 +37,4 @@ def smooth(
 ) -> tuple[DataFrame, DataFrame]:
     """``x / s`` and ``w * s``: every dot product of a row of x with a row of w stays."""
     scales = smooth_scales(channel_stats(x, x_vec), channel_stats(w, w_vec), strength)
-    s = by_position(scales, "s")
-    return divide_by(x, x_vec, s), multiply_by(w, w_vec, s)
+    return divide_by(x, x_vec, scales), multiply_by(w, w_vec, scales)

@@ -29,15 +29,16 @@ def channel_stats(df: DataFrame, vec: str) -> DataFrame:
     )
 
 
-def by_position(stats: DataFrame, value: Column | str) -> Column:
-    """The values of a ``(pos, ...)`` table as one array, usable in any expression.
+def with_channels(df: DataFrame, name: str, stats: DataFrame, value: Column | str) -> DataFrame:
+    """Adds the values of a ``(pos, ...)`` table to every row, as one array by position.
 
-    It is a scalar subquery: one array with an entry per dimension, sent along with the
-    tasks in place of a join.
+    The array is a scalar subquery: one entry per dimension, sent along with the tasks in
+    place of a join.
     """
     value = F.col(value) if isinstance(value, str) else value
     placed = F.array_sort(F.collect_list(F.struct(F.col("pos"), value.alias("value"))))
-    return stats.agg(placed.alias("placed")).select(F.col("placed.value")).scalar()
+    array = stats.agg(placed.alias("placed")).select(F.col("placed.value")).scalar()
+    return df.withColumn(name, array)
 
 
 def importance(stats: DataFrame) -> DataFrame:
