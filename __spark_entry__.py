@@ -600,7 +600,7 @@ GROUP BY doc_id""",
 def _(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     tokens = documents.select("doc_id", tokenize(F.col("text")).alias("ids"))
-    ids = encode(tokens, "ids", vocabulary_of(documents), ["doc_id"], broadcast=False)
+    ids = encode(tokens, "ids", vocabulary_of(documents), ["doc_id"], shared=False)
     total = F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, i: a + i)
     return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), total.alias("id_sum"))
 

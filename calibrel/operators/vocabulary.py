@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-# A vocabulary up to this many entries may be broadcast.
-BROADCAST_ENTRIES = 1_000_000
+# A vocabulary within both bounds may be sent to every worker.
+SHARED_ENTRIES = 1_000_000
+SHARED_BYTES = 64 << 20
 # Copies of a larger vocabulary, among which the rows of one frequent token are spread.
-SALTS = 64
+SALTS = 16
 # Hex digits that name a bucket while ids are given out.
 BUCKET_DIGITS = 3
 
@@ -42,12 +46,36 @@ def build_vocabulary(tokens: DataFrame) -> DataFrame:
     )
 
 
-def fits_broadcast(vocabulary: DataFrame, limit: int = BROADCAST_ENTRIES) -> bool:
-    """Counts no further than the limit."""
-    return vocabulary.limit(limit + 1).count() <= limit
+def fits_workers(vocabulary: DataFrame) -> bool:
+    """Whether the vocabulary is small enough to share; counts no further than the bound."""
+    size = (
+        vocabulary.limit(SHARED_ENTRIES + 1)
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("token")).alias("bytes"))
+        .first()
+    )
+    return size["n"] <= SHARED_ENTRIES and (size["bytes"] or 0) <= SHARED_BYTES
+
+
+def _lookup(vocabulary: DataFrame, source: str, target: str, otherwise: int | str):
+    """Array to array through a shared vocabulary, whole Arrow batches at a time."""
+    pairs = vocabulary.select(source, target).toArrow().combine_chunks()
+    shared = vocabulary.sparkSession.sparkContext.broadcast(pairs)
+    kind = "int" if target == "id" else "string"
 
+    @arrow_udf(f"array<{kind}>")
+    def translate(arrays: pa.Array) -> pa.Array:
+        table = shared.value
+        places = pc.index_in(arrays.flatten(), value_set=table[source])
+        values = pc.fill_null(table[target].take(places), otherwise).combine_chunks()
+        lengths = pc.fill_null(pc.list_value_length(arrays), 0)
+        ends = pc.cumulative_sum(lengths)
+        offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends.cast(pa.int32())])
+        return pa.ListArray.from_arrays(offsets, values, mask=pc.is_null(arrays))
 
-def _translate(
+    return translate
+
+
+def _join(
     df: DataFrame,
     column: str,
     source: str,
@@ -55,27 +83,23 @@ def _translate(
     vocabulary: DataFrame,
     key: list[str],
     otherwise: Column,
-    broadcast: bool | None,
 ) -> DataFrame:
-    """Replaces each array element through the vocabulary, in order.
+    """Array to array through a vocabulary of any size.
 
-    ``key`` identifies a row, so what is gathered again is one row's own array.
+    ``key`` identifies a row, so what is gathered again is one row's own array. The rows of
+    a frequent token go to ``SALTS`` tasks, each with its copy of the vocabulary entry.
     """
-    if broadcast is None:
-        broadcast = fits_broadcast(vocabulary)
     group = [*key, "_null"]
-    placed = df.select(
-        *key,
-        F.col(column).isNull().alias("_null"),
-        F.posexplode_outer(column).alias("_pos", source),
-    )
-    if broadcast:
-        found = placed.join(F.broadcast(vocabulary), source, "left")
-    else:
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        found = placed.withColumn("_salt", F.pmod(F.hash(*key, "_pos"), F.lit(SALTS))).join(
-            vocabulary.withColumn("_salt", salts), [source, "_salt"], "left"
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    found = (
+        df.select(
+            *key,
+            F.col(column).isNull().alias("_null"),
+            F.posexplode_outer(column).alias("_pos", source),
         )
+        .withColumn("_salt", F.pmod(F.hash(*key, "_pos"), F.lit(SALTS)))
+        .join(vocabulary.withColumn("_salt", salts), [source, "_salt"], "left")
+    )
     value = F.coalesce(F.col(target), otherwise)
     pair = F.when(F.col("_pos").isNotNull(), F.struct("_pos", value.alias("_value")))
     return (
@@ -85,18 +109,36 @@ def _translate(
     )
 
 
+def _translate(
+    df: DataFrame,
+    column: str,
+    source: str,
+    target: str,
+    vocabulary: DataFrame,
+    key: list[str],
+    otherwise: int | str,
+    shared: bool | None,
+) -> DataFrame:
+    if fits_workers(vocabulary) if shared is None else shared:
+        lookup = _lookup(vocabulary, source, target, otherwise)
+        return df.select(*key, lookup(F.col(column)).alias(column))
+    return _join(df, column, source, target, vocabulary, key, F.lit(otherwise))
+
+
 def encode(
     df: DataFrame,
     tokens: str,
     vocabulary: DataFrame,
     key: list[str],
     unknown_id: int = -1,
-    broadcast: bool | None = None,
+    shared: bool | None = None,
 ) -> DataFrame:
-    """``(key, tokens)`` with each token replaced by its id."""
-    return _translate(
-        df, tokens, "token", "id", vocabulary, key, F.lit(unknown_id), broadcast
-    )
+    """``(key, tokens)`` with each token replaced by its id.
+
+    A vocabulary of checked size goes to the workers and nothing is shuffled; a larger one is
+    joined. ``shared`` overrules the check.
+    """
+    return _translate(df, tokens, "token", "id", vocabulary, key, unknown_id, shared)
 
 
 def decode(
@@ -105,12 +147,10 @@ def decode(
     vocabulary: DataFrame,
     key: list[str],
     unknown_token: str = "",
-    broadcast: bool | None = None,
+    shared: bool | None = None,
 ) -> DataFrame:
     """``(key, ids)`` with each id replaced by its token."""
-    return _translate(
-        df, ids, "id", "token", vocabulary, key, F.lit(unknown_token), broadcast
-    )
+    return _translate(df, ids, "id", "token", vocabulary, key, unknown_token, shared)
 
 
 def detokenize(
