@@ -1199,6 +1199,11 @@ MODULES = (
 MODULE_STAGES = ("kvq", "kvq", "kvq", "o", "up_gate", "up_gate", "down")
 
 
+def fixed(number: Column | str, digits: int) -> Column:
+    number = F.col(number) if isinstance(number, str) else number
+    return number.cast(f"decimal(20,{digits})").cast("string")
+
+
 def write_logs(spark: SparkSession, sf_dir: str) -> str:
     """The whole of lineitem as run logs, one per return flag and line status."""
     path = scratch_path(spark, "runs")
@@ -1210,11 +1215,11 @@ def write_logs(spark: SparkSession, sf_dir: str) -> str:
         F.lit("gptq").alias("process"),
         F.col("l_orderkey").cast("int").alias("layer"),
         F.get(modules, line - 1).alias("module"),
-        F.format_string("%.8f", "l_extendedprice").alias("loss"),
+        fixed("l_extendedprice", 8).alias("loss"),
         F.col("l_quantity").cast("int").cast("string").alias("samples"),
-        F.format_string("%.5f", "l_tax").alias("damp"),
-        F.format_string("%.3f", "l_discount").alias("time"),
-        F.format_string("%.3f", forward).alias("fwd_time"),
+        fixed("l_tax", 5).alias("damp"),
+        fixed("l_discount", 3).alias("time"),
+        fixed(forward, 3).alias("fwd_time"),
     )
     name = F.concat(
         F.lit("gptq_log_"),

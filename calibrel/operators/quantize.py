@@ -20,14 +20,12 @@ def largest_code(bits: int) -> int:
 
 
 def _abs_max(values: Column) -> Column:
-    return F.array_max(F.transform(values, F.abs))
+    return F.greatest(F.array_max(values), -F.array_min(values))
 
 
-def _code(x: Column, scale: Column, qmax: int) -> Column:
-    """Half-even rounding to [-qmax, qmax]; a zero scale gives code 0."""
-    rounded = F.rint(x / scale)
-    clipped = F.greatest(F.least(rounded, F.lit(float(qmax))), F.lit(float(-qmax)))
-    return F.when(scale == 0, F.lit(0.0)).otherwise(clipped).cast("tinyint")
+def _divisors(scales: Column | str) -> Column:
+    """The scales, with 1 for 0: an all-zero group gets codes 0."""
+    return F.transform(scales, lambda s: F.when(s == 0, F.lit(1.0)).otherwise(s))
 
 
 def _groups(values: Column, group_size: int | None) -> Column:
@@ -40,6 +38,23 @@ def _groups(values: Column, group_size: int | None) -> Column:
     ).otherwise(F.array(values))
 
 
+def _gather(values: Column | str, places: Column | str) -> Column:
+    """The values at the given places.
+
+    Both go in as arguments: a column used inside a lambda would be worked out again for
+    every element once the optimizer merges the projections.
+    """
+    picked = F.zip_with(
+        F.array(values), F.array(places), lambda v, at: F.transform(at, lambda p: F.get(v, p))
+    )
+    return F.get(picked, F.lit(0))
+
+
+def by_rank(ranks: DataFrame) -> DataFrame:
+    """``(pos, at)``: for each rank the dimension that has it."""
+    return ranks.select(F.col("rank").alias("pos"), F.col("pos").alias("at"))
+
+
 def channel_scales(stats: DataFrame, largest: float) -> DataFrame:
     """``(pos, scale)`` of per-channel quantization."""
     return stats.select("pos", (F.col("abs_max") / largest).alias("scale"))
@@ -56,6 +71,7 @@ def quantize_int(
 ) -> DataFrame:
     """Adds ``codes`` and, unless per channel, ``scales``.
 
+    Codes are rounded half to even and lie in ``[-qmax, qmax]``, ``qmax = 2 ** (bits - 1) - 1``.
     ``row``: one scale per vector. ``group``: one per ``group_size`` dimensions, taken in
     their natural order or in order of importance; codes always stand at their own
     dimension. Both need no shuffle. ``channel``: one scale per dimension for the whole
@@ -72,15 +88,21 @@ def quantize_int(
         stats = channel_stats(df, vec) if stats is None else stats
     if per == "channel":
         wide = with_channels(wide, "_scales", channel_scales(stats, qmax), "scale")
-        codes = F.zip_with("_x", "_scales", lambda x, s: _code(x, s, qmax))
+        # given statistics may be smaller than the values, so the codes are clipped
+        codes = F.zip_with(
+            "_x",
+            _divisors("_scales"),
+            lambda x, d: F.greatest(
+                F.least(F.rint(x / d), F.lit(float(qmax))), F.lit(float(-qmax))
+            ).cast("tinyint"),
+        )
         return wide.withColumn("codes", codes).drop("_x", "_scales")
     if per not in ("row", "group"):
         raise ValueError(f"unknown per {per!r}")
     if order == "importance":
-        ranked = importance(stats)
-        by_rank = ranked.select(F.col("rank").alias("pos"), F.col("pos").alias("at"))
-        wide = with_channels(wide, "_order", by_rank, "at").withColumn(
-            "_x", F.transform("_order", lambda p: F.get(F.col("_x"), p))
+        ranks = importance(stats)
+        wide = with_channels(wide, "_order", by_rank(ranks), "at").withColumn(
+            "_x", _gather("_x", "_order")
         )
     wide = (
         wide.withColumn("_groups", _groups(F.col("_x"), group_size))
@@ -89,14 +111,16 @@ def quantize_int(
             "codes",
             F.flatten(
                 F.zip_with(
-                    "_groups", "scales", lambda g, s: F.transform(g, lambda x: _code(x, s, qmax))
+                    "_groups",
+                    _divisors("scales"),
+                    lambda g, d: F.transform(g, lambda x: F.rint(x / d).cast("tinyint")),
                 )
             ),
         )
     )
     if order == "importance":
-        wide = with_channels(wide, "_ranks", ranked, "rank").withColumn(
-            "codes", F.transform("_ranks", lambda r: F.get(F.col("codes"), r))
+        wide = with_channels(wide, "_ranks", ranks, "rank").withColumn(
+            "codes", _gather("codes", "_ranks")
         )
     columns = [c for c in df.columns if c not in ("codes", "scales")]
     return wide.select(*columns, "codes", "scales")
@@ -123,7 +147,7 @@ def dequantize(
             raise ValueError("ranks need a group_size")
         group = F.floor(F.col("rank") / group_size).cast("int")
         df = with_channels(df, "_channels", ranks, group)
-        decoded = F.zip_with(codes, "_channels", lambda c, g: c * F.get(F.col("scales"), g))
+        decoded = F.zip_with(codes, _gather("scales", "_channels"), lambda c, s: c * s)
     else:
         decoded = F.flatten(
             F.zip_with(
@@ -133,13 +157,17 @@ def dequantize(
     return df.withColumn(name, decoded).drop("_channels")
 
 
-def _to_fp8(y: Column) -> Column:
-    """The E4M3 value next to y, half to even; values below the smallest normal keep a fixed step."""
-    size = F.abs(y)
-    exponent = F.greatest(F.floor(F.log2(size)), F.lit(FP8_MIN_EXPONENT))
-    step = F.pow(F.lit(2.0), exponent - FP8_MANTISSA_BITS)
-    near = F.least(F.rint(size / step) * step, F.lit(FP8_MAX))
-    return F.when(size == 0, F.lit(0.0)).otherwise(F.signum(y) * near)
+def _fp8_step(y: Column) -> Column:
+    """Distance of the E4M3 values around y; below the smallest normal it stays the same."""
+    exponent = F.greatest(F.floor(F.log2(F.abs(y))), F.lit(FP8_MIN_EXPONENT))
+    return F.pow(F.lit(2.0), exponent - FP8_MANTISSA_BITS)
+
+
+def _to_fp8(y: Column, step: Column) -> Column:
+    """The E4M3 value next to y, half to even."""
+    near = F.rint(y / step) * step
+    clipped = F.greatest(F.least(near, F.lit(FP8_MAX)), F.lit(-FP8_MAX))
+    return F.when(y == 0, F.lit(0.0)).otherwise(clipped)
 
 
 def quantize_fp8(
@@ -151,18 +179,22 @@ def quantize_fp8(
     ``channel_scales(stats, FP8_MAX)``. ``dequantize`` turns either back.
     """
 
-    def one(x: Column, scale: Column) -> Column:
-        return F.when(scale == 0, F.lit(0.0)).otherwise(_to_fp8(x / scale))
-
     wide = df.withColumn("_x", F.col(vec).cast("array<double>"))
     if per == "channel":
         stats = channel_stats(df, vec) if stats is None else stats
         wide = with_channels(wide, "_scales", channel_scales(stats, FP8_MAX), "scale")
-        return wide.withColumn("codes", F.zip_with("_x", "_scales", one)).drop("_x", "_scales")
-    if per != "row":
+        wide = wide.withColumn("_y", F.zip_with("_x", _divisors("_scales"), lambda x, d: x / d)).drop("_scales")
+    elif per == "row":
+        of_row = F.zip_with(
+            F.array("_x"), _divisors("scales"), lambda g, d: F.transform(g, lambda x: x / d)
+        )
+        wide = wide.withColumn("scales", F.array(_abs_max(F.col("_x")) / FP8_MAX)).withColumn(
+            "_y", F.flatten(of_row)
+        )
+    else:
         raise ValueError(f"unknown per {per!r}")
     return (
-        wide.withColumn("scales", F.array(_abs_max(F.col("_x")) / FP8_MAX))
-        .withColumn("codes", F.transform("_x", lambda x: one(x, F.get(F.col("scales"), F.lit(0)))))
-        .select(*[c for c in df.columns if c not in ("codes", "scales")], "codes", "scales")
+        wide.withColumn("_steps", F.transform("_y", _fp8_step))
+        .withColumn("codes", F.zip_with("_y", "_steps", _to_fp8))
+        .drop("_x", "_y", "_steps")
     )

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,14 +67,11 @@ def second_moment(df: DataFrame, vec: str, damp: float = 0.01) -> DataFrame:
             vectors = batch.column(0).drop_null()
             if len(vectors) == 0:
                 continue
-            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            if flat.size % len(vectors):
-                raise ValueError("vectors differ in length")
-            x = flat.reshape(len(vectors), -1)
-            if len(set(vectors.value_lengths().to_pylist())) != 1 or (
-                total is not None and total.shape[0] != x.shape[1]
-            ):
+            lengths = np.unique(pc.list_value_length(vectors).to_numpy(zero_copy_only=False))
+            if lengths.size > 1 or (total is not None and total.shape[0] != lengths[0]):
                 raise ValueError("vectors differ in length")
+            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            x = flat.reshape(len(vectors), lengths[0])
             total = x.T @ x if total is None else total + x.T @ x
             n += len(vectors)
         if total is None:
