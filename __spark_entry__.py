@@ -247,7 +247,8 @@ SELECT conv_id, {SHUFFLE_SQL} AS shuffle_key
 FROM (SELECT DISTINCT conv_id FROM conversations) ORDER BY shuffle_key, conv_id LIMIT 50""",
 )
 def _(spark, sf_dir):
-    return sample_n(table(spark, sf_dir, "conversations").select("conv_id").distinct(), "conv_id", 50)
+    keys = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    return sample_n(keys, "conv_id", 50, on_short="truncate")
 
 
 @query(
@@ -683,6 +684,19 @@ def _(spark, sf_dir):
     return calibration_texts(rows, TOLERANT, raw="raw")
 
 
+@query(
+    "gptq_texts_from_arrays",
+    f"""{_SAMPLED_FACTS_SQL}
+SELECT conv_id, text FROM sampled WHERE reason = 'ok'""",
+)
+def _(spark, sf_dir):
+    # the usual input: one row per conversation, so nothing is gathered or joined back
+    path = scratch_path(spark, "arrays")
+    mixed_rows(spark, sf_dir, broken=True).drop("part").write.parquet(path)
+    rows = take_sample(read_conversations(spark, path), TOLERANT, on_short="truncate")
+    return calibration_texts(rows, TOLERANT, raw="raw")
+
+
 @query(
     "require_rows",
     f"""

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_local_roots: dict[str, str] = {}
+
 
 def build_session(cpus: int | str = "*", app: str = "calibrel", **conf: str) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
@@ -37,6 +39,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="run-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        application = spark.sparkContext.applicationId
+        if application not in _local_roots:
+            _local_roots[application] = tempfile.mkdtemp(prefix="run-")
+        root = _local_roots[application]
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
