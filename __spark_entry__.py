@@ -1188,11 +1188,13 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     path = scratch_path(spark, "sharded")
-    limit = 1 << 17
+    limit = 1 << 20
     write_sharded(table(spark, sf_dir, "documents"), path, limit)
     found = spark.read.parquet(path).withColumn("file", F.col("_metadata.file_path"))
     row = F.octet_length("text") + F.octet_length("lang") + F.octet_length("source") + 16
-    sizes = found.groupBy("file").agg((F.sum(row) <= limit).alias("bounded"))
+    sizes = found.groupBy("file").agg(
+        ((F.sum(row) <= limit) | (F.count(F.lit(1)) == 1)).alias("bounded")
+    )
     return found.join(sizes, "file").select(
         "doc_id", F.md5("text").alias("digest"), "lang", "source", "n_chars", "bounded"
     )

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Rows over this multiple of the mean size are written with a row count of their own.
-LARGE_ROW = 4
+# Rows up to this multiple of the mean size are written together, larger ones apart, in
+# classes within this factor of each other.
+USUAL_ROW = 4
+CLASS_WIDTH = 16
 
 
 def write_text(
@@ -63,30 +67,24 @@ def row_bytes(df: DataFrame) -> Column:
     return sum((size(F.col(f.name), f.dataType) for f in df.schema.fields), F.lit(0).cast("bigint"))
 
 
-def write_sharded(df: DataFrame, path: str, max_bytes: int) -> int:
-    """Writes files of at most ``max_bytes`` of values each; returns the rows per file.
+def write_sharded(df: DataFrame, path: str, max_bytes: int) -> None:
+    """Writes files of at most ``max_bytes`` of values each; a larger row has its own file.
 
-    Spark bounds a file by rows. The bound in rows comes from the largest row, or, where few
-    rows are much larger than the mean, from each of the two kinds in turn.
+    Spark bounds a file by rows, so rows are written in classes of similar size, each with
+    the row count that keeps its largest row times the count within the bound. Without
+    unusually large rows there is one class and one pass.
     """
     measured = row_bytes(df)
     sizes = df.select(measured.alias("b")).agg(F.avg("b").alias("mean"), F.max("b").alias("most"))
     mean, most = sizes.first()
-    if most is None:
+    if not most:
         df.write.parquet(path)
-        return 0
-    if most > max_bytes:
-        raise ValueError(f"a row of {most} bytes does not fit in {max_bytes}")
-    usual = max(1, min(int(most), int(LARGE_ROW * mean)))
-    rows = max(1, max_bytes // usual)
-    if usual >= most:
-        df.write.option("maxRecordsPerFile", rows).parquet(path)
-        return rows
-    df.filter(measured <= usual).write.option("maxRecordsPerFile", rows).parquet(path)
-    df.filter(measured > usual).write.mode("append").option(
-        "maxRecordsPerFile", max(1, max_bytes // int(most))
-    ).parquet(path)
-    return rows
+        return
+    lower, top = -1, min(most, math.ceil(USUAL_ROW * mean))
+    while lower < most:
+        rows = df if top == most and lower < 0 else df.filter((measured > lower) & (measured <= top))
+        rows.write.mode("append").option("maxRecordsPerFile", max(1, max_bytes // top)).parquet(path)
+        lower, top = top, min(most, top * CLASS_WIDTH)
 
 
 def write_quantized(

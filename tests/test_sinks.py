@@ -45,11 +45,17 @@ def test_no_shard_exceeds_the_bound(spark, tmp_path, large):
     assert len(rows) > 5 and max(r["bytes"] for r in rows) <= limit
 
 
-def test_a_row_over_the_bound_is_refused(spark, tmp_path):
-    df = spark.createDataFrame([("x" * 100,)], "t string")
-    with pytest.raises(ValueError, match="100 bytes does not fit"):
-        write_sharded(df, str(tmp_path / "s"), 50)
-    assert write_sharded(df.limit(0), str(tmp_path / "empty"), 50) == 0
+def test_a_row_over_the_bound_has_its_own_file(spark, tmp_path):
+    rows = [("x" * n,) for n in [10] * 50 + [900, 2000]]
+    path = str(tmp_path / "s")
+    write_sharded(spark.createDataFrame(rows, "t string").coalesce(1), path, 1000)
+    files = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("f")).agg(
+        F.sum(F.length("t")).alias("bytes"), F.count("*").alias("n")
+    ).collect()
+    assert sum(r["n"] for r in files) == 52
+    assert [r["n"] for r in files if r["bytes"] > 1000] == [1]
+    write_sharded(spark.createDataFrame([], "t string"), str(tmp_path / "empty"), 50)
+    assert spark.read.parquet(str(tmp_path / "empty")).count() == 0
 
 
 def test_nested_rows_are_measured(spark, tmp_path):
