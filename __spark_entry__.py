@@ -216,7 +216,8 @@ def vocabulary_of(texts: DataFrame) -> DataFrame:
     """The vocabulary of a text column, written once and read from there."""
     spark = texts.sparkSession
     path = scratch_path(spark, "vocabulary")
-    tokens = texts.select(F.explode(tokenize(F.col("text"))).alias("token"))
+    # each text names a token once, which leaves less to count before the shuffle
+    tokens = texts.select(F.explode(F.array_distinct(tokenize(F.col("text")))).alias("token"))
     build_vocabulary(tokens).write.parquet(path)
     return spark.read.parquet(path)
 

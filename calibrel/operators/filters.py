@@ -10,13 +10,23 @@ from pyspark.sql import functions as F
 from calibrel.functions.names import contains_ignoring_case
 
 
+def settle(df: DataFrame, *columns: str) -> DataFrame:
+    """The same rows, with the columns worked out below any later filter.
+
+    The optimizer moves a filter through a projection by copying the expressions it tests,
+    which then run twice for every row. It does not copy them through a generator.
+    """
+    others = [c for c in df.columns if c not in columns]
+    return df.select(*others, F.inline(F.array(F.struct(*columns)))).select(*df.columns)
+
+
 def min_turns(df: DataFrame, least: int = 2, chat: str = "chat") -> DataFrame:
     """Keeps conversations with enough turns, counted after the conversion."""
-    return df.filter(F.size(chat) >= least)
+    return settle(df, chat).filter(F.size(chat) >= least)
 
 
 def min_tokens(df: DataFrame, least: int = 10, ids: str = "input_ids") -> DataFrame:
-    return df.filter(F.size(ids) >= least)
+    return settle(df, ids).filter(F.size(ids) >= least)
 
 
 def name_contains(df: DataFrame, column: str, needle: str) -> DataFrame:

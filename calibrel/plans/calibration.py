@@ -12,6 +12,7 @@ from calibrel.functions.chat import CHATML, ROLE_HEADERS, Layout, convert, dropp
 from calibrel.functions.tokens import attention_mask, tokenize, truncate
 from calibrel.operators.accounting import classify, merge_parts
 from calibrel.operators.assemble import assemble, truncate_parts
+from calibrel.operators.filters import settle
 from calibrel.operators.sampling import SEED, sample_conversations, sample_rows
 from calibrel.operators.vocabulary import encode
 
@@ -90,7 +91,6 @@ def with_facts(
     options: Calibration,
     column: str = "conversations",
     raw: str | None = None,
-    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Adds what the skip rules look at: turns, tokens, missing fields and failures.
 
@@ -104,18 +104,18 @@ def with_facts(
     else:
         tokens = tokenize(F.col("text"), bos)
     digest = F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("bigint")
-    return (
-        with_text(rows, options, column)
-        .withColumn("tokens", tokens)
-        .select(
-            "*",
-            F.col(raw or column).isNull().alias("missing"),
-            F.col("text").isNull().alias("failed"),
-            F.size("chat").alias("n_turns"),
-            dropped_turns(F.col(column)).alias("dropped"),
-            F.size("tokens").alias("n_tokens"),
-            digest.alias("digest"),
-        )
+    worked_out = with_text(rows, options, column).withColumn("tokens", tokens)
+    if "part" not in rows.columns:
+        # filters on the facts of single rows must not render and tokenize once more
+        worked_out = settle(worked_out, "chat", "text", "tokens")
+    return worked_out.select(
+        "*",
+        F.col(raw or column).isNull().alias("missing"),
+        F.col("text").isNull().alias("failed"),
+        F.size("chat").alias("n_turns"),
+        dropped_turns(F.col(column)).alias("dropped"),
+        F.size("tokens").alias("n_tokens"),
+        digest.alias("digest"),
     )
 
 

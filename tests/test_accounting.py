@@ -100,3 +100,12 @@ def test_guard(spark):
     assert require_rows(df) is df
     with pytest.raises(ValueError, match="no valid"):
         require_rows(df.filter(F.col("id") > 9))
+
+
+def test_tested_columns_are_worked_out_once(spark):
+    df = spark.createDataFrame([("a b c",)], "text string").select(
+        F.split("text", " ").alias("input_ids")
+    )
+    plan = min_tokens(df, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == 1
+    assert min_tokens(df, 2).count() == 1 and min_tokens(df, 4).count() == 0
