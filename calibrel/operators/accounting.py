@@ -8,21 +8,24 @@ from pyspark.sql import functions as F
 REASONS = ("missing", "error", "few_turns", "short", "ok")
 
 
-def merge_parts(rows: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Facts of whole conversations from rows that may each hold a part of one.
+def merged_facts() -> list[Column]:
+    """Aggregates that make the facts of parts into facts of their whole.
 
-    Takes the columns ``missing``, ``failed``, ``n_turns``, ``dropped``, ``n_tokens`` and
-    ``digest`` of ``with_facts`` and keeps them; every aggregate is combined before the
-    shuffle. The digests of several parts are combined by exclusive or.
+    They can be taken in steps. The digests of several parts are combined by exclusive or.
     """
-    return rows.groupBy(key).agg(
+    return [
         F.bool_or("missing").alias("missing"),
         F.bool_or("failed").alias("failed"),
         F.sum("n_turns").alias("n_turns"),
         F.sum("dropped").alias("dropped"),
         F.sum("n_tokens").alias("n_tokens"),
         F.bit_xor("digest").alias("digest"),
-    )
+    ]
+
+
+def merge_parts(rows: DataFrame, key: str = "conv_id") -> DataFrame:
+    """Facts of whole conversations from rows that may each hold a part of one."""
+    return rows.groupBy(key).agg(*merged_facts())
 
 
 def classify(

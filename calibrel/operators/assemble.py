@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from calibrel.functions.chat import as_turns
 
 PART_TURNS = 256
-BLOCK_PARTS = 1024
+FAN_IN = 64
 
 
 def assemble(
@@ -52,60 +53,29 @@ def mark_last_part(parts: DataFrame, key: str = "conv_id") -> DataFrame:
     )
 
 
-def running_total(
-    df: DataFrame, key: str, position: str, value: Column, name: str, block: int = BLOCK_PARTS
-) -> DataFrame:
-    """Adds the sum of ``value`` over the rows of the same key at smaller positions.
-
-    Two levels: sums per block of positions, then inside each block. A key that holds a
-    large share of the rows is spread over its blocks instead of running through one task.
-    """
-    blocked = df.withColumn("_block", F.floor(F.col(position) / block)).withColumn("_value", value)
-    earlier = (W.unboundedPreceding, -1)
-    before = (
-        blocked.groupBy(key, "_block")
-        .agg(F.sum("_value").alias("_sum"))
-        .select(
-            key,
-            "_block",
-            F.coalesce(
-                F.sum("_sum").over(W.partitionBy(key).orderBy("_block").rowsBetween(*earlier)),
-                F.lit(0),
-            ).alias("_before"),
-        )
-    )
-    inside = W.partitionBy(key, "_block").orderBy(position).rowsBetween(*earlier)
-    return (
-        blocked.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-        .join(before, [key, "_block"])
-        .withColumn(name, F.col("_before") + F.col("_inside"))
-        .drop("_block", "_value", "_before", "_inside")
-    )
-
-
 def truncate_parts(
-    parts: DataFrame, ids: str, max_length: int, key: str = "conv_id"
+    parts: DataFrame,
+    ids: str,
+    max_length: int,
+    key: str = "conv_id",
+    facts: Sequence[Column] = (),
+    fan_in: int = FAN_IN,
 ) -> DataFrame:
     """One row per conversation with the first ``max_length`` ids over all its parts.
 
-    ``n_ids`` must hold the number of ids each part has in full. At most ``max_length``
-    ids are gathered per conversation.
+    Cutting a concatenation of cut pieces gives the same as cutting the whole, so pieces are
+    joined ``fan_in`` at a time, level by level. No task gathers more than ``fan_in`` pieces
+    of ``max_length`` ids of one conversation, however many parts it has. ``facts`` are
+    further aggregates that may be taken in steps, named like their columns.
     """
-    placed = running_total(
-        parts.select(key, "part", "n_ids", F.slice(ids, 1, max_length).alias(ids)),
-        key,
-        "part",
-        F.col("n_ids"),
-        "_offset",
-    )
-    return (
-        placed.filter((F.col("part") == 0) | ((F.col("_offset") < max_length) & (F.col("n_ids") > 0)))
-        .select(
-            key,
-            "part",
-            F.slice(ids, F.lit(1), F.greatest(max_length - F.col("_offset"), F.lit(0)).cast("int"))
-            .alias(ids),
+    cut = F.slice(ids, 1, max_length).alias(ids)
+    level = parts.select(*[c for c in parts.columns if c != ids], cut)
+    last = parts.agg(F.max("part")).first()[0] or 0
+    pieces = F.array_sort(F.collect_list(F.struct("part", ids)))
+    while True:
+        level = level.groupBy(key, F.floor(F.col("part") / fan_in).alias("part")).agg(
+            F.slice(F.flatten(pieces[ids]), 1, max_length).alias(ids), *facts
         )
-        .groupBy(key)
-        .agg(F.flatten(F.array_sort(F.collect_list(F.struct("part", ids)))[ids]).alias(ids))
-    )
+        last //= fan_in
+        if last == 0:
+            return level.drop("part")

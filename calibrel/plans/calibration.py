@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from calibrel.functions.chat import CHATML, ROLE_HEADERS, Layout, convert, dropped_turns, render
 from calibrel.functions.tokens import attention_mask, tokenize, truncate
-from calibrel.operators.accounting import classify, merge_parts
+from calibrel.operators.accounting import classify, merge_parts, merged_facts
 from calibrel.operators.assemble import assemble, truncate_parts
 from calibrel.operators.filters import settle
-from calibrel.operators.sampling import SEED, sample_conversations, sample_rows
+from calibrel.operators.sampling import BROADCAST_ROWS, SEED, sample_conversations, sample_rows
 from calibrel.operators.vocabulary import encode
 
 
@@ -105,10 +105,8 @@ def with_facts(
         tokens = tokenize(F.col("text"), bos)
     digest = F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("bigint")
     worked_out = with_text(rows, options, column).withColumn("tokens", tokens)
-    if "part" not in rows.columns:
-        # filters on the facts of single rows must not render and tokenize once more
-        worked_out = settle(worked_out, "chat", "text", "tokens")
-    return worked_out.select(
+    # filters on the facts must not render and tokenize once more
+    return settle(worked_out, "chat", "text", "tokens").select(
         "*",
         F.col(raw or column).isNull().alias("missing"),
         F.col("text").isNull().alias("failed"),
@@ -119,44 +117,91 @@ def with_facts(
     )
 
 
+def _classified(facts: DataFrame, options: Calibration) -> DataFrame:
+    return classify(facts, options.least_turns, options.least_tokens, options.max_length)
+
+
 def conversation_facts(rows: DataFrame, options: Calibration, key: str = "conv_id", **read) -> DataFrame:
     """One row per conversation: its facts and the ``reason`` it is kept or skipped for."""
     facts = with_facts(rows, options, **read)
     if "part" in rows.columns:
         facts = merge_parts(facts, key)
-    return classify(facts, options.least_turns, options.least_tokens, options.max_length)
+    return _classified(facts, options)
 
 
-def accepted(rows: DataFrame, options: Calibration, key: str = "conv_id", **read) -> DataFrame:
-    """Rows with ``text`` and ``tokens`` of the conversations that pass all filters."""
+def split_by_length(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows that hold a whole conversation, and the parts of the longer ones if there are any.
+
+    A whole conversation is judged and cut on its own row; only the long ones need their
+    parts counted together. Their keys are found from the narrow columns and broadcast if
+    they are few.
+    """
+    if "part" not in rows.columns:
+        return rows, None
+    keys = rows.filter(F.col("part") > 0).select(key).distinct()
+    found = keys.limit(BROADCAST_ROWS + 1).count()
+    if found == 0:
+        return rows, None
+    if found <= BROADCAST_ROWS:
+        keys = F.broadcast(keys)
+    return rows.join(keys, key, "left_anti"), rows.join(keys, key, "left_semi")
+
+
+def _accepted_whole(rows: DataFrame, options: Calibration, **read) -> DataFrame:
     facts = with_facts(rows, options, **read)
     if not options.filters:
         return facts
-    rules = (options.least_turns, options.least_tokens, options.max_length)
-    if "part" not in rows.columns:
-        return classify(facts, *rules).filter(F.col("reason") == "ok").drop("reason")
-    passed = classify(merge_parts(facts, key), *rules).filter(F.col("reason") == "ok")
+    return _classified(facts, options).filter(F.col("reason") == "ok").drop("reason")
+
+
+def _accepted_parts(rows: DataFrame, options: Calibration, key: str, **read) -> DataFrame:
+    facts = with_facts(rows, options, **read)
+    if not options.filters:
+        return facts
+    passed = _classified(merge_parts(facts, key), options).filter(F.col("reason") == "ok")
     return facts.join(passed.select(key), key, "left_semi")
 
 
+def accepted(rows: DataFrame, options: Calibration, key: str = "conv_id", **read) -> DataFrame:
+    """Rows with ``text`` and ``tokens`` of the conversations that pass all filters."""
+    if not options.filters:
+        return with_facts(rows, options, **read)
+    whole, parts = split_by_length(rows, key)
+    kept = _accepted_whole(whole, options, **read)
+    if parts is None:
+        return kept
+    return kept.unionByName(_accepted_parts(parts, options, key, **read))
+
+
 def calibration_texts(rows: DataFrame, options: Calibration, key: str = "conv_id", **read) -> DataFrame:
     """``(key, [part,] text)``: whole texts, uncut even where the length test cuts."""
     part = [c for c in ("part",) if c in rows.columns]
     return accepted(rows, options, key, **read).select(key, *part, "text")
 
 
+def _cut(
+    rows: DataFrame, options: Calibration, key: str, name: str, ids: Column, **read
+) -> DataFrame:
+    """``(key, name)`` with the first ``max_length`` entries of ``ids`` per conversation."""
+    whole, parts = split_by_length(rows, key)
+    cut = _accepted_whole(whole, options, **read).select(
+        key, truncate(ids, options.max_length).alias(name)
+    )
+    if parts is None:
+        return cut
+    facts = with_facts(parts, options, **read).withColumn(name, ids)
+    merged = truncate_parts(facts, name, options.max_length, key, merged_facts())
+    if options.filters:
+        merged = _classified(merged, options).filter(F.col("reason") == "ok")
+    return cut.unionByName(merged.select(key, name))
+
+
 def calibration_tokens(rows: DataFrame, options: Calibration, key: str = "conv_id", **read) -> DataFrame:
-    """``(key, [part,] tokens)``, cut to ``max_length`` per conversation where it is set."""
-    kept = accepted(rows, options, key, **read)
-    if "part" not in rows.columns:
-        tokens = F.col("tokens")
-        if options.max_length is not None:
-            tokens = truncate(tokens, options.max_length)
-        return kept.select(key, tokens.alias("tokens"))
-    if options.max_length is None:
-        return kept.select(key, "part", "tokens")
-    sized = kept.select(key, "part", "tokens", F.col("n_tokens").alias("n_ids"))
-    return truncate_parts(sized, "tokens", options.max_length, key)
+    """``(key, tokens)`` cut to ``max_length`` per conversation; uncut rows without one."""
+    if options.max_length is not None:
+        return _cut(rows, options, key, "tokens", F.col("tokens"), **read)
+    part = [c for c in ("part",) if c in rows.columns]
+    return accepted(rows, options, key, **read).select(key, *part, "tokens")
 
 
 def calibration_ids(
@@ -176,18 +221,15 @@ def calibration_ids(
         raise ValueError("give a vocabulary or a tokenizer")
     if vocabulary is not None:
         tokens = calibration_tokens(rows, options, key, **read)
-        columns = [c for c in tokens.columns if c != "tokens"]
+        columns = [c for c in (key, "part") if c in tokens.columns]
         ids = encode(tokens, "tokens", vocabulary, columns, unknown_id).withColumnRenamed(
             "tokens", "input_ids"
         )
+    elif options.max_length is not None:
+        columns = [key]
+        ids = _cut(rows, options, key, "input_ids", tokenizer(F.col("text")), **read)
     else:
         kept = accepted(rows, options, key, **read)
         columns = [c for c in (key, "part") if c in kept.columns]
         ids = kept.select(*columns, tokenizer(F.col("text")).alias("input_ids"))
-        if options.max_length is not None and "part" in columns:
-            sized = ids.withColumn("n_ids", F.size("input_ids"))
-            ids = truncate_parts(sized, "input_ids", options.max_length, key)
-            columns = [key]
-        elif options.max_length is not None:
-            ids = ids.withColumn("input_ids", truncate(F.col("input_ids"), options.max_length))
     return ids.select(*columns, "input_ids", attention_mask(F.col("input_ids")).alias("attention_mask"))

@@ -3,7 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from calibrel.operators.assemble import assemble, mark_last_part, running_total, truncate_parts
+from calibrel.operators.assemble import assemble, mark_last_part, truncate_parts
 from calibrel.operators.sampling import peek, sample_conversations, sample_n, sample_rows
 
 
@@ -84,22 +84,16 @@ def test_last_part(spark):
     assert closing == {(1, 2), (2, 0)}
 
 
-def test_running_total_over_blocks(spark):
-    rows = [("hot", i, (i * 7) % 5) for i in range(300)] + [("b", 4, 9), ("b", 90, 1)]
-    df = spark.createDataFrame(rows, "k string, p long, v long").repartition(4)
-    found = running_total(df, "k", "p", F.col("v"), "before", block=16).collect()
-    assert len(found) == len(rows)
-    for r in found:
-        assert r["before"] == sum(v for k, p, v in rows if k == r["k"] and p < r["p"])
-
-
 @pytest.mark.parametrize("cut", [1, 5, 17, 1000])
 def test_truncation_runs_through_parts(spark, cut):
     parts = {"a": [[1, 2, 3], [], [4], [5, 6, 7, 8]], "b": [[9] * 40], "c": [[], [1]], "d": [[]]}
+    parts["hot"] = [[i, i] for i in range(300)]
     rows = [(k, i, ids, len(ids)) for k, ps in parts.items() for i, ids in enumerate(ps)]
-    df = spark.createDataFrame(rows, "conv_id string, part long, ids array<int>, n_ids int")
-    found = {r["conv_id"]: r["ids"] for r in truncate_parts(df, "ids", cut).collect()}
-    assert found == {k: sum(ps, [])[:cut] for k, ps in parts.items()}
+    df = spark.createDataFrame(rows, "conv_id string, part long, ids array<int>, n long").repartition(5)
+    for fan_in in (2, 7, 64):
+        found = truncate_parts(df, "ids", cut, facts=[F.sum("n").alias("n")], fan_in=fan_in).collect()
+        assert {r["conv_id"]: r["ids"] for r in found} == {k: sum(ps, [])[:cut] for k, ps in parts.items()}
+        assert {r["conv_id"]: r["n"] for r in found} == {k: len(sum(ps, [])) for k, ps in parts.items()}
 
 
 def test_peek(spark):
