@@ -48,7 +48,7 @@ from calibrel.operators.quantize import (
     quantize_int,
 )
 from calibrel.operators.runs import run_compare, run_summary
-from calibrel.operators.sampling import peek, sample_n
+from calibrel.operators.sampling import peek, sample_n, shuffle_key
 from calibrel.operators.smooth import smooth, smooth_scales
 from calibrel.operators.stats import channel_stats, importance, second_moment
 from calibrel.operators.vocabulary import build_vocabulary, detokenize, encode
@@ -410,7 +410,8 @@ FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM sampled) GROUP BY
 )
 def _(spark, sf_dir):
     path = scratch_path(spark, "text")
-    write_text(export_texts(spark, sf_dir), path, order_by=("conv_id", "part"))
+    order = (shuffle_key(F.col("conv_id"), PRESETS["text_export"].seed), "part")
+    write_text(export_texts(spark, sf_dir), path, order_by=order)
     lines = spark.read.text(path)
     return lines.groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
 

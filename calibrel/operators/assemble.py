@@ -11,6 +11,8 @@ from calibrel.functions.chat import as_turns
 
 PART_TURNS = 256
 FAN_IN = 64
+# Keys of long conversations up to this many rows may be broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def assemble(
@@ -43,14 +45,24 @@ def assemble(
     )
 
 
+def long_conversations(parts: DataFrame, key: str = "conv_id") -> tuple[DataFrame, int]:
+    """``(key, last)`` of the conversations of several parts, and their number.
+
+    Found from the narrow columns. The table is marked for broadcast if it is small, and
+    counted no further than that.
+    """
+    found = parts.filter(F.col("part") > 0).groupBy(key).agg(F.max("part").alias("last"))
+    n = found.limit(BROADCAST_ROWS + 1).count()
+    return (F.broadcast(found) if n <= BROADCAST_ROWS else found), n
+
+
 def mark_last_part(parts: DataFrame, key: str = "conv_id") -> DataFrame:
     """Adds ``closes``: whether the part is the last of its conversation."""
-    last = parts.groupBy(key).agg(F.max("part").alias("_last"))
-    return (
-        parts.join(last, key)
-        .withColumn("closes", F.col("part") == F.col("_last"))
-        .drop("_last")
-    )
+    found, n = long_conversations(parts, key)
+    if n == 0:
+        return parts.withColumn("closes", F.lit(True))
+    last = F.coalesce("last", F.lit(0))
+    return parts.join(found, key, "left").withColumn("closes", F.col("part") == last).drop("last")
 
 
 def truncate_parts(

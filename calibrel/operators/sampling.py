@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from calibrel.session import checkpointed
+
 SEED = 42
 # Up to this many rows the n smallest keys are merged in one task; beyond it by cutting.
 SORT_ROWS = 100_000
@@ -65,27 +67,37 @@ def sample_n(
     return rest if taken is None else taken.unionByName(rest)
 
 
+def sample_keys(df: DataFrame, key: str, n: int, seed: int, on_short: str) -> DataFrame:
+    """The sampled keys only, drawn once however often the sample is read afterwards."""
+    if on_short not in ("error", "truncate"):
+        raise ValueError(f"unknown on_short {on_short!r}")
+    keys = checkpointed(sample_n(df, key, n, seed, "truncate").select(key))
+    if on_short == "error":
+        found = keys.count()
+        if found < n:
+            raise ValueError(f"{n} rows asked for, {found} found")
+    return keys
+
+
 def fetch_sampled(df: DataFrame, keys: DataFrame, key: str, n: int) -> DataFrame:
     """The rows of ``df`` whose key was sampled; ``keys`` has at most n rows."""
-    narrow = keys.select(key)
     if n <= BROADCAST_ROWS:
-        narrow = F.broadcast(narrow)
-    return df.join(narrow, key, "left_semi")
+        keys = F.broadcast(keys)
+    return df.join(keys, key, "left_semi")
 
 
 def sample_rows(
     df: DataFrame, key: str, n: int, seed: int = SEED, on_short: str = "error"
 ) -> DataFrame:
     """Samples n keys from the narrow key column, then reads the wide rows of those only."""
-    keys = sample_n(df.select(key), key, n, seed, on_short)
-    return fetch_sampled(df, keys, key, n)
+    return fetch_sampled(df, sample_keys(df.select(key), key, n, seed, on_short), key, n)
 
 
 def sample_conversations(
     turns: DataFrame, n: int, seed: int = SEED, on_short: str = "error", key: str = "conv_id"
 ) -> DataFrame:
     """All turn rows of n sampled conversations of a flat table."""
-    keys = sample_n(turns.select(key).distinct(), key, n, seed, on_short)
+    keys = sample_keys(turns.select(key).distinct(), key, n, seed, on_short)
     return fetch_sampled(turns, keys, key, n)
 
 

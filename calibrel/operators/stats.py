@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+CELLS_PER_BATCH = 1 << 16
+
 
 def channel_stats(df: DataFrame, vec: str) -> DataFrame:
     """``(pos, abs_max, mean, mean_sq, n)``, one row per dimension.
@@ -58,7 +60,8 @@ def second_moment(df: DataFrame, vec: str, damp: float = 0.01) -> DataFrame:
     """``(i, j, h)`` of ``H = X'X / n`` with ``damp * mean(diag H)`` added on the diagonal.
 
     Each task multiplies its Arrow batches and sends one upper triangle; the sums over
-    tasks are combined by cell.
+    tasks are combined by cell. What is shuffled grows with the number of tasks, not of
+    rows: for vectors of thousands of dimensions raise ``spark.sql.files.maxPartitionBytes``.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,15 +81,17 @@ def second_moment(df: DataFrame, vec: str, damp: float = 0.01) -> DataFrame:
             return
         i, j = np.triu_indices(total.shape[0])
         trace = float(np.trace(total)) / total.shape[0]
-        yield pa.RecordBatch.from_pydict(
-            {
-                "i": pa.array(i, pa.int32()),
-                "j": pa.array(j, pa.int32()),
-                "s": pa.array(total[i, j]),
-                "n": pa.array(np.full(i.size, n), pa.int64()),
-                "d": pa.array(np.full(i.size, trace)),
-            }
-        )
+        for start in range(0, i.size, CELLS_PER_BATCH):
+            rows, columns = i[start : start + CELLS_PER_BATCH], j[start : start + CELLS_PER_BATCH]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "i": pa.array(rows, pa.int32()),
+                    "j": pa.array(columns, pa.int32()),
+                    "s": pa.array(total[rows, columns]),
+                    "n": pa.array(np.full(rows.size, n), pa.int64()),
+                    "d": pa.array(np.full(rows.size, trace)),
+                }
+            )
 
     cells = (
         df.select(vec)

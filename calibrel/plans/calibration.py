@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from calibrel.functions.chat import CHATML, ROLE_HEADERS, Layout, convert, dropped_turns, render
 from calibrel.functions.tokens import attention_mask, tokenize, truncate
 from calibrel.operators.accounting import classify, merge_parts, merged_facts
-from calibrel.operators.assemble import assemble, truncate_parts
+from calibrel.operators.assemble import assemble, long_conversations, truncate_parts
 from calibrel.operators.filters import settle
-from calibrel.operators.sampling import BROADCAST_ROWS, SEED, sample_conversations, sample_rows
+from calibrel.operators.sampling import SEED, sample_conversations, sample_rows
 from calibrel.operators.vocabulary import encode
 
 
@@ -133,17 +133,13 @@ def split_by_length(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame | N
     """Rows that hold a whole conversation, and the parts of the longer ones if there are any.
 
     A whole conversation is judged and cut on its own row; only the long ones need their
-    parts counted together. Their keys are found from the narrow columns and broadcast if
-    they are few.
+    parts counted together.
     """
     if "part" not in rows.columns:
         return rows, None
-    keys = rows.filter(F.col("part") > 0).select(key).distinct()
-    found = keys.limit(BROADCAST_ROWS + 1).count()
-    if found == 0:
+    keys, n = long_conversations(rows, key)
+    if n == 0:
         return rows, None
-    if found <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
     return rows.join(keys, key, "left_anti"), rows.join(keys, key, "left_semi")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
 
@@ -29,18 +29,30 @@ def build_session(cpus: int | str = "*", app: str = "calibrel", **conf: str) ->
     return spark
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new folder name below the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder ``spark.checkpoint.dir`` names, which all executors must see.
 
-    On a cluster ``spark.checkpoint.dir`` must name storage all executors see; only a
-    ``local`` master falls back to a temporary folder of the one machine there is.
+    Only a ``local`` master falls back to a temporary folder of the one machine there is.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        application = spark.sparkContext.applicationId
-        if application not in _local_roots:
-            _local_roots[application] = tempfile.mkdtemp(prefix="run-")
-        root = _local_roots[application]
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    application = spark.sparkContext.applicationId
+    if application not in _local_roots:
+        _local_roots[application] = tempfile.mkdtemp(prefix="run-")
+    return _local_roots[application]
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder name below the shared folder."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, computed once and kept in the shared folder."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint(eager=True)

@@ -15,7 +15,7 @@ CLASS_WIDTH = 16
 
 
 def write_text(
-    df: DataFrame, path: str, order_by: tuple[str, ...] = (), single_file: bool = False
+    df: DataFrame, path: str, order_by: tuple[Column | str, ...] = (), single_file: bool = False
 ) -> None:
     """Each text followed by a newline, UTF-8. A text may hold newlines itself.
 

@@ -116,8 +116,8 @@ def test_only_sampled_rows_are_rendered(turns):
     plan = calibration_texts(rows, CHAT)._jdf.queryExecution().executedPlan().toString()
     lines = plan.splitlines()
     render = next(i for i, line in enumerate(lines) if "im_start" in line)
-    sample = next(i for i, line in enumerate(lines) if "TakeOrderedAndProject" in line)
-    assert render < sample and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    fetch = next(i for i, line in enumerate(lines) if "LeftSemi" in line)
+    assert render < fetch and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 def test_row_functions_work_on_a_stream(spark, turns, tmp_path):
