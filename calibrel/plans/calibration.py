@@ -86,6 +86,16 @@ def with_text(
     return rows.withColumn("chat", convert(F.col(column), options.mode)).withColumn("text", text)
 
 
+def with_tokens(
+    rows: DataFrame, options: Calibration, column: str = "conversations", **_
+) -> DataFrame:
+    """Adds ``tokens`` of the whole text to what ``with_text`` adds."""
+    tokens = tokenize(F.col("text"), options.extra_bos)
+    if options.extra_bos is not None and "part" in rows.columns:
+        tokens = F.when(F.col("part") == 0, tokens).otherwise(tokenize(F.col("text")))
+    return with_text(rows, options, column).withColumn("tokens", tokens)
+
+
 def with_facts(
     rows: DataFrame,
     options: Calibration,
@@ -97,16 +107,9 @@ def with_facts(
     ``raw`` is the unparsed column, where there is one: null means missing, while null
     after parsing means failed.
     """
-    bos = options.extra_bos
-    if bos is not None and "part" in rows.columns:
-        first = F.when(F.col("part") == 0, F.array(F.lit(bos))).otherwise(F.array().cast("array<string>"))
-        tokens = F.concat(first, tokenize(F.col("text")))
-    else:
-        tokens = tokenize(F.col("text"), bos)
     digest = F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("bigint")
-    worked_out = with_text(rows, options, column).withColumn("tokens", tokens)
     # filters on the facts must not render and tokenize once more
-    return settle(worked_out, "chat", "text", "tokens").select(
+    return settle(with_tokens(rows, options, column), "chat", "text", "tokens").select(
         "*",
         F.col(raw or column).isNull().alias("missing"),
         F.col("text").isNull().alias("failed"),
@@ -144,35 +147,29 @@ def split_by_length(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame | N
 
 
 def _accepted_whole(rows: DataFrame, options: Calibration, **read) -> DataFrame:
-    facts = with_facts(rows, options, **read)
     if not options.filters:
-        return facts
-    return _classified(facts, options).filter(F.col("reason") == "ok").drop("reason")
-
-
-def _accepted_parts(rows: DataFrame, options: Calibration, key: str, **read) -> DataFrame:
+        return with_tokens(rows, options, **read)
     facts = with_facts(rows, options, **read)
-    if not options.filters:
-        return facts
-    passed = _classified(merge_parts(facts, key), options).filter(F.col("reason") == "ok")
-    return facts.join(passed.select(key), key, "left_semi")
+    return _classified(facts, options).filter(F.col("reason") == "ok")
 
 
 def accepted(rows: DataFrame, options: Calibration, key: str = "conv_id", **read) -> DataFrame:
-    """Rows with ``text`` and ``tokens`` of the conversations that pass all filters."""
+    """``(key, [part,] text, tokens)`` of the conversations that pass all filters."""
+    columns = [*[c for c in (key, "part") if c in rows.columns], "text", "tokens"]
     if not options.filters:
-        return with_facts(rows, options, **read)
+        return with_tokens(rows, options, **read).select(columns)
     whole, parts = split_by_length(rows, key)
-    kept = _accepted_whole(whole, options, **read)
+    kept = _accepted_whole(whole, options, **read).select(columns)
     if parts is None:
         return kept
-    return kept.unionByName(_accepted_parts(parts, options, key, **read))
+    facts = with_facts(parts, options, **read)
+    passed = _classified(merge_parts(facts, key), options).filter(F.col("reason") == "ok")
+    return kept.unionByName(facts.join(passed.select(key), key, "left_semi").select(columns))
 
 
 def calibration_texts(rows: DataFrame, options: Calibration, key: str = "conv_id", **read) -> DataFrame:
     """``(key, [part,] text)``: whole texts, uncut even where the length test cuts."""
-    part = [c for c in ("part",) if c in rows.columns]
-    return accepted(rows, options, key, **read).select(key, *part, "text")
+    return accepted(rows, options, key, **read).drop("tokens")
 
 
 def _cut(
@@ -185,10 +182,13 @@ def _cut(
     )
     if parts is None:
         return cut
-    facts = with_facts(parts, options, **read).withColumn(name, ids)
-    merged = truncate_parts(facts, name, options.max_length, key, merged_facts())
     if options.filters:
+        facts = with_facts(parts, options, **read).withColumn(name, ids)
+        merged = truncate_parts(facts, name, options.max_length, key, merged_facts())
         merged = _classified(merged, options).filter(F.col("reason") == "ok")
+    else:
+        every = with_tokens(parts, options, **read).select(key, "part", ids.alias(name))
+        merged = truncate_parts(every, name, options.max_length, key)
     return cut.unionByName(merged.select(key, name))
 
 
@@ -196,8 +196,7 @@ def calibration_tokens(rows: DataFrame, options: Calibration, key: str = "conv_i
     """``(key, tokens)`` cut to ``max_length`` per conversation; uncut rows without one."""
     if options.max_length is not None:
         return _cut(rows, options, key, "tokens", F.col("tokens"), **read)
-    part = [c for c in ("part",) if c in rows.columns]
-    return accepted(rows, options, key, **read).select(key, *part, "tokens")
+    return accepted(rows, options, key, **read).drop("text")
 
 
 def calibration_ids(
