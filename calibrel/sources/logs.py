@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Log names, and the fields of a record.
-RUN_NAME = r"_log_([^/]+_time_\d{2}_\d{2}_\d{4}_\d{2}h_\d{2}m_\d{2}s)\.log"
-RUN_TIME_LENGTH = 22
+RUN_NAME = r"(?<=_log_)[^/]+(?=_time_\d{2}_\d{2}_\d{4}_\d{2}h_\d{2}m_\d{2}s\.log)"
+RUN_STAMP = r"(?<=_time_)\d{2}_\d{2}_\d{4}_\d{2}h_\d{2}m_\d{2}s(?=\.log)"
 RUN_TIME = "MM_dd_yyyy_HH'h'_mm'm'_ss's'"
-STAGE_NAME = r"(\d{2}-\d{2}-\d{4}_\d{2}\.\d{2}\.\d{2})\.log"
+STAGE_STAMP = r"\d{2}-\d{2}-\d{4}_\d{2}\.\d{2}\.\d{2}(?=\.log)"
 STAGE_TIME = "dd-MM-yyyy_HH.mm.ss"
 STAGE_LINE = r"^\s*manager stage:\s*(.*?)\s*$"
 RECORD = (
@@ -20,30 +20,33 @@ RECORD = (
 
 def _from_path(pattern: str) -> Column:
     """A piece of the log's name, which is its file or a folder of part files."""
-    return F.nullif(F.regexp_extract("_metadata.file_path", pattern, 1), F.lit(""))
+    return F.regexp_substr("_metadata.file_path", F.lit(pattern))
 
 
 def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
     """Records of run logs: JSON objects over several lines, one after the other.
 
-    Cutting the text at closing braces keeps large files splittable. A record that cannot be
-    parsed is kept in ``bad_record``, a number that cannot be read is null.
+    Cutting the text at closing braces keeps large files splittable, and a filter on ``run``
+    or ``started`` skips the files of other runs. A record that cannot be parsed is kept in
+    ``bad_record``, a number that cannot be read is null.
     """
-    name, length = F.col("name"), F.length("name")
-    separator = len("_time_")
     parsed = (
         spark.read.option("lineSep", "}\n")
         .option("recursiveFileLookup", "true")
         .text(path)
-        .select(F.rtrim("value", F.lit(" \t\r\n}")).alias("body"), _from_path(RUN_NAME).alias("name"))
+        .select(
+            F.rtrim("value", F.lit(" \t\r\n}")).alias("body"),
+            _from_path(RUN_NAME).alias("run"),
+            F.to_timestamp_ntz(_from_path(RUN_STAMP), F.lit(RUN_TIME)).alias("started"),
+        )
         .filter(F.col("body") != "")
         .withColumn("record_text", F.concat("body", F.lit("}")))
         .withColumn("record", F.from_json("record_text", RECORD))
     )
     record = F.col("record")
     return parsed.select(
-        F.substring(name, F.lit(1), length - RUN_TIME_LENGTH - separator).alias("run"),
-        F.to_timestamp_ntz(F.right(name, F.lit(RUN_TIME_LENGTH)), F.lit(RUN_TIME)).alias("started"),
+        "run",
+        "started",
         record["process"].alias("process"),
         record["layer"].alias("layer"),
         record["module"].alias("module"),
@@ -62,7 +65,7 @@ def read_stage_logs(spark: SparkSession, path: str) -> DataFrame:
         spark.read.option("recursiveFileLookup", "true")
         .text(path)
         .select(
-            F.to_timestamp_ntz(_from_path(STAGE_NAME), F.lit(STAGE_TIME)).alias("started"),
+            F.to_timestamp_ntz(_from_path(STAGE_STAMP), F.lit(STAGE_TIME)).alias("started"),
             F.nullif(F.regexp_extract("value", STAGE_LINE, 1), F.lit("")).alias("stage"),
         )
         .filter(F.col("stage").isNotNull())

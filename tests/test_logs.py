@@ -84,6 +84,13 @@ def test_runs_that_stop_at_different_layers(spark, folder):
     assert all(r["loss_change"] is None for r in compared if r["right_loss"] is None)
 
 
+def test_other_runs_are_not_read(spark, folder):
+    logs = read_run_logs(spark, str(folder))
+    assert logs.rdd.getNumPartitions() == 2
+    assert logs.filter("run = 'owl'").rdd.getNumPartitions() == 1
+    assert logs.filter("started < timestamp_ntz'2025-05-08 00:00:00'").rdd.getNumPartitions() == 1
+
+
 def test_stage_logs_have_day_first_names(spark, tmp_path):
     write(tmp_path, "11-06-2025_10.55.22.log", "manager stage: Modifiers initialized\n\nother\n")
     write(tmp_path, "28-05-2025_10.36.41.log", "manager stage: Modifiers finalized\n" * 2)
