@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 # Fixed value: special tokens, runs of letters and digits, single other characters.
 TOKEN_PATTERN = r"<\|[a-z_]+\|>|[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
@@ -46,18 +46,20 @@ def lookup_tokenizer(
     shared = spark.sparkContext.broadcast(definition)
     loaded: dict[str, object] = {}
 
-    @pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
+    @arrow_udf("array<int>")
+    def encode(texts: pa.Array) -> pa.Array:
         from tokenizers import Tokenizer
 
         if "it" not in loaded:
             loaded["it"] = Tokenizer.from_str(shared.value)
-        present = texts.notna()
-        ids = pd.Series([None] * len(texts), index=texts.index, dtype=object)
-        batch = loaded["it"].encode_batch(
-            texts[present].tolist(), add_special_tokens=add_special_tokens
+        found = iter(
+            loaded["it"].encode_batch(
+                texts.drop_null().to_pylist(), add_special_tokens=add_special_tokens
+            )
+        )
+        return pa.array(
+            [next(found).ids if t else None for t in texts.is_valid().to_pylist()],
+            pa.list_(pa.int32()),
         )
-        ids[present] = pd.Series([e.ids for e in batch], index=texts.index[present], dtype=object)
-        return ids
 
     return encode

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibrel.operators.quantize import _groups
+from calibrel.operators.quantize import split_groups
 from calibrel.operators.stats import with_channels
 
 
@@ -39,8 +39,8 @@ def recon_error(
         return measured.select(*([key] if key else []), mse.alias("mse"))
     if by == "group":
         pairs = F.zip_with(
-            _groups(F.col("_errors"), group_size),
-            _groups(F.col("_shares"), group_size),
+            split_groups(F.col("_errors"), group_size),
+            split_groups(F.col("_shares"), group_size),
             lambda e, w: F.struct(_total(e).alias("e"), _total(w).alias("w")),
         )
         return (

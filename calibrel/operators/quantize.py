@@ -28,7 +28,7 @@ def _divisors(scales: Column | str) -> Column:
     return F.transform(scales, lambda s: F.when(s == 0, F.lit(1.0)).otherwise(s))
 
 
-def _groups(values: Column, group_size: int | None) -> Column:
+def split_groups(values: Column, group_size: int | None) -> Column:
     """Consecutive slices of ``group_size``; the last one may be short."""
     if group_size is None:
         return F.array(values)
@@ -105,7 +105,7 @@ def quantize_int(
             "_x", _gather("_x", "_order")
         )
     wide = (
-        wide.withColumn("_groups", _groups(F.col("_x"), group_size))
+        wide.withColumn("_groups", split_groups(F.col("_x"), group_size))
         .withColumn("scales", F.transform("_groups", lambda g: _abs_max(g) / qmax))
         .withColumn(
             "codes",
@@ -151,7 +151,7 @@ def dequantize(
     else:
         decoded = F.flatten(
             F.zip_with(
-                _groups(codes, group_size), "scales", lambda g, s: F.transform(g, lambda c: c * s)
+                split_groups(codes, group_size), "scales", lambda g, s: F.transform(g, lambda c: c * s)
             )
         )
     return df.withColumn(name, decoded).drop("_channels")
