@@ -28,7 +28,7 @@ from calibrel.functions import (
     render,
     tokenize,
 )
-from calibrel.functions.chat import STRIP
+from calibrel.functions.chat import WHITESPACE
 from calibrel.functions.tokens import TOKEN_PATTERN
 from calibrel.operators.accounting import account, any_in, frequency
 from calibrel.operators.assemble import assemble, mark_last_part
@@ -173,7 +173,8 @@ def fragment_sql(layout: Layout, role: str, content: str) -> str:
         return "'" + text.replace("\n", "' || chr(10) || '") + "'"
 
     if layout.strip_content:
-        content = f"regexp_replace({content}, '{STRIP}', '', 'g')"
+        space = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + "]"
+        content = f"regexp_replace({content}, '^{space}+|{space}+\\z', '', 'g')"
     return (
         f"{quoted(layout.before_role)} || {role} || {quoted(layout.after_role)} || {content}"
         f" || {quoted(layout.after_content)}"
@@ -1020,6 +1021,22 @@ def _(spark, sf_dir):
     return fp8_rows(quantize_fp8(embeddings(spark, sf_dir), "embedding", "channel"))
 
 
+@query(
+    "recon_error_fp8",
+    f"""
+WITH {VALUES_SQL},
+scaled AS (
+  SELECT x, abs_max / 448.0 AS scale, x / (abs_max / 448.0) AS y FROM vals JOIN stats USING (pos)),
+coded AS (SELECT x, scale, {fp8_sql("y")} AS code FROM scaled)
+SELECT round(avg((x - code * scale) * (x - code * scale)) * 1000000, 6) AS mse FROM coded""",
+)
+def _(spark, sf_dir):
+    vectors = embeddings(spark, sf_dir)
+    stats = channel_stats(vectors, "embedding")
+    coded = quantize_fp8(vectors, "embedding", "channel", stats)
+    return micro(recon_error(dequantize(coded, scales=channel_scales(stats, FP8_MAX)), "embedding"))
+
+
 @query(
     "dequantize",
     f"""

@@ -18,12 +18,12 @@ LENIENT_ROLES = {
     "assistant": "assistant",
 }
 
-# The characters Python's str.strip() removes, as a regex class.
+# The characters Python's str.strip() removes.
 WHITESPACE = (
-    r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
-STRIP = rf"^{WHITESPACE}+|{WHITESPACE}+\z"
 
 MIXED_TURNS = "array<struct<from:string,value:string,role:string,content:string>>"
 
@@ -139,7 +139,7 @@ def render(
     """
 
     def turn_text(t: Column) -> Column:
-        content = F.regexp_replace(t["content"], STRIP, "") if layout.strip_content else t["content"]
+        content = F.btrim(t["content"], F.lit(WHITESPACE)) if layout.strip_content else t["content"]
         return F.concat(
             F.lit(layout.before_role),
             t["role"],
