@@ -1359,6 +1359,20 @@ def _(spark, sf_dir):
 
 # --- contract ------------------------------------------------------------------------------------
 
+try:
+    from calibrel.llm import queries as _llm
+except ModuleNotFoundError as missing:
+    if not (missing.name or "").startswith("calibrel.llm"):
+        raise
+    _llm = None
+
+try:
+    import corpus_pipeline as _pipeline
+except ModuleNotFoundError as missing:
+    if missing.name != "corpus_pipeline" and not (missing.name or "").startswith("calibrel.llm"):
+        raise
+    _pipeline = None
+
 
 def entry(spark: SparkSession) -> DataFrame:
     """The flagship query on the smallest tables."""
@@ -1366,8 +1380,12 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    own = {**(_llm.QUERIES if _llm else {}), **({"pipeline": _pipeline.run} if _pipeline else {})}
+    return {**_QUERIES, **own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    own = dict(_llm.SQL) if _llm else {}
+    if _pipeline and _pipeline.ORACLE_SQL:
+        own["pipeline"] = _pipeline.ORACLE_SQL
+    return {**_SQL, **own}
