@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibrel.llm import exact, pii, urls
+from calibrel.llm import exact, license, pii, secrets, simhash, urls
 
 QUERIES = {}
 SQL = {}
@@ -36,6 +36,11 @@ def count_of(spans: Column, kind: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+@query("op1_simhash_dedup")
+def _(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op2_exact_dedup",
     r"""
@@ -53,6 +58,36 @@ def _(spark, sf_dir):
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+_CANONICAL_SQL = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}),
+  '(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*$', ' ', 'g'), 'licen[cs]e', 'license', 'g'),
+  'https?://(www\.)?', '', 'g'), '\bv(er(sion)?)?\.? ?([0-9])', 'version \3', 'g'), '[^a-z0-9]+', ' ', 'g'))"""
+
+
+def _license_sql() -> str:
+    values = ", ".join(
+        "('{}', '{}')".format(name, text.replace("'", "''")) for name, text in license.KNOWN_LICENSES
+    )
+    return f"""
+WITH known AS (
+  SELECT DISTINCT license, sha256({_CANONICAL_SQL.format("text")}) AS digest FROM (VALUES {values}) AS v(license, text)),
+docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+units AS (
+  SELECT doc_id, 'text' AS unit, text AS part FROM docs
+  UNION ALL SELECT doc_id, 'paragraph', unnest(regexp_split_to_array(text, '\n[\x20\t\r]*\n')) FROM docs
+  UNION ALL SELECT doc_id, 'line', unnest(regexp_split_to_array(text, '\r?\n')) FROM docs),
+digests AS (
+  SELECT doc_id, unit, sha256(form) AS digest
+  FROM (SELECT doc_id, unit, {_CANONICAL_SQL.format("part")} AS form FROM units) WHERE form <> '')
+SELECT doc_id, license, bool_or(unit = 'text') AS whole_text,
+       count(*) FILTER (unit = 'paragraph') AS n_paragraphs, count(*) FILTER (unit = 'line') AS n_lines
+FROM digests JOIN known USING (digest) GROUP BY 1, 2"""
+
+
+@query("op5_license_scan", _license_sql())
+def _(spark, sf_dir):
+    return license.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 @query("op6_personal_data")
 def _(spark, sf_dir):
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
@@ -66,6 +101,19 @@ def _(spark, sf_dir):
     )
 
 
+@query("op9_secret_scan")
+def _(spark, sf_dir):
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.col("base")
+    return found.select(
+        "doc_id",
+        *(count_of(base, k).alias(f"n_{kind}") for k, kind in enumerate(secrets.KINDS[:3])),
+        F.sha2(spans_text(base, secrets.KINDS), 256).alias("base_sha256"),
+        spans_text(F.col("spans"), secrets.KINDS).alias("spans"),
+        F.size("discovered").cast("long").alias("n_discovered"),
+    )
+
+
 URL_RULES = (
     urls.Rule("net", "/", "block"),
     urls.Rule("example.net", "/en/", "allow"),

@@ -1,0 +1,5 @@
+import os
+import sys
+
+here = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [here, os.path.dirname(here)]
