@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibrel.llm import exact, license, pii, secrets, simhash, urls
+from calibrel.llm import bpe, decontaminate, exact, license, pii, quality, secrets, simhash, suffix, urls
 
 QUERIES = {}
 SQL = {}
@@ -58,6 +58,33 @@ def _(spark, sf_dir):
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def multi_tokenizer() -> tuple[str, str]:
+    """Vocabulary file and pattern of the tokenizer that the queries encode with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query("op3_byte_bpe")
+def _(spark, sf_dir):
+    path, pattern = multi_tokenizer()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.decode(bpe.encode(docs, path, pattern).select("doc_id", "ids"), path)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op4_quality")
+def _(spark, sf_dir):
+    judged = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    rounded = (F.round(c, 6).alias(c) for c in ("evidence", "prior", "quality"))
+    return judged.select("doc_id", *rounded, "kept")
+
+
 _CANONICAL_SQL = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}),
   '(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*$', ' ', 'g'), 'licen[cs]e', 'license', 'g'),
   'https?://(www\.)?', '', 'g'), '\bv(er(sion)?)?\.? ?([0-9])', 'version \3', 'g'), '[^a-z0-9]+', ' ', 'g'))"""
@@ -101,6 +128,12 @@ def _(spark, sf_dir):
     )
 
 
+@query("op8_decontaminate")
+def _(spark, sf_dir):
+    leaks = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.drop("text_key")
+
+
 @query("op9_secret_scan")
 def _(spark, sf_dir):
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
@@ -145,3 +178,16 @@ FROM ruled""",
 )
 def _(spark, sf_dir):
     return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op10_suffix_dedup")
+def _(spark, sf_dir):
+    cut = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    lengths = F.transform("removed", lambda r: r["end"] - r["start"])
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate(lengths, F.lit(0).cast("long"), lambda a, b: a + b).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
