@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,24 @@ def texts(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     )
 
 
+def text_key(text: str) -> int:
+    """What Spark's ``xxhash64`` gives for a text; tells rows with one id apart."""
+    value = xxhash.xxh64_intdigest(text, 42)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def without(df: DataFrame, keys: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``df`` whose id and text are not among ``keys`` (``doc_id, text_key``).
+
+    Null ids match null ids. The texts are only shuffled where the keys are too many to broadcast.
+    """
+    keys = written(keys.select("doc_id", "text_key").distinct(), "keys")
+    same = df[id_column].eqNullSafe(keys["doc_id"]) & (
+        F.xxhash64(F.coalesce(df[text_column], F.lit(""))) == keys["text_key"]
+    )
+    return df.join(if_small(keys, keys.count() * 32), same, "left_anti")
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The rows as a table in the shared folder, which outlives executors and is read again."""
     path = scratch_path(df.sparkSession, label)

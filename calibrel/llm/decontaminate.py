@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibrel.llm.batches import if_small, texts, written
+from calibrel.llm.batches import if_small, text_key, texts, written
 
 WINDOW = 8
 LEAST_WORDS = 4
@@ -155,7 +155,7 @@ def _text_windows(lengths: list[int], bitmap: bytes):
                 inside = hits + length <= firsts[of + 1]
                 for at, d in zip(hits[inside].tolist(), of[inside].tolist()):
                     if d not in text_keys:
-                        text_keys[d] = xxhash.xxh64_intdigest(content[d]) - (1 << 63)
+                        text_keys[d] = text_key(content[d])
                     value = int(hashes[at : at + 1].view(np.int64)[0])
                     slots = _slots(words, numbers, kinds, at, length)
                     rows.append((ids[d], text_keys[d], at - int(firsts[d]), length, value, slots))

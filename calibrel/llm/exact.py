@@ -23,13 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibrel.llm.batches import texts, written
+from calibrel.llm.batches import text_key, texts, written
 
 WHITESPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 TRIE_BYTES = 48 << 20
 
 _ENTRIES = (
-    "doc_id long, entry string, text_sha256 string, length long, hash long, n_points long, "
+    "doc_id long, entry string, text_sha256 string, text_key long, length long, hash long, n_points long, "
     "owner_id long, owner_points long, copies long, body binary"
 )
 
@@ -120,7 +120,7 @@ def _first_tries(trie_bytes: int):
         def rows_of(terminals):
             rows = []
             for body, (entry, digest, owner, points, copies) in terminals:
-                rows.append((None, entry, digest, len(body), _hash(body), None, owner, points, copies, body))
+                rows.append((None, entry, digest, None, len(body), _hash(body), None, owner, points, copies, body))
                 if sum(map(len, (r[-1] for r in rows[-64:]))) > 4 << 20 or len(rows) >= 2048:
                     yield _batch(rows)
                     rows = []
@@ -141,7 +141,7 @@ def _first_tries(trie_bytes: int):
                 held[4] += 1
                 if better(len(text), doc_id, held[3], held[2]):
                     held[2], held[3] = doc_id, len(text)
-                members.append((doc_id, held[0], held[1], None, None, len(text), None, None, None, None))
+                members.append((doc_id, held[0], held[1], text_key(text), None, None, len(text), None, None, None, None))
                 while trie.held > trie_bytes:
                     yield from rows_of(trie.give_up_largest())
             yield _batch(members)
@@ -163,7 +163,7 @@ def _hash(body: bytes) -> int:
 _ENTRY_SCHEMA = pa.schema(
     [
         ("doc_id", pa.int64()), ("entry", pa.string()), ("text_sha256", pa.string()),
-        ("length", pa.int64()), ("hash", pa.int64()), ("n_points", pa.int64()),
+        ("text_key", pa.int64()), ("length", pa.int64()), ("hash", pa.int64()), ("n_points", pa.int64()),
         ("owner_id", pa.int64()), ("owner_points", pa.int64()), ("copies", pa.int64()),
         ("body", pa.binary()),
     ]
@@ -211,13 +211,13 @@ def _last_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def exact_duplicates(
     df: DataFrame, id_column: str = "doc_id", text_column: str = "text", trie_bytes: int = TRIE_BYTES
 ) -> DataFrame:
-    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
+    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256, text_key``.
 
     Of equal texts the one with most code points before normalising stays, then the smallest id;
     ``keep_id`` is its id. Null texts count as empty and all empty ones are equal. A null id never
     wins over another; where all ids of a text are null, ``keep_id`` is null and no row is kept by
     id. Of repeated rows (equal id and text) each counts in ``group_size`` and each is marked kept
-    if its id is. Columns other than id and text are left behind. ``trie_bytes`` bounds a trie.
+    if its id is. ``text_key`` is a hash of the whole text. Other columns are left behind. ``trie_bytes`` bounds a trie.
     """
     found = written(
         texts(df, id_column, text_column)
@@ -232,8 +232,13 @@ def exact_duplicates(
         .sortWithinPartitions("length", "hash")
         .mapInArrow(_last_tries, "entry string, keep_id long, keep_points long, group_size long")
     )
-    members = found.where(F.col("body").isNull()).select("doc_id", "entry", "text_sha256", "n_points")
+    members = found.where(F.col("body").isNull()).select("doc_id", "entry", "text_sha256", "text_key", "n_points")
     kept = (F.col("doc_id") == F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))
     return members.join(owners, "entry").select(
-        "doc_id", "keep_id", "group_size", F.coalesce(kept, F.lit(False)).alias("kept"), "text_sha256"
+        "doc_id",
+        "keep_id",
+        "group_size",
+        F.coalesce(kept, F.lit(False)).alias("kept"),
+        "text_sha256",
+        "text_key",
     )

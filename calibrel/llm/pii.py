@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibrel.llm.batches import texts, written
+from calibrel.llm.batches import text_key, texts, written
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = 128
@@ -148,7 +148,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 word = m[0].rstrip(".,;:!?)\"'")
                 if kinds := shaped_like(word):
                     found.append(_mention(text, m.start(), m.start() + len(word), kinds, False))
-            keys.append(xxhash.xxh64_intdigest(text) - (1 << 63))
+            keys.append(text_key(text))
             spans.append([{"start": s, "kind": k, "end": e} for s, k, e in base])
             mentions.append(found)
         yield pa.RecordBatch.from_arrays(

@@ -38,7 +38,7 @@ def count_of(spans: Column, kind: int) -> Column:
 
 @query("op1_simhash_dedup")
 def _(spark, sf_dir):
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 @query(
@@ -55,7 +55,7 @@ ranked AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM ranked""",
 )
 def _(spark, sf_dir):
-    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+    return exact.exact_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def multi_tokenizer() -> tuple[str, str]:

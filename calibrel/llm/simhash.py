@@ -18,8 +18,9 @@ links as it has fingerprints, and no two of them are lost to each other.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import combinations, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibrel.llm.batches import texts, written
+from calibrel.llm.batches import text_key, texts, written
 from calibrel.llm.graph import components
 
 BITS = 64
@@ -39,6 +40,7 @@ HEAVY = 64
 VARIANTS_HELD = 1 << 22
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+_PUNCTUATION = b".,;:!?\"'()[]"
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _BYTE_OFFSETS = np.arange(8, dtype=np.uint16) * 256
@@ -66,6 +68,22 @@ def shingle_hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
         yield np.array([xxhash.xxh64_intdigest(b" ".join(held), SEED)], np.uint64)
 
 
+def root_fingerprint(text: bytes) -> int:
+    """64 bits of the words without the punctuation around them, each weighing the root of its count.
+
+    The root keeps the commonest words from deciding alone, as they do in all texts of a language.
+    """
+    counts = Counter(w.strip(_PUNCTUATION) for w in text.translate(_LOWER).split())
+    ones, total, pairs = np.zeros(64), 0.0, iter(counts.items())
+    while some := list(islice(pairs, 1 << 16)):
+        hashes = np.array([xxhash.xxh64_intdigest(word, SEED) for word, _ in some], np.uint64)
+        weights = np.sqrt(np.array([n for _, n in some], np.float64))
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += weights @ bits
+        total += weights.sum()
+    return int(np.packbits(ones * 2 > total, bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: bytes, words: int) -> int:
     """64 bits, each set if set in over half the shingle hashes; zero without words."""
     ones, n = np.zeros((8, 256), np.int64), 0
@@ -77,12 +95,15 @@ def fingerprint(text: bytes, words: int) -> int:
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
-def _fingerprints(words: int):
+def _fingerprints(words: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = [fingerprint(t.encode(), words) for t in batch["text"].to_pylist()]
+            content = batch["text"].to_pylist()
+            marks = [fingerprint(t.encode(), words) if words else root_fingerprint(t.encode()) for t in content]
+            keys = [text_key(t) for t in content]
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(marks, pa.int64())], names=["doc_id", "fingerprint"]
+                [batch["doc_id"], pa.array(keys, pa.int64()), pa.array(marks, pa.int64())],
+                names=["doc_id", "text_key", "fingerprint"],
             )
 
     return run
@@ -248,21 +269,22 @@ def near_duplicates(
     df: DataFrame,
     id_column: str = "doc_id",
     text_column: str = "text",
-    words: int = 3,
+    words: int | None = 3,
     radius: int = RADIUS,
 ) -> DataFrame:
-    """One row per input row: ``doc_id, fingerprint, component_id``.
+    """One row per input row: ``doc_id, text_key, fingerprint, component_id``.
 
     The fingerprint is written as 16 hexadecimal digits; rows whose fingerprints differ in at most
     ``radius`` bits are linked, and ``component_id`` is the smallest id reachable over links. Texts
-    of fewer than ``words`` words have the whole sequence as one shingle; null and empty ones have
+    of fewer than ``words`` words have the whole sequence as one shingle; without ``words`` the
+    fingerprint is of single words, weighted by the root of their counts. Null and empty ones have
     fingerprint zero and are linked like any other. Null ids never name a component unless all its
-    ids are null; repeated rows are kept. Columns other than id and text are left behind.
+    ids are null; repeated rows are kept. ``text_key`` is a hash of the text; other columns are left.
     """
     marked = written(
         texts(df, id_column, text_column)
         .withColumn("doc_id", F.col("doc_id").cast("long"))
-        .mapInArrow(_fingerprints(words), "doc_id long, fingerprint long"),
+        .mapInArrow(_fingerprints(words), "doc_id long, text_key long, fingerprint long"),
         "fingerprints",
     )
     firsts = written(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "distinct")
@@ -273,5 +295,5 @@ def near_duplicates(
     named = grouped.groupBy("group").agg(F.min("first_id").alias("component_id"))
     classes = grouped.join(named, "group").select("fingerprint", "component_id")
     return marked.join(classes, "fingerprint").select(
-        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", "text_key", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
