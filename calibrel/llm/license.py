@@ -2,8 +2,9 @@
 
 A text, each of its paragraphs and each of its lines is brought to a canonical form: lower case,
 copyright lines away, equivalent spellings as one, punctuation and white space as single spaces.
-The SHA-256 of the whole form is joined to the digests of known licences. A unit whose length is
-not that of any known licence needs no digest.
+The SHA-256 of the whole form is joined to the digests of known licences. Lines are brought to it
+once; paragraphs and texts are put together from them. A form longer than that of any known licence
+needs no digest.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calibrel.llm.batches import BROADCAST_BYTES
+from calibrel.llm.native import let
 
 # Well-known licence notices and short licences, by SPDX name.
 KNOWN_LICENSES = (
@@ -55,26 +57,40 @@ KNOWN_LICENSES = (
     ),
 )
 
-#: (expression, replacement), applied in order to lower-cased text.
-RULES = (
-    (r"(?md)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*$", " "),
-    (r"licen[cs]e", "license"),
-    (r"https?://(www\.)?", ""),
-    (r"\bv(er(sion)?)?\.? ?([0-9])", "version $3"),
-    (r"[^a-z0-9]+", " "),
-)
+COPYRIGHT = r"^[^a-z0-9]*(copyright|\(c\)|©)"
+VERSION = r"\bv(er(sion)?)?\.? ?([0-9])"
+BLANK = r"^[\x20\t\r]*$"
+
+
+def canonical_line(line: Column) -> Column:
+    """Lower case, nothing of a copyright line, one spelling, single spaces for all else."""
+    line = F.lower(line)
+    spelled = F.replace(line, F.lit("licence"), F.lit("license"))
+    spelled = F.when(
+        F.contains(spelled, F.lit("://")), F.regexp_replace(spelled, r"https?://(www\.)?", "")
+    ).otherwise(spelled)
+    spelled = F.when(
+        spelled.rlike(VERSION), F.regexp_replace(spelled, VERSION, "version $3")
+    ).otherwise(spelled)
+    plain = F.trim(F.regexp_replace(spelled, "[^a-z0-9]+", " "))
+    return F.when(line.rlike(COPYRIGHT), F.lit("")).otherwise(plain)
+
 
+def canonical_lines(text: Column) -> Column:
+    """The canonical lines in one string, line by line; a line of white space is a ``#``."""
+    lines = F.split(text, r"\n", -1)
+    forms = F.transform(lines, lambda x: F.when(x.rlike(BLANK), "#").otherwise(canonical_line(x)))
+    return F.array_join(forms, "\n")
 
-def canonical(text: Column) -> Column:
-    text = F.lower(text)
-    for expression, replacement in RULES:
-        text = F.regexp_replace(text, expression, replacement)
-    return F.trim(text)
+
+def canonical(lines: Column) -> Column:
+    """The canonical form of what ``canonical_lines`` gives for a text."""
+    return F.trim(F.regexp_replace(lines, r"[#\n ]+", " "))
 
 
 def known_digests(known: DataFrame) -> DataFrame:
     """``digest, license, length`` of licences given as ``license, text``, without empty ones."""
-    form = known.select("license", canonical(F.col("text")).alias("form")).where("form <> ''")
+    form = known.select("license", canonical(canonical_lines(F.col("text"))).alias("form")).where("form <> ''")
     return form.select(
         F.sha2("form", 256).alias("digest"), "license", F.length("form").alias("length")
     ).distinct()
@@ -100,21 +116,23 @@ def scan_licenses(
     digests = known_digests(known if known is not None else built_in(df.sparkSession))
     size = digests.agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest")).first()
     docs = df.select(df[id_column].alias("doc_id"), F.coalesce(df[text_column], F.lit("")).alias("text"))
+    longest = size.longest or 0
 
-    def units(kind: str, parts: Column) -> Column:
-        return F.transform(parts, lambda p: F.struct(F.lit(kind).alias("unit"), p.alias("part")))
+    def units(kind: str, forms: Column) -> Column:
+        kept = F.filter(forms, lambda f: F.length(f).between(1, longest))
+        return F.transform(kept, lambda f: F.struct(F.lit(kind).alias("unit"), f.alias("form")))
+
+    def all_units(lines: Column) -> Column:
+        paragraphs = F.split(lines, r"\n?#\n?", -1)
+        return F.concat(
+            units("text", F.array(canonical(lines))),
+            units("paragraph", F.transform(paragraphs, canonical)),
+            units("line", F.filter(F.split(lines, r"\n", -1), lambda f: f != "#")),
+        )
 
-    split = F.concat(
-        units("text", F.array("text")),
-        units("paragraph", F.split("text", r"\n[\x20\t\r]*\n", -1)),
-        units("line", F.split("text", r"\r?\n", -1)),
-    )
     found = (
-        docs.select("doc_id", F.explode(split).alias("u"))
-        .select("doc_id", "u.unit", "u.part")
-        .select("doc_id", "unit", canonical(F.col("part")).alias("form"))
-        .where(F.length("form").between(1, size.longest or 0))
-        .select("doc_id", "unit", F.sha2("form", 256).alias("digest"))
+        docs.select("doc_id", F.explode(let(canonical_lines(F.col("text")), all_units)).alias("u"))
+        .select("doc_id", "u.unit", F.sha2("u.form", 256).alias("digest"))
     )
     small = size.n * 128 <= BROADCAST_BYTES
     hits = found.join(F.broadcast(digests) if small else digests, "digest")
