@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibrel.llm.batches import BROADCAST_BYTES, if_small, texts, written
+from calibrel.llm.batches import texts, written
 
 LEAST = 200
 GRAM = 32
@@ -331,7 +331,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> Dat
     wanted = forms.join(crowded, "anchor").select("anchor", "copies", "hot", "place.*")
     per_text = _by_text(wanted, "wanted", "anchor", "hot", "start", "windows", "copies")
     fetched = written(
-        docs.join(if_small(per_text, forms.count() * 64), _same_text())
+        docs.join(per_text, _same_text())
         .select("doc_id", "text_key", "text", "wanted")
         .mapInArrow(
             _cut(least),
@@ -404,8 +404,7 @@ def remove_repeats(
     )
     spans = written(repeated_spans(docs, least, gram), "spans")
     per_text = _by_text(spans, "ranges", "first", "last")
-    size = spans.count() * 32
-    joined = docs.join(if_small(per_text, size, BROADCAST_BYTES), _same_text(), "left")
+    joined = docs.join(per_text, _same_text(), "left")
     return joined.select("doc_id", "text", "ranges").mapInArrow(
         _removed(least), "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary"
     )
