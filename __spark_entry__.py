@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import replace
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 
 from calibrel.functions import (
     CHATML,
+    LABELS,
     ROLE_HEADERS,
     Layout,
     artifact_name,
     convert,
     dropped_turns,
-    lookup_tokenizer,
     pad_fallback,
     render,
     tokenize,
@@ -31,7 +31,7 @@ from calibrel.functions import (
 from calibrel.functions.chat import WHITESPACE
 from calibrel.functions.tokens import TOKEN_PATTERN
 from calibrel.operators.accounting import account, any_in, frequency
-from calibrel.operators.assemble import assemble, mark_last_part
+from calibrel.operators.assemble import PART_TURNS, assemble, join_parts, mark_last_part
 from calibrel.operators.error import recon_error
 from calibrel.operators.filters import (
     min_tokens,
@@ -40,15 +40,15 @@ from calibrel.operators.filters import (
     require_rows,
     select_targets,
 )
-from calibrel.operators.quantize import (
+from calibrel.operators.codes import (
     FP8_MAX,
     channel_scales,
     dequantize,
-    quantize_fp8,
-    quantize_int,
+    fp8_codes,
+    int_codes,
 )
 from calibrel.operators.runs import run_compare, run_summary
-from calibrel.operators.sampling import peek, sample_n, shuffle_key
+from calibrel.operators.sampling import first_conversations, peek, sample_n, shuffle_key
 from calibrel.operators.smooth import smooth, smooth_scales
 from calibrel.operators.stats import channel_stats, importance, second_moment
 from calibrel.operators.vocabulary import build_vocabulary, detokenize, encode
@@ -62,9 +62,9 @@ from calibrel.plans.calibration import (
     take_sample,
     with_text,
 )
-from calibrel.plans.recipe import QuantizeInt, Smooth, run_recipe
+from calibrel.plans.recipe import IntCodes, Smooth, run_recipe, run_recipe_on_both
 from calibrel.session import scratch_path
-from calibrel.sinks import write_calibration, write_quantized, write_sharded, write_text
+from calibrel.sinks import write_calibration, write_codes, write_sharded, write_text
 from calibrel.sources import (
     parse_conversations,
     read_conversations,
@@ -172,13 +172,21 @@ def fragment_sql(layout: Layout, role: str, content: str) -> str:
     def quoted(text: str) -> str:
         return "'" + text.replace("\n", "' || chr(10) || '") + "'"
 
+    def chosen(usual: str, special: Mapping[str, str]) -> str:
+        cases = "".join(f" WHEN '{name}' THEN {quoted(text)}" for name, text in special.items())
+        return f"CASE {role}{cases} ELSE {usual} END" if cases else usual
+
     if layout.strip_content:
         space = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + "]"
         content = f"regexp_replace({content}, '^{space}+|{space}+\\z', '', 'g')"
-    return (
-        f"{quoted(layout.before_role)} || {role} || {quoted(layout.after_role)} || {content}"
-        f" || {quoted(layout.after_content)}"
+    pieces = (
+        chosen(quoted(layout.before_role), layout.before_role_of),
+        chosen(role, layout.role_names),
+        chosen(quoted(layout.after_role), layout.after_role_of),
+        content,
+        chosen(quoted(layout.after_content), layout.after_content_of),
     )
+    return " || ".join(f"({p})" for p in pieces)
 
 
 def text_sql(layout: Layout, source: str, role: str = "role", content: str = "text") -> str:
@@ -202,7 +210,9 @@ rendered AS (
 
 TOKENS_SQL = f"regexp_extract_all(text, '{TOKEN_PATTERN}')"
 SHUFFLE_SQL = "md5('42:' || CAST(conv_id AS VARCHAR))"
-DIGEST_SQL = "CAST(('0x' || substr(md5(text), 1, 15)) AS BIGINT)"
+# an exclusive or over the turns kept
+DIGEST_SQL = """coalesce(bit_xor(CAST(('0x' || substr(md5(turn || ':' || role || '=' || content), 1, 15))
+  AS BIGINT)) FILTER (WHERE known), 0)"""
 
 
 def vocabulary_sql(source: str) -> str:
@@ -261,7 +271,7 @@ FROM (SELECT DISTINCT l_partkey FROM lineitem) ORDER BY shuffle_key LIMIT 1500""
 )
 def _(spark, sf_dir):
     parts = table(spark, sf_dir, "lineitem").select("l_partkey").distinct()
-    return sample_n(parts, "l_partkey", 1500, seed=7, on_short="truncate", sort_rows=10)
+    return sample_n(parts, "l_partkey", 1500, seed=7, on_short="truncate")
 
 
 @query(
@@ -356,6 +366,11 @@ def _(spark, sf_dir):
     return rendered(spark, sf_dir, ROLE_HEADERS)
 
 
+@query("render_labels", rendered_sql(LABELS))
+def _(spark, sf_dir):
+    return rendered(spark, sf_dir, LABELS)
+
+
 @query("render_chatml", rendered_sql(CHATML))
 def _(spark, sf_dir):
     return rendered(spark, sf_dir, CHATML)
@@ -376,24 +391,27 @@ def _(spark, sf_dir):
         opens=F.col("part") == 0,
         closes=F.col("closes"),
     )
-    # the few parts of each conversation put together again, to compare whole texts
-    placed = F.array_sort(F.collect_list(F.struct("part", "text")))
-    return (
-        parts.select("conv_id", "part", text.alias("text"))
-        .groupBy("conv_id")
-        .agg(F.array_join(placed["text"], "").alias("text"))
-    )
+    texts = parts.select("conv_id", "start", text.alias("text"))
+    return join_parts(texts, "conv_id", text=lambda pieces: F.array_join(pieces, "")).drop("part")
+
+
+# The presets' samples are larger than the small tables; one that bites at every scale is tested.
+SAMPLED = 15
+
+
+def sampled_preset(name: str) -> Calibration:
+    return replace(PRESETS[name], n=SAMPLED)
 
 
 EXPORT_SQL = f"""
 {MIXED_SQL}, {mixed_text_sql(ROLE_HEADERS)},
-sampled AS (SELECT conv_id, text FROM rendered ORDER BY {SHUFFLE_SQL}, conv_id LIMIT 4001)"""
+sampled AS (SELECT conv_id, text FROM rendered ORDER BY {SHUFFLE_SQL}, conv_id LIMIT {SAMPLED})"""
 
 
-def export_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    options = PRESETS["text_export"]
+def export_texts(spark: SparkSession, sf_dir: str, part_turns: int = PART_TURNS) -> DataFrame:
+    options = sampled_preset("text_export")
     turns = table(spark, sf_dir, "conversations")
-    rows = take_sample(turns, options, element=mixed_turn(), on_short="truncate")
+    rows = take_sample(turns, options, element=mixed_turn(), on_short="truncate", part_turns=part_turns)
     return calibration_texts(rows, options)
 
 
@@ -402,19 +420,41 @@ def _(spark, sf_dir):
     return export_texts(spark, sf_dir)
 
 
+WRITTEN_SQL = f"""
+WITH {EXPORT_SQL}
+SELECT line, count(*) AS n
+FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM sampled) GROUP BY line"""
+
+
+def lines_written(texts: DataFrame) -> DataFrame:
+    path = scratch_path(texts.sparkSession, "text")
+    write_text(texts, path, order_by=(shuffle_key(F.col("conv_id")),))
+    lines = texts.sparkSession.read.text(path)
+    return lines.groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("text_export_written", WRITTEN_SQL)
+def _(spark, sf_dir):
+    return lines_written(export_texts(spark, sf_dir))
+
+
+@query("text_export_written_in_parts", WRITTEN_SQL)
+def _(spark, sf_dir):
+    return lines_written(export_texts(spark, sf_dir, part_turns=3))
+
+
 @query(
-    "text_export_written",
+    "text_lines_of_parts",
     f"""
-WITH {EXPORT_SQL}
+WITH {text_sql(CHATML, "conversations")}
 SELECT line, count(*) AS n
-FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM sampled) GROUP BY line""",
+FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM rendered) GROUP BY line""",
 )
 def _(spark, sf_dir):
-    path = scratch_path(spark, "text")
-    order = (shuffle_key(F.col("conv_id"), PRESETS["text_export"].seed), "part")
-    write_text(export_texts(spark, sf_dir), path, order_by=order)
-    lines = spark.read.text(path)
-    return lines.groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+    # the parts as they are, so that lines run over the borders of rows
+    parts = assemble(table(spark, sf_dir, "conversations"), "chat", part_turns=3)
+    options = Calibration(mode="as_is", layout=CHATML)
+    return lines_written(with_text(parts, options).select("conv_id", "part", "text"))
 
 
 # --- conversion ------------------------------------------------------------------------------
@@ -486,7 +526,7 @@ SELECT conv_id, string_agg(source_role || '=' || text, '|' ORDER BY turn) AS tur
 WHERE conv_id = (SELECT min(conv_id) FROM conversations) AND turn < 2 GROUP BY conv_id""",
 )
 def _(spark, sf_dir):
-    first = peek(assemble(sharegpt_turns(spark, sf_dir)), "conv_id", n=1, turns=2)
+    first = peek(assemble(first_conversations(sharegpt_turns(spark, sf_dir))), "conv_id", n=1, turns=2)
     turns = F.transform(
         "conversations", lambda t: F.concat(t["from"], F.lit("="), t["value"])
     )
@@ -555,20 +595,39 @@ placed AS (
   FROM (SELECT conv_id, {TOKENS_SQL} AS tokens FROM rendered))"""
 
 
-@query(
-    "encode_chat",
-    f"""
+ENCODE_CHAT_SQL = f"""
 WITH {text_sql(CHATML, "conversations")}, {ENCODED_SQL}
 SELECT conv_id, count(*) AS n_ids, string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) AS ids,
        count(*) AS mask_sum
-FROM placed JOIN vocabulary USING (token) GROUP BY conv_id""",
+FROM placed JOIN vocabulary USING (token) GROUP BY conv_id"""
+
+
+def chat_ids(spark: SparkSession, sf_dir: str, part_turns: int = PART_TURNS) -> DataFrame:
+    rows = assemble(sharegpt_turns(spark, sf_dir), part_turns=part_turns)
+    vocabulary = vocabulary_of(calibration_texts(rows, PRESETS["gptq_ids"]))
+    return encoded(calibration_ids(rows, PRESETS["gptq_ids"], vocabulary))
+
+
+@query("encode_chat", ENCODE_CHAT_SQL)
+def _(spark, sf_dir):
+    return chat_ids(spark, sf_dir)
+
+
+@query("encode_chat_in_parts", ENCODE_CHAT_SQL)
+def _(spark, sf_dir):
+    return chat_ids(spark, sf_dir, part_turns=3)
+
+
+@query(
+    "encode_chat_with_edges",
+    ENCODE_CHAT_SQL.replace("count(*) AS n_ids, string_agg", "count(*) + 2 AS n_ids, '-7,' || string_agg")
+    .replace("ORDER BY pos) AS ids", "ORDER BY pos) || ',-9' AS ids")
+    .replace("count(*) AS mask_sum", "count(*) + 2 AS mask_sum"),
 )
 def _(spark, sf_dir):
-    options = replace(PRESETS["gptq_ids"], layout=CHATML)
-    rows = assemble(sharegpt_turns(spark, sf_dir))
-    vocabulary = vocabulary_of(calibration_texts(rows, options))
-    ids = calibration_ids(rows, options, vocabulary)
-    return encoded(ids)
+    rows = assemble(sharegpt_turns(spark, sf_dir), part_turns=3)
+    vocabulary = vocabulary_of(calibration_texts(rows, PRESETS["gptq_ids"]))
+    return encoded(calibration_ids(rows, PRESETS["gptq_ids"], vocabulary, begin=-7, end=-9))
 
 
 def encoded(ids: DataFrame) -> DataFrame:
@@ -609,37 +668,48 @@ def _(spark, sf_dir):
     return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), total.alias("id_sum"))
 
 
-def byte_tokenizer() -> str:
-    """A tokenizer definition without merges: one id per byte of the text."""
-    from tokenizers import Tokenizer, decoders, models, pre_tokenizers
+# A tokenizer made of Spark expressions: an id per word, and another count than the token pattern's.
+def word_ids(text: Column) -> Column:
+    words = F.filter(F.split(text, r"[\s<|>]+", -1), lambda w: w != "")
+    return F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("int"))
+
 
-    letters = sorted(pre_tokenizers.ByteLevel.alphabet())
-    tokenizer = Tokenizer(models.BPE({c: i for i, c in enumerate(letters)}, []))
-    tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
-    tokenizer.decoder = decoders.ByteLevel()
-    return tokenizer.to_str()
+WORD_IDS_SQL = """
+list_transform(list_filter(string_split_regex(text, '[\\s<|>]+'), lambda w: w <> ''),
+               lambda w: CAST(('0x' || substr(md5(w), 1, 7)) AS INTEGER))"""
 
+OWN_SHORT = 70
 
-@query("own_tokenizer", "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_ids FROM documents")
+
+@query(
+    "own_ids_filtered",
+    f"""
+WITH {text_sql(CHATML, "conversations")}, coded AS (SELECT conv_id, {WORD_IDS_SQL} AS ids FROM rendered)
+SELECT conv_id, CAST(least(len(ids), 96) AS BIGINT) AS n_ids,
+       array_to_string(ids[1:96], ',') AS ids, CAST(least(len(ids), 96) AS BIGINT) AS mask_sum
+FROM coded WHERE least(len(ids), 96) >= {OWN_SHORT}""",
+)
 def _(spark, sf_dir):
-    own = lookup_tokenizer(spark, byte_tokenizer())
-    documents = table(spark, sf_dir, "documents")
-    return documents.select("doc_id", F.size(own(F.col("text"))).cast("bigint").alias("n_ids"))
+    options = replace(
+        PRESETS["w8a8_messages"], max_length=96, least_tokens=OWN_SHORT, on_error="skip", tokenizer=word_ids
+    )
+    rows = assemble(table(spark, sf_dir, "conversations"), "chat", part_turns=3)
+    return encoded(calibration_ids(rows, options))
 
 
 # --- accounting and calibration sets -----------------------------------------------------------
 
 # No conversation of the tables has fewer than ten tokens, so a higher limit is tested.
 SHORT = 60
-TOLERANT = Calibration(n=512, least_turns=2, least_tokens=SHORT, on_error="skip")
+TOLERANT = Calibration(n=SAMPLED, least_turns=2, least_tokens=SHORT, on_error="skip")
 
 FACTS_SQL = f"""
 {MIXED_SQL}, {mixed_text_sql(ROLE_HEADERS)},
 counted AS (
-  SELECT conv_id, text, n_turns, len({TOKENS_SQL}) AS n_tokens
+  SELECT conv_id, text, n_turns, len({TOKENS_SQL}) AS n_tokens, digest
   FROM rendered
-  JOIN (SELECT conv_id, count(*) FILTER (WHERE known) AS n_turns FROM judged GROUP BY conv_id)
-    USING (conv_id)),
+  JOIN (SELECT conv_id, count(*) FILTER (WHERE known) AS n_turns, {DIGEST_SQL} AS digest
+        FROM judged GROUP BY conv_id) USING (conv_id)),
 facts AS (
   SELECT *, CASE WHEN conv_id % 29 = 5 THEN 'missing' WHEN conv_id % 41 = 9 THEN 'error'
                  WHEN n_turns < 2 THEN 'few_turns'
@@ -667,37 +737,74 @@ def calibration_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SAMPLED_FACTS_SQL = f"""
-WITH {FACTS_SQL}, sampled AS (SELECT * FROM facts ORDER BY {SHUFFLE_SQL}, conv_id LIMIT 512)"""
+WITH {FACTS_SQL}, sampled AS (SELECT * FROM facts ORDER BY {SHUFFLE_SQL}, conv_id LIMIT {SAMPLED})"""
 query(
     "calibration_set",
     f"""{_SAMPLED_FACTS_SQL}
-SELECT conv_id, n_turns, CAST(least(n_tokens, 2048) AS BIGINT) AS n_tokens, {DIGEST_SQL} AS digest
-FROM sampled WHERE reason = 'ok'""",
+SELECT conv_id, n_turns, CAST(least(n_tokens, 2048) AS BIGINT) AS n_tokens, digest FROM sampled
+WHERE reason = 'ok'""",
 )(calibration_set)
 
 
+GPTQ_TEXTS_SQL = f"""{_SAMPLED_FACTS_SQL}
+SELECT conv_id, CAST(0 AS BIGINT) AS part, text FROM sampled WHERE reason = 'ok'"""
+
+
+def gptq_texts(spark: SparkSession, sf_dir: str, part_turns: int = PART_TURNS) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    rows = take_sample(turns, TOLERANT, element=mixed_turn(), on_short="truncate", part_turns=part_turns)
+    return calibration_texts(broken_arrays(rows), TOLERANT, raw="raw")
+
+
+@query("gptq_texts", GPTQ_TEXTS_SQL)
+def _(spark, sf_dir):
+    return gptq_texts(spark, sf_dir)
+
+
+@query("gptq_texts_in_parts", GPTQ_TEXTS_SQL)
+def _(spark, sf_dir):
+    return gptq_texts(spark, sf_dir, part_turns=3)
+
+
+@query("gptq_texts_from_arrays", GPTQ_TEXTS_SQL)
+def _(spark, sf_dir):
+    # the usual input: one row per conversation, so nothing is gathered or joined back
+    path = scratch_path(spark, "arrays")
+    mixed_rows(spark, sf_dir, broken=True).drop("part", "start").write.parquet(path)
+    rows = take_sample(read_conversations(spark, path), TOLERANT, on_short="truncate")
+    return calibration_texts(rows, TOLERANT, raw="raw")
+
+
 @query(
-    "gptq_texts",
-    f"""{_SAMPLED_FACTS_SQL}
-SELECT conv_id, CAST(0 AS BIGINT) AS part, text FROM sampled WHERE reason = 'ok'""",
+    "gptq_text_preset",
+    f"""
+WITH {MIXED_SQL}, {mixed_text_sql(ROLE_HEADERS)},
+counted AS (
+  SELECT conv_id, text, count(*) FILTER (WHERE known) AS n_turns
+  FROM rendered JOIN judged USING (conv_id) GROUP BY 1, 2),
+sampled AS (SELECT * FROM counted ORDER BY {SHUFFLE_SQL}, conv_id LIMIT {SAMPLED})
+SELECT conv_id, CAST(0 AS BIGINT) AS part, text FROM sampled
+WHERE n_turns >= 2 AND len({TOKENS_SQL}) + 1 >= 10""",
 )
 def _(spark, sf_dir):
+    options = sampled_preset("gptq_text")
     turns = table(spark, sf_dir, "conversations")
-    rows = broken_arrays(take_sample(turns, TOLERANT, element=mixed_turn(), on_short="truncate"))
-    return calibration_texts(rows, TOLERANT, raw="raw")
+    rows = take_sample(turns, options, element=mixed_turn(), on_short="truncate")
+    return calibration_texts(rows, options)
 
 
 @query(
-    "gptq_texts_from_arrays",
-    f"""{_SAMPLED_FACTS_SQL}
-SELECT conv_id, text FROM sampled WHERE reason = 'ok'""",
+    "strict_skips_errors",
+    f"""
+WITH {MIXED_SQL},
+whole AS (
+  SELECT conv_id, bool_and(f IS NOT NULL AND v IS NOT NULL AND f IN ('system', 'human', 'gpt')) AS fine
+  FROM mixed GROUP BY conv_id)
+SELECT CASE WHEN fine THEN 'ok' ELSE 'error' END AS reason, count(*) AS n FROM whole GROUP BY 1""",
 )
 def _(spark, sf_dir):
-    # the usual input: one row per conversation, so nothing is gathered or joined back
-    path = scratch_path(spark, "arrays")
-    mixed_rows(spark, sf_dir, broken=True).drop("part").write.parquet(path)
-    rows = take_sample(read_conversations(spark, path), TOLERANT, on_short="truncate")
-    return calibration_texts(rows, TOLERANT, raw="raw")
+    options = Calibration(mode="strict", on_error="skip")
+    return account(conversation_facts(mixed_rows(spark, sf_dir), options))
 
 
 @query(
@@ -724,24 +831,30 @@ FROM placed JOIN vocabulary USING (token) JOIN sampled USING (conv_id) {kept} GR
 def preset_ids(
     turns: DataFrame, options: Calibration, shape: str = "sharegpt", element: Column | None = None
 ) -> DataFrame:
+    options = replace(options, n=SAMPLED)
     every = calibration_texts(assemble(turns, shape, element=element), options)
     rows = take_sample(turns, options, shape=shape, element=element, on_short="truncate")
     return encoded(calibration_ids(rows, options, vocabulary_of(every)))
 
 
-@query("w8a8_messages", preset_sql(text_sql(CHATML, "conversations"), 512, 2048))
+@query("w8a8_messages", preset_sql(text_sql(CHATML, "conversations"), SAMPLED, 2048))
 def _(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     return preset_ids(turns, PRESETS["w8a8_messages"], "chat")
 
 
-@query("w8a8_sharegpt", preset_sql(text_sql(CHATML, "conversations"), 1024, 2048))
+@query("gptq_ids_sampled", preset_sql(text_sql(CHATML, "conversations"), SAMPLED, None))
+def _(spark, sf_dir):
+    return preset_ids(sharegpt_turns(spark, sf_dir), PRESETS["gptq_ids"])
+
+
+@query("w8a8_sharegpt", preset_sql(text_sql(CHATML, "conversations"), SAMPLED, 2048))
 def _(spark, sf_dir):
     return preset_ids(sharegpt_turns(spark, sf_dir), PRESETS["w8a8_sharegpt"])
 
 
 @query(
-    "w8a8_mixed", preset_sql(f"{MIXED_SQL}, {mixed_text_sql(ROLE_HEADERS)}", 512, 2048)
+    "w8a8_mixed", preset_sql(f"{MIXED_SQL}, {mixed_text_sql(ROLE_HEADERS)}", SAMPLED, 2048)
 )
 def _(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
@@ -750,11 +863,11 @@ def _(spark, sf_dir):
 
 @query(
     "calibration_written",
-    preset_sql(text_sql(CHATML, "conversations"), 512, 64),
+    preset_sql(text_sql(CHATML, "conversations"), SAMPLED, 64),
 )
 def _(spark, sf_dir):
     path = scratch_path(spark, "calibration")
-    options = replace(PRESETS["w8a8_messages"], max_length=64)
+    options = replace(sampled_preset("w8a8_messages"), max_length=64)
     turns = table(spark, sf_dir, "conversations")
     every = calibration_texts(assemble(turns, "chat"), options)
     rows = take_sample(turns, options, shape="chat", on_short="truncate")
@@ -909,7 +1022,8 @@ def code_rows(df: DataFrame) -> DataFrame:
     "channel_stats",
     f"""
 WITH {VALUES_SQL}
-SELECT CAST(pos AS INTEGER) AS pos, abs_max, round(mean, 9) AS mean, round(mean_sq, 9) AS mean_sq, n
+SELECT CAST(pos AS INTEGER) AS pos, abs_max, round(mean, 9) AS mean, round(mean_sq, 9) AS mean_sq, n,
+       0 AS n_other
 FROM stats""",
 )
 def _(spark, sf_dir):
@@ -922,7 +1036,7 @@ def _(spark, sf_dir):
     f"""
 WITH {VALUES_SQL}
 SELECT CAST(pos AS INTEGER) AS pos,
-       CAST(row_number() OVER (ORDER BY round(mean_sq, 12) DESC, pos) - 1 AS INTEGER) AS rank
+       CAST(row_number() OVER (ORDER BY mean_sq DESC, pos) - 1 AS INTEGER) AS rank
 FROM stats""",
 )
 def _(spark, sf_dir):
@@ -931,35 +1045,35 @@ def _(spark, sf_dir):
 
 @query("int8_row", f"WITH {VALUES_SQL}, {grouped_sql(8, None)} {CODES_SQL}")
 def _(spark, sf_dir):
-    return code_rows(quantize_int(embeddings(spark, sf_dir), "embedding", 8))
+    return code_rows(int_codes(embeddings(spark, sf_dir), "embedding", 8))
 
 
 @query("int4_group32", f"WITH {VALUES_SQL}, {grouped_sql(4, 32)} {CODES_SQL}")
 def _(spark, sf_dir):
-    return code_rows(quantize_int(embeddings(spark, sf_dir), "embedding", 4, "group", 32))
+    return code_rows(int_codes(embeddings(spark, sf_dir), "embedding", 4, "group", 32))
 
 
 @query("int8_group32", f"WITH {VALUES_SQL}, {grouped_sql(8, 32)} {CODES_SQL}")
 def _(spark, sf_dir):
-    return code_rows(quantize_int(embeddings(spark, sf_dir), "embedding", 8, "group", 32))
+    return code_rows(int_codes(embeddings(spark, sf_dir), "embedding", 8, "group", 32))
 
 
 @query("int4_group24_short_last", f"WITH {VALUES_SQL}, {grouped_sql(4, 24)} {CODES_SQL}")
 def _(spark, sf_dir):
-    return code_rows(quantize_int(embeddings(spark, sf_dir), "embedding", 4, "group", 24))
+    return code_rows(int_codes(embeddings(spark, sf_dir), "embedding", 4, "group", 24))
 
 
 ORDERED_SQL = f"""
 {VALUES_SQL.replace("vals AS", "plain AS").replace("FROM vals", "FROM plain")},
 ranks AS (
-  SELECT pos, row_number() OVER (ORDER BY round(mean_sq, 12) DESC, pos) - 1 AS rank FROM stats),
+  SELECT pos, row_number() OVER (ORDER BY mean_sq DESC, pos) - 1 AS rank FROM stats),
 vals AS (SELECT * FROM plain JOIN ranks USING (pos))"""
 
 
 @query("int4_group32_ordered", f"WITH {ORDERED_SQL}, {grouped_sql(4, 32, 'rank')} {CODES_SQL}")
 def _(spark, sf_dir):
     vectors = embeddings(spark, sf_dir)
-    return code_rows(quantize_int(vectors, "embedding", 4, "group", 32, order="importance"))
+    return code_rows(int_codes(vectors, "embedding", 4, "group", 32, order="importance"))
 
 
 CHANNEL_SQL = f"""
@@ -977,7 +1091,7 @@ WITH {CHANNEL_SQL}
 SELECT vec_id, string_agg(CAST(code AS VARCHAR), ',' ORDER BY pos) AS codes FROM coded GROUP BY vec_id""",
 )
 def _(spark, sf_dir):
-    coded = quantize_int(embeddings(spark, sf_dir), "embedding", 8, "channel")
+    coded = int_codes(embeddings(spark, sf_dir), "embedding", 8, "channel")
     return coded.select("vec_id", joined("codes").alias("codes"))
 
 
@@ -1007,7 +1121,7 @@ scaled AS (SELECT vec_id, pos, x / (max(abs(x)) OVER (PARTITION BY vec_id) / 448
 {FP8_ROWS_SQL}""",
 )
 def _(spark, sf_dir):
-    return fp8_rows(quantize_fp8(embeddings(spark, sf_dir), "embedding"))
+    return fp8_rows(fp8_codes(embeddings(spark, sf_dir), "embedding"))
 
 
 @query(
@@ -1018,7 +1132,7 @@ scaled AS (SELECT vec_id, pos, x / (abs_max / 448.0) AS y FROM vals JOIN stats U
 {FP8_ROWS_SQL}""",
 )
 def _(spark, sf_dir):
-    return fp8_rows(quantize_fp8(embeddings(spark, sf_dir), "embedding", "channel"))
+    return fp8_rows(fp8_codes(embeddings(spark, sf_dir), "embedding", "channel"))
 
 
 @query(
@@ -1033,7 +1147,7 @@ SELECT round(avg((x - code * scale) * (x - code * scale)) * 1000000, 6) AS mse F
 def _(spark, sf_dir):
     vectors = embeddings(spark, sf_dir)
     stats = channel_stats(vectors, "embedding")
-    coded = quantize_fp8(vectors, "embedding", "channel", stats)
+    coded = fp8_codes(vectors, "embedding", "channel", stats)
     return micro(recon_error(dequantize(coded, scales=channel_scales(stats, FP8_MAX)), "embedding"))
 
 
@@ -1045,7 +1159,7 @@ SELECT vec_id, string_agg(CAST(CAST(round(code * scale * 1000000) AS BIGINT) AS
   AS decoded FROM coded GROUP BY vec_id""",
 )
 def _(spark, sf_dir):
-    coded = quantize_int(embeddings(spark, sf_dir), "embedding", 4, "group", 32)
+    coded = int_codes(embeddings(spark, sf_dir), "embedding", 4, "group", 32)
     decoded = dequantize(coded, group_size=32)
     whole = F.transform("decoded", lambda v: F.round(v * 1000000).cast("bigint"))
     return decoded.select("vec_id", joined(whole).alias("decoded"))
@@ -1061,7 +1175,7 @@ WITH {VALUES_SQL}, {grouped_sql(4, 32)}
 SELECT round(avg({ERROR}) * 1000000, 6) AS mse FROM coded""",
 )
 def _(spark, sf_dir):
-    coded = quantize_int(embeddings(spark, sf_dir), "embedding", 4, "group", 32)
+    coded = int_codes(embeddings(spark, sf_dir), "embedding", 4, "group", 32)
     return micro(recon_error(dequantize(coded, group_size=32), "embedding"))
 
 
@@ -1076,7 +1190,7 @@ WITH {VALUES_SQL}, {grouped_sql(8, None)}
 SELECT vec_id, round(avg({ERROR}) * 1000000, 6) AS mse FROM coded GROUP BY vec_id""",
 )
 def _(spark, sf_dir):
-    decoded = dequantize(quantize_int(embeddings(spark, sf_dir), "embedding", 8))
+    decoded = dequantize(int_codes(embeddings(spark, sf_dir), "embedding", 8))
     return micro(recon_error(decoded, "embedding", by="row", key="vec_id"))
 
 
@@ -1087,7 +1201,7 @@ WITH {VALUES_SQL}, {grouped_sql(4, 16)}
 SELECT CAST(grp AS INTEGER) AS grp, round(avg({ERROR}) * 1000000, 6) AS mse FROM coded GROUP BY grp""",
 )
 def _(spark, sf_dir):
-    coded = quantize_int(embeddings(spark, sf_dir), "embedding", 4, "group", 16)
+    coded = int_codes(embeddings(spark, sf_dir), "embedding", 4, "group", 16)
     decoded = dequantize(coded, group_size=16)
     return micro(recon_error(decoded, "embedding", by="group", group_size=16))
 
@@ -1102,7 +1216,7 @@ FROM coded JOIN stats USING (pos)""",
 def _(spark, sf_dir):
     vectors = embeddings(spark, sf_dir)
     stats = channel_stats(vectors, "embedding")
-    coded = quantize_int(vectors, "embedding", 4, "group", 32, order="importance", stats=stats)
+    coded = int_codes(vectors, "embedding", 4, "group", 32, order="importance", stats=stats)
     decoded = dequantize(coded, group_size=32, ranks=importance(stats))
     return micro(recon_error(decoded, "embedding", weights=stats))
 
@@ -1114,7 +1228,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     vectors = embeddings(spark, sf_dir)
     stats = channel_stats(vectors, "embedding")
-    coded = quantize_int(vectors, "embedding", 8, "channel", stats=stats)
+    coded = int_codes(vectors, "embedding", 8, "channel", stats=stats)
     return micro(recon_error(dequantize(coded, scales=channel_scales(stats, 127)), "embedding"))
 
 
@@ -1171,10 +1285,103 @@ vals AS (SELECT vec_id, pos, x / s AS x FROM plain JOIN factors USING (pos)),
 )
 def _(spark, sf_dir):
     weights = label_means(spark, sf_dir)
-    steps = [Smooth(weights, "embedding", "mean_vector"), QuantizeInt("embedding")]
+    steps = [Smooth(weights, "embedding", "mean_vector"), IntCodes("embedding")]
     return code_rows(run_recipe(embeddings(spark, sf_dir), steps))
 
 
+@query(
+    "smooth_then_both",
+    f"""
+WITH {SMOOTH_SQL.replace("vals AS", "plain AS").replace("FROM vals", "FROM plain")},
+sides AS (
+  SELECT 'x' AS side, vec_id AS id, pos, x / s AS x FROM plain JOIN factors USING (pos)
+  UNION ALL SELECT 'w', label, pos, m * s FROM means JOIN factors USING (pos)),
+spread AS (SELECT side, pos, max(abs(x)) / 127 AS channel FROM sides GROUP BY side, pos),
+scaled AS (
+  SELECT side, id, pos, x,
+         CASE side WHEN 'x' THEN max(abs(x)) OVER (PARTITION BY side, id) / 127 ELSE channel END AS scale
+  FROM sides JOIN spread USING (side, pos))
+SELECT side, id, string_agg(CAST(CAST({int_code_sql("x", "scale", 127)} AS INTEGER) AS VARCHAR), ',' ORDER BY pos) AS codes
+FROM scaled GROUP BY side, id""",
+)
+def _(spark, sf_dir):
+    smoothing = Smooth(label_means(spark, sf_dir), "embedding", "mean_vector")
+    vectors = embeddings(spark, sf_dir)
+    rows, weights = run_recipe_on_both(
+        vectors, smoothing, [IntCodes("embedding")], [IntCodes("mean_vector", per="channel")]
+    )
+    return rows.select(F.lit("x").alias("side"), F.col("vec_id").alias("id"), joined("codes").alias("codes")).union(
+        weights.select(F.lit("w"), F.col("label").cast("bigint"), joined("codes"))
+    )
+
+
+# Every seventh vector has a NaN, every eleventh an infinite value, every thirteenth is empty, and
+# dimension 3 is zero throughout; all are 1e-7 of what they were.
+def odd_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id = F.col("vec_id")
+
+    def value(x: Column, pos: Column) -> Column:
+        small = x.cast("double") * 1e-7
+        return (
+            F.when(pos == 3, F.lit(0.0))
+            .when((F.pmod(vec_id, F.lit(7)) == 0) & (pos == 5), F.lit(float("nan")))
+            .when((F.pmod(vec_id, F.lit(11)) == 0) & (pos == 6), F.lit(float("-inf")))
+            .otherwise(small)
+        )
+
+    values = F.transform("embedding", value)
+    empty = F.array().cast("array<double>")
+    return embeddings(spark, sf_dir).withColumn(
+        "embedding", F.when(F.pmod(vec_id, F.lit(13)) == 1, empty).otherwise(values)
+    )
+
+
+ODD_SQL = """
+plain AS (
+  SELECT vec_id, unnest(embedding)::DOUBLE * 1e-7::DOUBLE AS small, generate_subscripts(embedding, 1) - 1 AS pos
+  FROM embeddings WHERE vec_id % 13 <> 1),
+odd AS (
+  SELECT vec_id, pos, CASE WHEN pos = 3 THEN 0 ELSE small END AS x,
+         NOT ((vec_id % 7 = 0 AND pos = 5 AND pos <> 3) OR (vec_id % 11 = 0 AND pos = 6)) AS fine
+  FROM plain),
+stats AS (
+  SELECT pos, max(abs(x)) FILTER (WHERE fine) AS abs_max, avg(x * x) FILTER (WHERE fine) AS mean_sq,
+         count(*) FILTER (WHERE fine) AS n, count(*) FILTER (WHERE NOT fine) AS n_other
+  FROM odd GROUP BY pos)"""
+
+
+@query(
+    "importance_of_odd_vectors",
+    f"""
+WITH {ODD_SQL}
+SELECT CAST(pos AS INTEGER) AS pos, n, n_other,
+       CAST(row_number() OVER (ORDER BY mean_sq DESC, pos) - 1 AS INTEGER) AS rank
+FROM stats""",
+)
+def _(spark, sf_dir):
+    stats = channel_stats(odd_vectors(spark, sf_dir), "embedding")
+    return importance(stats).join(stats.select("pos", "n", "n_other"), "pos")
+
+
+@query(
+    "int8_row_of_odd_vectors",
+    f"""
+WITH {ODD_SQL},
+sound AS (SELECT vec_id FROM odd GROUP BY vec_id HAVING bool_and(fine)),
+scaled AS (
+  SELECT vec_id, pos, x, max(abs(x)) OVER (PARTITION BY vec_id) / 127 AS scale
+  FROM odd JOIN sound USING (vec_id)),
+coded AS (
+  SELECT vec_id, string_agg(CAST(CAST({int_code_sql("x", "scale", 127)} AS INTEGER) AS VARCHAR), ',' ORDER BY pos) AS codes
+  FROM scaled GROUP BY vec_id)
+SELECT vec_id, CASE WHEN vec_id % 13 = 1 THEN '' ELSE codes END AS codes
+FROM embeddings LEFT JOIN coded USING (vec_id)""",
+)
+def _(spark, sf_dir):
+    coded = int_codes(odd_vectors(spark, sf_dir), "embedding", 8)
+    return coded.select("vec_id", joined("codes").alias("codes"))
+
+
 @query(
     "second_moment",
     f"""
@@ -1191,14 +1398,22 @@ def _(spark, sf_dir):
     return cells.withColumn("h", F.round("h", 8))
 
 
-@query("quantized_written", f"WITH {VALUES_SQL}, {grouped_sql(8, 32)} {CODES_SQL}")
+@query(
+    "codes_written",
+    f"""
+WITH {VALUES_SQL}, {grouped_sql(8, 32)}
+SELECT *, (SELECT CAST(count(*) AS BIGINT) FROM vals) AS n_values FROM ({CODES_SQL})""",
+)
 def _(spark, sf_dir):
-    path = scratch_path(spark, "quantized")
+    path = scratch_path(spark, "codes")
     vectors = embeddings(spark, sf_dir)
     stats = channel_stats(vectors, "embedding")
-    coded = quantize_int(vectors, "embedding", 8, "group", 32)
-    write_quantized(coded, path, "embedding", {"stats": stats})
-    return code_rows(spark.read.parquet(f"{path}/rows"))
+    coded = int_codes(vectors, "embedding", 8, "group", 32)
+    write_codes(coded, path, "embedding", {"stats": stats})
+    rows = code_rows(spark.read.parquet(f"{path}/rows"))
+    # the shared table is read back too: its dimensions and the values in them
+    shared = spark.read.parquet(f"{path}/stats").agg(F.sum("n").alias("n_values")).scalar()
+    return rows.withColumn("n_values", shared)
 
 
 @query(
@@ -1221,7 +1436,8 @@ def _(spark, sf_dir):
 
 # --- run logs ------------------------------------------------------------------------------------
 
-# Line numbers 1 to 7 stand for the seven modules of a layer, orders for layers.
+# The modules of a layer and the passes they share. Line numbers 1 to 7 stand for them,
+# orders for layers.
 MODULES = (
     "self_attn.k_proj",
     "self_attn.v_proj",
@@ -1239,7 +1455,7 @@ def fixed(number: Column | str, digits: int) -> Column:
     return number.cast(f"decimal(20,{digits})").cast("string")
 
 
-def write_logs(spark: SparkSession, sf_dir: str) -> str:
+def write_logs(spark: SparkSession, sf_dir: str, newline: str = "\n", close: str = "}") -> str:
     """The whole of lineitem as run logs, one per return flag and line status."""
     path = scratch_path(spark, "runs")
     line = F.col("l_linenumber")
@@ -1259,11 +1475,13 @@ def write_logs(spark: SparkSession, sf_dir: str) -> str:
     name = F.concat(
         F.lit("gptq_log_"),
         F.concat("l_returnflag", "l_linestatus"),
-        F.lit("_time_05_27_2025_15h_14m_09s.log"),
+        F.lit("_time_02_03_2031_04h_05m_06s.log"),
     )
     (
         table(spark, sf_dir, "lineitem")
         .select(name.alias("log"), F.to_json(record, {"pretty": "true"}).alias("value"))
+        .withColumn("value", F.regexp_replace("value", "\n", newline))
+        .withColumn("value", F.concat(F.expr("left(value, length(value) - 1)"), F.lit(close)))
         .write.partitionBy("log")
         .text(path)
     )
@@ -1282,21 +1500,36 @@ logs AS (
   FROM lineitem)"""
 
 
-@query(
-    "run_logs",
-    f"""
+RUN_LOGS_SQL = f"""
 WITH {LOGS_SQL}
-SELECT run, '2025-05-27 15:14:09' AS started, layer, module, loss, samples, damp, time, fwd_time
-FROM logs""",
-)
-def _(spark, sf_dir):
-    logs = read_run_logs(spark, write_logs(spark, sf_dir))
+SELECT run, '2031-02-03 04:05:06' AS started, layer, module, loss, samples, damp, time, fwd_time
+FROM logs"""
+
+
+def run_log_rows(logs: DataFrame) -> DataFrame:
     return logs.select(
         "run", F.col("started").cast("string").alias("started"), "layer", "module", "loss",
         "samples", "damp", "time", "fwd_time",
     )
 
 
+@query("run_logs", RUN_LOGS_SQL)
+def _(spark, sf_dir):
+    return run_log_rows(read_run_logs(spark, write_logs(spark, sf_dir)))
+
+
+@query("run_logs_crlf", RUN_LOGS_SQL)
+def _(spark, sf_dir):
+    # carriage returns within and behind every record, and blanks behind its brace
+    return run_log_rows(read_run_logs(spark, write_logs(spark, sf_dir, "\r\n", "}  \r")))
+
+
+@query("run_logs_compact", RUN_LOGS_SQL)
+def _(spark, sf_dir):
+    # objects of one line, three on a line
+    return run_log_rows(read_run_logs(spark, write_logs(spark, sf_dir, "", "}")))
+
+
 @query(
     "run_summary",
     f"""
@@ -1305,14 +1538,18 @@ stages AS (
   SELECT run, layer, stage, count(*) AS modules, sum(time) AS time, max(fwd_time) AS fwd_time,
          max(loss) AS max_loss, max(damp) AS max_damp
   FROM logs GROUP BY run, layer, stage)
-SELECT run, layer, CAST(sum(modules) AS BIGINT) AS modules, round(sum(time), 6) AS time,
+SELECT run, '2031-02-03 04:05:06' AS started, layer, CAST(sum(modules) AS BIGINT) AS modules, round(sum(time), 6) AS time,
        round(sum(fwd_time), 6) AS fwd_time, max(max_loss) AS max_loss, max(max_damp) AS max_damp
 FROM stages GROUP BY run, layer""",
 )
 def _(spark, sf_dir):
     summary = run_summary(read_run_logs(spark, write_logs(spark, sf_dir)))
-    return summary.withColumn("time", F.round("time", 6)).withColumn(
-        "fwd_time", F.round("fwd_time", 6)
+    return summary.withColumns(
+        {
+            "started": F.col("started").cast("string"),
+            "time": F.round("time", 6),
+            "fwd_time": F.round("fwd_time", 6),
+        }
     )
 
 

@@ -2,24 +2,22 @@
 
 from calibrel.functions.chat import (
     CHATML,
+    LABELS,
     ROLE_HEADERS,
     Layout,
     as_turns,
     convert,
+    convert_turns,
     dropped_turns,
     map_role,
     render,
 )
 from calibrel.functions.names import artifact_name, contains_ignoring_case, pad_fallback
-from calibrel.functions.tokens import (
-    attention_mask,
-    lookup_tokenizer,
-    tokenize,
-    truncate,
-)
+from calibrel.functions.tokens import attention_mask, tokenize, truncate
 
 __all__ = [
     "CHATML",
+    "LABELS",
     "ROLE_HEADERS",
     "Layout",
     "artifact_name",
@@ -27,8 +25,8 @@ __all__ = [
     "attention_mask",
     "contains_ignoring_case",
     "convert",
+    "convert_turns",
     "dropped_turns",
-    "lookup_tokenizer",
     "map_role",
     "pad_fallback",
     "render",

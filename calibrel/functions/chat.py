@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 from itertools import chain
 
 from pyspark.sql import Column
@@ -38,6 +39,29 @@ class Layout:
     after_content: str
     generation_prompt: str
     strip_content: bool = False
+    # roles written differently, or with other text around their turns: role -> text
+    role_names: Mapping[str, str] = field(default_factory=dict)
+    before_role_of: Mapping[str, str] = field(default_factory=dict)
+    after_role_of: Mapping[str, str] = field(default_factory=dict)
+    after_content_of: Mapping[str, str] = field(default_factory=dict)
+    # whether the role itself is written
+    writes_role: bool = True
+
+    def around(self, role: Column) -> tuple[Column, Column, Column, Column]:
+        """What stands before the role, the role, and what follows it and the content."""
+
+        def chosen(usual: Column, special: Mapping[str, str]) -> Column:
+            for name, text in special.items():
+                usual = F.when(role == name, F.lit(text)).otherwise(usual)
+            return usual
+
+        written = chosen(role, self.role_names) if self.writes_role else F.lit("")
+        return (
+            chosen(F.lit(self.before_role), self.before_role_of),
+            written,
+            chosen(F.lit(self.after_role), self.after_role_of),
+            chosen(F.lit(self.after_content), self.after_content_of),
+        )
 
 
 # Two public chat layouts.
@@ -58,14 +82,30 @@ CHATML = Layout(
 )
 
 
-def map_role(role: Column, strict: bool = False) -> Column:
-    """Chat role of a source role. Unknown names pass through, or fail the job if strict."""
+# An invented layout whose text depends on the role.
+LABELS = Layout(
+    bos="<s>",
+    before_role="",
+    after_role=": ",
+    after_content="\n",
+    generation_prompt="Assistant:",
+    role_names={"user": "User", "assistant": "Assistant"},
+    before_role_of={"assistant": "\n"},
+    after_content_of={"assistant": "</s>\n"},
+)
+
+
+def map_role(role: Column, strict: bool = False, tolerant: bool = False) -> Column:
+    """Chat role of a source role. Unknown names pass through; if strict they fail the job, or
+    give null where ``tolerant``."""
     names = STRICT_ROLES if strict else LENIENT_ROLES
     table = F.create_map(*[F.lit(x) for x in chain.from_iterable(names.items())])
+    if strict and tolerant:
+        return F.try_element_at(table, role)
     if strict:
         unknown = F.concat(F.lit("unknown role: "), F.coalesce(role, F.lit("null")))
-        return F.coalesce(table[role], F.raise_error(unknown).cast("string"))
-    return F.coalesce(table[role], role)
+        return F.coalesce(F.try_element_at(table, role), F.raise_error(unknown).cast("string"))
+    return F.coalesce(F.try_element_at(table, role), role)
 
 
 def as_turns(shape: str, role: Column, text: Column) -> Column:
@@ -86,20 +126,25 @@ def _is_chat(turn: Column) -> Column:
     return turn["role"].isNotNull() & turn["content"].isNotNull()
 
 
-def convert(conversations: Column, mode: str = "lenient") -> Column:
+def convert(conversations: Column, mode: str = "lenient", tolerant: bool = False) -> Column:
     """Chat turns of a mixed array.
 
     ``lenient``: ``from``/``value`` wins, else ``role``/``content`` as it is, else the turn
     is dropped. ``strict``: every turn is read as ``from``/``value``; an unknown role or a
-    turn without them fails the job. ``as_is``: every turn is read as ``role``/``content``.
+    turn without them fails the job, or has a null role or content where ``tolerant``, so that the
+    conversation cannot be rendered. ``as_is``: every turn is read as ``role``/``content``.
     """
     if mode == "strict":
         return F.transform(
             conversations,
             lambda t: F.struct(
-                map_role(t["from"], strict=True).alias("role"),
-                F.coalesce(
-                    t["value"], F.raise_error(F.lit("turn without value")).cast("string")
+                map_role(t["from"], True, tolerant).alias("role"),
+                (
+                    t["value"]
+                    if tolerant
+                    else F.coalesce(
+                        t["value"], F.raise_error(F.lit("turn without value")).cast("string")
+                    )
                 ).alias("content"),
             ),
         )
@@ -120,6 +165,21 @@ def convert(conversations: Column, mode: str = "lenient") -> Column:
     )
 
 
+def convert_turns(
+    conversations: Column, mode: str = "lenient", start: Column | int = 0, tolerant: bool = False
+) -> Column:
+    """The chat turns as ``(position, role, content)``; positions count dropped turns too."""
+    first = F.lit(start) if isinstance(start, int) else start
+    placed = F.transform(
+        conversations,
+        lambda t, i: F.transform(
+            convert(F.array(t), mode, tolerant),
+            lambda c: F.struct((first + i).cast("bigint").alias("position"), c["role"], c["content"]),
+        ),
+    )
+    return F.flatten(placed)
+
+
 def dropped_turns(conversations: Column) -> Column:
     """Number of turns in neither shape, which the lenient mode drops."""
     return F.size(F.filter(conversations, lambda t: ~(_is_sharegpt(t) | _is_chat(t))))
@@ -140,13 +200,8 @@ def render(
 
     def turn_text(t: Column) -> Column:
         content = F.btrim(t["content"], F.lit(WHITESPACE)) if layout.strip_content else t["content"]
-        return F.concat(
-            F.lit(layout.before_role),
-            t["role"],
-            F.lit(layout.after_role),
-            content,
-            F.lit(layout.after_content),
-        )
+        before, role, after_role, after_content = layout.around(t["role"])
+        return F.concat(before, role, after_role, content, after_content)
 
     whole = F.forall(chat, lambda t: t["role"].isNotNull() & t["content"].isNotNull())
     body = F.array_join(F.transform(chat, turn_text), "")

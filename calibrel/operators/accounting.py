@@ -11,7 +11,8 @@ REASONS = ("missing", "error", "few_turns", "short", "ok")
 def merged_facts() -> list[Column]:
     """Aggregates that make the facts of parts into facts of their whole.
 
-    They can be taken in steps. The digests of several parts are combined by exclusive or.
+    They can be taken in steps. Digests are an exclusive or over turns, so that of a whole is the
+    one of its parts.
     """
     return [
         F.bool_or("missing").alias("missing"),

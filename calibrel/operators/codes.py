@@ -23,6 +23,13 @@ def _abs_max(values: Column) -> Column:
     return F.greatest(F.array_max(values), -F.array_min(values))
 
 
+def finite(values: Column) -> Column:
+    """The vector as doubles; null if it or one of its values is null, NaN or infinite."""
+    infinite = F.lit(float("inf"))
+    sound = F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < infinite))
+    return F.when(sound, values.cast("array<double>"))
+
+
 def _divisors(scales: Column | str) -> Column:
     """The scales, with 1 for 0: an all-zero group gets codes 0."""
     return F.transform(scales, lambda s: F.when(s == 0, F.lit(1.0)).otherwise(s))
@@ -60,7 +67,7 @@ def channel_scales(stats: DataFrame, largest: float) -> DataFrame:
     return stats.select("pos", (F.col("abs_max") / largest).alias("scale"))
 
 
-def quantize_int(
+def int_codes(
     df: DataFrame,
     vec: str,
     bits: int = 8,
@@ -72,6 +79,7 @@ def quantize_int(
     """Adds ``codes`` and, unless per channel, ``scales``.
 
     Codes are rounded half to even and lie in ``[-qmax, qmax]``, ``qmax = 2 ** (bits - 1) - 1``.
+    A vector that holds a null, a NaN or an infinite value has null codes and scales.
     ``row``: one scale per vector. ``group``: one per ``group_size`` dimensions, taken in
     their natural order or in order of importance; codes always stand at their own
     dimension. Both need no shuffle. ``channel``: one scale per dimension for the whole
@@ -83,19 +91,18 @@ def quantize_int(
         raise ValueError(f"unknown order {order!r}")
     if (per == "group") != (group_size is not None):
         raise ValueError("group_size belongs to per='group'")
-    wide = df.withColumn("_x", F.col(vec).cast("array<double>"))
+
+    # given statistics may be smaller than the values, and a tiny scale may lose digits
+    def code(x: Column, d: Column) -> Column:
+        near = F.rint(x / d)
+        return F.greatest(F.least(near, F.lit(float(qmax))), F.lit(float(-qmax))).cast("tinyint")
+
+    wide = df.withColumn("_x", finite(F.col(vec)))
     if per == "channel" or order == "importance":
         stats = channel_stats(df, vec) if stats is None else stats
     if per == "channel":
         wide = with_channels(wide, "_scales", channel_scales(stats, qmax), "scale")
-        # given statistics may be smaller than the values, so the codes are clipped
-        codes = F.zip_with(
-            "_x",
-            _divisors("_scales"),
-            lambda x, d: F.greatest(
-                F.least(F.rint(x / d), F.lit(float(qmax))), F.lit(float(-qmax))
-            ).cast("tinyint"),
-        )
+        codes = F.zip_with("_x", _divisors("_scales"), code)
         return wide.withColumn("codes", codes).drop("_x", "_scales")
     if per not in ("row", "group"):
         raise ValueError(f"unknown per {per!r}")
@@ -106,14 +113,16 @@ def quantize_int(
         )
     wide = (
         wide.withColumn("_groups", split_groups(F.col("_x"), group_size))
-        .withColumn("scales", F.transform("_groups", lambda g: _abs_max(g) / qmax))
+        .withColumn(
+            "scales", F.when(F.col("_x").isNotNull(), F.transform("_groups", lambda g: _abs_max(g) / qmax))
+        )
         .withColumn(
             "codes",
             F.flatten(
                 F.zip_with(
                     "_groups",
                     _divisors("scales"),
-                    lambda g, d: F.transform(g, lambda x: F.rint(x / d).cast("tinyint")),
+                    lambda g, d: F.transform(g, lambda x: code(x, d)),
                 )
             ),
         )
@@ -170,16 +179,17 @@ def _to_fp8(y: Column, step: Column) -> Column:
     return F.when(y == 0, F.lit(0.0)).otherwise(clipped)
 
 
-def quantize_fp8(
+def fp8_codes(
     df: DataFrame, vec: str, per: str = "row", stats: DataFrame | None = None
 ) -> DataFrame:
     """Adds ``codes``, the E4M3 values as doubles, and per row their ``scales``.
 
+    A vector that holds a null, a NaN or an infinite value has null codes and scales.
     ``channel`` takes one scale per dimension from ``stats``; read them with
     ``channel_scales(stats, FP8_MAX)``. ``dequantize`` turns either back.
     """
 
-    wide = df.withColumn("_x", F.col(vec).cast("array<double>"))
+    wide = df.withColumn("_x", finite(F.col(vec)))
     if per == "channel":
         stats = channel_stats(df, vec) if stats is None else stats
         wide = with_channels(wide, "_scales", channel_scales(stats, FP8_MAX), "scale")
@@ -188,7 +198,8 @@ def quantize_fp8(
         of_row = F.zip_with(
             F.array("_x"), _divisors("scales"), lambda g, d: F.transform(g, lambda x: x / d)
         )
-        wide = wide.withColumn("scales", F.array(_abs_max(F.col("_x")) / FP8_MAX)).withColumn(
+        scale = F.when(F.col("_x").isNotNull(), F.array(_abs_max(F.col("_x")) / FP8_MAX))
+        wide = wide.withColumn("scales", scale).withColumn(
             "_y", F.flatten(of_row)
         )
     else:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibrel.operators.quantize import split_groups
+from calibrel.operators.codes import split_groups
 from calibrel.operators.stats import with_channels
 
 
@@ -24,6 +24,8 @@ def recon_error(
 ) -> DataFrame:
     """Mean squared error of the decoded vectors, per ``row``, per ``group`` or in ``total``.
 
+    Vectors without codes count in no mean; a mean over nothing, or over weights that are all
+    zero, is null.
     ``weights`` (``channel_stats``) weighs each dimension by its mean square.
     """
     errors = F.zip_with(
@@ -32,10 +34,11 @@ def recon_error(
     if weights is None:
         weighed = df.withColumn("_shares", F.transform(decoded, lambda _: F.lit(1.0)))
     else:
-        weighed = with_channels(df, "_shares", weights, "mean_sq")
+        weighed = with_channels(df, "_shares", weights, F.coalesce("mean_sq", F.lit(0.0)))
+        weighed = weighed.withColumn("_shares", F.when(F.col(decoded).isNotNull(), F.col("_shares")))
     measured = weighed.withColumn("_errors", F.zip_with(errors, "_shares", lambda e, w: e * w))
     if by == "row":
-        mse = _total(F.col("_errors")) / _total(F.col("_shares"))
+        mse = F.try_divide(_total(F.col("_errors")), _total(F.col("_shares")))
         return measured.select(*([key] if key else []), mse.alias("mse"))
     if by == "group":
         pairs = F.zip_with(
@@ -46,10 +49,10 @@ def recon_error(
         return (
             measured.select(F.posexplode(pairs).alias("grp", "pair"))
             .groupBy("grp")
-            .agg((F.sum("pair.e") / F.sum("pair.w")).alias("mse"))
+            .agg(F.try_divide(F.sum("pair.e"), F.sum("pair.w")).alias("mse"))
         )
     if by != "total":
         raise ValueError(f"unknown by {by!r}")
     return measured.agg(
-        (F.sum(_total(F.col("_errors"))) / F.sum(_total(F.col("_shares")))).alias("mse")
+        F.try_divide(F.sum(_total(F.col("_errors"))), F.sum(_total(F.col("_shares")))).alias("mse")
     )

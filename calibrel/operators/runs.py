@@ -27,19 +27,20 @@ def stage_of(module: Column) -> Column:
 
 
 def run_summary(logs: DataFrame) -> DataFrame:
-    """Per run and layer: modules, time, forward time, largest loss and damping.
+    """Per run, start and layer: modules, time, forward time, largest loss and damping.
 
     Modules of one stage repeat the forward time of their shared pass, so it counts once
-    per stage.
+    per stage. Records that could not be parsed are left out; runs of one name are told apart
+    by their start.
     """
-    stages = logs.groupBy("run", "layer", stage_of(F.col("module")).alias("stage")).agg(
+    stages = logs.filter(F.col("bad_record").isNull()).groupBy("run", "started", "layer", stage_of(F.col("module")).alias("stage")).agg(
         F.count(F.lit(1)).alias("modules"),
         F.sum("time").alias("time"),
         F.max("fwd_time").alias("fwd_time"),
         F.max("loss").alias("max_loss"),
         F.max("damp").alias("max_damp"),
     )
-    return stages.groupBy("run", "layer").agg(
+    return stages.groupBy("run", "started", "layer").agg(
         F.sum("modules").alias("modules"),
         F.sum("time").alias("time"),
         F.sum("fwd_time").alias("fwd_time"),
@@ -59,7 +60,7 @@ def run_compare(logs: DataFrame, left: str, right: str) -> DataFrame:
         return F.when(F.col("run") == run, F.col(value))
 
     return (
-        logs.filter(F.col("run").isin(left, right))
+        logs.filter(F.col("run").isin(left, right) & F.col("bad_record").isNull())
         .groupBy("layer", "module")
         .agg(
             F.max(of(left, "loss")).alias("left_loss"),

@@ -5,15 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibrel.session import checkpointed
-
 SEED = 42
-# Up to this many rows the n smallest keys are merged in one task; beyond it by cutting.
-SORT_ROWS = 100_000
-# A sampled key table up to this many rows may be broadcast.
-BROADCAST_ROWS = 100_000
-# Hex digits of the shuffle key looked at per round of cutting.
-CUT_DIGITS = 4
+# Hex digits of the shuffle key counted per round, and the keys left that are read one by one.
+CUT_DIGITS = 3
+LAST_KEYS = 4096
+BROADCAST_BYTES = 32 << 20
 
 
 def shuffle_key(key: Column, seed: int = SEED) -> Column:
@@ -21,89 +17,86 @@ def shuffle_key(key: Column, seed: int = SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def sample_n(
-    df: DataFrame,
-    key: str,
-    n: int,
-    seed: int = SEED,
-    on_short: str = "error",
-    sort_rows: int = SORT_ROWS,
-) -> DataFrame:
-    """The first n rows of the shuffled order, with the column ``shuffle_key``.
+def sample_bound(df: DataFrame, key: str, n: int, seed: int = SEED, on_short: str = "error") -> str | None:
+    """The n-th shuffle key in order; null if there are no more than n keys.
 
-    ``key`` identifies a row. Fewer than n rows are an error, or are all taken with
-    ``on_short="truncate"``. A large n is found by cutting the key space, so no task holds
-    the sample; its rows then come in no order.
+    Keys are counted by their leading digits, round after round within the digits that hold the
+    bound, until a few thousand are left to look at. Only counts and those reach the driver, and
+    nothing is sorted, whatever n is.
     """
     if on_short not in ("error", "truncate"):
         raise ValueError(f"unknown on_short {on_short!r}")
-    if on_short == "error":
-        found = df.select(key).limit(n).count()
-        if found < n:
-            raise ValueError(f"{n} rows asked for, {found} found")
-    keyed = df.withColumn("shuffle_key", shuffle_key(F.col(key), seed))
-    taken = None
-    digits = 0
-    while n > sort_rows and digits < 32:
-        digit = F.substring("shuffle_key", digits + 1, CUT_DIGITS)
+    if n < 0:
+        raise ValueError(f"cannot take {n} rows")
+    keyed = df.filter(F.col(key).isNotNull()).select(shuffle_key(F.col(key), seed).alias("shuffle_key"))
+    prefix, below, first = "", 0, True
+    while True:
+        digits = F.substring("shuffle_key", 1, len(prefix) + CUT_DIGITS).alias("digits")
+        inside = keyed.filter(F.col("shuffle_key").startswith(prefix))
         # 16 ** CUT_DIGITS rows at most, whatever the size of the table
-        counts = sorted(keyed.groupBy(digit.alias("digit")).count().collect())
-        cut, below = None, 0
-        for row in counts:
-            if below + row["count"] > n:
-                cut = row["digit"]
+        counts = sorted((r["digits"], r["count"]) for r in inside.groupBy(digits).count().collect())
+        found = sum(c for _, c in counts)
+        if first and found <= n:
+            if found < n and on_short == "error":
+                raise ValueError(f"{n} rows asked for, {found} found")
+            return None
+        if n == 0:
+            return ""
+        first = False
+        for prefix, count in counts:
+            if below + count >= n:
                 break
-            below += row["count"]
-        if cut is None:
-            taken_here, keyed_next = keyed, None
-        else:
-            taken_here, keyed_next = keyed.filter(digit < cut), keyed.filter(digit == cut)
-        taken = taken_here if taken is None else taken.unionByName(taken_here)
-        if keyed_next is None:
-            return taken
-        keyed, n = keyed_next, n - below
-        digits += CUT_DIGITS
-    rest = keyed.orderBy("shuffle_key", key).limit(n)
-    return rest if taken is None else taken.unionByName(rest)
-
-
-def sample_keys(df: DataFrame, key: str, n: int, seed: int, on_short: str) -> DataFrame:
-    """The sampled keys only, drawn once however often the sample is read afterwards."""
-    if on_short not in ("error", "truncate"):
-        raise ValueError(f"unknown on_short {on_short!r}")
-    keys = checkpointed(sample_n(df, key, n, seed, "truncate").select(key))
-    if on_short == "error":
-        found = keys.count()
-        if found < n:
-            raise ValueError(f"{n} rows asked for, {found} found")
-    return keys
+            below += count
+        if count <= LAST_KEYS or len(prefix) >= 32:
+            left = keyed.filter(F.col("shuffle_key").startswith(prefix)).collect()
+            return sorted(r["shuffle_key"] for r in left)[n - below - 1]
+
+
+def sample_n(df: DataFrame, key: str, n: int, seed: int = SEED, on_short: str = "error") -> DataFrame:
+    """The first n rows of the shuffled order, in no order, with the column ``shuffle_key``.
 
+    ``key`` identifies a row; rows without one are never taken. Fewer than n rows are an error,
+    or are all taken with ``on_short="truncate"``. The sample is a filter on the shuffle key, so
+    no task gathers it and it can be read anew at no more than a scan.
+    """
+    return taken_by(df, key, sample_bound(df.select(key), key, n, seed, on_short), seed)
+
+
+def taken_by(df: DataFrame, key: str, bound: str | None, seed: int = SEED) -> DataFrame:
+    """The rows up to a bound, with the column ``shuffle_key``; all rows with a key without one."""
+    keyed = df.filter(F.col(key).isNotNull()).withColumn("shuffle_key", shuffle_key(F.col(key), seed))
+    return keyed if bound is None else keyed.filter(F.col("shuffle_key") <= bound)
 
-def fetch_sampled(df: DataFrame, keys: DataFrame, key: str, n: int) -> DataFrame:
-    """The rows of ``df`` whose key was sampled; ``keys`` has at most n rows."""
-    if n <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
-    return df.join(keys, key, "left_semi")
+
+def fetch_sampled(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose key is in a table of keys, sent along where it is small in bytes."""
+    size = keys.agg(F.sum(16 + F.coalesce(F.octet_length(F.col(key).cast("string")), F.lit(0)))).first()[0]
+    return df.join(F.broadcast(keys) if (size or 0) <= BROADCAST_BYTES else keys, key, "left_semi")
 
 
 def sample_rows(
     df: DataFrame, key: str, n: int, seed: int = SEED, on_short: str = "error"
 ) -> DataFrame:
     """Samples n keys from the narrow key column, then reads the wide rows of those only."""
-    return fetch_sampled(df, sample_keys(df.select(key), key, n, seed, on_short), key, n)
+    return sample_n(df, key, n, seed, on_short).drop("shuffle_key")
 
 
 def sample_conversations(
     turns: DataFrame, n: int, seed: int = SEED, on_short: str = "error", key: str = "conv_id"
 ) -> DataFrame:
     """All turn rows of n sampled conversations of a flat table."""
-    keys = sample_keys(turns.select(key).distinct(), key, n, seed, on_short)
-    return fetch_sampled(turns, keys, key, n)
+    bound = sample_bound(turns.select(key).distinct(), key, n, seed, on_short)
+    return taken_by(turns, key, bound, seed).drop("shuffle_key")
 
 
 def peek(df: DataFrame, key: str, n: int = 1, turns: int | None = None) -> DataFrame:
-    """The first n rows by key, with the first turns of each conversation for inspection."""
-    first = df.orderBy(key).limit(n)
+    """The first n rows by key and part, with the first turns of each for inspection."""
+    first = df.orderBy(key, *(["part"] if "part" in df.columns else [])).limit(n)
     if turns is None:
         return first
     return first.withColumn("conversations", F.slice("conversations", 1, turns))
+
+
+def first_conversations(turns: DataFrame, n: int = 1, key: str = "conv_id") -> DataFrame:
+    """All turn rows of the n smallest keys, found in the narrow key column."""
+    return fetch_sampled(turns, turns.select(key).distinct().orderBy(key).limit(n), key)

@@ -10,24 +10,30 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CELLS_PER_BATCH = 1 << 16
+from calibrel.session import checkpointed
+
+# Dimensions of a block of the second moment, and tasks whose blocks are added first.
+BLOCK = 64
+FAN_IN = 64
 
 
 def channel_stats(df: DataFrame, vec: str) -> DataFrame:
-    """``(pos, abs_max, mean, mean_sq, n)``, one row per dimension.
+    """``(pos, abs_max, mean, mean_sq, n, n_other)``, one row per dimension.
 
-    Values are summed per task before the shuffle, which carries one row per dimension
-    and task.
+    Only finite values count; ``n_other`` is how many others there are. Values are summed per
+    task before the shuffle, which carries one row per dimension and task.
     """
-    value = F.col("value")
+    infinite = F.lit(float("inf"))
+    value = F.when(~F.isnan("value") & (F.abs("value") < infinite), F.col("value"))
     return (
         df.select(F.posexplode(F.col(vec).cast("array<double>")).alias("pos", "value"))
         .groupBy("pos")
         .agg(
-            F.max(F.abs(value)).alias("abs_max"),
+            F.coalesce(F.max(F.abs(value)), F.lit(0.0)).alias("abs_max"),
             F.avg(value).alias("mean"),
             F.avg(value * value).alias("mean_sq"),
             F.count(value).alias("n"),
+            F.count_if(value.isNull()).alias("n_other"),
         )
     )
 
@@ -47,66 +53,97 @@ def with_channels(df: DataFrame, name: str, stats: DataFrame, value: Column | st
 def importance(stats: DataFrame) -> DataFrame:
     """``(pos, rank)``: dimensions by mean square, largest first, ranks from 0.
 
-    Works on one row per dimension. Mean squares that agree to 12 digits count as equal,
-    so the order does not hang on the order of summation.
+    Works on one row per dimension. Equal mean squares go by position; a dimension without
+    finite values comes last.
     """
-    entry = F.struct((-F.round("mean_sq", 12)).alias("mean_sq"), F.col("pos").alias("pos"))
+    entry = F.struct((-F.coalesce("mean_sq", F.lit(-1.0))).alias("mean_sq"), F.col("pos").alias("pos"))
     return stats.agg(F.array_sort(F.collect_list(entry)).alias("ordered")).select(
         F.posexplode("ordered.pos").alias("rank", "pos")
     ).select("pos", "rank")
 
 
-def second_moment(df: DataFrame, vec: str, damp: float = 0.01) -> DataFrame:
-    """``(i, j, h)`` of ``H = X'X / n`` with ``damp * mean(diag H)`` added on the diagonal.
+def _partial_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks on and above the diagonal of the sum of ``x'x`` over one task."""
+    total, n = None, 0
+    for batch in batches:
+        vectors = batch.column(0).drop_null()
+        if len(vectors) == 0:
+            continue
+        lengths = np.unique(pc.list_value_length(vectors).to_numpy(zero_copy_only=False))
+        if lengths.size > 1 or (total is not None and total.shape[0] != lengths[0]):
+            raise ValueError("vectors differ in length")
+        flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        x = flat.reshape(len(vectors), lengths[0])
+        x = x[np.isfinite(x).all(axis=1)]
+        total = x.T @ x if total is None else total + x.T @ x
+        n += len(x)
+    if total is None:
+        return
+    d = total.shape[0]
+    for top in range(0, d, BLOCK):
+        for left in range(top, d, BLOCK):
+            cells = np.ascontiguousarray(total[top : top + BLOCK, left : left + BLOCK])
+            yield _block(top, left, cells, n)
+
+
+def _block(top: int, left: int, cells: np.ndarray, n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(
+        {
+            "top": pa.array([top], pa.int32()),
+            "left": pa.array([left], pa.int32()),
+            "width": pa.array([cells.shape[1]], pa.int32()),
+            "cells": pa.array([cells.tobytes()], pa.binary()),
+            "n": pa.array([n], pa.int64()),
+        }
+    )
 
-    Each task multiplies its Arrow batches and sends one upper triangle; the sums over
-    tasks are combined by cell. What is shuffled grows with the number of tasks, not of
-    rows: for vectors of thousands of dimensions raise ``spark.sql.files.maxPartitionBytes``.
-    """
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = None, 0
-        for batch in batches:
-            vectors = batch.column(0).drop_null()
-            if len(vectors) == 0:
-                continue
-            lengths = np.unique(pc.list_value_length(vectors).to_numpy(zero_copy_only=False))
-            if lengths.size > 1 or (total is not None and total.shape[0] != lengths[0]):
-                raise ValueError("vectors differ in length")
-            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            x = flat.reshape(len(vectors), lengths[0])
-            total = x.T @ x if total is None else total + x.T @ x
-            n += len(vectors)
-        if total is None:
-            return
-        i, j = np.triu_indices(total.shape[0])
-        trace = float(np.trace(total)) / total.shape[0]
-        for start in range(0, i.size, CELLS_PER_BATCH):
-            rows, columns = i[start : start + CELLS_PER_BATCH], j[start : start + CELLS_PER_BATCH]
+def _summed_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of one place, which come one after the other, added up."""
+    place, total, n = None, None, 0
+    for batch in batches:
+        for row in batch.to_pylist():
+            cells = np.frombuffer(row["cells"]).reshape(-1, row["width"])
+            if (row["top"], row["left"]) != place:
+                if place is not None:
+                    yield _block(*place, total, n)
+                place, total, n = (row["top"], row["left"]), np.zeros(cells.shape), 0
+            total, n = total + cells, n + row["n"]
+    if place is not None:
+        yield _block(*place, total, n)
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            cells = np.frombuffer(row["cells"]).reshape(-1, row["width"])
+            i, j = (c.ravel() for c in np.indices(cells.shape))
+            i, j, s = i + row["top"], j + row["left"], cells.ravel()
+            mirrored = j > i if row["top"] == row["left"] else np.ones(i.size, bool)
+            kept = j >= i
             yield pa.RecordBatch.from_pydict(
                 {
-                    "i": pa.array(rows, pa.int32()),
-                    "j": pa.array(columns, pa.int32()),
-                    "s": pa.array(total[rows, columns]),
-                    "n": pa.array(np.full(rows.size, n), pa.int64()),
-                    "d": pa.array(np.full(rows.size, trace)),
+                    "i": pa.array(np.r_[i[kept], j[mirrored]], pa.int32()),
+                    "j": pa.array(np.r_[j[kept], i[mirrored]], pa.int32()),
+                    "h": pa.array(np.r_[s[kept], s[mirrored]] / max(1, row["n"])),
                 }
             )
 
-    cells = (
-        df.select(vec)
-        .mapInArrow(partial, "i int, j int, s double, n long, d double")
-        .groupBy("i", "j")
-        .agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("d").alias("d"))
-    )
-    h = F.col("s") / F.col("n")
-    damped = F.when(F.col("i") == F.col("j"), h + damp * F.col("d") / F.col("n")).otherwise(h)
-    places = F.when(
-        F.col("i") == F.col("j"), F.array(F.struct("i", "j"))
-    ).otherwise(
-        F.array(
-            F.struct("i", "j"),
-            F.struct(F.col("j").alias("i"), F.col("i").alias("j")),
-        )
-    )
-    return cells.select(F.explode(places).alias("cell"), damped.alias("h")).select("cell.*", "h")
+
+def second_moment(df: DataFrame, vec: str, damp: float = 0.01, fan_in: int = FAN_IN) -> DataFrame:
+    """``(i, j, h)`` of ``H = X'X / n`` with ``damp * mean(diag H)`` added on the diagonal.
+
+    Each task multiplies its Arrow batches and sends its blocks on and above the diagonal, 8
+    bytes a cell. Blocks are added for ``fan_in`` tasks at a time and then over all, so that no
+    task reads one block from every other. Vectors with values that are not finite count nowhere.
+    """
+    kinds = "top int, left int, width int, cells binary, n long"
+    blocks = df.select(vec).mapInArrow(_partial_products, kinds)
+    blocks = blocks.withColumn("senders", F.floor(F.spark_partition_id() / fan_in))
+    for keys in (["top", "left", "senders"], ["top", "left"]):
+        dealt = blocks.repartition(*keys).sortWithinPartitions(*keys)
+        blocks = dealt.mapInArrow(_summed_blocks, kinds)
+    cells = checkpointed(blocks.mapInArrow(_cells, "i int, j int, h double"))
+    mean = cells.filter("i = j").agg(F.avg("h").alias("mean")).scalar()
+    damped = F.when(F.col("i") == F.col("j"), F.col("h") + damp * mean).otherwise(F.col("h"))
+    return cells.withColumn("h", damped)

@@ -9,11 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from calibrel.session import checkpointed
+
 # A vocabulary within both bounds may be sent to every worker.
 SHARED_ENTRIES = 1_000_000
 SHARED_BYTES = 64 << 20
-# Copies of a larger vocabulary, among which the rows of one frequent token are spread.
-SALTS = 16
 # Hex digits that name a bucket while ids are given out.
 BUCKET_DIGITS = 3
 
@@ -23,13 +23,10 @@ def build_vocabulary(tokens: DataFrame) -> DataFrame:
 
     Ids follow the order of (leading md5 digits, token). The digits spread the distinct
     tokens evenly, so each bucket is numbered in its own task and only the bucket sizes,
-    a fixed number of rows, are summed in one place.
+    a fixed number of rows, are summed in one place. The distinct tokens are worked out once.
     """
-    distinct = (
-        tokens.select("token")
-        .distinct()
-        .withColumn("_bucket", F.substring(F.md5("token"), 1, BUCKET_DIGITS))
-    )
+    bucket = F.substring(F.md5("token"), 1, BUCKET_DIGITS)
+    distinct = checkpointed(tokens.select("token").distinct()).withColumn("_bucket", bucket)
     sizes = distinct.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
     starts = sizes.select(
         "_bucket",
@@ -46,6 +43,15 @@ def build_vocabulary(tokens: DataFrame) -> DataFrame:
     )
 
 
+def unique_entries(vocabulary: DataFrame, source: str, target: str) -> DataFrame:
+    """One entry per value of ``source``, the smallest where there are several; none for null."""
+    return (
+        vocabulary.filter(F.col(source).isNotNull())
+        .groupBy(source)
+        .agg(F.min(target).alias(target))
+    )
+
+
 def fits_workers(vocabulary: DataFrame) -> bool:
     """Whether the vocabulary is small enough to share; counts no further than the bound."""
     size = (
@@ -76,36 +82,34 @@ def _lookup(vocabulary: DataFrame, source: str, target: str, otherwise: int | st
 
 
 def _join(
-    df: DataFrame,
-    column: str,
-    source: str,
-    target: str,
-    vocabulary: DataFrame,
-    key: list[str],
-    otherwise: Column,
+    df: DataFrame, column: str, source: str, target: str, vocabulary: DataFrame, key: list[str], otherwise: int | str
 ) -> DataFrame:
     """Array to array through a vocabulary of any size.
 
-    ``key`` identifies a row, so what is gathered again is one row's own array. The rows of
-    a frequent token go to ``SALTS`` tasks, each with its copy of the vocabulary entry.
+    Rows of equal key and array are one while they are looked up. Each sends its distinct values
+    to the vocabulary and gets back the small map that its array needs; Spark splits the rows of
+    a value that very many have. Nothing but a row's own values is gathered.
     """
-    group = [*key, "_null"]
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    found = (
-        df.select(
-            *key,
-            F.col(column).isNull().alias("_null"),
-            F.posexplode_outer(column).alias("_pos", source),
-        )
-        .withColumn("_salt", F.pmod(F.hash(*key, "_pos"), F.lit(SALTS)))
-        .join(vocabulary.withColumn("_salt", salts), [source, "_salt"], "left")
+    row = [*key, "_hash"]
+    rows = (
+        df.select(*key, F.xxhash64(column).alias("_hash"), column)
+        .groupBy(*row)
+        .agg(F.any_value(column).alias(column), F.count(F.lit(1)).alias("_n"))
+    )
+    pairs = (
+        df.select(*key, F.xxhash64(column).alias("_hash"), F.explode(F.array_distinct(column)).alias(source))
+        .join(vocabulary.hint("merge"), source)
+        .groupBy(*row)
+        .agg(F.map_from_entries(F.collect_set(F.struct(source, target))).alias("_map"))
     )
-    value = F.coalesce(F.col(target), otherwise)
-    pair = F.when(F.col("_pos").isNotNull(), F.struct("_pos", value.alias("_value")))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in row]
+    value = F.transform(column, lambda t: F.coalesce(F.try_element_at("_map", t), F.lit(otherwise)))
     return (
-        found.groupBy(*group)
-        .agg(F.array_sort(F.collect_list(pair)).alias("_pairs"))
-        .select(*key, F.when(~F.col("_null"), F.col("_pairs._value")).alias(column))
+        rows.alias("r")
+        .join(pairs.alias("p"), same, "left")
+        .select(*[F.col(f"r.{c}").alias(c) for c in key], column, "_n", "_map")
+        .select(*key, value.alias(column), F.explode(F.sequence(F.lit(1), F.col("_n"))))
+        .select(*key, column)
     )
 
 
@@ -119,10 +123,15 @@ def _translate(
     otherwise: int | str,
     shared: bool | None,
 ) -> DataFrame:
-    if fits_workers(vocabulary) if shared is None else shared:
-        lookup = _lookup(vocabulary, source, target, otherwise)
-        return df.select(*key, lookup(F.col(column)).alias(column))
-    return _join(df, column, source, target, vocabulary, key, F.lit(otherwise))
+    entries = unique_entries(vocabulary, source, target)
+    if shared is not False:
+        fits = fits_workers(vocabulary)
+        if shared and not fits:
+            raise ValueError(f"a vocabulary over {SHARED_ENTRIES} entries or {SHARED_BYTES} bytes is not shared")
+        if fits:
+            lookup = _lookup(entries, source, target, otherwise)
+            return df.select(*key, lookup(F.col(column)).alias(column))
+    return _join(df, column, source, target, entries, key, otherwise)
 
 
 def encode(
@@ -136,7 +145,8 @@ def encode(
     """``(key, tokens)`` with each token replaced by its id.
 
     A vocabulary of checked size goes to the workers and nothing is shuffled; a larger one is
-    joined. ``shared`` overrules the check.
+    joined, as is any with ``shared=False``. Of several entries of a token the smallest id
+    counts, and rows of equal key stay apart, either way.
     """
     return _translate(df, tokens, "token", "id", vocabulary, key, unknown_id, shared)
 

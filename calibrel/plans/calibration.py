@@ -8,10 +8,26 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibrel.functions.chat import CHATML, ROLE_HEADERS, Layout, convert, dropped_turns, render
+from calibrel.functions.chat import (
+    CHATML,
+    ROLE_HEADERS,
+    Layout,
+    convert,
+    convert_turns,
+    dropped_turns,
+    render,
+)
 from calibrel.functions.tokens import attention_mask, tokenize, truncate
 from calibrel.operators.accounting import classify, merge_parts, merged_facts
-from calibrel.operators.assemble import assemble, long_conversations, truncate_parts
+from calibrel.operators.assemble import (
+    PART_TURNS,
+    assemble,
+    join_parts,
+    long_conversations,
+    mark_last_part,
+    split_arrays,
+    truncate_parts,
+)
 from calibrel.operators.filters import settle
 from calibrel.operators.sampling import SEED, sample_conversations, sample_rows
 from calibrel.operators.vocabulary import encode
@@ -32,6 +48,8 @@ class Calibration:
     on_error: str = "fail"
     # begin token put in front of the rendered text once more before its length is tested
     extra_bos: str | None = None
+    # text to ids by the caller's tokenizer; the length is tested and cut on what it gives
+    tokenizer: Callable[[Column], Column] | None = None
 
     @property
     def filters(self) -> bool:
@@ -58,6 +76,7 @@ def take_sample(
     shape: str = "sharegpt",
     element: Column | None = None,
     on_short: str = "error",
+    part_turns: int = PART_TURNS,
 ) -> DataFrame:
     """n sampled conversations as arrays, from array rows or from flat turn rows.
 
@@ -66,7 +85,7 @@ def take_sample(
     if "turn" not in source.columns:
         return sample_rows(source, key, options.n, options.seed, on_short)
     sampled = sample_conversations(source, options.n, options.seed, on_short, key)
-    return assemble(sampled, shape, key, element=element)
+    return assemble(sampled, shape, key, part_turns=part_turns, element=element)
 
 
 def with_text(
@@ -78,24 +97,52 @@ def with_text(
 ) -> DataFrame:
     """Adds ``chat`` and ``text`` and keeps the other columns."""
     opens = F.col("part") == 0 if "part" in rows.columns else None
+    chat = convert(F.col(column), options.mode, tolerant=options.on_error == "skip")
     text = render(F.col("chat"), options.layout, add_generation_prompt, opens, closes)
     if options.on_error == "fail":
         text = F.coalesce(
             text, F.raise_error(F.lit("conversation cannot be rendered")).cast("string")
         )
-    return rows.withColumn("chat", convert(F.col(column), options.mode)).withColumn("text", text)
+    return rows.withColumn("chat", chat).withColumn("text", text)
+
+
+def tokens_of(text: Column, options: Calibration) -> Column:
+    return options.tokenizer(text) if options.tokenizer else tokenize(text)
 
 
 def with_tokens(
     rows: DataFrame, options: Calibration, column: str = "conversations", **_
 ) -> DataFrame:
-    """Adds ``tokens`` of the whole text to what ``with_text`` adds."""
-    tokens = tokenize(F.col("text"), options.extra_bos)
+    """Adds ``tokens`` of the whole text to what ``with_text`` adds.
+
+    Tokens are ids where there is a tokenizer. The extra begin token stands before the first part.
+    """
+    text = F.col("text")
+    if options.extra_bos is None:
+        tokens = tokens_of(text, options)
+    elif options.tokenizer is None:
+        tokens = tokenize(text, options.extra_bos)
+    else:
+        tokens = options.tokenizer(F.concat(F.lit(options.extra_bos), text))
     if options.extra_bos is not None and "part" in rows.columns:
-        tokens = F.when(F.col("part") == 0, tokens).otherwise(tokenize(F.col("text")))
+        tokens = F.when(F.col("part") == 0, tokens).otherwise(tokens_of(text, options))
     return with_text(rows, options, column).withColumn("tokens", tokens)
 
 
+def turns_digest(conversations: Column, options: Calibration, start: Column | int) -> Column:
+    """Exclusive or over the turns' hashes of position, role and content."""
+    turns = convert_turns(conversations, options.mode, start, tolerant=True)
+    written = F.transform(
+        turns,
+        lambda t: F.concat(t["position"].cast("string"), F.lit(":"), t["role"], F.lit("="), t["content"]),
+    )
+    return F.aggregate(
+        written,
+        F.lit(0).cast("bigint"),
+        lambda acc, w: acc.bitwiseXOR(F.conv(F.substring(F.md5(w), 1, 15), 16, 10).cast("bigint")),
+    )
+
+
 def with_facts(
     rows: DataFrame,
     options: Calibration,
@@ -107,7 +154,7 @@ def with_facts(
     ``raw`` is the unparsed column, where there is one: null means missing, while null
     after parsing means failed.
     """
-    digest = F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("bigint")
+    start = F.col("start") if "start" in rows.columns else 0
     # filters on the facts must not render and tokenize once more
     return settle(with_tokens(rows, options, column), "chat", "text", "tokens").select(
         "*",
@@ -116,7 +163,7 @@ def with_facts(
         F.size("chat").alias("n_turns"),
         dropped_turns(F.col(column)).alias("dropped"),
         F.size("tokens").alias("n_tokens"),
-        digest.alias("digest"),
+        turns_digest(F.col(column), options, start).alias("digest"),
     )
 
 
@@ -125,21 +172,31 @@ def _classified(facts: DataFrame, options: Calibration) -> DataFrame:
 
 
 def conversation_facts(rows: DataFrame, options: Calibration, key: str = "conv_id", **read) -> DataFrame:
-    """One row per conversation: its facts and the ``reason`` it is kept or skipped for."""
+    """One row per conversation: its facts and the ``reason`` it is kept or skipped for.
+
+    The same for array rows and for parts of any size.
+    """
     facts = with_facts(rows, options, **read)
     if "part" in rows.columns:
         facts = merge_parts(facts, key)
     return _classified(facts, options)
 
 
-def split_by_length(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+def split_by_length(rows: DataFrame, key: str, column: str = "conversations") -> tuple[DataFrame, DataFrame | None]:
     """Rows that hold a whole conversation, and the parts of the longer ones if there are any.
 
     A whole conversation is judged and cut on its own row; only the long ones need their
-    parts counted together.
+    parts counted together. Array rows longer than a part are cut like parts; the rows of a
+    stream are taken as they are.
     """
     if "part" not in rows.columns:
-        return rows, None
+        rows = rows.withColumn("part", F.lit(0).cast("bigint")).withColumn("start", F.lit(0).cast("bigint"))
+        if rows.isStreaming:
+            return rows, None
+        long = F.coalesce(F.size(column) > PART_TURNS, F.lit(False))
+        if rows.filter(long).isEmpty():
+            return rows, None
+        return rows.filter(~long), split_arrays(rows.filter(long).drop("part", "start"), column)
     keys, n = long_conversations(rows, key)
     if n == 0:
         return rows, None
@@ -153,78 +210,107 @@ def _accepted_whole(rows: DataFrame, options: Calibration, **read) -> DataFrame:
     return _classified(facts, options).filter(F.col("reason") == "ok")
 
 
-def accepted(rows: DataFrame, options: Calibration, key: str = "conv_id", **read) -> DataFrame:
-    """``(key, [part,] text, tokens)`` of the conversations that pass all filters."""
-    columns = [*[c for c in (key, "part") if c in rows.columns], "text", "tokens"]
-    if not options.filters:
-        return with_tokens(rows, options, **read).select(columns)
-    whole, parts = split_by_length(rows, key)
-    kept = _accepted_whole(whole, options, **read).select(columns)
+def accepted(
+    rows: DataFrame, options: Calibration, key: str = "conv_id", column: str = "conversations", **read
+) -> DataFrame:
+    """``(key, part, text, tokens)`` of the conversations that pass all filters.
+
+    One row for up to ``PART_TURNS`` turns; longer conversations have several, cut alike
+    whatever the rows given hold.
+    """
+    columns = [key, "part", "text", "tokens"]
+    if not options.filters and "part" not in rows.columns:
+        return with_tokens(split_arrays(rows, column), options, column, **read).select(columns)
+    whole, parts = split_by_length(rows, key, column)
+    kept = _accepted_whole(whole, options, column=column, **read).select(columns)
     if parts is None:
         return kept
-    facts = with_facts(parts, options, **read)
-    passed = _classified(merge_parts(facts, key), options).filter(F.col("reason") == "ok")
-    return kept.unionByName(facts.join(passed.select(key), key, "left_semi").select(columns))
+    facts = with_facts(parts, options, column, **read)
+    if options.filters:
+        passed = _classified(merge_parts(facts, key), options).filter(F.col("reason") == "ok")
+        facts = facts.join(passed.select(key), key, "left_semi")
+    joined = join_parts(facts, key, text=lambda texts: F.array_join(texts, ""), tokens=F.flatten)
+    return kept.unionByName(joined.select(columns))
 
 
 def calibration_texts(rows: DataFrame, options: Calibration, key: str = "conv_id", **read) -> DataFrame:
-    """``(key, [part,] text)``: whole texts, uncut even where the length test cuts."""
+    """``(key, part, text)``: whole texts, uncut even where the length test cuts."""
     return accepted(rows, options, key, **read).drop("tokens")
 
 
 def _cut(
-    rows: DataFrame, options: Calibration, key: str, name: str, ids: Column, **read
+    rows: DataFrame, options: Calibration, key: str, name: str, column: str = "conversations", **read
 ) -> DataFrame:
-    """``(key, name)`` with the first ``max_length`` entries of ``ids`` per conversation."""
-    whole, parts = split_by_length(rows, key)
-    cut = _accepted_whole(whole, options, **read).select(
-        key, truncate(ids, options.max_length).alias(name)
+    """``(key, name)`` with the first ``max_length`` tokens per conversation."""
+    whole, parts = split_by_length(rows, key, column)
+    tokens = F.col("tokens")
+    if options.extra_bos is not None:
+        # the extra begin token is only tested with, never part of a set
+        tokens = tokens_of(F.col("text"), options)
+    cut = _accepted_whole(whole, options, column=column, **read).select(
+        key, truncate(tokens, options.max_length).alias(name)
     )
     if parts is None:
         return cut
     if options.filters:
-        facts = with_facts(parts, options, **read).withColumn(name, ids)
+        facts = with_facts(parts, options, column, **read).withColumn(name, tokens)
         merged = truncate_parts(facts, name, options.max_length, key, merged_facts())
         merged = _classified(merged, options).filter(F.col("reason") == "ok")
     else:
-        every = with_tokens(parts, options, **read).select(key, "part", ids.alias(name))
+        every = with_tokens(parts, options, column, **read).select(key, "part", tokens.alias(name))
         merged = truncate_parts(every, name, options.max_length, key)
     return cut.unionByName(merged.select(key, name))
 
 
 def calibration_tokens(rows: DataFrame, options: Calibration, key: str = "conv_id", **read) -> DataFrame:
-    """``(key, tokens)`` cut to ``max_length`` per conversation; uncut rows without one."""
+    """``(key, tokens)`` cut to ``max_length`` per conversation; ``(key, part, tokens)`` without one."""
     if options.max_length is not None:
-        return _cut(rows, options, key, "tokens", F.col("tokens"), **read)
-    return accepted(rows, options, key, **read).drop("text")
+        return _cut(rows, options, key, "tokens", **read)
+    kept = accepted(rows, options, key, **read)
+    if options.extra_bos is not None:
+        kept = kept.withColumn("tokens", tokens_of(F.col("text"), options))
+    return kept.drop("text")
 
 
 def calibration_ids(
     rows: DataFrame,
     options: Calibration,
     vocabulary: DataFrame | None = None,
-    tokenizer: Callable[[Column], Column] | None = None,
     key: str = "conv_id",
     unknown_id: int = -1,
+    begin: int | None = None,
+    end: int | None = None,
     **read,
 ) -> DataFrame:
     """``(key, [part,] input_ids, attention_mask)``; every other column is dropped.
 
-    Ids come from a vocabulary table or from a caller's own tokenizer.
+    Ids come from a vocabulary table or from the options' tokenizer, which is called on the text
+    of each part and must add no special tokens itself; ``begin`` and ``end`` stand before the
+    first and behind the last id of a conversation, before it is cut.
     """
-    if (vocabulary is None) == (tokenizer is None):
+    if (vocabulary is None) == (options.tokenizer is None):
         raise ValueError("give a vocabulary or a tokenizer")
+    edges = begin is not None or end is not None
+    length = options.max_length
+    tokens = calibration_tokens(rows, options, key, **read)
+    columns = [c for c in (key, "part") if c in tokens.columns]
     if vocabulary is not None:
-        tokens = calibration_tokens(rows, options, key, **read)
-        columns = [c for c in (key, "part") if c in tokens.columns]
-        ids = encode(tokens, "tokens", vocabulary, columns, unknown_id).withColumnRenamed(
-            "tokens", "input_ids"
-        )
-    elif options.max_length is not None:
-        columns = [key]
-        ids = _cut(rows, options, key, "input_ids", tokenizer(F.col("text")), **read)
+        ids = encode(tokens, "tokens", vocabulary, columns, unknown_id).withColumnRenamed("tokens", "input_ids")
     else:
-        kept = accepted(rows, options, key, **read)
-        columns = [c for c in (key, "part") if c in kept.columns]
-        ids = kept.select(*columns, tokenizer(F.col("text")).alias("input_ids"))
-    return ids.select(*columns, "input_ids", attention_mask(F.col("input_ids")).alias("attention_mask"))
+        ids = tokens.withColumnRenamed("tokens", "input_ids")
+    value = F.col("input_ids")
+    if edges:
+        if "part" in columns:
+            ids = mark_last_part(ids, key)
+        first = F.col("part") == 0 if "part" in columns else F.lit(True)
+        last = F.col("closes") if "part" in columns else F.lit(True)
+        none = F.array().cast("array<int>")
+        if begin is not None:
+            value = F.concat(F.when(first, F.array(F.lit(begin))).otherwise(none), value)
+        if end is not None:
+            value = F.concat(value, F.when(last, F.array(F.lit(end))).otherwise(none))
+        if length is not None:
+            value = truncate(value, length)
+    return ids.select(*columns, value.alias("input_ids")).withColumn(
+        "attention_mask", attention_mask(F.col("input_ids"))
+    )

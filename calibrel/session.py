@@ -21,6 +21,7 @@ def build_session(cpus: int | str = "*", app: str = "calibrel", **conf: str) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for name, value in conf.items():
         builder = builder.config(name.replace("__", "."), value)
@@ -32,7 +33,7 @@ def build_session(cpus: int | str = "*", app: str = "calibrel", **conf: str) ->
 def shared_folder(spark: SparkSession) -> str:
     """The folder ``spark.checkpoint.dir`` names, which all executors must see.
 
-    Only a ``local`` master falls back to a temporary folder of the one machine there is.
+    Where it is unset a ``local`` master gets a folder of the one machine there is; a cluster fails.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:

@@ -2,9 +2,9 @@
 
 from calibrel.sinks.files import (
     write_calibration,
-    write_quantized,
+    write_codes,
     write_sharded,
     write_text,
 )
 
-__all__ = ["write_calibration", "write_quantized", "write_sharded", "write_text"]
+__all__ = ["write_calibration", "write_codes", "write_sharded", "write_text"]

@@ -2,28 +2,94 @@
 
 from __future__ import annotations
 
-import math
+import uuid
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Rows up to this multiple of the mean size are written together, larger ones apart, in
-# classes within this factor of each other.
-USUAL_ROW = 4
-CLASS_WIDTH = 16
+from calibrel.operators.assemble import long_conversations
+from calibrel.session import checkpointed
+
+
+def _joined_lines(parts: DataFrame, key: str) -> DataFrame:
+    """Rows of several parts as rows that end where a line does.
+
+    Each row of a text file gets a newline, but a conversation's parts follow each other without
+    one. What stands after a part's last newline therefore goes before the first of the next; only
+    such pieces of one line are gathered, and they must be one row in any case.
+    """
+    counted = parts.withColumn("_lines", F.size(F.split("text", "\n", -1)) - 1)
+    # narrow: one row per part of the few conversations that have several
+    before = W.partitionBy(key).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    breaks = counted.select(key, "part", (F.col("_lines") > 0).cast("int").alias("_breaks"))
+    placed = breaks.select(
+        key, "part", F.coalesce(F.sum("_breaks").over(before), F.lit(0)).cast("bigint").alias("_line")
+    )
+    pieces = counted.join(placed, [key, "part"]).select(
+        key,
+        F.inline(
+            F.when(
+                F.col("_lines") == 0,
+                F.array(F.struct(F.col("_line"), F.lit(1).alias("_at"), "part", "text")),
+            ).otherwise(
+                F.array(
+                    F.struct("_line", F.lit(1).alias("_at"), "part", F.substring_index("text", "\n", 1).alias("text")),
+                    F.struct(
+                        "_line",
+                        F.lit(2).alias("_at"),
+                        "part",
+                        # the whole lines between the first and the last newline
+                        F.regexp_extract("text", r"(?s)^[^\n]*\n(.*)\n[^\n]*$", 1).alias("text"),
+                    ),
+                    F.struct(
+                        (F.col("_line") + 1).alias("_line"),
+                        F.lit(1).alias("_at"),
+                        "part",
+                        F.substring_index("text", "\n", -1).alias("text"),
+                    ),
+                )
+            )
+        ),
+        "_lines",
+    )
+    border = (
+        pieces.filter("_at = 1")
+        .groupBy(key, "_line")
+        .agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("_pieces"))
+        .select(key, "_line", F.lit(1).alias("_at"), F.array_join("_pieces.text", "").alias("text"))
+    )
+    return border.unionByName(pieces.filter("_at = 2 AND _lines > 1").select(key, "_line", "_at", "text"))
 
 
 def write_text(
-    df: DataFrame, path: str, order_by: tuple[Column | str, ...] = (), single_file: bool = False
+    df: DataFrame,
+    path: str,
+    order_by: tuple[Column | str, ...] = (),
+    single_file: bool = False,
+    key: str = "conv_id",
 ) -> None:
     """Each text followed by a newline, UTF-8. A text may hold newlines itself.
 
-    ``order_by`` sorts over all files, which then follow each other by name.
-    ``single_file`` writes through one task; ask for it only for a sample.
+    Rows with a column ``part`` are pieces of one text and give the same bytes as the whole.
+    They need ``order_by``, expressions on ``key`` alone, if they are to follow each other.
+    ``order_by`` sorts over all files, which then follow each other by name. ``single_file``
+    writes through one task; ask for it only for a sample.
     """
-    if order_by:
-        df = df.orderBy(*order_by)
+    order = list(order_by)
+    if "part" in df.columns:
+        several, n = long_conversations(df.select(key, "part"), key)
+        if n:
+            whole = df.join(several, key, "left_anti").select(
+                key, F.lit(0).cast("bigint").alias("_line"), F.lit(1).alias("_at"), "text"
+            )
+            # read several times below
+            parts = checkpointed(df.join(several, key, "left_semi").select(key, "part", "text"))
+            df = whole.unionByName(_joined_lines(parts, key))
+            order = [*order, "_line", "_at"] if order else []
+    if order:
+        df = df.orderBy(*order)
     if single_file:
         df = df.coalesce(1)
     df.select("text").write.text(path)
@@ -70,24 +136,37 @@ def row_bytes(df: DataFrame) -> Column:
 def write_sharded(df: DataFrame, path: str, max_bytes: int) -> None:
     """Writes files of at most ``max_bytes`` of values each; a larger row has its own file.
 
-    Spark bounds a file by rows, so rows are written in classes of similar size, each with
-    the row count that keeps its largest row times the count within the bound. Without
-    unusually large rows there is one class and one pass.
+    Spark bounds a file by rows, so rows go into classes of similar size, each with the row count
+    that keeps its largest row times the count within the bound. The input is worked out once,
+    into a staging folder beside ``path`` that is partitioned by class; each class that has rows is
+    written from there. ``path`` must not exist and appears when all its files are complete.
     """
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(target):
+        raise FileExistsError(path)
+    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
     measured = row_bytes(df)
-    sizes = df.select(measured.alias("b")).agg(F.avg("b").alias("mean"), F.max("b").alias("most"))
-    mean, most = sizes.first()
-    if not most:
-        df.write.parquet(path)
-        return
-    lower, top = -1, min(most, math.ceil(USUAL_ROW * mean))
-    while lower < most:
-        rows = df if top == most and lower < 0 else df.filter((measured > lower) & (measured <= top))
-        rows.write.mode("append").option("maxRecordsPerFile", max(1, max_bytes // top)).parquet(path)
-        lower, top = top, min(most, top * CLASS_WIDTH)
-
-
-def write_quantized(
+    # a class holds rows of sizes within a factor of two
+    classed = df.withColumn("_class", F.ceil(F.log2(F.greatest(measured, F.lit(1)))).cast("int"))
+    classed.write.partitionBy("_class").parquet(f"{staging}/in")
+    staged = spark.read.schema(classed.schema).parquet(f"{staging}/in")
+    tops = staged.groupBy("_class").agg(F.max(row_bytes(df)).alias("top")).collect()
+    try:
+        if not tops:
+            df.write.parquet(f"{staging}/out")
+        for row in sorted(tops, key=lambda r: r["_class"]):
+            rows = staged.filter(F.col("_class") == row["_class"]).drop("_class")
+            per_file = max(1, max_bytes // max(1, row["top"]))
+            rows.write.mode("append").option("maxRecordsPerFile", per_file).parquet(f"{staging}/out")
+        if not files.rename(spark._jvm.org.apache.hadoop.fs.Path(f"{staging}/out"), target):
+            raise OSError(f"cannot move the files to {path}")
+    finally:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(staging), True)
+
+
+def write_codes(
     df: DataFrame, path: str, vec: str, shared: dict[str, DataFrame] | None = None
 ) -> None:
     """Codes and scales without the floats they stand for.

@@ -23,24 +23,39 @@ def _from_path(pattern: str) -> Column:
     return F.regexp_substr("_metadata.file_path", F.lit(pattern))
 
 
+def _records(body: Column) -> Column:
+    """The texts between the braces of ``body``, whatever stands between them."""
+    closed = F.regexp_replace(body, r"\}\s*(?=\{)", "}\u0000")
+    return F.split(closed, "\u0000", -1)
+
+
 def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
     """Records of run logs: JSON objects over several lines, one after the other.
 
-    Cutting the text at closing braces keeps large files splittable, and a filter on ``run``
-    or ``started`` skips the files of other runs. A record that cannot be parsed is kept in
+    The text is cut behind a closing brace that begins its line, which keeps large files
+    splittable, and each piece once more wherever one object ends and the next begins, so that
+    blanks, carriage returns and several objects on a line lose nothing. A filter on ``run`` or
+    ``started`` skips the files of other runs. A record that cannot be parsed is kept in
     ``bad_record``, a number that cannot be read is null.
     """
-    parsed = (
-        spark.read.option("lineSep", "}\n")
+    pieces = (
+        spark.read.option("lineSep", "\n}")
         .option("recursiveFileLookup", "true")
         .text(path)
         .select(
-            F.rtrim("value", F.lit(" \t\r\n}")).alias("body"),
+            F.col("value"),
             _from_path(RUN_NAME).alias("run"),
             F.to_timestamp_ntz(_from_path(RUN_STAMP), F.lit(RUN_TIME)).alias("started"),
         )
-        .filter(F.col("body") != "")
-        .withColumn("record_text", F.concat("body", F.lit("}")))
+    )
+    # a piece that opens an object lost the brace that ends it to the separator
+    opened = F.length("value") - F.length(F.replace("value", F.lit("{"), F.lit("")))
+    closed = F.length("value") - F.length(F.replace("value", F.lit("}"), F.lit("")))
+    whole = F.when(opened > closed, F.concat("value", F.lit("}"))).otherwise(F.col("value"))
+    parsed = (
+        pieces.select("run", "started", F.explode(_records(whole)).alias("record_text"))
+        .withColumn("record_text", F.btrim("record_text", F.lit(" \t\r\n")))
+        .filter(F.col("record_text") != "")
         .withColumn("record", F.from_json("record_text", RECORD))
     )
     record = F.col("record")

@@ -9,7 +9,7 @@ from calibrel.session import build_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session(8, "tests")
+def spark(tmp_path_factory):
+    session = build_session(8, "tests", spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()

@@ -19,9 +19,9 @@ def write(folder, name, text):
 
 
 FULL = [
-    ("self_attn.k_proj", "136.5"), ("self_attn.v_proj", "136.5"), ("self_attn.q_proj", "136.5"),
-    ("self_attn.o_proj", "83.1"), ("mlp.up_proj", "83.2"), ("mlp.gate_proj", "83.2"),
-    ("mlp.down_proj", "80.0"),
+    ("self_attn.k_proj", "11.5"), ("self_attn.v_proj", "11.5"), ("self_attn.q_proj", "11.5"),
+    ("self_attn.o_proj", "7.25"), ("mlp.up_proj", "7.75"), ("mlp.gate_proj", "7.75"),
+    ("mlp.down_proj", "6.5"),
 ]
 
 
@@ -29,9 +29,9 @@ FULL = [
 def folder(tmp_path):
     layer = "".join(record(m, fwd=f) + "\n" for m, f in FULL)
     # the last record has no newline behind it
-    write(tmp_path, "gptq_log_red_fox_time_05_27_2025_15h_14m_09s.log",
+    write(tmp_path, "gptq_log_red_fox_time_02_03_2031_04h_05m_06s.log",
           layer + record("self_attn.k_proj", layer=1, loss="7.25"))
-    write(tmp_path, "gptq_log_owl_time_05_07_2025_05h_04m_03s.log",
+    write(tmp_path, "gptq_log_owl_time_11_12_2030_07h_08m_09s.log",
           record("self_attn.k_proj", loss="0.25") + "\n\n")
     return tmp_path
 
@@ -40,14 +40,14 @@ def test_every_record_is_read(spark, folder):
     logs = read_run_logs(spark, str(folder)).collect()
     assert len(logs) == 9
     owl = [r for r in logs if r["run"] == "owl"][0]
-    assert str(owl["started"]) == "2025-05-07 05:04:03"
+    assert str(owl["started"]) == "2030-11-12 07:08:09"
     assert (owl["layer"], owl["loss"], owl["samples"], owl["damp"]) == (0, 0.25, 2048, 0.01)
     assert {r["run"] for r in logs} == {"red_fox", "owl"}
     assert all(r["bad_record"] is None for r in logs)
 
 
 def test_bad_numbers_and_records_stay(spark, tmp_path):
-    write(tmp_path, "gptq_log_x_time_05_27_2025_15h_14m_09s.log",
+    write(tmp_path, "gptq_log_x_time_02_03_2031_04h_05m_06s.log",
           record("a", loss="n/a") + "\n{\n  broken\n}\n" + record("b") + "\n")
     write(tmp_path, "notes.log", record("c") + "\n")
     logs = {r["module"]: r for r in read_run_logs(spark, str(tmp_path)).collect()}
@@ -56,8 +56,27 @@ def test_bad_numbers_and_records_stay(spark, tmp_path):
     assert logs["c"]["run"] is None and logs["c"]["started"] is None
 
 
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+@pytest.mark.parametrize("between", ["\n", "  \n", "", " ", "\r\n\t\r\n"])
+@pytest.mark.parametrize("indent", [4, None])
+def test_no_object_is_lost(spark, tmp_path, newline, between, indent):
+    objects = [json.dumps({"layer": k, "module": f"m{k}"}, indent=indent) for k in range(7)]
+    text = between.join(objects).replace("\n", newline)
+    (tmp_path / "gptq_log_x_time_02_03_2031_04h_05m_06s.log").write_bytes(text.encode())
+    logs = read_run_logs(spark, str(tmp_path)).collect()
+    assert sorted(r["layer"] for r in logs if r["bad_record"] is None) == list(range(7)) and len(logs) == 7
+
+
+def test_runs_of_one_name_and_bad_records(spark, tmp_path):
+    for day, time in (("04", "1.0"), ("05", "2.0")):
+        write(tmp_path, f"gptq_log_x_time_02_{day}_2031_04h_05m_06s.log",
+              record("self_attn.k_proj", time=time, fwd=time) + "\n{\n  broken\n}\n")
+    found = run_summary(read_run_logs(spark, str(tmp_path))).orderBy("started").collect()
+    assert [(r["layer"], r["modules"], r["fwd_time"]) for r in found] == [(0, 1, 1.0), (0, 1, 2.0)]
+
+
 def test_large_log_is_split(spark, tmp_path):
-    write(tmp_path, "gptq_log_x_time_05_27_2025_15h_14m_09s.log",
+    write(tmp_path, "gptq_log_x_time_02_03_2031_04h_05m_06s.log",
           "".join(record("self_attn.k_proj", layer=i) + "\n" for i in range(4000)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
     try:
@@ -72,7 +91,7 @@ def test_forward_time_counts_once_per_stage(spark, folder):
     found = {(r["run"], r["layer"]): r for r in run_summary(read_run_logs(spark, str(folder))).collect()}
     layer = found["red_fox", 0]
     assert layer["modules"] == 7 and layer["time"] == pytest.approx(7.0)
-    assert layer["fwd_time"] == pytest.approx(136.5 + 83.1 + 83.2 + 80.0)
+    assert layer["fwd_time"] == pytest.approx(11.5 + 7.25 + 7.75 + 6.5)
     assert found["red_fox", 1]["max_loss"] == 7.25
 
 
@@ -88,13 +107,11 @@ def test_other_runs_are_not_read(spark, folder):
     logs = read_run_logs(spark, str(folder))
     assert logs.rdd.getNumPartitions() == 2
     assert logs.filter("run = 'owl'").rdd.getNumPartitions() == 1
-    assert logs.filter("started < timestamp_ntz'2025-05-08 00:00:00'").rdd.getNumPartitions() == 1
+    assert logs.filter("started < timestamp_ntz'2030-12-01 00:00:00'").rdd.getNumPartitions() == 1
 
 
 def test_stage_logs_have_day_first_names(spark, tmp_path):
-    write(tmp_path, "11-06-2025_10.55.22.log", "manager stage: Modifiers initialized\n\nother\n")
-    write(tmp_path, "28-05-2025_10.36.41.log", "manager stage: Modifiers finalized\n" * 2)
+    write(tmp_path, "07-01-2031_01.02.03.log", "manager stage: steps ready\n\nother\n")
+    write(tmp_path, "29-02-2032_04.05.06.log", "manager stage: steps done\n" * 2)
     found = sorted((str(r["started"]), r["stage"]) for r in read_stage_logs(spark, str(tmp_path)).collect())
-    assert found == [("2025-05-28 10:36:41", "Modifiers finalized")] * 2 + [
-        ("2025-06-11 10:55:22", "Modifiers initialized")
-    ]
+    assert found == [("2031-01-07 01:02:03", "steps ready")] + [("2032-02-29 04:05:06", "steps done")] * 2

@@ -11,14 +11,14 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", entry._QUERIES)
 def test_query_gives_the_rows_of_its_sql(spark, con, name):
     count, verdict = compare(spark, con, name, SF_DIR)
     assert verdict == "ok" and count > 0
 
 
 def test_every_query_has_sql():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert entry._QUERIES.keys() == entry._SQL.keys()
 
 
 def test_entry(spark):

@@ -4,10 +4,10 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from calibrel.operators.quantize import quantize_int
+from calibrel.operators.codes import int_codes
 from calibrel.operators.stats import channel_stats
 from calibrel.session import scratch_path
-from calibrel.sinks import write_calibration, write_quantized, write_sharded, write_text
+from calibrel.sinks import write_calibration, write_codes, write_sharded, write_text
 from calibrel.sources import read_conversations
 
 
@@ -58,6 +58,35 @@ def test_a_row_over_the_bound_has_its_own_file(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "empty")).count() == 0
 
 
+def test_a_path_is_written_once(spark, tmp_path):
+    path = str(tmp_path / "s")
+    write_sharded(spark.range(10), path, 40)
+    with pytest.raises(FileExistsError):
+        write_sharded(spark.range(10), path, 40)
+    assert spark.read.parquet(path).count() == 10 and os.listdir(tmp_path) == ["s"]
+
+
+def test_sharding_works_the_input_out_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(n):
+        calls.add(1)
+        return "x" * n
+
+    sizes = [(10,)] * 40 + [(900,), (5000,)]
+    df = spark.createDataFrame(sizes, "n int").select(text("n").alias("t"))
+    write_sharded(df, str(tmp_path / "s"), 1000)
+    assert calls.value == 42
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    df = spark.range(5).select(F.raise_error(F.lit("stop")).cast("string").alias("t"))
+    with pytest.raises(Exception, match="stop"):
+        write_sharded(df, str(tmp_path / "s"), 100)
+    assert not os.path.exists(tmp_path / "s")
+
+
 def test_nested_rows_are_measured(spark, tmp_path):
     df = spark.createDataFrame(
         [(1, [("ab", "cde")], [1, 2], {"k": "vv"}, None)],
@@ -68,11 +97,11 @@ def test_nested_rows_are_measured(spark, tmp_path):
     assert df.select(row_bytes(df)).first()[0] == 8 + 5 + 8 + 3
 
 
-def test_quantized_rows_have_no_floats(spark, tmp_path):
+def test_written_codes_have_no_floats(spark, tmp_path):
     df = spark.createDataFrame([(1, [0.5, -1.0]), (2, [0.25, 3.0])], "id int, v array<float>")
     stats = channel_stats(df, "v")
     path = str(tmp_path / "q")
-    write_quantized(quantize_int(df, "v", per="channel", stats=stats), path, "v", {"stats": stats})
+    write_codes(int_codes(df, "v", per="channel", stats=stats), path, "v", {"stats": stats})
     rows = spark.read.parquet(f"{path}/rows")
     assert dict(rows.dtypes) == {"id": "int", "codes": "array<tinyint>"}
     assert spark.read.parquet(f"{path}/stats").count() == 2

@@ -1,8 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import byte_tokenizer
-from calibrel.functions import attention_mask, lookup_tokenizer, tokenize, truncate
+from calibrel.functions import attention_mask, tokenize, truncate
 from calibrel.operators.vocabulary import build_vocabulary, decode, detokenize, encode, fits_workers
 
 
@@ -54,20 +53,34 @@ def test_detokenize(spark, vocabulary):
     assert detokenize(ids, "x", vocabulary, ["k"]).first()["text"] == "b a"
 
 
-def test_own_tokenizer(spark):
-    from tokenizers import Tokenizer
-
-    definition = byte_tokenizer()
-    own = lookup_tokenizer(spark, definition)
-    texts = ["aé<", "", None, "日本"]
-    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
-    found = [r[0] for r in df.select(own(F.col("t"))).collect()]
-    local = Tokenizer.from_str(definition)
-    assert found == [None if t is None else local.encode(t).ids for t in texts]
-    assert len(found[0]) == len("aé<".encode())
-
-
-def test_oversized_tokenizer(spark, monkeypatch):
-    monkeypatch.setattr("calibrel.functions.tokens.MAX_TOKENIZER_BYTES", 10)
-    with pytest.raises(ValueError, match="limit 10"):
-        lookup_tokenizer(spark, byte_tokenizer())
+@pytest.mark.parametrize("shared", [True, False])
+def test_doubtful_entries_mean_one_thing(spark, shared):
+    entries = [("a", 7), ("a", 3), (None, 1), ("b", None), ("c", 9)]
+    vocabulary = spark.createDataFrame(entries, "token string, id int")
+    # two rows of one key, and one row twice
+    rows = [(1, ["a", "c"]), (1, ["c"]), (2, ["b", None, "a"]), (2, ["b", None, "a"]), (None, ["a"])]
+    df = spark.createDataFrame(rows, "k int, x array<string>")
+    found = sorted((str(r["k"]), r["x"]) for r in encode(df, "x", vocabulary, ["k"], shared=shared).collect())
+    assert [f for f in found if f[0] != "2"] == [("1", [3, 9]), ("1", [9]), ("None", [3])]
+    assert [f[1] for f in found if f[0] == "2"] == [[-1, -1, 3]] * 2
+
+
+def test_sharing_is_checked(spark, vocabulary, monkeypatch):
+    monkeypatch.setattr("calibrel.operators.vocabulary.SHARED_ENTRIES", 3)
+    df = spark.createDataFrame([(1, ["b"])], "k int, x array<string>")
+    with pytest.raises(ValueError, match="not shared"):
+        encode(df, "x", vocabulary, ["k"], shared=True)
+    plan = encode(df, "x", vocabulary, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+
+
+def test_a_corpus_is_tokenized_once(spark, monkeypatch):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        calls.add(1)
+        return text
+
+    words = spark.range(100).select(seen(F.concat(F.lit("w"), F.col("id"))).alias("token"))
+    assert build_vocabulary(words).count() == 100 and calls.value == 100

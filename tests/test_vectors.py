@@ -4,17 +4,17 @@ import numpy as np
 import pytest
 
 from calibrel.operators.error import recon_error
-from calibrel.operators.quantize import (
+from calibrel.operators.codes import (
     FP8_MAX,
     channel_scales,
     dequantize,
     largest_code,
-    quantize_fp8,
-    quantize_int,
+    fp8_codes,
+    int_codes,
 )
 from calibrel.operators.smooth import smooth, smooth_scales
 from calibrel.operators.stats import channel_stats, importance, second_moment
-from calibrel.plans.recipe import QuantizeFp8, QuantizeInt, Smooth, run_recipe
+from calibrel.plans.recipe import Fp8Codes, IntCodes, Smooth, run_recipe, run_recipe_on_both
 
 RNG = np.random.default_rng(7)
 DATA = RNG.normal(size=(40, 10)) * np.array([1, 5, 0.1, 2, 9, 0.01, 3, 4, 0, 1.0])
@@ -32,7 +32,7 @@ def matrix(df, column):
 @pytest.mark.parametrize("size", [None, 3, 5, 10, 3216])
 def test_groups_against_numpy(spark, bits, size):
     per = "row" if size is None else "group"
-    coded = quantize_int(frame(spark), "v", bits, per, size)
+    coded = int_codes(frame(spark), "v", bits, per, size)
     width = min(size or 10, 10)
     q = largest_code(bits)
     for row in coded.collect():
@@ -49,14 +49,14 @@ def test_groups_against_numpy(spark, bits, size):
 
 def test_zero_and_empty_vectors(spark):
     df = spark.createDataFrame([(0, [0.0, 0.0]), (1, []), (2, None)], "id int, v array<float>")
-    found = {r["id"]: (r["codes"], r["scales"]) for r in quantize_int(df, "v", 4, "group", 1).collect()}
+    found = {r["id"]: (r["codes"], r["scales"]) for r in int_codes(df, "v", 4, "group", 1).collect()}
     assert found[0] == ([0, 0], [0.0, 0.0]) and found[1][0] == [] and found[2][0] is None
-    assert quantize_fp8(df, "v").filter("id = 0").first()["codes"] == [0.0, 0.0]
+    assert fp8_codes(df, "v").filter("id = 0").first()["codes"] == [0.0, 0.0]
 
 
 def test_half_to_even(spark):
     df = spark.createDataFrame([(0, [127.0, 0.5, 1.5, 2.5, -2.5])], "id int, v array<double>")
-    assert quantize_int(df, "v").first()["codes"] == [127, 0, 2, 2, -2]
+    assert int_codes(df, "v").first()["codes"] == [127, 0, 2, 2, -2]
 
 
 @pytest.mark.parametrize("size", [3, 4])
@@ -66,7 +66,7 @@ def test_importance_keeps_positions(spark, size):
     order = np.argsort(-(DATA**2).mean(0), kind="stable")
     ranks = {r["pos"]: r["rank"] for r in importance(stats).collect()}
     assert [ranks[p] for p in order] == list(range(10))
-    coded = quantize_int(df, "v", 8, "group", size, order="importance", stats=stats)
+    coded = int_codes(df, "v", 8, "group", size, order="importance", stats=stats)
     decoded = matrix(dequantize(coded, group_size=size, ranks=importance(stats)), "decoded")
     expected = np.empty_like(DATA)
     for i, x in enumerate(DATA):
@@ -79,12 +79,12 @@ def test_importance_keeps_positions(spark, size):
 
 def test_channels_are_clipped_to_given_statistics(spark):
     df = frame(spark)
-    coded = quantize_int(df, "v", 8, "channel")
+    coded = int_codes(df, "v", 8, "channel")
     q = np.abs(DATA).max(0) / 127
     assert (matrix(coded, "codes") == np.rint(DATA / np.where(q == 0, 1, q))).all()
     assert "scales" not in coded.columns
     small = channel_stats(df.filter("id < 5"), "v")
-    clipped = matrix(quantize_int(df, "v", 8, "channel", stats=small), "codes")
+    clipped = matrix(int_codes(df, "v", 8, "channel", stats=small), "codes")
     assert clipped.max() == 127 and clipped.min() == -127
     decoded = dequantize(coded, scales=channel_scales(channel_stats(df, "v"), 127))
     assert (np.abs(matrix(decoded, "decoded") - DATA) <= q / 2 * (1 + 1e-9)).all()
@@ -114,7 +114,7 @@ def test_fp8_is_the_nearest_value(spark):
     probes = np.concatenate([values, middles, RNG.uniform(0, 448, 200), 2.0 ** RNG.uniform(-12, 8, 200)])
     probes = np.concatenate([probes, -probes, [448.0]])
     df = frame(spark, [probes])
-    found = quantize_fp8(df, "v").first()
+    found = fp8_codes(df, "v").first()
     assert found["scales"] == [1.0]
     assert found["codes"] == [nearest_fp8(float(y)) for y in probes]
 
@@ -122,7 +122,7 @@ def test_fp8_is_the_nearest_value(spark):
 def test_fp8_per_channel(spark):
     df = frame(spark)
     stats = channel_stats(df, "v")
-    coded = quantize_fp8(df, "v", "channel", stats)
+    coded = fp8_codes(df, "v", "channel", stats)
     decoded = matrix(dequantize(coded, scales=channel_scales(stats, FP8_MAX)), "decoded")
     assert np.allclose(decoded, DATA, rtol=1 / 16 + 1e-9, atol=np.abs(DATA).max(0) / 448 / 512)
 
@@ -167,7 +167,7 @@ def test_smoothing_keeps_dot_products(spark):
 @pytest.mark.parametrize("weighted", [False, True])
 def test_reconstruction_error(spark, weighted):
     df = frame(spark)
-    decoded = dequantize(quantize_int(df, "v", 4, "group", 4), group_size=4)
+    decoded = dequantize(int_codes(df, "v", 4, "group", 4), group_size=4)
     error = (matrix(decoded, "decoded") - DATA) ** 2
     weights = channel_stats(df, "v") if weighted else None
     w = (DATA**2).mean(0) if weighted else np.ones(10)
@@ -183,10 +183,70 @@ def test_reconstruction_error(spark, weighted):
 
 def test_recipe_runs_each_step_once_in_order(spark):
     weights = frame(spark, RNG.normal(size=(6, 10)))
-    found = run_recipe(frame(spark), [Smooth(weights, "v", "v"), QuantizeInt("v")])
-    by_hand = quantize_int(smooth(frame(spark), weights, "v", "v")[0], "v")
+    found = run_recipe(frame(spark), [Smooth(weights, "v", "v"), IntCodes("v")])
+    by_hand = int_codes(smooth(frame(spark), weights, "v", "v")[0], "v")
     assert found.orderBy("id").collect() == by_hand.orderBy("id").collect()
-    assert "codes" in run_recipe(frame(spark), [QuantizeFp8("v")]).columns
+    assert "codes" in run_recipe(frame(spark), [Fp8Codes("v")]).columns
+
+
+def test_recipe_keeps_both_sides(spark):
+    weights = frame(spark, RNG.normal(size=(6, 10)))
+    smoothing = Smooth(weights, "v", "v")
+    rows, turned = run_recipe_on_both(frame(spark), smoothing, [], [])
+    product = matrix(rows, "v") @ matrix(turned, "v").T
+    assert product == pytest.approx(DATA @ matrix(weights, "v").T)
+    rows, turned = run_recipe_on_both(frame(spark), smoothing, [IntCodes("v")], [IntCodes("v", per="channel")])
+    assert "scales" in rows.columns and "codes" in turned.columns and "scales" not in turned.columns
+
+
+ODD = [[0.5, 2.0], [float("nan"), 1.0], [1.0, float("inf")], [1.0, None], [], None, [0.0, 0.0]]
+
+
+@pytest.mark.parametrize("coder", [int_codes, fp8_codes])
+def test_vectors_that_are_not_finite_have_no_codes(spark, coder):
+    df = spark.createDataFrame(list(enumerate(ODD)), "id int, v array<double>")
+    rows = {r["id"]: r for r in coder(df, "v").collect()}
+    assert all(rows[k]["codes"] is None and rows[k]["scales"] is None for k in (1, 2, 3, 5))
+    assert rows[4]["codes"] == [] and rows[6]["codes"] == [0, 0] and rows[0]["codes"] is not None
+    by_channel = {r["id"]: r["codes"] for r in coder(df.filter("id <> 4"), "v", per="channel").collect()}
+    assert [k for k, c in by_channel.items() if c is not None] == [0, 6]
+
+
+def test_statistics_of_finite_values(spark):
+    df = spark.createDataFrame(list(enumerate(ODD)), "id int, v array<double>")
+    found = {r["pos"]: r for r in channel_stats(df, "v").collect()}
+    assert (found[0]["abs_max"], found[0]["n"], found[0]["n_other"]) == (1.0, 4, 1)
+    assert (found[1]["abs_max"], found[1]["n"], found[1]["n_other"]) == (2.0, 3, 2)
+    smoothed = {r["id"]: r["v"] for r in smooth(df.filter("size(v) = 2"), df, "v", "v")[0].collect()}
+    assert all(math.isfinite(x) for k in (0, 6) for x in smoothed[k])
+
+
+def test_importance_of_tiny_values(spark):
+    df = spark.createDataFrame([(0, [1e-9, 3e-9, 2e-9, 0.0, 0.0])], "id int, v array<double>")
+    ranks = {r["pos"]: r["rank"] for r in importance(channel_stats(df, "v")).collect()}
+    assert ranks == {1: 0, 2: 1, 0: 2, 3: 3, 4: 4}
+
+
+def test_errors_over_nothing_are_null(spark):
+    df = spark.createDataFrame(list(enumerate(ODD)), "id int, v array<double>")
+    decoded = dequantize(int_codes(df, "v"))
+    rows = {r["id"]: r["mse"] for r in recon_error(decoded, "v", by="row", key="id").collect()}
+    assert rows[6] == 0 and all(rows[k] is None for k in (1, 2, 3, 4, 5))
+    dead = spark.createDataFrame([(0, [1.0, 0.0])], "id int, v array<double>")
+    decoded = dequantize(int_codes(dead, "v", 8, "group", 1), group_size=1)
+    groups = recon_error(decoded, "v", by="group", group_size=1, weights=channel_stats(dead, "v")).collect()
+    assert {r["grp"]: r["mse"] for r in groups} == {0: 0.0, 1: None}
+
+
+def test_second_moment_of_many_blocks(spark):
+    x = np.random.default_rng(4).normal(size=(300, 150))
+    bad = [float("nan")] * 150
+    df = spark.createDataFrame([(v.tolist(),) for v in x] + [(bad,), (None,)], "v array<double>").repartition(9)
+    found = np.zeros((150, 150))
+    cells = second_moment(df, "v", damp=0.0, fan_in=2).collect()
+    for r in cells:
+        found[r["i"], r["j"]] = r["h"]
+    assert len(cells) == 150 * 150 and found == pytest.approx(x.T @ x / 300)
 
 
 @pytest.mark.parametrize(
@@ -195,9 +255,9 @@ def test_recipe_runs_each_step_once_in_order(spark):
 )
 def test_wrong_arguments(spark, arguments):
     with pytest.raises(ValueError):
-        quantize_int(frame(spark), "v", **arguments)
+        int_codes(frame(spark), "v", **arguments)
     with pytest.raises(ValueError):
-        quantize_fp8(frame(spark), "v", per="other")
+        fp8_codes(frame(spark), "v", per="other")
 
 
 def plan_of(df):
@@ -206,12 +266,12 @@ def plan_of(df):
 
 def test_row_local_steps_do_not_shuffle(spark):
     df = frame(spark)
-    for coded in (quantize_int(df, "v"), quantize_int(df, "v", 4, "group", 4), quantize_fp8(df, "v")):
+    for coded in (int_codes(df, "v"), int_codes(df, "v", 4, "group", 4), fp8_codes(df, "v")):
         assert "Exchange" not in plan_of(coded)
 
 
 def test_codes_are_not_worked_out_once_per_element(spark):
-    plan = plan_of(quantize_int(frame(spark), "v", 4, "group", 4, order="importance"))
+    plan = plan_of(int_codes(frame(spark), "v", 4, "group", 4, order="importance"))
     codes = [line for line in plan.splitlines() if "AS codes" in line]
     # the lambda that picks by rank works on a bound variable, not on the expression of the codes
     assert codes and all("zip_with(array(flatten(" in line for line in codes)
