@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from calibrel.session import scratch_path
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BROADCAST_BYTES = 32 << 20
 
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -28,24 +28,28 @@ from pyspark.sql import functions as F
 
 from calibrel.llm.batches import bounded_batches, slices
 
-WORDS_KEPT = 400_000
+WORDS_KEPT = 150_000
+ONCE_KEPT = 100_000
 SHORT = 64
-DECODE_ROWS = 512
+CODED_ROWS = 512
 MOST_VOCABULARY_BYTES = 64 << 20
 
 #: One contraction per word and step, for words of up to ``SHORT`` bytes.
 ENCODE_SHORT = """
 WITH RECURSIVE step AS (
-  SELECT w, p, t, FALSE AS done FROM start
+  SELECT w, list(t ORDER BY p) AS ids, FALSE AS done FROM start GROUP BY w
   UNION ALL
-  SELECT w, p, CASE WHEN p = best & 255 THEN (best >> 8)::INT ELSE t END, best IS NULL
-  FROM (
-    SELECT w, p, t, last, min(m * 256 + p) OVER (PARTITION BY w) AS best
-    FROM (SELECT w, p, t, lead(t) OVER word AS after, lag(p) OVER word AS last
-          FROM step WHERE NOT done WINDOW word AS (PARTITION BY w ORDER BY p)) AS open
-    LEFT JOIN merges ON l = t AND r = after) AS ranked
-  WHERE best IS NULL OR last IS NULL OR last <> best & 255)
-SELECT w, list(t ORDER BY p) AS ids FROM step WHERE done GROUP BY w ORDER BY w"""
+  SELECT step.w,
+         CASE WHEN best IS NULL THEN ids
+              ELSE ids[1:best & 255] || [(best >> 8)::INT] || ids[(best & 255) + 3:] END,
+         best IS NULL
+  FROM step LEFT JOIN (
+    SELECT w, min(m * 256 + p) AS best
+    FROM (SELECT w, unnest(ids[:-2]) AS t, unnest(ids[2:]) AS after, generate_subscripts(ids[2:], 1) - 1 AS p
+          FROM step WHERE NOT done)
+    JOIN merges ON l = t AND r = after GROUP BY w) AS least ON least.w = step.w
+  WHERE NOT step.done)
+SELECT w, ids FROM step WHERE done ORDER BY w"""
 
 #: All places of the pair of least rank in one step, where none of the new pairs ranks lower.
 ENCODE_LONG = """
@@ -94,22 +98,65 @@ def read_ranks(path: str) -> bytes:
     return content
 
 
-class Coder:
-    """The vocabulary in DuckDB, and the words met so far."""
+class Vocabulary:
+    """Tokens by rank in an embedded database, which decodes with them."""
 
-    def __init__(self, ranks: bytes, pattern: str):
-        # \\s is Unicode's White_Space here; Python's also takes the separators \x1c to \x1f.
-        spaced = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}")
-        self.pattern = regex.compile(spaced.replace(r"\s", r"\p{White_Space}"))
+    def __init__(self, ranks: bytes):
         rows = [line.split() for line in ranks.splitlines() if line.strip()]
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in rows}
         if len(self.ranks) != len(set(self.ranks.values())):
             raise ValueError("two tokens have one rank")
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
+        self._load(
+            "vocabulary",
+            pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "bytes": pa.array(self.ranks, pa.binary())}),
+        )
+
+    def _load(self, name: str, rows: pa.Table) -> None:
+        self.db.register("given", rows)
+        self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
+        self.db.unregister("given")
+
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """The bytes of each row; a null row stays null, an id without a token is an error."""
+        rows = pa.array(np.arange(len(ids)))
+        lengths = ids.value_lengths().fill_null(0).to_numpy()
+        flat = ids.flatten()
+        places = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.db.register(
+            "ids",
+            pa.table({"row": np.repeat(np.arange(len(ids)), lengths), "place": places.astype(np.int32), "id": flat}),
+        )
+        found = self.db.sql(DECODE).to_arrow_table()
+        self.db.unregister("ids")
+        out = [None if null else b"" for null in ids.is_null().to_pylist()]
+        parts = found["parts"].combine_chunks()
+        tokens = parts.values
+        if tokens.null_count:
+            raise ValueError("an id has no token in this vocabulary")
+        ends = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset : tokens.offset + len(tokens) + 1]
+        data = tokens.buffers()[2]
+        for row, first, end in zip(found["row"].to_pylist(), parts.offsets.to_pylist(), parts.offsets.to_pylist()[1:]):
+            out[row] = data.slice(int(ends[first]), int(ends[end] - ends[first])).to_pybytes()
+        del rows
+        return pa.array(out, pa.binary())
+
+
+class Coder(Vocabulary):
+    """The merges beside the vocabulary, and the words met so far."""
+
+    def __init__(self, ranks: bytes, pattern: str):
+        super().__init__(ranks)
+        # \\s is Unicode's White_Space here; Python's also takes the separators \x1c to \x1f.
+        spaced = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+        self.pattern = regex.compile(spaced.replace(r"\s", r"\p{White_Space}"))
         missing = [b for b in range(256) if bytes([b]) not in self.ranks]
         if missing:
             raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        # Words met in several batches, and those met in one so far; a full table starts anew.
         self.words: dict[bytes, bytes] = {}
+        self.once: dict[bytes, bytes] = {}
         merges = [
             (self.ranks[token[:k]], self.ranks[token[k:]], rank)
             for token, rank in self.ranks.items()
@@ -117,19 +164,9 @@ class Coder:
             if token[:k] in self.ranks and token[k:] in self.ranks
         ]
         left, right, merged = (pa.array(c, pa.int32()) for c in (list(zip(*merges)) or [(), (), ()]))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         self._load("merges", pa.table({"l": left, "r": right, "m": merged}))
-        self._load(
-            "vocabulary",
-            pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "bytes": pa.array(self.ranks, pa.binary())}),
-        )
         self.db.execute("CREATE TABLE early AS SELECT l, r FROM merges WHERE m < greatest(l, r)")
 
-    def _load(self, name: str, rows: pa.Table) -> None:
-        self.db.register("given", rows)
-        self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
-        self.db.unregister("given")
-
     def contract(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Each word, which must not be empty, with its ids as 32-bit numbers."""
         short, long = [], []
@@ -157,54 +194,23 @@ class Coder:
         new = []
         for word in table:
             if (ids := self.words.get(word)) is None:
-                new.append(word)
-            else:
-                table[word] = ids
+                if (ids := self.once.pop(word, None)) is None:
+                    new.append(word)
+                    continue
+                self.words[word] = ids
+            table[word] = ids
+        if len(self.words) > WORDS_KEPT:
+            self.words = {}
         if new:
             found = dict(self.contract(new))
             table.update(found)
-            if len(self.words) + len(new) > WORDS_KEPT:
-                self.words = {}
-            self.words.update((w, ids) for w, ids in found.items() if len(w) <= SHORT)
+            if len(self.once) + len(new) > ONCE_KEPT:
+                self.once = {}
+            self.once.update((w, ids) for w, ids in found.items() if len(w) <= SHORT)
         parts = [b"".join([table[w] for w in words]) for words in cut]
         offsets = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
-    def decode(self, ids: pa.ListArray) -> pa.Array:
-        """The bytes of each row; a null row stays null, an id without a token is an error."""
-        rows = pa.array(np.arange(len(ids)))
-        lengths = ids.value_lengths().fill_null(0).to_numpy()
-        flat = ids.flatten()
-        places = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self.db.register(
-            "ids",
-            pa.table({"row": np.repeat(np.arange(len(ids)), lengths), "place": places.astype(np.int32), "id": flat}),
-        )
-        found = self.db.sql(DECODE).to_arrow_table()
-        self.db.unregister("ids")
-        out = [None if null else b"" for null in ids.is_null().to_pylist()]
-        parts = found["parts"].combine_chunks()
-        tokens = parts.values
-        if tokens.null_count:
-            raise ValueError("an id has no token in this vocabulary")
-        ends = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset : tokens.offset + len(tokens) + 1]
-        data = tokens.buffers()[2]
-        for row, first, end in zip(found["row"].to_pylist(), parts.offsets.to_pylist(), parts.offsets.to_pylist()[1:]):
-            out[row] = data.slice(int(ends[first]), int(ends[end] - ends[first])).to_pybytes()
-        del rows
-        return pa.array(out, pa.binary())
-
-
-_coders: dict[tuple[int, str], Coder] = {}
-
-
-def _coder(ranks: Broadcast, pattern: str) -> Coder:
-    key = (hash(ranks.value), pattern)
-    if key not in _coders:
-        _coders.clear()
-        _coders[key] = Coder(ranks.value, pattern)
-    return _coders[key]
-
 
 def _shared(spark: SparkSession, path: str) -> Broadcast:
     bounded_batches(spark)
@@ -226,10 +232,12 @@ def encode(
     names = [n for n in kept.columns if n != ids_column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(ranks, pattern)
-        for batch in batches:
-            ids = coder.encode([t or "" for t in batch[text_column].to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), ids], names=[*names, ids_column])
+        # made anew by each task: an idle worker keeps no tables
+        coder = Coder(ranks.value, pattern)
+        with coder.db:
+            for batch in slices(batches, CODED_ROWS):
+                ids = coder.encode([t or "" for t in batch[text_column].to_pylist()])
+                yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), ids], names=[*names, ids_column])
 
     return kept.mapInArrow(run, f"{fields}{', ' if fields else ''}`{ids_column}` array<int>")
 
@@ -246,9 +254,11 @@ def decode(df: DataFrame, path: str, ids_column: str = "ids", bytes_column: str
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != bytes_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(ranks, "")
-        for batch in slices(batches, DECODE_ROWS):
-            decoded = coder.decode(batch[ids_column])
-            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), decoded], names=[*names, bytes_column])
+        vocabulary = Vocabulary(ranks.value)
+        with vocabulary.db:
+            for batch in slices(batches, CODED_ROWS):
+                decoded = vocabulary.decode(batch[ids_column])
+                columns = [*(batch[n] for n in names), decoded]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, bytes_column])
 
     return kept.mapInArrow(run, f"{fields}{', ' if fields else ''}`{bytes_column}` binary")

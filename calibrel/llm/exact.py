@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from calibrel.llm.batches import text_key, texts, written
 
 WHITESPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
-TRIE_BYTES = 48 << 20
+TRIE_BYTES = 16 << 20
 
 _ENTRIES = (
     "doc_id long, entry string, text_sha256 string, text_key long, length long, hash long, n_points long, "
