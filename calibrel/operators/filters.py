@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from calibrel.functions.names import contains_ignoring_case
@@ -54,7 +54,16 @@ def select_targets(
 
 
 def require_rows(df: DataFrame, message: str = "no valid calibration rows") -> DataFrame:
-    """Fails if nothing survived; reads until the first row only."""
+    """Fails if nothing survived; reads until the first row only.
+
+    Before a write ``count_rows`` asks the same without a second run of the plan.
+    """
     if df.isEmpty():
         raise ValueError(message)
     return df
+
+
+def count_rows(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """The rows, and an observation whose ``n`` is their number once an action has run."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("n")), seen

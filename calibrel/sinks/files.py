@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from calibrel.operators.assemble import long_conversations
+from calibrel.operators.filters import count_rows
 from calibrel.session import checkpointed
 
 
@@ -95,9 +96,15 @@ def write_text(
     df.select("text").write.text(path)
 
 
-def write_calibration(df: DataFrame, path: str) -> None:
-    """Token ids or texts for the consumer."""
+def write_calibration(df: DataFrame, path: str, required: bool = False) -> None:
+    """Token ids or texts for the consumer.
+
+    If ``required``, a set without rows is an error; it is written, empty, and counted on the way.
+    """
+    df, seen = count_rows(df)
     df.write.parquet(path)
+    if required and not seen.get["n"]:
+        raise ValueError("no valid calibration rows")
 
 
 def row_bytes(df: DataFrame) -> Column:

@@ -27,6 +27,9 @@ def test_calibration_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, [3, 4])], "conv_id long, input_ids array<int>")
     write_calibration(df, str(tmp_path / "c"))
     assert spark.read.parquet(str(tmp_path / "c")).collect() == df.collect()
+    write_calibration(df, str(tmp_path / "d"), required=True)
+    with pytest.raises(ValueError, match="no valid"):
+        write_calibration(df.limit(0), str(tmp_path / "e"), required=True)
 
 
 @pytest.mark.parametrize("large", [0, 3])
