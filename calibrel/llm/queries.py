@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calibrel.llm import bpe, decontaminate, exact, license, pii, quality, secrets, simhash, suffix, urls
+from calibrel.llm.batches import written
 
 QUERIES = {}
 SQL = {}
@@ -69,7 +70,9 @@ def multi_tokenizer() -> tuple[str, str]:
 def _(spark, sf_dir):
     path, pattern = multi_tokenizer()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, path, pattern).select("doc_id", "ids"), path)
+    # written in between: a task then runs one of the two workers, not both
+    ids = written(bpe.encode(docs, path, pattern).select("doc_id", "ids"), "token-ids")
+    coded = bpe.decode(ids, path)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

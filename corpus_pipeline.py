@@ -53,7 +53,9 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, ids, n_tokens, decoded``: the ids, and the text that they give back."""
     path, pattern = multi_tokenizer()
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path, pattern).drop("text"), path)
+    # written in between: a task then runs one of the two workers, not both
+    ids = written(bpe.encode(docs.select("doc_id", "text"), path, pattern).drop("text"), "ids")
+    coded = bpe.decode(ids, path)
     return coded.select(
         "doc_id",
         "ids",
