@@ -42,11 +42,20 @@ def without(df: DataFrame, keys: DataFrame, id_column: str = "doc_id", text_colu
 
     Null ids match null ids. The texts are only shuffled where the keys are too many to broadcast.
     """
+    return _by_keys(df, keys, id_column, text_column, "left_anti")
+
+
+def only(df: DataFrame, keys: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The other rows than ``without`` gives."""
+    return _by_keys(df, keys, id_column, text_column, "left_semi")
+
+
+def _by_keys(df: DataFrame, keys: DataFrame, id_column: str, text_column: str, how: str) -> DataFrame:
     keys = written(keys.select("doc_id", "text_key").distinct(), "keys")
     same = df[id_column].eqNullSafe(keys["doc_id"]) & (
         F.xxhash64(F.coalesce(df[text_column], F.lit(""))) == keys["text_key"]
     )
-    return df.join(if_small(keys, keys.count() * 32), same, "left_anti")
+    return df.join(if_small(keys, keys.count() * 32), same, how)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

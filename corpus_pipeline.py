@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calibrel.llm import bpe, decontaminate, exact, quality, simhash
-from calibrel.llm.batches import without, written
+from calibrel.llm.batches import only, without, written
 from calibrel.llm.queries import multi_tokenizer, table
 
 
@@ -27,16 +27,10 @@ def one_of_each_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     found = written(exact.exact_duplicates(docs), "exact")
     kept = without(docs, found.where("NOT kept AND keep_id IS NOT NULL"))
-    keys = ("doc_id", "text_key")
-    repeated = written(found.groupBy(*keys).count().where("count > 1"), "repeated")
+    repeated = written(found.groupBy("doc_id", "text_key").count().where("count > 1"), "repeated")
     if repeated.isEmpty():
         return kept
-    again = kept.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit("")))).join(
-        repeated.select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")),
-        F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")),
-        "left_semi",
-    )
-    return without(kept, repeated).unionByName(again.dropDuplicates(keys).drop("text_key"))
+    return without(kept, repeated).unionByName(only(kept, repeated).dropDuplicates(["doc_id", "text"]))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
