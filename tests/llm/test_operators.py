@@ -403,6 +403,29 @@ def test_random_tokens_are_told_from_long_words(spark):
     assert len([d for d in caught if d >= 2000 or d < 1000]) <= 3
 
 
+def test_long_secrets_in_prose_without_long_words(spark):
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    short = "the river was low in that summer and people walked over stones to reach an island where nobody lived".split()
+
+    def token(n):
+        return "".join(rng.choice(letters) for _ in range(n - 1)) + "7"
+
+    def prose():
+        return " ".join(rng.choice(short) for _ in range(60))
+
+    texts = [(k, prose()) for k in range(600)]
+    texts += [(1000 + k, f"{prose()} {token((32, 40, 64, 90)[k % 4])} {prose()}") for k in range(80)]
+    texts += [(2000 + k, f"{prose()} {'-'.join(rng.choice(short) for _ in range(9))}-{k} {prose()}") for k in range(40)]
+    found = secrets.find_secrets(spark.createDataFrame(texts, "doc_id long, text string"))
+    caught = {r.doc_id for r in found.where("size(discovered) > 0").collect()}
+    for kind in range(4):
+        assert len([d for d in caught if 1000 <= d < 2000 and d % 4 == kind]) >= 16
+    assert len([d for d in caught if d < 1000 or d >= 2000]) <= 4
+    alone = spark.createDataFrame([(1, f"use {token(40)} here"), (2, "use " + "abcabcabc1" * 4)], "doc_id long, text string")
+    assert [r.doc_id for r in secrets.find_secrets(alone).where("size(discovered) > 0").collect()] == [1]
+
+
 # --- 10: repeated strings -------------------------------------------------------------------------
 
 
