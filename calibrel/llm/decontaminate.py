@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calibrel.llm.batches import if_small, text_key, texts, written
@@ -27,6 +27,7 @@ from calibrel.llm.batches import if_small, text_key, texts, written
 WINDOW = 8
 LEAST_WORDS = 4
 COVERAGE = 0.5
+PASSAGE_WORDS = 13
 AGREEMENT = 0.8
 BITMAP_BITS = 24
 WORDS_KEPT = 200_000
@@ -111,6 +112,17 @@ def _slots(words: Words, numbers: np.ndarray, kinds: np.ndarray, start: int, len
     return [f"{_SLOT[int(kinds[i])]}{words.plain[numbers[i]]}" for i in window if kinds[i] != LITERAL]
 
 
+def longest_run(places: Column) -> Column:
+    """The most consecutive numbers among distinct ones."""
+    start = F.struct(F.lit(-2).cast("long").alias("last"), F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc: Column, place: Column) -> Column:
+        now = F.when(place == acc["last"] + 1, acc["now"] + 1).otherwise(1)
+        return F.struct(place.alias("last"), now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(F.array_sort(places), start, step, lambda acc: acc["most"])
+
+
 _HIT = pa.list_(pa.string())
 
 
@@ -190,11 +202,12 @@ def find_leaks(
     window: int = WINDOW,
     coverage: float = COVERAGE,
     agreement: float = AGREEMENT,
+    passage: int = PASSAGE_WORDS,
 ) -> DataFrame:
     """``doc_id, text_key, item_id, n_windows, n_item_windows, n_slots, n_changed``.
 
     One row per text (id and hash of the text) and benchmark item of which it holds at least
-    ``coverage`` of the windows in occurrences whose slots agree: of their distinct (type, item
+    ``coverage`` of the windows, or ``passage`` words in a row, in occurrences whose slots agree: of their distinct (type, item
     value, text value) at least ``agreement`` are the only one for their (type, item value).
     ``n_changed`` counts slots with another value than the item's. Items shorter than ``window``
     words are one window; items and windows of fewer than four plain words are not looked for. Null
@@ -233,11 +246,13 @@ def find_leaks(
     agreeing = diagonals.where(n_values >= agreement * n_pairs)
     found = agreeing.groupBy("doc_id", "text_key", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_windows"),
+        F.max(longest_run(F.col("places"))).alias("run"),
         F.max(n_pairs).cast("long").alias("n_slots"),
         F.max(F.size(F.filter("pairs", lambda p: p["i"] != p["t"]))).cast("long").alias("n_changed"),
     )
     whole = items.groupBy(F.col("item_id").alias("whole_id")).agg(F.count(F.lit(1)).alias("n_item_windows"))
     named = found.join(if_small(whole, size.bytes), F.col("item_id").eqNullSafe(F.col("whole_id")))
-    return named.where(F.col("n_windows") >= coverage * F.col("n_item_windows")).select(
+    covered = F.col("n_windows") >= coverage * F.col("n_item_windows")
+    return named.where(covered | (F.col("run") + window - 1 >= passage)).select(
         "doc_id", "text_key", "item_id", "n_windows", "n_item_windows", "n_slots", "n_changed"
     )

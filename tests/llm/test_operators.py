@@ -359,6 +359,16 @@ def test_leaks_with_other_values(spark, none):
     assert decontaminate.find_leaks(docs, items.limit(0)).collect() == []
 
 
+def test_passages_of_long_items_are_leaks(spark):
+    words = [f"plain{k}" for k in range(59)]
+    texts = [(k, f"before it {' '.join(words[10 : 10 + n])} and after it") for k, n in enumerate((32, 13, 12, 59))]
+    texts.append((9, " and then ".join(" ".join(words[k : k + 9]) for k in (0, 20, 40))))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    found = {r.doc_id: (r.n_windows, r.n_item_windows) for r in decontaminate.find_leaks(docs, items).collect()}
+    assert found == {0: (25, 52), 1: (6, 52), 3: (42, 52)}
+
+
 def test_leaks_are_all_verbatim_passages(spark):
     folder = "/root/testdata/sf0.001"
     docs, items = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "benchmark"))
