@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibrel.llm import bpe, decontaminate, exact, license, pii, quality, secrets, simhash, suffix, urls
+from calibrel.llm import (
+    bpe,
+    decontaminate,
+    exact,
+    license,
+    pii,
+    quality,
+    secrets,
+    simhash,
+    suffix,
+    tokenfiles,
+    urls,
+)
 from calibrel.llm.batches import written
 
 QUERIES = {}
@@ -194,3 +206,15 @@ def _(spark, sf_dir):
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+#: Appended to every document by ``op13_token_files``.
+END_ID = 2
+
+
+@query("op13_token_files")
+def _(spark, sf_dir):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return tokenfiles.stored_ids(table(spark, sf_dir, "documents"), path, END_ID)
