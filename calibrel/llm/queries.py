@@ -12,6 +12,7 @@ from calibrel.llm import (
     license,
     pii,
     quality,
+    ranking,
     secrets,
     simhash,
     suffix,
@@ -218,3 +219,34 @@ def _(spark, sf_dir):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     return tokenfiles.stored_ids(table(spark, sf_dir, "documents"), path, END_ID)
+
+
+@query(
+    "op11_ranked_search",
+    r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents),
+lengths AS (SELECT doc_id, count(*) AS n FROM words GROUP BY 1),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM lengths),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+found AS (
+  SELECT doc_id, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM wanted) GROUP BY 1, 2),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM found, whole GROUP BY term, docs),
+parts AS (
+  SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // terms))) AS part
+  FROM found JOIN weights USING (term) JOIN lengths USING (doc_id), whole),
+scores AS (SELECT item_id, doc_id, sum(part)::BIGINT AS score FROM wanted JOIN parts USING (term) GROUP BY 1, 2)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 50""",
+)
+def _(spark, sf_dir):
+    return ranking.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
