@@ -13,6 +13,7 @@ from calibrel.llm import (
     pii,
     quality,
     ranking,
+    repair,
     secrets,
     simhash,
     suffix,
@@ -250,3 +251,34 @@ FROM scores WHERE score > 0 QUALIFY rank <= 50""",
 )
 def _(spark, sf_dir):
     return ranking.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns dropped, emptied, cut, repeated or given to the user, by a checksum of their place."""
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    k = F.crc32(F.concat(text["conv_id"], F.lit(":"), text["turn"]).cast("binary")) % 20
+    told = turns.select("conv_id", "turn", text["role"].alias("role"), text["text"].alias("text"), k.alias("k"))
+    text = F.when(F.col("k") == 1, "").when(F.col("k") == 2, F.regexp_replace("text", "[.!?]", ""))
+    return told.where("k <> 0").select(
+        "conv_id",
+        "turn",
+        F.when(F.col("k") == 4, "user").otherwise(F.col("role")).alias("role"),
+        text.otherwise(F.col("text")).alias("text"),
+        F.explode(F.when(F.col("k") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    )
+
+
+@query("op12_conversation_repair")
+def _(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    report, repaired = repair.repair(damaged(turns))
+    found = report.join(repair.digests(repaired).withColumnRenamed("conv", "of"), F.col("conv").eqNullSafe(F.col("of")))
+    every = turns.groupBy("conv_id").agg(F.lit(1).alias("one"))
+    joined = every.join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return joined.select(
+        "conv_id",
+        *(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in numbers),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
