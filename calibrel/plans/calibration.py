@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,11 +24,11 @@ from calibrel.operators.assemble import (
     assemble,
     join_parts,
     long_conversations,
-    mark_last_part,
     split_arrays,
     truncate_parts,
 )
 from calibrel.operators.filters import settle
+from calibrel.operators.long_texts import join_tokens, tokens_of_parts
 from calibrel.operators.sampling import SEED, sample_conversations, sample_rows
 from calibrel.operators.vocabulary import encode
 
@@ -48,8 +48,12 @@ class Calibration:
     on_error: str = "fail"
     # begin token put in front of the rendered text once more before its length is tested
     extra_bos: str | None = None
-    # text to ids by the caller's tokenizer; the length is tested and cut on what it gives
+    # text to ids by the caller's tokenizer; the length is tested and cut on what it gives, and a
+    # text with null ids has failed
     tokenizer: Callable[[Column], Column] | None = None
+    # text to an array of (id, end of the token in the text), with the tokenizer's ids: conversations
+    # of several parts are then tokenized part by part
+    token_ends: Callable[[Column], Column] | None = None
 
     @property
     def filters(self) -> bool:
@@ -113,9 +117,9 @@ def tokens_of(text: Column, options: Calibration) -> Column:
 def with_tokens(
     rows: DataFrame, options: Calibration, column: str = "conversations", **_
 ) -> DataFrame:
-    """Adds ``tokens`` of the whole text to what ``with_text`` adds.
+    """Adds ``tokens`` of the whole text to what ``with_text`` adds, for rows of whole conversations.
 
-    Tokens are ids where there is a tokenizer. The extra begin token stands before the first part.
+    Tokens are ids where there is a tokenizer. The extra begin token stands before the text.
     """
     text = F.col("text")
     if options.extra_bos is None:
@@ -124,11 +128,35 @@ def with_tokens(
         tokens = tokenize(text, options.extra_bos)
     else:
         tokens = options.tokenizer(F.concat(F.lit(options.extra_bos), text))
-    if options.extra_bos is not None and "part" in rows.columns:
-        tokens = F.when(F.col("part") == 0, tokens).otherwise(tokens_of(text, options))
+    if options.on_error == "fail" and options.tokenizer is not None:
+        failed = F.raise_error(F.lit("conversation cannot be tokenized"))
+        tokens = F.when(text.isNotNull(), F.coalesce(tokens, failed.cast("array<int>")))
     return with_text(rows, options, column).withColumn("tokens", tokens)
 
 
+def with_part_tokens(
+    parts: DataFrame, options: Calibration, key: str = "conv_id", column: str = "conversations"
+) -> DataFrame:
+    """Adds ``chat``, ``text`` and ``tokens`` to parts of conversations.
+
+    In the order of the parts the tokens are those of one call on the whole text.
+    """
+    rows = settle(with_text(parts, options, column), "chat", "text")
+    text, own = F.col("text"), options.tokenizer is not None
+    if options.extra_bos is not None and own:
+        text = F.when(F.col("part") == 0, F.concat(F.lit(options.extra_bos), text)).otherwise(text)
+    given = rows.select(key, "part", text.alias("text"))
+    tokens = tokens_of_parts(given, key, lambda t: tokens_of(t, options), options.token_ends, blanks=not own)
+    rows = rows.join(tokens, [key, "part"], "left")
+    if options.extra_bos is not None and not own:
+        opened = F.concat(F.array(F.lit(options.extra_bos)), F.col("tokens"))
+        rows = rows.withColumn("tokens", F.when(F.col("part") == 0, opened).otherwise(F.col("tokens")))
+    if options.on_error == "fail" and own:
+        failed = F.raise_error(F.lit("conversation cannot be tokenized"))
+        rows = rows.withColumn("tokens", F.coalesce("tokens", failed.cast("array<int>")))
+    return rows
+
+
 def turns_digest(conversations: Column, options: Calibration, start: Column | int) -> Column:
     """Exclusive or over the turns' hashes of position, role and content."""
     turns = convert_turns(conversations, options.mode, start, tolerant=True)
@@ -148,18 +176,24 @@ def with_facts(
     options: Calibration,
     column: str = "conversations",
     raw: str | None = None,
+    parts_of: str | None = None,
 ) -> DataFrame:
     """Adds what the skip rules look at: turns, tokens, missing fields and failures.
 
     ``raw`` is the unparsed column, where there is one: null means missing, while null
-    after parsing means failed.
+    after parsing means failed. Rows are whole conversations, or parts of those that ``parts_of``
+    names.
     """
     start = F.col("start") if "start" in rows.columns else 0
     # filters on the facts must not render and tokenize once more
-    return settle(with_tokens(rows, options, column), "chat", "text", "tokens").select(
+    if parts_of is None:
+        tokenized = settle(with_tokens(rows, options, column), "chat", "text", "tokens")
+    else:
+        tokenized = with_part_tokens(rows, options, parts_of, column)
+    return tokenized.select(
         "*",
         F.col(raw or column).isNull().alias("missing"),
-        F.col("text").isNull().alias("failed"),
+        (F.col("text").isNull() | F.col("tokens").isNull()).alias("failed"),
         F.size("chat").alias("n_turns"),
         dropped_turns(F.col(column)).alias("dropped"),
         F.size("tokens").alias("n_tokens"),
@@ -171,14 +205,22 @@ def _classified(facts: DataFrame, options: Calibration) -> DataFrame:
     return classify(facts, options.least_turns, options.least_tokens, options.max_length)
 
 
-def conversation_facts(rows: DataFrame, options: Calibration, key: str = "conv_id", **read) -> DataFrame:
+def conversation_facts(
+    rows: DataFrame, options: Calibration, key: str = "conv_id", column: str = "conversations", **read
+) -> DataFrame:
     """One row per conversation: its facts and the ``reason`` it is kept or skipped for.
 
     The same for array rows and for parts of any size.
     """
-    facts = with_facts(rows, options, **read)
-    if "part" in rows.columns:
-        facts = merge_parts(facts, key)
+    if "part" not in rows.columns:
+        return _classified(with_facts(rows, options, column, **read), options)
+    whole, parts = split_by_length(rows, key, column)
+    counts = ("n_turns", "dropped", "n_tokens")
+    facts = with_facts(whole, options, column, **read).select(
+        key, "missing", "failed", *(F.col(c).cast("bigint").alias(c) for c in counts), "digest"
+    )
+    if parts is not None:
+        facts = facts.unionByName(merge_parts(with_facts(parts, options, column, parts_of=key, **read), key))
     return _classified(facts, options)
 
 
@@ -213,35 +255,67 @@ def _accepted_whole(rows: DataFrame, options: Calibration, **read) -> DataFrame:
 def accepted(
     rows: DataFrame, options: Calibration, key: str = "conv_id", column: str = "conversations", **read
 ) -> DataFrame:
-    """``(key, part, text, tokens)`` of the conversations that pass all filters.
+    """``(key, part, start, text, tokens)`` of the conversations that pass all filters.
 
-    One row for up to ``PART_TURNS`` turns; longer conversations have several, cut alike
-    whatever the rows given hold.
+    Conversations of up to ``PART_TURNS`` turns are one row, longer ones as many as they have parts.
     """
-    columns = [key, "part", "text", "tokens"]
-    if not options.filters and "part" not in rows.columns:
-        return with_tokens(split_arrays(rows, column), options, column, **read).select(columns)
+    columns = [key, "part", "start", "text", "tokens"]
     whole, parts = split_by_length(rows, key, column)
     kept = _accepted_whole(whole, options, column=column, **read).select(columns)
     if parts is None:
         return kept
-    facts = with_facts(parts, options, column, **read)
-    if options.filters:
+    if not options.filters:
+        return kept.unionByName(with_part_tokens(parts, options, key, column).select(columns))
+    facts = with_facts(parts, options, column, parts_of=key, **read)
+    passed = _classified(merge_parts(facts, key), options).filter(F.col("reason") == "ok")
+    return kept.unionByName(facts.join(passed.select(key), key, "left_semi").select(columns))
+
+
+def calibration_texts(
+    rows: DataFrame, options: Calibration, key: str = "conv_id", column: str = "conversations", **read
+) -> DataFrame:
+    """``(key, part, text)``: whole texts, uncut even where the length test cuts.
+
+    One row for up to ``PART_TURNS`` turns; longer conversations have several, cut alike
+    whatever the rows given hold.
+    """
+    columns = [key, "part", "text"]
+    whole, parts = split_by_length(rows, key, column)
+    if not options.filters:
+        kept = with_text(whole, options, column).select(columns)
+        if parts is None:
+            return kept
+        texts = with_text(parts, options, column).select(key, "part", "start", "text")
+    else:
+        kept = _accepted_whole(whole, options, column=column, **read).select(columns)
+        if parts is None:
+            return kept
+        facts = with_facts(parts, options, column, parts_of=key, **read)
         passed = _classified(merge_parts(facts, key), options).filter(F.col("reason") == "ok")
-        facts = facts.join(passed.select(key), key, "left_semi")
-    joined = join_parts(facts, key, text=lambda texts: F.array_join(texts, ""), tokens=F.flatten)
+        texts = facts.join(passed.select(key), key, "left_semi").select(key, "part", "start", "text")
+    joined = join_parts(texts, key, text=lambda pieces: F.array_join(pieces, ""))
     return kept.unionByName(joined.select(columns))
 
 
-def calibration_texts(rows: DataFrame, options: Calibration, key: str = "conv_id", **read) -> DataFrame:
-    """``(key, part, text)``: whole texts, uncut even where the length test cuts."""
-    return accepted(rows, options, key, **read).drop("tokens")
+def _tokens_in_parts(rows: DataFrame, options: Calibration, key: str, **read) -> DataFrame:
+    """``(key, part, tokens)`` of the kept conversations, uncut; the extra begin token is never among them."""
+    if options.extra_bos is None or not options.filters:
+        return accepted(rows, replace(options, extra_bos=None), key, **read).select(key, "part", "tokens")
+    column = read.get("column", "conversations")
+    passed = accepted(rows, options, key, **read).select(key).distinct()
+    whole, parts = split_by_length(rows.join(passed, key, "left_semi"), key, column)
+    plain = replace(options, extra_bos=None)
+    kept = with_tokens(whole, plain, column).select(key, "part", "tokens")
+    if parts is None:
+        return kept
+    return kept.unionByName(with_part_tokens(parts, plain, key, column).select(key, "part", "tokens"))
 
 
 def _cut(
     rows: DataFrame, options: Calibration, key: str, name: str, column: str = "conversations", **read
 ) -> DataFrame:
     """``(key, name)`` with the first ``max_length`` tokens per conversation."""
+    plain = replace(options, extra_bos=None)
     whole, parts = split_by_length(rows, key, column)
     tokens = F.col("tokens")
     if options.extra_bos is not None:
@@ -252,24 +326,35 @@ def _cut(
     )
     if parts is None:
         return cut
+    every = with_part_tokens(parts, plain, key, column).select(key, "part", F.col("tokens").alias(name))
     if options.filters:
-        facts = with_facts(parts, options, column, **read).withColumn(name, tokens)
-        merged = truncate_parts(facts, name, options.max_length, key, merged_facts())
-        merged = _classified(merged, options).filter(F.col("reason") == "ok")
-    else:
-        every = with_tokens(parts, options, column, **read).select(key, "part", tokens.alias(name))
-        merged = truncate_parts(every, name, options.max_length, key)
-    return cut.unionByName(merged.select(key, name))
+        facts = with_facts(parts, options, column, parts_of=key, **read)
+        passed = _classified(merge_parts(facts, key), options).filter(F.col("reason") == "ok")
+        every = every.join(passed.select(key), key, "left_semi")
+    return cut.unionByName(truncate_parts(every, name, options.max_length, key).select(key, name))
 
 
 def calibration_tokens(rows: DataFrame, options: Calibration, key: str = "conv_id", **read) -> DataFrame:
-    """``(key, tokens)`` cut to ``max_length`` per conversation; ``(key, part, tokens)`` without one."""
+    """``(key, tokens)``: the tokens of each conversation in one row, cut to ``max_length`` if there is one."""
     if options.max_length is not None:
         return _cut(rows, options, key, "tokens", **read)
-    kept = accepted(rows, options, key, **read)
-    if options.extra_bos is not None:
-        kept = kept.withColumn("tokens", tokens_of(F.col("text"), options))
-    return kept.drop("text")
+    return join_tokens_of(_tokens_in_parts(rows, options, key, **read), rows, key, "tokens", **read)
+
+
+def join_tokens_of(
+    tokens: DataFrame, rows: DataFrame, key: str, name: str, column: str = "conversations", **_
+) -> DataFrame:
+    """One row per conversation; only those of several parts are gathered."""
+    if "part" in rows.columns:
+        keys, n = long_conversations(rows, key)
+        keys = keys.select(key)
+    else:
+        keys = tokens.filter(F.col("part") > 0).select(key).distinct()
+        n = 0 if rows.isStreaming else rows.filter(F.size(column) > PART_TURNS).limit(1).count()
+    if n == 0:
+        return tokens.select(key, name)
+    short = tokens.join(keys, key, "left_anti").select(key, name)
+    return short.unionByName(join_tokens(tokens.join(keys, key, "left_semi"), key, name))
 
 
 def calibration_ids(
@@ -282,35 +367,31 @@ def calibration_ids(
     end: int | None = None,
     **read,
 ) -> DataFrame:
-    """``(key, [part,] input_ids, attention_mask)``; every other column is dropped.
+    """``(key, input_ids, attention_mask)``, one row per conversation; every other column is dropped.
 
-    Ids come from a vocabulary table or from the options' tokenizer, which is called on the text
-    of each part and must add no special tokens itself; ``begin`` and ``end`` stand before the
-    first and behind the last id of a conversation, before it is cut.
+    Ids come from a vocabulary table or from the options' tokenizer, which must add no special
+    tokens itself: they are those of one call on the whole text, however long the conversation is
+    and however its turns came. ``begin`` and ``end`` stand before the first and behind the last id
+    of a conversation, before it is cut.
     """
     if (vocabulary is None) == (options.tokenizer is None):
         raise ValueError("give a vocabulary or a tokenizer")
-    edges = begin is not None or end is not None
-    length = options.max_length
-    tokens = calibration_tokens(rows, options, key, **read)
-    columns = [c for c in (key, "part") if c in tokens.columns]
-    if vocabulary is not None:
-        ids = encode(tokens, "tokens", vocabulary, columns, unknown_id).withColumnRenamed("tokens", "input_ids")
+    length, name = options.max_length, "input_ids"
+    if vocabulary is None:
+        ids = calibration_tokens(rows, options, key, **read).withColumnRenamed("tokens", name)
+    elif length is not None:
+        tokens = calibration_tokens(rows, options, key, **read)
+        ids = encode(tokens, "tokens", vocabulary, [key], unknown_id).withColumnRenamed("tokens", name)
     else:
-        ids = tokens.withColumnRenamed("tokens", "input_ids")
-    value = F.col("input_ids")
-    if edges:
-        if "part" in columns:
-            ids = mark_last_part(ids, key)
-        first = F.col("part") == 0 if "part" in columns else F.lit(True)
-        last = F.col("closes") if "part" in columns else F.lit(True)
-        none = F.array().cast("array<int>")
-        if begin is not None:
-            value = F.concat(F.when(first, F.array(F.lit(begin))).otherwise(none), value)
-        if end is not None:
-            value = F.concat(value, F.when(last, F.array(F.lit(end))).otherwise(none))
-        if length is not None:
-            value = truncate(value, length)
-    return ids.select(*columns, value.alias("input_ids")).withColumn(
-        "attention_mask", attention_mask(F.col("input_ids"))
-    )
+        # parts are encoded before they are put together
+        tokens = _tokens_in_parts(rows, options, key, **read)
+        coded = encode(tokens, "tokens", vocabulary, [key, "part"], unknown_id).withColumnRenamed("tokens", name)
+        ids = join_tokens_of(coded, rows, key, name, **read)
+    value = F.col(name)
+    if begin is not None:
+        value = F.concat(F.array(F.lit(begin)), value)
+    if end is not None:
+        value = F.concat(value, F.array(F.lit(end)))
+    if (begin is not None or end is not None) and length is not None:
+        value = truncate(value, length)
+    return ids.select(key, value.alias(name)).withColumn("attention_mask", attention_mask(F.col(name)))

@@ -140,7 +140,9 @@ def test_one_result_whatever_the_length(long_turns, tmp_path, layout, least):
     whole = collected(with_text(arrays(long_turns), options), "text")
     kept = [whole[k] for k in sorted(whole) if k == 1 or not least]
     assert files[0].decode() == "".join(t + "\n" for t in kept)
-    ids = [i for r in results[0][1] if r[0] == 1 for i in r[2]]
+    (ids,) = (r[1] for r in results[0][1] if r[0] == 1)
+    assert len(results[0][1]) == (1 if least else 2)
+    assert ids == [-1, *(ord(c) for c in "".join(whole[1].split())), -2]
     assert ids[0] == -1 and ids[-1] == -2 and ids.count(-1) == ids.count(-2) == 1
 
 
