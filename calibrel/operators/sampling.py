@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEED = 42
-# Hex digits of the shuffle key counted per round, and the keys left that are read one by one.
-CUT_DIGITS = 3
-LAST_KEYS = 4096
+# Sketches that one task merges.
+FAN_IN = 64
 BROADCAST_BYTES = 32 << 20
 
 
@@ -17,46 +21,77 @@ def shuffle_key(key: Column, seed: int = SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
+def _smallest(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[np.ndarray]:
+    """The ``n`` smallest different keys of the batches in order, each as its two 64-bit halves."""
+    held = np.zeros((0, 2), np.uint64)
+    for batch in batches:
+        keys = batch["digest"].drop_null()
+        if not len(keys):
+            continue
+        keys = keys.cast(pa.binary(16))
+        new = np.frombuffer(keys.buffers()[1], ">u8", 2 * len(keys), 16 * keys.offset).astype(np.uint64).reshape(-1, 2)
+        if len(held) == n:
+            new = new[new[:, 0] <= held[-1, 0]]
+        both = np.concatenate((held, new))
+        both = both[np.lexsort((both[:, 1], both[:, 0]))]
+        different = np.ones(len(both), bool)
+        different[1:] = (both[1:] != both[:-1]).any(axis=1)
+        held = both[different][:n]
+    yield held
+
+
+def nth_smallest(keys: DataFrame, n: int) -> tuple[int, str | None]:
+    """How many different values ``shuffle_key`` has, at most n, and the largest of the n smallest.
+
+    One scan: every task keeps a sketch of its ``n`` smallest keys, and sketches are merged ``FAN_IN``
+    at a time into one of the same size, so no task holds more than one and what is merged into it.
+    """
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for held in _smallest(batches, n):
+            digests = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(held), [None, pa.py_buffer(held.astype(">u8").tobytes())])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(held), task), pa.int32()), digests.cast(pa.binary())], names=["task", "digest"]
+            )
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _smallest(batches, n):
+            bound = [held[-1].astype(">u8").tobytes().hex()] if len(held) else [None]
+            yield pa.RecordBatch.from_arrays([pa.array([len(held)]), pa.array(bound, pa.string())], names=["n", "bound"])
+
+    tasks, schema = keys.rdd.getNumPartitions(), "task int, digest binary"
+    level = keys.select(F.unhex("shuffle_key").alias("digest")).mapInArrow(sketch, schema)
+    while tasks > FAN_IN:
+        tasks = -(-tasks // FAN_IN)
+        level = level.repartition(tasks, F.floor(F.col("task") / FAN_IN)).mapInArrow(sketch, schema)
+    found = level.repartition(1).mapInArrow(last, "n long, bound string").first()
+    return (found["n"], found["bound"]) if found else (0, None)
+
+
 def sample_bound(df: DataFrame, key: str, n: int, seed: int = SEED, on_short: str = "error") -> str | None:
-    """The n-th shuffle key in order; null if there are no more than n keys.
+    """The n-th different shuffle key in order; null if there are fewer than n.
 
-    Keys are counted by their leading digits, round after round within the digits that hold the
-    bound, until a few thousand are left to look at. Only counts and those reach the driver, and
-    nothing is sorted, whatever n is.
+    Found in one scan of the key column, see ``nth_smallest``; a key counts once however many rows have it.
     """
     if on_short not in ("error", "truncate"):
         raise ValueError(f"unknown on_short {on_short!r}")
     if n < 0:
         raise ValueError(f"cannot take {n} rows")
     keyed = df.filter(F.col(key).isNotNull()).select(shuffle_key(F.col(key), seed).alias("shuffle_key"))
-    prefix, below, first = "", 0, True
-    while True:
-        digits = F.substring("shuffle_key", 1, len(prefix) + CUT_DIGITS).alias("digits")
-        inside = keyed.filter(F.col("shuffle_key").startswith(prefix))
-        # 16 ** CUT_DIGITS rows at most, whatever the size of the table
-        counts = sorted((r["digits"], r["count"]) for r in inside.groupBy(digits).count().collect())
-        found = sum(c for _, c in counts)
-        if first and found <= n:
-            if found < n and on_short == "error":
-                raise ValueError(f"{n} rows asked for, {found} found")
-            return None
-        if n == 0:
-            return ""
-        first = False
-        for prefix, count in counts:
-            if below + count >= n:
-                break
-            below += count
-        if count <= LAST_KEYS or len(prefix) >= 32:
-            left = keyed.filter(F.col("shuffle_key").startswith(prefix)).collect()
-            return sorted(r["shuffle_key"] for r in left)[n - below - 1]
+    found, bound = nth_smallest(keyed, n) if n else (0, "")
+    if found < n:
+        if on_short == "error":
+            raise ValueError(f"{n} rows asked for, {found} found")
+        return None
+    return bound
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int = SEED, on_short: str = "error") -> DataFrame:
     """The first n rows of the shuffled order, in no order, with the column ``shuffle_key``.
 
-    ``key`` identifies a row; rows without one are never taken. Fewer than n rows are an error,
-    or are all taken with ``on_short="truncate"``. The sample is a filter on the shuffle key, so
+    ``key`` identifies a row; rows without one are never taken, and rows that share a key are taken
+    together and count once. Fewer than n are an error, or are all taken with ``on_short="truncate"``. The sample is a filter on the shuffle key, so
     no task gathers it and it can be read anew at no more than a scan.
     """
     return taken_by(df, key, sample_bound(df.select(key), key, n, seed, on_short), seed)
@@ -85,7 +120,7 @@ def sample_conversations(
     turns: DataFrame, n: int, seed: int = SEED, on_short: str = "error", key: str = "conv_id"
 ) -> DataFrame:
     """All turn rows of n sampled conversations of a flat table."""
-    bound = sample_bound(turns.select(key).distinct(), key, n, seed, on_short)
+    bound = sample_bound(turns.select(key), key, n, seed, on_short)
     return taken_by(turns, key, bound, seed).drop("shuffle_key")
 
 
@@ -99,4 +134,7 @@ def peek(df: DataFrame, key: str, n: int = 1, turns: int | None = None) -> DataF
 
 def first_conversations(turns: DataFrame, n: int = 1, key: str = "conv_id") -> DataFrame:
     """All turn rows of the n smallest keys, found in the narrow key column."""
+    if n == 1:
+        first = turns.agg(F.min(key).alias("_first"))
+        return turns.filter(F.col(key) == first.scalar())
     return fetch_sampled(turns, turns.select(key).distinct().orderBy(key).limit(n), key)

@@ -20,17 +20,17 @@ def test_sample_does_not_depend_on_partitions(spark, partitions):
 
 
 @pytest.mark.parametrize("n", [0, 1, 99, 4000, 20000, 30000])
-def test_cutting_takes_the_same_rows_as_sorting(spark, monkeypatch, n):
-    monkeypatch.setattr(sampling, "LAST_KEYS", 3)
-    df = spark.range(20000)
+def test_sketches_take_the_same_rows_as_sorting(spark, monkeypatch, n):
+    monkeypatch.setattr(sampling, "FAN_IN", 3)
+    df = spark.range(20000).repartition(11)
     found = sorted(r["id"] for r in sample_n(df, "id", n, on_short="truncate").collect())
     assert found == sorted(brute(range(20000), n))
 
 
 def test_rows_without_a_key_are_never_taken(spark, monkeypatch):
     df = spark.createDataFrame([(i if i % 3 else None, i) for i in range(90)], "k long, i long")
-    for last in (1, 4096):
-        monkeypatch.setattr(sampling, "LAST_KEYS", last)
+    for fan_in in (2, 64):
+        monkeypatch.setattr(sampling, "FAN_IN", fan_in)
         assert sorted(r["k"] for r in sample_n(df, "k", 20).collect()) == sorted(
             brute([i for i in range(90) if i % 3], 20)
         )
@@ -44,6 +44,25 @@ def test_a_sample_gathers_nothing(spark):
     assert "Exchange" not in plan and "Sort" not in plan
 
 
+def test_rows_of_one_key_are_taken_together(spark):
+    rows = [(k, copy) for k in range(300) for copy in range(1 + 40 * (k % 50 == 0))]
+    df = spark.createDataFrame(rows, "k long, copy long").repartition(9)
+    taken = set(brute(range(300), 25))
+    found = [(r["k"], r["copy"]) for r in sample_n(df, "k", 25).collect()]
+    assert sorted(found) == sorted(r for r in rows if r[0] in taken)
+
+
+def test_a_bound_is_found_in_one_scan(spark, tmp_path):
+    spark.range(500).write.parquet(str(tmp_path / "keys"))
+    df = spark.read.parquet(str(tmp_path / "keys"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("bound", "one scan")
+    sampling.sample_bound(df, "id", 40)
+    jobs = tracker.getJobIdsForGroup("bound")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 2
+
+
 def test_short_table(spark):
     with pytest.raises(ValueError, match="10 rows asked for, 5 found"):
         sample_n(spark.range(5), "id", 10)
