@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.pandas.types import to_arrow_type
 
 from calibrel.session import checkpointed
 
 # A vocabulary within both bounds may be sent to every worker.
 SHARED_ENTRIES = 1_000_000
 SHARED_BYTES = 64 << 20
+# Values (and rows) of a block of arrays that shares one dictionary while it is joined.
+BLOCK_VALUES = 1 << 18
 # Hex digits that name a bucket while ids are given out.
 BUCKET_DIGITS = 3
 
@@ -81,35 +88,94 @@ def _lookup(vocabulary: DataFrame, source: str, target: str, otherwise: int | st
     return translate
 
 
+def _blocks(column: str, key: list[str], kind: pa.DataType):
+    """Arrow rows to blocks: keys, lengths, the values as places in a dictionary, and that dictionary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            lengths = pc.fill_null(pc.list_value_length(batch[column]), 0).to_numpy()
+            # rows are counted too, so that empty ones do not gather without end
+            sizes = np.cumsum(lengths + 1)
+            cuts = np.searchsorted(sizes, np.arange(BLOCK_VALUES, sizes[-1] if len(sizes) else 0, BLOCK_VALUES))
+            bounds = np.unique(np.concatenate(([0], cuts + 1, [batch.num_rows]))).tolist()
+            for start, end in zip(bounds, bounds[1:]):
+                arrays = batch[column].slice(start, end - start)
+                coded = pc.dictionary_encode(arrays.flatten())
+                keys = pa.StructArray.from_arrays([batch[c].slice(start, end - start) for c in key], names=key)
+                sizes_of = pc.list_value_length(arrays)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([(task << 32) + number]),
+                        _one_list(keys),
+                        _one_list(sizes_of),
+                        _one_list(coded.indices.cast(pa.int32())),
+                        _one_list(coded.dictionary.cast(kind)),
+                    ],
+                    names=["_block", "_keys", "_lengths", "_places", "_values"],
+                )
+                number += 1
+
+    return run
+
+
+def _one_list(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _unpacked(column: str, key: list[str], kind: pa.DataType, otherwise: int | str):
+    """Blocks and what their dictionaries became back to rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                block = {name: batch[name].slice(row, 1).flatten() for name in ("_keys", "_lengths", "_places", "_found")}
+                places = np.full(batch["_n"][row].as_py(), -1, np.int64)
+                found = block["_found"]
+                places[found.field("place").to_numpy()] = np.arange(len(found))
+                at = pa.array(places, mask=places < 0).take(block["_places"])
+                values = pc.fill_null(found.field("target").take(at), otherwise).cast(kind)
+                lengths = block["_lengths"]
+                ends = np.concatenate(([0], np.cumsum(pc.fill_null(lengths, 0).to_numpy()))).astype(np.int32)
+                arrays = pa.ListArray.from_arrays(pa.array(ends), values, mask=pc.is_null(lengths))
+                fields = [block["_keys"].field(c) for c in range(len(key))]
+                yield pa.RecordBatch.from_arrays([*fields, arrays], names=[*key, column])
+
+    return run
+
+
 def _join(
     df: DataFrame, column: str, source: str, target: str, vocabulary: DataFrame, key: list[str], otherwise: int | str
 ) -> DataFrame:
     """Array to array through a vocabulary of any size.
 
-    Rows of equal key and array are one while they are looked up. Each sends its distinct values
-    to the vocabulary and gets back the small map that its array needs; Spark splits the rows of
-    a value that very many have. Nothing but a row's own values is gathered.
+    Rows are packed into blocks of about ``BLOCK_VALUES`` values with one dictionary each. Only the
+    dictionaries meet the vocabulary, so a value that all rows have comes once per block, and the
+    arrays are places in a dictionary, translated block by block in Arrow. Rows of equal key stay apart.
     """
-    row = [*key, "_hash"]
-    rows = (
-        df.select(*key, F.xxhash64(column).alias("_hash"), column)
-        .groupBy(*row)
-        .agg(F.any_value(column).alias(column), F.count(F.lit(1)).alias("_n"))
+    rows = df.select(*key, column)
+    kinds = {f.name: f.dataType.simpleString() for f in (*rows.schema, *vocabulary.schema)}
+    fields = ",".join(f"`{c}`:{kinds[c]}" for c in key)
+    schema = (
+        f"_block long, _keys array<struct<{fields}>>, _lengths array<int>, _places array<int>, "
+        f"_values array<{kinds[source]}>"
     )
-    pairs = (
-        df.select(*key, F.xxhash64(column).alias("_hash"), F.explode(F.array_distinct(column)).alias(source))
-        .join(vocabulary.hint("merge"), source)
-        .groupBy(*row)
-        .agg(F.map_from_entries(F.collect_set(F.struct(source, target))).alias("_map"))
+    given, made = (to_arrow_type(vocabulary.schema[c].dataType) for c in (source, target))
+    blocks = checkpointed(rows.mapInArrow(_blocks(column, key, given), schema))
+    entries = blocks.select("_block", F.posexplode("_values").alias("place", source))
+    found = (
+        entries.join(vocabulary.hint("merge"), source)
+        .groupBy("_block")
+        .agg(F.collect_list(F.struct("place", F.col(target).alias("target"))).alias("_found"))
     )
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in row]
-    value = F.transform(column, lambda t: F.coalesce(F.try_element_at("_map", t), F.lit(otherwise)))
-    return (
-        rows.alias("r")
-        .join(pairs.alias("p"), same, "left")
-        .select(*[F.col(f"r.{c}").alias(c) for c in key], column, "_n", "_map")
-        .select(*key, value.alias(column), F.explode(F.sequence(F.lit(1), F.col("_n"))))
-        .select(*key, column)
+    none = F.array().cast(f"array<struct<place:int,target:{kinds[target]}>>")
+    joined = blocks.select("_block", "_keys", "_lengths", "_places", F.size("_values").alias("_n")).join(
+        found, "_block", "left"
+    )
+    packed = joined.withColumn("_found", F.coalesce("_found", none)).drop("_block")
+    names = ", ".join(f"`{c}` {kinds[c]}" for c in key)
+    return packed.mapInArrow(
+        _unpacked(column, key, made, otherwise), f"{names}, `{column}` array<{kinds[target]}>"
     )
 
 
