@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calibrel.sources.records import read_objects
+
 # Log names, and the fields of a record.
 RUN_NAME = r"(?<=_log_)[^/]+(?=_time_\d{2}_\d{2}_\d{4}_\d{2}h_\d{2}m_\d{2}s\.log)"
 RUN_STAMP = r"(?<=_time_)\d{2}_\d{2}_\d{4}_\d{2}h_\d{2}m_\d{2}s(?=\.log)"
@@ -18,46 +20,25 @@ RECORD = (
 )
 
 
-def _from_path(pattern: str) -> Column:
+def _from_path(pattern: str, path: str = "_metadata.file_path") -> Column:
     """A piece of the log's name, which is its file or a folder of part files."""
-    return F.regexp_substr("_metadata.file_path", F.lit(pattern))
+    return F.regexp_substr(path, F.lit(pattern))
 
 
-def _records(body: Column) -> Column:
-    """The texts between the braces of ``body``, whatever stands between them."""
-    closed = F.regexp_replace(body, r"\}\s*(?=\{)", "}\u0000")
-    return F.split(closed, "\u0000", -1)
+def _run(path: str = "_metadata.file_path") -> dict[str, Column]:
+    started = F.to_timestamp_ntz(_from_path(RUN_STAMP, path), F.lit(RUN_TIME))
+    return {"run": _from_path(RUN_NAME, path), "started": started}
 
 
-def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Records of run logs: JSON objects over several lines, one after the other.
+def read_run_logs(spark: SparkSession, path: str, only: Column | None = None) -> DataFrame:
+    """Records of run logs: JSON objects one after the other, in any layout.
 
-    The text is cut behind a closing brace that begins its line, which keeps large files
-    splittable, and each piece once more wherever one object ends and the next begins, so that
-    blanks, carriage returns and several objects on a line lose nothing. A filter on ``run`` or
-    ``started`` skips the files of other runs. A record that cannot be parsed is kept in
-    ``bad_record``, a number that cannot be read is null.
+    ``only`` is a condition on ``run`` and ``started``; the files of other runs are not read. A record
+    that cannot be parsed is kept in ``bad_record``, a number that cannot be read is null. See
+    ``records.read_objects`` for how files are cut.
     """
-    pieces = (
-        spark.read.option("lineSep", "\n}")
-        .option("recursiveFileLookup", "true")
-        .text(path)
-        .select(
-            F.col("value"),
-            _from_path(RUN_NAME).alias("run"),
-            F.to_timestamp_ntz(_from_path(RUN_STAMP), F.lit(RUN_TIME)).alias("started"),
-        )
-    )
-    # a piece that opens an object lost the brace that ends it to the separator
-    opened = F.length("value") - F.length(F.replace("value", F.lit("{"), F.lit("")))
-    closed = F.length("value") - F.length(F.replace("value", F.lit("}"), F.lit("")))
-    whole = F.when(opened > closed, F.concat("value", F.lit("}"))).otherwise(F.col("value"))
-    parsed = (
-        pieces.select("run", "started", F.explode(_records(whole)).alias("record_text"))
-        .withColumn("record_text", F.btrim("record_text", F.lit(" \t\r\n")))
-        .filter(F.col("record_text") != "")
-        .withColumn("record", F.from_json("record_text", RECORD))
-    )
+    texts = read_objects(spark, path, only, **_run())
+    parsed = texts.withColumns(_run("file")).withColumn("record", F.from_json("record_text", RECORD))
     record = F.col("record")
     return parsed.select(
         "run",

@@ -1,9 +1,13 @@
 import json
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from calibrel.operators.runs import run_compare, run_summary
 from calibrel.sources import read_run_logs, read_stage_logs
+from calibrel.sources.records import read_objects
 
 
 def record(module, layer=0, loss="0.5", time="1.000", fwd="10.000", **other):
@@ -104,10 +108,63 @@ def test_runs_that_stop_at_different_layers(spark, folder):
 
 
 def test_other_runs_are_not_read(spark, folder):
-    logs = read_run_logs(spark, str(folder))
-    assert logs.rdd.getNumPartitions() == 2
-    assert logs.filter("run = 'owl'").rdd.getNumPartitions() == 1
-    assert logs.filter("started < timestamp_ntz'2030-12-01 00:00:00'").rdd.getNumPartitions() == 1
+    assert read_run_logs(spark, str(folder)).rdd.getNumPartitions() == 2
+    for only in ("run = 'owl'", "started < timestamp_ntz'2030-12-01 00:00:00'"):
+        logs = read_run_logs(spark, str(folder), F.expr(only))
+        assert logs.rdd.getNumPartitions() == 1 and {r["run"] for r in logs.collect()} == {"owl"}
+
+
+def texts_of(spark, folder, **conf):
+    for name, value in conf.items():
+        spark.conf.set(f"spark.sql.files.{name}", value)
+    try:
+        return sorted(r["record_text"] for r in read_objects(spark, str(folder)).collect())
+    finally:
+        for name in conf:
+            spark.conf.unset(f"spark.sql.files.{name}")
+
+
+objects = st.lists(
+    st.dictionaries(
+        st.sampled_from(["a", "module"]),
+        st.one_of(st.text(alphabet='a}{"\\\n:é ', max_size=8), st.integers(0, 9), st.lists(st.just({"b": "}"}), max_size=2)),
+        max_size=2,
+    ),
+    max_size=25,
+)
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(objects, st.sampled_from([None, 0, 2]), st.sampled_from(["", "\n", " \r\n"]), st.sampled_from([7, 40, 300]))
+def test_any_layout_and_any_split(spark, tmp_path_factory, found, indent, between, split):
+    folder = tmp_path_factory.mktemp("objects")
+    want = [json.dumps(o, indent=indent, ensure_ascii=False) for o in found]
+    (folder / "x.log").write_bytes(between.join(want).encode())
+    got = texts_of(spark, folder, maxPartitionBytes=str(split), openCostInBytes="1")
+    assert got == sorted(want)
+
+
+def test_braces_in_strings_and_objects_on_one_line(spark, tmp_path):
+    write(tmp_path, "gptq_log_x_time_02_03_2031_04h_05m_06s.log", '{"module":"m} {x"}{"module":"\\"}{"}')
+    assert sorted(r["module"] for r in read_run_logs(spark, str(tmp_path)).collect()) == ['"}{', "m} {x"]
+    many = "".join(json.dumps({"module": f"m{k}", "layer": k}) for k in range(20_000))
+    write(tmp_path, "gptq_log_x_time_02_03_2031_04h_05m_06s.log", many)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        logs = read_run_logs(spark, str(tmp_path))
+        assert sorted(r["layer"] for r in logs.collect()) == list(range(20_000))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("split", ["20", "1000000"])
+def test_a_broken_object_costs_itself_alone(spark, tmp_path, split):
+    good = [record(f"m{k}") for k in range(4)]
+    broken = ['{\n  "module": "never ended,\n  "layer": 1\n}', '{\n  "module": "cut off"', "no object at all }"]
+    text = "\n".join([good[0], broken[0], good[1], broken[1], good[2], broken[2], good[3], '{\n "module": "unfinished"'])
+    write(tmp_path, "a.log", text)
+    got = texts_of(spark, tmp_path, maxPartitionBytes=split, openCostInBytes="1")
+    assert got == sorted([*good, *broken, '{\n "module": "unfinished"'])
 
 
 def test_stage_logs_have_day_first_names(spark, tmp_path):
