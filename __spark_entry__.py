@@ -6,13 +6,16 @@ library has to cope with are derived from it, in the query and in its SQL alike.
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
 import sys
 from collections.abc import Callable, Mapping
 from dataclasses import replace
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +32,7 @@ from calibrel.functions import (
     tokenize,
 )
 from calibrel.functions.chat import WHITESPACE
-from calibrel.functions.tokens import TOKEN_PATTERN
+from calibrel.functions.tokens import TOKEN_PATTERN, batch_tokenizer
 from calibrel.operators.accounting import account, any_in, frequency
 from calibrel.operators.assemble import PART_TURNS, assemble, join_parts, mark_last_part
 from calibrel.operators.error import recon_error
@@ -259,8 +262,8 @@ SELECT conv_id, {SHUFFLE_SQL} AS shuffle_key
 FROM (SELECT DISTINCT conv_id FROM conversations) ORDER BY shuffle_key, conv_id LIMIT 50""",
 )
 def _(spark, sf_dir):
-    keys = table(spark, sf_dir, "conversations").select("conv_id").distinct()
-    return sample_n(keys, "conv_id", 50, on_short="truncate")
+    keys = table(spark, sf_dir, "conversations").select("conv_id")
+    return sample_n(keys, "conv_id", 50, on_short="truncate").distinct()
 
 
 @query(
@@ -270,8 +273,8 @@ SELECT l_partkey, md5('7:' || CAST(l_partkey AS VARCHAR)) AS shuffle_key
 FROM (SELECT DISTINCT l_partkey FROM lineitem) ORDER BY shuffle_key LIMIT 1500""",
 )
 def _(spark, sf_dir):
-    parts = table(spark, sf_dir, "lineitem").select("l_partkey").distinct()
-    return sample_n(parts, "l_partkey", 1500, seed=7, on_short="truncate")
+    parts = table(spark, sf_dir, "lineitem").select("l_partkey")
+    return sample_n(parts, "l_partkey", 1500, seed=7, on_short="truncate").distinct()
 
 
 @query(
@@ -395,33 +398,40 @@ def _(spark, sf_dir):
     return join_parts(texts, "conv_id", text=lambda pieces: F.array_join(pieces, "")).drop("part")
 
 
-# The presets' samples are larger than the small tables; one that bites at every scale is tested.
-SAMPLED = 15
+# Two fifths of the conversations, a sample that bites at every scale; presets run with their own n too.
+SAMPLED = "(SELECT count(DISTINCT conv_id) * 2 // 5 FROM conversations)"
 
 
-def sampled_preset(name: str) -> Calibration:
-    return replace(PRESETS[name], n=SAMPLED)
+def sampled_n(spark: SparkSession, sf_dir: str) -> int:
+    found = table(spark, sf_dir, "conversations").agg(F.count_distinct("conv_id")).first()[0]
+    return found * 2 // 5
 
 
-EXPORT_SQL = f"""
+def export_sql(n: int | str = SAMPLED) -> str:
+    return f"""
 {MIXED_SQL}, {mixed_text_sql(ROLE_HEADERS)},
-sampled AS (SELECT conv_id, text FROM rendered ORDER BY {SHUFFLE_SQL}, conv_id LIMIT {SAMPLED})"""
+sampled AS (SELECT conv_id, text FROM rendered ORDER BY {SHUFFLE_SQL}, conv_id LIMIT {n})"""
 
 
-def export_texts(spark: SparkSession, sf_dir: str, part_turns: int = PART_TURNS) -> DataFrame:
-    options = sampled_preset("text_export")
+def export_texts(
+    spark: SparkSession, sf_dir: str, part_turns: int = PART_TURNS, n: int | None = None
+) -> DataFrame:
+    options = replace(PRESETS["text_export"], n=sampled_n(spark, sf_dir) if n is None else n)
     turns = table(spark, sf_dir, "conversations")
     rows = take_sample(turns, options, element=mixed_turn(), on_short="truncate", part_turns=part_turns)
     return calibration_texts(rows, options)
 
 
-@query("text_export_rows", f"WITH {EXPORT_SQL} SELECT conv_id, CAST(0 AS BIGINT) AS part, text FROM sampled")
+@query(
+    "text_export_rows",
+    f"WITH {export_sql(PRESETS['text_export'].n)} SELECT conv_id, CAST(0 AS BIGINT) AS part, text FROM sampled",
+)
 def _(spark, sf_dir):
-    return export_texts(spark, sf_dir)
+    return export_texts(spark, sf_dir, n=PRESETS["text_export"].n)
 
 
 WRITTEN_SQL = f"""
-WITH {EXPORT_SQL}
+WITH {export_sql()}
 SELECT line, count(*) AS n
 FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM sampled) GROUP BY line"""
 
@@ -697,11 +707,80 @@ def _(spark, sf_dir):
     return encoded(calibration_ids(rows, options))
 
 
+# A tokenizer of the caller's in Python, whose tokens run over the borders of turns: up to four
+# letters and blanks, or one other character.
+ACROSS_PATTERN = r"[A-Za-z ]{1,4}|[^A-Za-z ]"
+ACROSS_SQL = f"""
+WITH rendered AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
+coded AS (
+  SELECT conv_id, list_transform(regexp_extract_all(text, '{ACROSS_PATTERN}'),
+                                 lambda w: CAST(('0x' || substr(md5(w), 1, 7)) AS INTEGER)) AS ids FROM rendered)
+SELECT conv_id, CAST(len(ids) AS BIGINT) AS n_ids, array_to_string(ids, ',') AS ids,
+       CAST(len(ids) AS BIGINT) AS mask_sum FROM coded"""
+BARE = Layout("", "", "", "", "", writes_role=False)
+
+
+def across_ends() -> Callable[[Column], Column]:
+    """Ids of the tokens, and where they end."""
+    pattern = ACROSS_PATTERN
+
+    def spans(texts: pa.Array) -> pa.Array:
+        found, matches = [], re.compile(pattern).finditer
+        for text in texts.to_pylist():
+            id_of = lambda m: int(hashlib.md5(m[0].encode()).hexdigest()[:7], 16)
+            found.append(None if text is None else [{"id": id_of(m), "end": m.end()} for m in matches(text)])
+        return pa.array(found, pa.list_(pa.struct([("id", pa.int32()), ("end", pa.int32())])))
+
+    return F.arrow_udf(spans, "array<struct<id:int,end:int>>")
+
+
+def across_ids(rows: DataFrame, with_ends: bool) -> DataFrame:
+    ends = across_ends()
+    options = Calibration(
+        mode="as_is",
+        layout=BARE,
+        max_length=None,
+        tokenizer=lambda text: F.transform(ends(text), lambda s: s["id"]),
+        token_ends=ends if with_ends else None,
+    )
+    return encoded(calibration_ids(rows, options))
+
+
+@query("own_ids_across_borders", ACROSS_SQL)
+def _(spark, sf_dir):
+    # parts of three turns: the tokenizer sees each with what is around it
+    return across_ids(assemble(table(spark, sf_dir, "conversations"), "chat", part_turns=3), True)
+
+
+@query("own_ids_of_whole_texts", ACROSS_SQL)
+def _(spark, sf_dir):
+    return across_ids(assemble(table(spark, sf_dir, "conversations"), "chat", part_turns=3), False)
+
+
+@query(
+    "tokenizer_errors_skipped",
+    f"""
+WITH {text_sql(CHATML, "conversations")}
+SELECT CASE WHEN length(text) % 7 = 0 THEN 'error' ELSE 'ok' END AS reason, count(*) AS n
+FROM rendered GROUP BY 1""",
+)
+def _(spark, sf_dir):
+    def fails_on_some(texts: list[str]) -> list[list[int]]:
+        if any(len(t) % 7 == 0 for t in texts):
+            raise ValueError("a length that this tokenizer does not take")
+        return [[len(t)] for t in texts]
+
+    tokenizer = batch_tokenizer(fails_on_some, isolate=True)
+    options = Calibration(mode="as_is", layout=CHATML, on_error="skip", tokenizer=tokenizer)
+    rows = assemble(table(spark, sf_dir, "conversations"), "chat")
+    return account(conversation_facts(rows, options))
+
+
 # --- accounting and calibration sets -----------------------------------------------------------
 
 # No conversation of the tables has fewer than ten tokens, so a higher limit is tested.
 SHORT = 60
-TOLERANT = Calibration(n=SAMPLED, least_turns=2, least_tokens=SHORT, on_error="skip")
+TOLERANT = Calibration(least_turns=2, least_tokens=SHORT, on_error="skip")
 
 FACTS_SQL = f"""
 {MIXED_SQL}, {mixed_text_sql(ROLE_HEADERS)},
@@ -726,7 +805,8 @@ def _(spark, sf_dir):
 def calibration_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sample, fetch, assemble, convert, render, tokenize, cut, filter."""
     turns = table(spark, sf_dir, "conversations")
-    rows = broken_arrays(take_sample(turns, TOLERANT, element=mixed_turn(), on_short="truncate"))
+    options = replace(TOLERANT, n=sampled_n(spark, sf_dir))
+    rows = broken_arrays(take_sample(turns, options, element=mixed_turn(), on_short="truncate"))
     facts = conversation_facts(rows, TOLERANT, raw="raw").filter(F.col("reason") == "ok")
     return facts.select(
         "conv_id",
@@ -752,7 +832,8 @@ SELECT conv_id, CAST(0 AS BIGINT) AS part, text FROM sampled WHERE reason = 'ok'
 
 def gptq_texts(spark: SparkSession, sf_dir: str, part_turns: int = PART_TURNS) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
-    rows = take_sample(turns, TOLERANT, element=mixed_turn(), on_short="truncate", part_turns=part_turns)
+    options = replace(TOLERANT, n=sampled_n(spark, sf_dir))
+    rows = take_sample(turns, options, element=mixed_turn(), on_short="truncate", part_turns=part_turns)
     return calibration_texts(broken_arrays(rows), TOLERANT, raw="raw")
 
 
@@ -771,7 +852,8 @@ def _(spark, sf_dir):
     # the usual input: one row per conversation, so nothing is gathered or joined back
     path = scratch_path(spark, "arrays")
     mixed_rows(spark, sf_dir, broken=True).drop("part", "start").write.parquet(path)
-    rows = take_sample(read_conversations(spark, path), TOLERANT, on_short="truncate")
+    options = replace(TOLERANT, n=sampled_n(spark, sf_dir))
+    rows = take_sample(read_conversations(spark, path), options, on_short="truncate")
     return calibration_texts(rows, TOLERANT, raw="raw")
 
 
@@ -782,12 +864,12 @@ WITH {MIXED_SQL}, {mixed_text_sql(ROLE_HEADERS)},
 counted AS (
   SELECT conv_id, text, count(*) FILTER (WHERE known) AS n_turns
   FROM rendered JOIN judged USING (conv_id) GROUP BY 1, 2),
-sampled AS (SELECT * FROM counted ORDER BY {SHUFFLE_SQL}, conv_id LIMIT {SAMPLED})
+sampled AS (SELECT * FROM counted ORDER BY {SHUFFLE_SQL}, conv_id LIMIT {PRESETS["gptq_text"].n})
 SELECT conv_id, CAST(0 AS BIGINT) AS part, text FROM sampled
 WHERE n_turns >= 2 AND len({TOKENS_SQL}) + 1 >= 10""",
 )
 def _(spark, sf_dir):
-    options = sampled_preset("gptq_text")
+    options = PRESETS["gptq_text"]
     turns = table(spark, sf_dir, "conversations")
     rows = take_sample(turns, options, element=mixed_turn(), on_short="truncate")
     return calibration_texts(rows, options)
@@ -818,7 +900,7 @@ def _(spark, sf_dir):
     return require_rows(facts.filter(F.col("reason") == "ok"))
 
 
-def preset_sql(source: str, n: int, cut: int | None) -> str:
+def preset_sql(source: str, n: int | str, cut: int | None) -> str:
     kept = f"WHERE pos <= {cut}" if cut else ""
     return f"""
 WITH {source}, {ENCODED_SQL},
@@ -831,30 +913,30 @@ FROM placed JOIN vocabulary USING (token) JOIN sampled USING (conv_id) {kept} GR
 def preset_ids(
     turns: DataFrame, options: Calibration, shape: str = "sharegpt", element: Column | None = None
 ) -> DataFrame:
-    options = replace(options, n=SAMPLED)
     every = calibration_texts(assemble(turns, shape, element=element), options)
     rows = take_sample(turns, options, shape=shape, element=element, on_short="truncate")
     return encoded(calibration_ids(rows, options, vocabulary_of(every)))
 
 
-@query("w8a8_messages", preset_sql(text_sql(CHATML, "conversations"), SAMPLED, 2048))
+@query("w8a8_messages", preset_sql(text_sql(CHATML, "conversations"), PRESETS["w8a8_messages"].n, 2048))
 def _(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     return preset_ids(turns, PRESETS["w8a8_messages"], "chat")
 
 
-@query("gptq_ids_sampled", preset_sql(text_sql(CHATML, "conversations"), SAMPLED, None))
+@query("gptq_ids_sampled", preset_sql(text_sql(CHATML, "conversations"), PRESETS["gptq_ids"].n, None))
 def _(spark, sf_dir):
     return preset_ids(sharegpt_turns(spark, sf_dir), PRESETS["gptq_ids"])
 
 
-@query("w8a8_sharegpt", preset_sql(text_sql(CHATML, "conversations"), SAMPLED, 2048))
+@query("w8a8_sharegpt", preset_sql(text_sql(CHATML, "conversations"), PRESETS["w8a8_sharegpt"].n, 2048))
 def _(spark, sf_dir):
     return preset_ids(sharegpt_turns(spark, sf_dir), PRESETS["w8a8_sharegpt"])
 
 
 @query(
-    "w8a8_mixed", preset_sql(f"{MIXED_SQL}, {mixed_text_sql(ROLE_HEADERS)}", SAMPLED, 2048)
+    "w8a8_mixed",
+    preset_sql(f"{MIXED_SQL}, {mixed_text_sql(ROLE_HEADERS)}", PRESETS["w8a8_mixed"].n, 2048),
 )
 def _(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
@@ -867,7 +949,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     path = scratch_path(spark, "calibration")
-    options = replace(sampled_preset("w8a8_messages"), max_length=64)
+    options = replace(PRESETS["w8a8_messages"], n=sampled_n(spark, sf_dir), max_length=64)
     turns = table(spark, sf_dir, "conversations")
     every = calibration_texts(assemble(turns, "chat"), options)
     rows = take_sample(turns, options, shape="chat", on_short="truncate")
