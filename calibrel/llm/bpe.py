@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 
 from calibrel.llm.batches import bounded_batches, slices
 
-WORDS_KEPT = 150_000
-ONCE_KEPT = 100_000
+WORDS_KEPT = 250_000
+ONCE_KEPT = 250_000
 SHORT = 64
-CODED_ROWS = 512
+ENCODED_ROWS = 2048
+DECODED_ROWS = 512
 MOST_VOCABULARY_BYTES = 64 << 20
 
 #: One contraction per word and step, for words of up to ``SHORT`` bytes.
@@ -235,7 +236,7 @@ def encode(
         # made anew by each task: an idle worker keeps no tables
         coder = Coder(ranks.value, pattern)
         with coder.db:
-            for batch in slices(batches, CODED_ROWS):
+            for batch in slices(batches, ENCODED_ROWS):
                 ids = coder.encode([t or "" for t in batch[text_column].to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), ids], names=[*names, ids_column])
 
@@ -256,7 +257,7 @@ def decode(df: DataFrame, path: str, ids_column: str = "ids", bytes_column: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(ranks.value)
         with vocabulary.db:
-            for batch in slices(batches, CODED_ROWS):
+            for batch in slices(batches, DECODED_ROWS):
                 decoded = vocabulary.decode(batch[ids_column])
                 columns = [*(batch[n] for n in names), decoded]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, bytes_column])
