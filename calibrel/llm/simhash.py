@@ -7,24 +7,20 @@ within its half, and equal variants are collisions.
 
 Variants are dealt out by their leading bits. A fingerprint is sent once to each head that one of
 its variants has, and the variants of the remaining bits are made and sorted where they meet:
-the same variants, in a few dozen rows instead of thousands. Heads with many fingerprints are
-told apart by more bits. Fingerprints are deduplicated first, so copies cost nothing here.
+the same variants, in a few dozen rows instead of thousands. Heads that are dealt more fingerprints
+than a task should hold are told apart by more of the variants' bits, again and again; a whole
+variant has no more than its ball. Fingerprints are deduplicated first, so copies cost nothing here.
 
 Within a variant's bucket every fingerprint is linked to one that is within the smaller half, and
 the links of a head leave as a spanning forest, so a dense cloud of near copies gives as many
 links as it has fingerprints, and no two of them are lost to each other.
-
-One fingerprint misses near copies whose bits happen to differ in more places. Where a share of
-five-word shingles is asked for, shorter fingerprints under several seeds bring the groups together
-whose texts are compared by their shingles; those that share enough are linked as well.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations, islice, product, repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,20 +36,14 @@ SEED = 42
 RADIUS = 3
 BLOCK = 1 << 20
 MORE_BITS = 12
-HEAVY = 64
+#: Fingerprints dealt to one head beyond which it is split by ``MORE_BITS``.
+HELD = 1 << 14
 VARIANTS_HELD = 1 << 22
-MARKS = 8
-MARK_BITS = 48
-SHINGLE_WORDS = 5
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_PUNCTUATION = b".,;:!?\"'()[]"
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _BYTE_OFFSETS = np.arange(8, dtype=np.uint16) * 256
-_MARK_BYTES = MARK_BITS // 8
-_MARK_OFFSETS = (np.arange(MARKS * _MARK_BYTES) * 256).reshape(MARKS, 1, _MARK_BYTES)
-_MARK_SEEDS = (np.arange(1, MARKS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
 
 
 def shingle_hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
@@ -78,46 +68,6 @@ def shingle_hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
         yield np.array([xxhash.xxh64_intdigest(b" ".join(held), SEED)], np.uint64)
 
 
-def root_fingerprint(text: bytes) -> int:
-    """64 bits of the words without the punctuation around them, each weighing the root of its count.
-
-    The root keeps the commonest words from deciding alone, as they do in all texts of a language.
-    """
-    counts = Counter(w.strip(_PUNCTUATION) for w in text.translate(_LOWER).split())
-    ones, total, pairs = np.zeros(64), 0.0, iter(counts.items())
-    while some := list(islice(pairs, 1 << 16)):
-        hashes = np.array([xxhash.xxh64_intdigest(word, SEED) for word, _ in some], np.uint64)
-        weights = np.sqrt(np.array([n for _, n in some], np.float64))
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += weights @ bits
-        total += weights.sum()
-    return int(np.packbits(ones * 2 > total, bitorder="little").view("<i8")[0])
-
-
-def _mixed(values: np.ndarray) -> np.ndarray:
-    values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return values ^ (values >> np.uint64(31))
-
-
-def root_marks(text: bytes) -> list[int]:
-    """As ``root_fingerprint``, ``MARK_BITS`` bits under each of ``MARKS`` seeds, the seed above them."""
-    counts = Counter(w.strip(_PUNCTUATION) for w in text.translate(_LOWER).split())
-    ones, total, pairs = np.zeros(MARKS * _MARK_BYTES * 256), 0.0, iter(counts.items())
-    while some := list(islice(pairs, 1 << 12)):
-        hashes = np.array([xxhash.xxh64_intdigest(word, SEED) for word, _ in some], np.uint64)
-        weights = np.sqrt(np.array([n for _, n in some], np.float64))
-        split = _mixed(hashes + _MARK_SEEDS).view(np.uint8).reshape(MARKS, -1, 8)[:, :, :_MARK_BYTES]
-        each = np.broadcast_to(weights[None, :, None], split.shape)
-        ones += np.bincount((split + _MARK_OFFSETS).ravel(), each.ravel(), len(ones))
-        total += weights.sum()
-    bits = (ones.reshape(MARKS, _MARK_BYTES, 256) @ _BYTE_BITS).reshape(MARKS, MARK_BITS) * 2 > total
-    packed = np.zeros((MARKS, 8), np.uint8)
-    packed[:, :_MARK_BYTES] = np.packbits(bits, axis=1, bitorder="little")
-    packed[:, _MARK_BYTES] = np.arange(MARKS)
-    return packed.view("<i8").ravel().tolist()
-
-
 def fingerprint(text: bytes, words: int) -> int:
     """64 bits, each set if set in over half the shingle hashes; zero without words."""
     ones, n = np.zeros((8, 256), np.int64), 0
@@ -129,17 +79,18 @@ def fingerprint(text: bytes, words: int) -> int:
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
-def _fingerprints(words: int | None, marked: bool):
+def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            content = batch["text"].to_pylist()
-            marks = [fingerprint(t.encode(), words) if words else root_fingerprint(t.encode()) for t in content]
-            keys = [text_key(t) for t in content]
-            columns = [batch["doc_id"], pa.array(keys, pa.int64()), pa.array(marks, pa.int64())]
-            if marked:
-                columns.append(pa.array([root_marks(t.encode()) for t in content], pa.list_(pa.int64())))
-            names = ["doc_id", "text_key", "fingerprint", "marks"]
-            yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
+            marks, keys = [], []
+            for text in batch["text"]:
+                content = text.as_py()
+                marks.append(fingerprint(content.encode(), words))
+                keys.append(text_key(content))
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], pa.array(keys, pa.int64()), pa.array(marks, pa.int64())],
+                names=["doc_id", "text_key", "fingerprint"],
+            )
 
     return run
 
@@ -156,35 +107,33 @@ def reach(fingerprints: np.ndarray, radius: int) -> np.ndarray:
     return (radius + odd * (radius & 1)).astype(np.int64) // 2
 
 
-def _dealt(radius: int, head_bits: int, heavy: np.ndarray, width: int):
-    """(key, fingerprint): the key is a head, or for a heavy one the head and the bits after it."""
-
-    def heads(values: np.ndarray, done: int, bits: int, rest: np.ndarray):
-        own = (values >> np.uint64(width - done - bits)) & np.uint64((1 << bits) - 1)
-        for most in np.unique(rest):
-            chosen, masks = np.flatnonzero(rest == most), flips(bits, int(most))
-            key = own[chosen][:, None] ^ masks
-            left = most - np.bitwise_count(masks).astype(np.int64)
-            yield key.ravel(), np.repeat(chosen, len(masks)), np.tile(left, len(chosen))
+def _dealt(radius: int, done: int, bits: int, width: int):
+    """Rows of head and fingerprint, dealt out once more by the next ``bits`` bits of the variants."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch["fingerprint"].to_numpy().view(np.uint64)
-            for start in range(0, len(values), 4096):
-                part = values[start : start + 4096]
-                for key, who, left in heads(part, 0, head_bits, reach(part, radius)):
-                    deep = np.isin(key, heavy)
-                    yield _pairs(key[~deep], part[who[~deep]])
-                    for sub, whose, _ in heads(part[who[deep]], head_bits, MORE_BITS, left[deep]):
-                        yield _pairs(
-                            (key[deep][whose] << np.uint64(MORE_BITS) | sub) + np.uint64(1 << 40),
-                            part[who[deep]][whose],
-                        )
+            every = batch["fingerprint"].to_numpy().view(np.uint64)
+            before = batch["head"].to_numpy().view(np.uint64)
+            for start in range(0, len(every), 4096):
+                values, heads = every[start : start + 4096], before[start : start + 4096]
+                left = _left(values, heads, done, radius, width)
+                own = (values >> np.uint64(width - done - bits)) & np.uint64((1 << bits) - 1)
+                for most in np.unique(left):
+                    chosen, masks = np.flatnonzero(left == most), flips(bits, int(most))
+                    key = heads[chosen][:, None] << np.uint64(bits) | own[chosen][:, None] ^ masks
+                    yield _pairs(key.ravel(), np.repeat(values[chosen], len(masks)), ("head", "fingerprint"))
 
     return run
 
 
-def _pairs(left: np.ndarray, right: np.ndarray, names=("key", "fingerprint")) -> pa.RecordBatch:
+def _left(values: np.ndarray, heads: np.ndarray, bits: int, radius: int, width: int) -> np.ndarray:
+    """How many bits the variants may still change behind their first ``bits``, which ``heads`` have."""
+    if not bits:
+        return reach(values, radius)
+    return reach(values, radius) - np.bitwise_count((values >> np.uint64(width - bits)) ^ heads).astype(np.int64)
+
+
+def _pairs(left: np.ndarray, right: np.ndarray, names: tuple[str, str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (left, right)], names=list(names)
     )
@@ -252,14 +201,12 @@ def spanning_forest(links) -> list[tuple[int, int]]:
     return [(node, root(node)) for node in list(parent) if root(node) != node]
 
 
-def _links(radius: int, head_bits: int, width: int):
-    def of_head(key: int, parts: list[np.ndarray]) -> pa.RecordBatch:
+def _links(radius: int, width: int):
+    def of_head(bits: int, head: int, parts: list[np.ndarray]) -> pa.RecordBatch:
         values = np.unique(np.concatenate(parts))
-        bits, head = head_bits, key
-        if key >= 1 << 40:
-            bits, head = head_bits + MORE_BITS, key - (1 << 40)
-        used = np.bitwise_count((values >> np.uint64(width - bits)) ^ np.uint64(head)).astype(np.int64)
-        rest = reach(values, radius) - used
+        heads = np.full(len(values), head, np.int64).view(np.uint64)
+        rest = _left(values, heads, bits, radius, width)
+        used = reach(values, radius) - rest
         forest = spanning_forest(bucket_links(values, used, rest, width - bits, radius))
         pairs = np.array(forest, np.uint64).reshape(-1, 2)
         return _pairs(pairs[:, 0], pairs[:, 1], ("u", "v"))
@@ -267,152 +214,45 @@ def _links(radius: int, head_bits: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
         for batch in batches:
-            keys = batch["key"].to_numpy()
+            bits, heads = batch["bits"].to_numpy(), batch["head"].to_numpy()
             values = batch["fingerprint"].to_numpy().view(np.uint64)
-            cuts = np.flatnonzero(np.diff(keys)) + 1
-            for start, end in zip(np.r_[0, cuts], np.r_[cuts, len(keys)]):
+            cuts = np.flatnonzero((np.diff(heads) != 0) | (np.diff(bits) != 0)) + 1
+            for start, end in zip(np.r_[0, cuts], np.r_[cuts, len(heads)]):
                 if start == end:
                     continue
-                if keys[start] != now and held:
-                    yield of_head(now, held)
+                own = int(bits[start]), int(heads[start])
+                if own != now and held:
+                    yield of_head(*now, held)
                     held = []
-                now = int(keys[start])
+                now = own
                 held.append(values[start:end].copy())
         if held:
-            yield of_head(now, held)
+            yield of_head(*now, held)
 
     return run
 
 
 def ball_links(fingerprints: DataFrame, radius: int = RADIUS, width: int = BITS) -> DataFrame:
     """``u, v``: links that join all of the distinct ``fingerprint`` of ``width`` bits within ``radius``."""
-    n = fingerprints.count()
-    head_bits = max(8, min(24, n.bit_length() - 8))
-    own = F.shiftrightunsigned("fingerprint", width - head_bits).alias("head")
-    most = HEAVY * max(1, n >> head_bits)
-    # At most n / most heads are heavy: 2 ** head_bits / 64 numbers.
-    heavy = [r.head for r in fingerprints.groupBy(own).count().where(F.col("count") > most).collect()]
-    dealt = fingerprints.select("fingerprint").mapInArrow(
-        _dealt(radius, head_bits, np.array(heavy, np.uint64), width), "key long, fingerprint long"
-    )
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(
-        _links(radius, head_bits, width), "u long, v long"
-    )
-
-
-def shared(a: np.ndarray, b: np.ndarray) -> float:
-    """The Jaccard index of two sets."""
-    small, large = sorted((len(a), len(b)))
-    if not small:
-        return 0.0
-    both = small + large - len(np.union1d(a, b))
-    return both / (small + large - both)
-
-
-def verified_links(groups: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """``spanning_forest`` of the groups with a set each that share at least ``least``.
-
-    Sets gather around leaders that they share enough with. Between two leaders' sets the triangle
-    inequality of the Jaccard distance passes over pairs that cannot, and one link is enough.
-    """
-    most, links = 1 - least + 1e-9, []
-    parent = {g: g for g in groups}
-
-    def root(g: int) -> int:
-        while parent[g] != g:
-            parent[g] = g = parent[parent[g]]
-        return g
-
-    def link(i: int, j: int) -> None:
-        a, b = root(groups[i]), root(groups[j])
-        if a != b:
-            links.append((a, b))
-            parent[max(a, b)] = min(a, b)
-
-    led: dict[int, list[tuple[int, float]]] = {}
-    apart: dict[tuple[int, int], float] = {}
-    for i, own in enumerate(sets):
-        away = {}
-        for leader in led:
-            low, high = sorted((len(own), len(sets[leader])))
-            # between sets further apart in size than this no pair can share enough
-            if low < high * least**3:
-                continue
-            away[leader] = 1 - shared(own, sets[leader])
-            if away[leader] <= most:
-                link(i, leader)
-                led[leader].append((i, away[leader]))
-                break
-        else:
-            led[i] = [(i, 0.0)]
-            apart |= {(leader, i): d for leader, d in away.items()}
-    for (a, b), between in apart.items():
-        for (i, d), (j, e) in product(led[a], led[b]):
-            if root(groups[i]) != root(groups[j]) and between - d - e <= most and shared(sets[i], sets[j]) >= least:
-                link(i, j)
-    return spanning_forest(links)
-
-
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in range(batch.num_rows):
-            text = batch["text"][part].as_py().encode()
-            hashes = [np.zeros(0, np.uint64), *map(np.unique, shingle_hashes(text, SHINGLE_WORDS))]
-            one = batch.slice(part, 1)
-            yield pa.RecordBatch.from_arrays(
-                [one["block"], one["group"], one["text_key"], pa.array([np.unique(np.concatenate(hashes)).tobytes()])],
-                names=["block", "group", "text_key", "shingles"],
-            )
-
-
-def _verified(least: float):
-    def links(held: dict[int, tuple[int, np.ndarray]]) -> pa.RecordBatch:
-        groups, sets = zip(*held.values())
-        pairs = np.array(verified_links(list(groups), list(sets), least), np.int64).reshape(-1, 2)
-        return _pairs(pairs[:, 0], pairs[:, 1], ("u", "v"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = {}, None
-        for batch in batches:
-            rows = zip(*(batch[c].to_pylist() for c in ("block", "group", "text_key", "shingles")))
-            for block, group, key, shingles in rows:
-                if block != now and held:
-                    yield links(held)
-                    held = {}
-                now = block
-                held[key] = (group, np.frombuffer(shingles, np.uint64))
-        if held:
-            yield links(held)
-
-    return run
-
-
-def shingle_links(docs: DataFrame, marked: DataFrame, least: float) -> DataFrame:
-    """``u, v``: groups of ``marked`` that hold texts which share ``least`` of their shingles.
-
-    ``marked`` has ``text_key, marks, group``. Groups with marks within the radius of each other come
-    into one block, in which all texts of different groups are compared.
-    """
-    values = written(marked.select(F.explode("marks").alias("fingerprint"), "group").distinct(), "marks")
-    firsts = written(values.groupBy("fingerprint").agg(F.min("group").alias("first")), "distinct-marks")
-    links = ball_links(firsts, RADIUS, MARK_BITS + (MARKS - 1).bit_length())
-    across = (
-        links.join(firsts.toDF("u", "a"), "u").join(firsts.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    )
-    within = values.join(firsts, "fingerprint").select(F.col("group").alias("u"), F.col("first").alias("v"))
-    blocks = components(across.union(within))
-    members = written(
-        marked.join(blocks, F.col("group") == F.col("node"))
-        .select(F.col("text_key").alias("key"), "group", F.col("root").alias("block"))
-        .distinct(),
-        "blocks",
-    )
-    compared = docs.join(if_small(members, members.count() * 32), F.xxhash64("text") == F.col("key")).select(
-        "block", "group", F.col("key").alias("text_key"), "text"
-    )
-    shingles = compared.mapInArrow(_shingles, "block long, group long, text_key long, shingles binary")
-    return shingles.repartition("block").sortWithinPartitions("block", "text_key").mapInArrow(
-        _verified(least), "u long, v long"
+    n, bits, kind = fingerprints.count(), 0, "head long, fingerprint long"
+    rows, dealt = fingerprints.select(F.lit(0).cast("long").alias("head"), "fingerprint"), None
+    more = max(8, min(24, n.bit_length() - 8))
+    while True:
+        rows, bits = rows.mapInArrow(_dealt(radius, bits, more, width), kind), bits + more
+        # What is dealt out, not what has the head itself: neighbours of a full head are as full.
+        heavy = written(rows.groupBy("head").count().where(F.col("count") > HELD).select("head"), "heavy-heads")
+        many = heavy.count() if bits < width else 0
+        light = rows.join(if_small(heavy, many * 16), "head", "left_anti") if many else rows
+        light = light.select(F.lit(bits).alias("bits"), "head", "fingerprint")
+        dealt = light if dealt is None else dealt.union(light)
+        if not many:
+            break
+        rows = written(rows.join(if_small(heavy, many * 16), "head", "left_semi"), "full-heads")
+        more = min(MORE_BITS, width - bits)
+    return (
+        dealt.repartition("bits", "head")
+        .sortWithinPartitions("bits", "head")
+        .mapInArrow(_links(radius, width), "u long, v long")
     )
 
 
@@ -420,36 +260,25 @@ def near_duplicates(
     df: DataFrame,
     id_column: str = "doc_id",
     text_column: str = "text",
-    words: int | None = 3,
+    words: int = 3,
     radius: int = RADIUS,
-    share: float | None = None,
 ) -> DataFrame:
     """One row per input row: ``doc_id, text_key, fingerprint, component_id``.
 
     The fingerprint is written as 16 hexadecimal digits; rows whose fingerprints differ in at most
     ``radius`` bits are linked, and ``component_id`` is the smallest id reachable over links. Texts
-    of fewer than ``words`` words have the whole sequence as one shingle; without ``words`` the
-    fingerprint is of single words, weighted by the root of their counts. Null and empty ones have
+    of fewer than ``words`` words have the whole sequence as one shingle. Null and empty ones have
     fingerprint zero and are linked like any other. Null ids never name a component unless all its
-    ids are null; repeated rows are kept. With ``share``, texts that have at least this share of their
-    five-word shingles in common are linked too, as far as one of the further fingerprints of their
-    words brings them together (``root_marks``). ``text_key`` is a hash of the text; other columns are left.
+    ids are null; repeated rows are kept. ``text_key`` is a hash of the text; other columns are left.
     """
     docs = texts(df, id_column, text_column).withColumn("doc_id", F.col("doc_id").cast("long"))
-    fields = "doc_id long, text_key long, fingerprint long" + ", marks array<long>" * (share is not None)
-    marked = written(docs.mapInArrow(_fingerprints(words, share is not None), fields), "fingerprints")
+    fields = "doc_id long, text_key long, fingerprint long"
+    marked = written(docs.mapInArrow(_fingerprints(words), fields), "fingerprints")
     firsts = written(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = components(ball_links(firsts, radius))
     grouped = firsts.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
         "fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("group")
     )
-    if share is not None:
-        groups = written(grouped, "groups")
-        joined = marked.join(groups, "fingerprint").select("text_key", "marks", "group")
-        more = components(shingle_links(docs, joined, share))
-        grouped = groups.join(more, F.col("group") == F.col("node"), "left").select(
-            "fingerprint", "first_id", F.coalesce("root", "group").alias("group")
-        )
     named = grouped.groupBy("group").agg(F.min("first_id").alias("component_id"))
     classes = grouped.join(named, "group").select("fingerprint", "component_id")
     return marked.join(classes, "fingerprint").select(

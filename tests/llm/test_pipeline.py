@@ -2,12 +2,10 @@
 
 import base64
 from collections import Counter
-from math import sqrt
 
 import brute
 import corpus_pipeline as pipeline
 import tiktoken
-import xxhash
 from conftest import rows
 
 from calibrel.llm import quality
@@ -16,15 +14,6 @@ from calibrel.llm.queries import multi_tokenizer
 SF_DIR = "/root/testdata/sf0.001"
 
 
-def root_fingerprint(text):
-    low = text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    words = [w for w in low.replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if w]
-    counts = Counter(w.strip(".,;:!?\"'()[]") for w in words)
-    weights = {xxhash.xxh64_intdigest(w.encode(), 42): sqrt(n) for w, n in counts.items()}
-    total = sum(weights.values())
-    return sum(1 << b for b in range(64) if 2 * sum(v for h, v in weights.items() if h >> b & 1) > total + 1e-9)
-
-
 def texts(df):
     return {r.doc_id: r.text for r in df.collect()}
 
@@ -51,7 +40,7 @@ def test_every_stage(spark):
     assert exact.columns == columns and now.keys() == want
 
     near = stages["SimHash near-dedup"](spark, exact, SF_DIR)
-    groups = brute.components({i: root_fingerprint(t) for i, t in now.items()})
+    groups = brute.components({i: brute.fingerprint(t) for i, t in now.items()})
     now = texts(near)
     assert near.columns == columns and now.keys() == set(groups.values())
 
