@@ -34,8 +34,8 @@ def one_of_each_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their fingerprints or four fifths of their shingles the one with the smallest id."""
-    found = simhash.near_duplicates(docs, words=None, share=0.8)
+    """Of documents linked by fingerprints of three-word shingles, at most three bits apart, the one with the smallest id."""
+    found = simhash.near_duplicates(docs, words=3, radius=3)
     return without(docs, found.where("doc_id <> component_id OR doc_id IS NULL AND component_id IS NOT NULL"))
 
 
