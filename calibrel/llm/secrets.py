@@ -7,25 +7,25 @@ alphabet that holds all its characters; in that alphabet random characters are e
 depend on the one before (serial correlation). The three add up to one statistic, small for random
 tokens.
 
-Long words of letters alone are the null: how small the statistic is for ordinary language of the
-same length class gives a candidate's p-value, and a step-up rule in each class holds the share of
-false discoveries. Short classes, where words pass for random more often, so need smaller values.
-Language has few words in the long classes: a class with few of them takes the beginnings of the
-texts as well, as long as the class, letters only but for a digit at the end, since every candidate has
-one. Where that is too few still, a token passes up to the quantile of the battery's own law,
-chi-squared of three degrees.
+What language does to the statistic is the null: a non-central chi-squared law of three degrees of
+freedom, further from the centre the longer the token. Long words of letters alone, wherever the
+table has them, calibrate it: they are counted together with the law, which weighs as much as
+``LAW_WORDS`` words, in each length class. That gives a candidate's p-value, the same way for every
+table, and a step-up rule in each class holds the share of false discoveries. Short tokens, for which
+language passes for random more often, so need smaller values.
 Statistics are counted over the whole table into bins, whose number does not grow with it.
 """
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibrel.llm.batches import texts, written
-from calibrel.llm.native import let, matches
+from calibrel.llm.native import apart_from, let, matches
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = (
@@ -50,11 +50,10 @@ ALPHABETS = {
 LENGTH_CLASSES = (20, 24, 32, 48, 80)
 BIN = 0.25
 BINS = 400
-FALSE_DISCOVERIES = 0.05
-FEW_WORDS = 400
-PROSE = 4096
-#: Quantile of 0.95 of chi-squared with three degrees of freedom.
-LAW_LIMIT = 7.8147
+FALSE_DISCOVERIES = 0.1
+#: What language adds to the root of the statistic per character, and how many words the law weighs.
+LANGUAGE = 0.167
+LAW_WORDS = 400
 
 
 def base_spans(text: Column) -> Column:
@@ -157,43 +156,41 @@ def length_class(length: Column) -> Column:
     return found
 
 
+def language_law(length: int, statistic: float) -> float:
+    """How often language of ``length`` characters has at most this statistic."""
+    away, root = LANGUAGE * (length - 1), math.sqrt(statistic)
+    normal = lambda x: 0.5 * math.erfc(-x / math.sqrt(2))
+    density = lambda x: math.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+    tails = (density(root - away) - density(root + away)) / away
+    return max(0.0, normal(root - away) + normal(root + away) - 1 - tails)
+
+
+def law_of(length: Column, bin_: Column) -> Column:
+    """``language_law`` of a length class up to the end of a bin."""
+    found = F.lit(None).cast("double")
+    for least in LENGTH_CLASSES:
+        values = F.array(*(F.lit(language_law(least, (k + 1) * BIN)) for k in range(BINS + 1)))
+        found = F.when(length == least, F.get(values, bin_.cast("int"))).otherwise(found)
+    return found
+
+
 def discovery_limits(tested: DataFrame, share: float = FALSE_DISCOVERIES) -> DataFrame:
     """``class, limit``: candidates of the class up to this bin are discoveries.
 
     ``tested`` has ``class``, ``bin`` and ``natural``, true for words of letters alone. The step-up
     rule takes the largest bin whose p-value times the number of candidates is at most ``share`` of
-    the candidates up to it. With fewer words than any share could be held with, the limit is that of
-    the battery's law. There is one row per class and bin, whatever the size of the table.
+    the candidates up to it. There is one row per class and bin, whatever the size of the table.
     """
     counts = tested.groupBy("class", "bin").agg(
         F.count_if("natural").alias("words"), F.count_if(~F.col("natural")).alias("tokens")
     )
     up_to = Window.partitionBy("class").orderBy("bin")
     whole = Window.partitionBy("class")
-    p = (1 + F.sum("words").over(up_to)) / (1 + F.sum("words").over(whole))
+    law = LAW_WORDS * law_of(F.col("class"), F.col("bin"))
+    p = (law + F.sum("words").over(up_to)) / (LAW_WORDS + F.sum("words").over(whole))
     held = p * F.sum("tokens").over(whole) <= share * F.sum("tokens").over(up_to)
-    too_few = share * (1 + F.sum("words").over(whole)) < 1
-    passed = F.when(too_few, F.col("bin") < int(LAW_LIMIT / BIN)).otherwise(held)
     return (
-        counts.withColumn("passed", passed).where("passed").groupBy("class").agg(F.max("bin").alias("limit"))
-    )
-
-
-def prose(docs: DataFrame, tested: DataFrame) -> DataFrame:
-    """``class, bin, natural`` of the texts' first letters and a digit, for classes of tokens with few words."""
-    counts = tested.groupBy("class").agg(F.count_if("natural").alias("words"), F.count_if(~F.col("natural")).alias("tokens"))
-    short = [r["class"] for r in counts.where(f"tokens > 0 AND words < {FEW_WORDS}").collect()]  # at most five
-    if not short:
-        return tested.limit(0).select("class", "bin", "natural")
-    # without what may be a secret itself
-    letters = F.regexp_replace(F.substring("text", 1, PROSE), "[A-Za-z0-9+/_=-]{20,}|[^A-Za-z]+", "")
-    pieces = docs.select(letters.alias("letters")).select(
-        F.explode(F.array(*(F.when(F.length("letters") >= c, F.concat(F.substring("letters", 1, c - 1), F.lit("1"))) for c in short))).alias("found")
-    )
-    return pieces.where("found IS NOT NULL").select(
-        length_class(F.length("found")).alias("class"),
-        F.least(F.floor(battery(F.col("found")) / BIN), F.lit(BINS)).alias("bin"),
-        F.lit(True).alias("natural"),
+        counts.withColumn("passed", held).where("passed").groupBy("class").agg(F.max("bin").alias("limit"))
     )
 
 
@@ -222,23 +219,21 @@ def find_secrets(
     free = found.select(
         "doc_id",
         "text_key",
-        F.explode(
-            F.filter(
-                "tokens",
-                lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])),
-            )
-        ).alias("t"),
+        F.explode(apart_from(F.col("tokens"), F.col("base"))).alias("t"),
     ).select("doc_id", "text_key", "t.*")
+    natural = F.col("found").rlike("^[A-Za-z]+$")
+    # every candidate has a digit, so a word gets one as well
+    value = F.when(natural, F.concat(F.expr("left(found, length(found) - 1)"), F.lit("1"))).otherwise(F.col("found"))
     tested = written(
         free.select(
             "doc_id", "text_key", "start", "end",
-            F.col("found").rlike("^[A-Za-z]+$").alias("natural"),
+            natural.alias("natural"),
             length_class(F.length("found")).alias("class"),
-            F.least(F.floor(battery(F.col("found")) / BIN), F.lit(BINS)).alias("bin"),
+            F.least(F.floor(battery(value) / BIN), F.lit(BINS)).alias("bin"),
         ),
         "randomness",
     )
-    null = tested.select("class", "bin", "natural").unionByName(prose(docs, tested))
+    null = tested.select("class", "bin", "natural")
     span = F.struct("start", F.lit(3).alias("kind"), "end")
     new = (
         tested.where(~F.col("natural"))

@@ -411,6 +411,37 @@ def test_long_secrets_in_prose_without_long_words(spark):
     assert [r.doc_id for r in secrets.find_secrets(alone).where("size(discovered) > 0").collect()] == [1]
 
 
+def test_texts_of_very_many_spans_take_time_in_proportion(spark):
+    import time
+
+    texts = [(k, "token=abcdef " + "x" * 22 + "7 deadbeef0123456789abcdef01 ") for k in range(3)]
+    texts = [(k, t * n) for (k, t), n in zip(texts, (20, 2_000, 16_000))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    start = time.time()
+    found = secrets.find_secrets(docs).collect()
+    assert {r.doc_id: spans(r.base) for r in found} == {i: brute.secrets(t) for i, t in texts}
+    assert time.time() - start < 60
+
+
+def test_spans_apart_from_others(spark):
+    from calibrel.llm.native import apart_from
+
+    rng, rows = random.Random(4), []
+    for k in range(200):
+        ones, others = ([], [])
+        for out in (ones, others):
+            at = rng.randrange(5)
+            for _ in range(rng.randrange(9)):
+                end = at + rng.randrange(1, 6)
+                out.append((at, end))
+                at = end + rng.randrange(6)
+        rows.append((k, ones, others))
+    kind = "array<struct<start:bigint,end:bigint>>"
+    df = spark.createDataFrame(rows, f"k int, a {kind}, b {kind}")
+    got = {r.k: [tuple(s) for s in r.c] for r in df.select("k", apart_from(F.col("a"), F.col("b")).alias("c")).collect()}
+    assert got == {k: [s for s in a if not any(s[0] < o[1] and o[0] < s[1] for o in b)] for k, a, b in rows}
+
+
 # --- 10: repeated strings -------------------------------------------------------------------------
 
 
