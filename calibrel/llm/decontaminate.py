@@ -1,8 +1,10 @@
 """Benchmark decontamination by templates.
 
-Numbers, names and units of measure become typed placeholders; what stood there are the slots. A
-window of eight template words that is also a window of a benchmark item is a hit, found by a hash
-join. Hits of one item along one diagonal (place in the text less place in the item) are one
+Numbers, names and units of measure become typed placeholders; what stood there are the slots. Names
+are told by capital letters inside sentences and lines, so a second form, in which they are plain
+lower-case words, stands beside the first, for copies in another letter case. A window of eight words
+that in either form is also a window of a benchmark item is a hit, found by a hash join; windows of
+items of under 24 words are shorter, so that one changed word does not break them all. Hits of one item along one diagonal (place in the text less place in the item) are one
 occurrence, and it counts if its slots agree: wherever the item repeats a value, the text must
 repeat its own. So a question with other names and numbers is caught, and a chance run of common
 words around unrelated numbers is not.
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from calibrel.llm.batches import if_small, text_key, texts, written
 
 WINDOW = 8
+SHORT_WINDOW = 5
 LEAST_WORDS = 4
 COVERAGE = 0.5
 PASSAGE_WORDS = 13
@@ -79,23 +82,39 @@ class Words:
         return number
 
 
+_LINE = "\x00"
+
+
 def templates(texts_in: list[str], words: Words):
-    """Template hashes and slot types of all words of the texts, and each text's first word."""
+    """Words, each text's first one, and of both forms slot types and template hashes of all words."""
     known, number_of, numbers, firsts = words.known, words.number_of, [], [0]
+    line = known[_LINE] if _LINE in known else number_of(_LINE)
     for text in texts_in:
-        numbers.extend([known[w] if w in known else number_of(w) for w in text.split()])
+        own = text.replace(_LINE, " ").replace("\n", f" {_LINE} ").split()
+        numbers.extend([known[w] if w in known else number_of(w) for w in own])
         firsts.append(len(numbers))
     numbers = np.array(numbers, np.int64)
     firsts = np.array(firsts, np.int64)
-    kinds = np.array(words.kinds, np.int8)[numbers] if len(numbers) else np.zeros(0, np.int8)
-    ends = np.array(words.ends, bool)[numbers] if len(numbers) else np.zeros(0, bool)
+    # a line break begins a sentence, and is no word
+    of_line = numbers == line
+    ends = np.array(words.ends, bool)[numbers] | of_line
     begins = np.r_[True, ends[:-1]][: len(numbers)]
     begins[firsts[:-1][firsts[:-1] < len(numbers)]] = True
+    firsts = np.r_[0, np.cumsum(~of_line)][firsts]
+    numbers, begins = numbers[~of_line], begins[~of_line]
+    kinds = np.array(words.kinds, np.int8)[numbers]
     after_number = np.r_[False, kinds[:-1] == NUMBER][: len(numbers)] & ~begins
     kinds[(kinds == NAME) & begins] = LITERAL
     kinds[(kinds == UNIT) & ~after_number] = LITERAL
-    plain = np.array(words.hashes, np.uint64)[numbers] if len(numbers) else np.zeros(0, np.uint64)
-    return numbers, firsts, kinds, np.where(kinds == LITERAL, plain, _SLOT_HASH[kinds])
+    plain = np.array(words.hashes, np.uint64)[numbers]
+    folded = np.where(kinds == NAME, LITERAL, kinds).astype(np.int8)
+    forms = [(k, np.where(k == LITERAL, plain, _SLOT_HASH[k])) for k in (kinds, folded)]
+    return numbers, firsts, forms
+
+
+def window_of(words: int, window: int) -> int:
+    """The window of an item of so many words: all of a very short one, a third of a short one."""
+    return words if words <= window else max(min(SHORT_WINDOW, window), min(window, words // 3))
 
 
 def window_hashes(template: np.ndarray, length: int) -> np.ndarray:
@@ -130,16 +149,21 @@ def _item_windows(window: int, least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, rows = Words(), []
-            numbers, firsts, kinds, template = templates(batch["text"].to_pylist(), words)
-            for item, start, end in zip(batch["doc_id"].to_pylist(), firsts, firsts[1:]):
-                length = int(min(window, end - start))
+            numbers, firsts, forms = templates(batch["text"].to_pylist(), words)
+            for item, start, end in zip(batch["doc_id"].to_pylist(), firsts.tolist(), firsts.tolist()[1:]):
+                length = window_of(end - start, window)
                 if length < least_words:
                     continue
-                hashes = window_hashes(template[start:end], length)
-                for place, value in enumerate(hashes.view(np.int64).tolist()):
-                    at = int(start) + place
-                    if np.count_nonzero(kinds[at : at + length] == LITERAL) >= least_words:
-                        rows.append((item, place, length, value, _slots(words, numbers, kinds, at, length)))
+                met = set()
+                for kinds, template in forms:
+                    hashes = window_hashes(template[start:end], length)
+                    for place, value in enumerate(hashes.view(np.int64).tolist()):
+                        at = start + place
+                        plain = np.count_nonzero(kinds[at : at + length] == LITERAL)
+                        # without names in it a window is the same in both forms
+                        if plain >= least_words and (place, value) not in met:
+                            met.add((place, value))
+                            rows.append((item, place, length, value, _slots(words, numbers, kinds, at, length)))
             columns = list(zip(*rows)) or [()] * 5
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), _HIT)
             yield pa.RecordBatch.from_arrays(
@@ -158,19 +182,24 @@ def _text_windows(lengths: list[int], bitmap: bytes):
             if len(words.plain) > WORDS_KEPT:
                 words = Words()
             content = batch["text"].to_pylist()
-            numbers, firsts, kinds, template = templates(content, words)
+            numbers, firsts, forms = templates(content, words)
             ids, rows, text_keys = batch["doc_id"].to_pylist(), [], {}
             for length in lengths:
-                hashes = window_hashes(template, length)
-                hits = np.flatnonzero(present[hashes & mask])
-                of = np.searchsorted(firsts, hits, "right") - 1
-                inside = hits + length <= firsts[of + 1]
-                for at, d in zip(hits[inside].tolist(), of[inside].tolist()):
-                    if d not in text_keys:
-                        text_keys[d] = text_key(content[d])
-                    value = int(hashes[at : at + 1].view(np.int64)[0])
-                    slots = _slots(words, numbers, kinds, at, length)
-                    rows.append((ids[d], text_keys[d], at - int(firsts[d]), length, value, slots))
+                first = None
+                for kinds, template in forms:
+                    hashes = window_hashes(template, length)
+                    hits = np.flatnonzero(present[hashes & mask])
+                    if first is not None:
+                        hits = hits[hashes[hits] != first[hits]]
+                    first = hashes
+                    of = np.searchsorted(firsts, hits, "right") - 1
+                    inside = hits + length <= firsts[of + 1]
+                    for at, d in zip(hits[inside].tolist(), of[inside].tolist()):
+                        if d not in text_keys:
+                            text_keys[d] = text_key(content[d])
+                        value = int(hashes[at : at + 1].view(np.int64)[0])
+                        slots = _slots(words, numbers, kinds, at, length)
+                        rows.append((ids[d], text_keys[d], at - int(firsts[d]), length, value, slots))
             columns = list(zip(*rows)) or [()] * 6
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), _HIT)
             yield pa.RecordBatch.from_arrays(
@@ -209,8 +238,9 @@ def find_leaks(
     One row per text (id and hash of the text) and benchmark item of which it holds at least
     ``coverage`` of the windows, or ``passage`` words in a row, in occurrences whose slots agree: of their distinct (type, item
     value, text value) at least ``agreement`` are the only one for their (type, item value).
-    ``n_changed`` counts slots with another value than the item's. Items shorter than ``window``
-    words are one window; items and windows of fewer than four plain words are not looked for. Null
+    ``n_changed`` counts slots with another value than the item's. Items of up to ``window``
+    words are one window, those of up to three windows have windows of a third of their words, five
+    at least; items and windows of fewer than four plain words in both forms are not looked for. Null
     and empty texts have no windows. Rows with equal id and text are one; null ids stay apart by
     their text. Other columns of either table are left behind.
     """
@@ -223,7 +253,8 @@ def find_leaks(
         ),
         "benchmark-windows",
     )
-    lengths = sorted(r.length for r in items.select("length").distinct().collect())  # at most ``window``
+    # at most ``window`` different ones
+    lengths = sorted(r.length for r in items.select("length").distinct().collect())
     hits = texts(df, id_column, text_column).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(
         _text_windows(lengths, benchmark_bitmap(items)),
         "doc_id long, text_key long, at long, length int, window long, slots array<string>",
@@ -234,7 +265,7 @@ def find_leaks(
     matched = hits.join(if_small(items, size.bytes), ["window", "length"])
     diagonals = (
         matched.where(F.size("slots") == F.size("item_slots"))
-        .groupBy("doc_id", "text_key", "item_id", (F.col("at") - F.col("place")).alias("diagonal"))
+        .groupBy("doc_id", "text_key", "item_id", "length", (F.col("at") - F.col("place")).alias("diagonal"))
         .agg(
             F.collect_set("place").alias("places"),
             F.array_distinct(
@@ -246,13 +277,13 @@ def find_leaks(
     agreeing = diagonals.where(n_values >= agreement * n_pairs)
     found = agreeing.groupBy("doc_id", "text_key", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_windows"),
-        F.max(longest_run(F.col("places"))).alias("run"),
+        F.max(longest_run(F.col("places")) + F.col("length") - 1).alias("in_a_row"),
         F.max(n_pairs).cast("long").alias("n_slots"),
         F.max(F.size(F.filter("pairs", lambda p: p["i"] != p["t"]))).cast("long").alias("n_changed"),
     )
-    whole = items.groupBy(F.col("item_id").alias("whole_id")).agg(F.count(F.lit(1)).alias("n_item_windows"))
+    whole = items.groupBy(F.col("item_id").alias("whole_id")).agg(F.count_distinct("place").alias("n_item_windows"))
     named = found.join(if_small(whole, size.bytes), F.col("item_id").eqNullSafe(F.col("whole_id")))
     covered = F.col("n_windows") >= coverage * F.col("n_item_windows")
-    return named.where(covered | (F.col("run") + window - 1 >= passage)).select(
+    return named.where(covered | (F.col("in_a_row") >= passage)).select(
         "doc_id", "text_key", "item_id", "n_windows", "n_item_windows", "n_slots", "n_changed"
     )
