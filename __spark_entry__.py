@@ -67,7 +67,7 @@ from calibrel.plans.calibration import (
 )
 from calibrel.plans.recipe import IntCodes, Smooth, run_recipe, run_recipe_on_both
 from calibrel.session import scratch_path
-from calibrel.sinks import write_calibration, write_codes, write_sharded, write_text
+from calibrel.sinks import read_codes, write_calibration, write_codes, write_sharded, write_text
 from calibrel.sources import (
     parse_conversations,
     read_conversations,
@@ -1498,6 +1498,39 @@ def _(spark, sf_dir):
     return rows.withColumn("n_values", shared)
 
 
+def packed_codes(coded: DataFrame, packing: str) -> DataFrame:
+    """Written packed and read back, with the bytes that the codes take."""
+    path = scratch_path(coded.sparkSession, "packed")
+    write_codes(coded, path, "embedding", packing=packing)
+    sizes = coded.sparkSession.read.parquet(f"{path}/rows").select(
+        "vec_id", F.length(f"codes_{packing}").cast("bigint").alias("n_bytes")
+    )
+    return read_codes(coded.sparkSession, path).join(sizes, "vec_id")
+
+
+@query(
+    "codes_packed_int4",
+    f"""
+WITH {VALUES_SQL}, {grouped_sql(4, 32)}
+SELECT *, CAST(32 AS BIGINT) AS n_bytes FROM ({CODES_SQL})""",
+)
+def _(spark, sf_dir):
+    rows = packed_codes(int_codes(embeddings(spark, sf_dir), "embedding", 4, "group", 32), "int4")
+    return code_rows(rows).join(rows.select("vec_id", "n_bytes"), "vec_id")
+
+
+@query(
+    "codes_packed_e4m3",
+    f"""
+WITH {VALUES_SQL},
+scaled AS (SELECT vec_id, pos, x / (max(abs(x)) OVER (PARTITION BY vec_id) / 448.0) AS y FROM vals)
+SELECT *, CAST(64 AS BIGINT) AS n_bytes FROM ({FP8_ROWS_SQL})""",
+)
+def _(spark, sf_dir):
+    rows = packed_codes(fp8_codes(embeddings(spark, sf_dir), "embedding"), "e4m3")
+    return fp8_rows(rows).join(rows.select("vec_id", "n_bytes"), "vec_id")
+
+
 @query(
     "sharded_written",
     "SELECT doc_id, md5(text) AS digest, lang, source, n_chars, true AS bounded FROM documents",

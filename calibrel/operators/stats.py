@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from calibrel.session import checkpointed
 
-# Dimensions of a block of the second moment, and tasks whose blocks are added first.
-BLOCK = 64
+# Dimensions of a tile of the second moment, bytes of the sums of tiles that a task keeps, bytes of
+# the rows it multiplies at once, and tasks whose tiles are added first.
+BLOCK = 512
+HELD_BYTES = 64 << 20
+CHUNK_BYTES = 64 << 20
 FAN_IN = 64
 
 
@@ -62,28 +65,46 @@ def importance(stats: DataFrame) -> DataFrame:
     ).select("pos", "rank")
 
 
-def _partial_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The blocks on and above the diagonal of the sum of ``x'x`` over one task."""
-    total, n = None, 0
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Rows of finite vectors of one length as doubles, a bounded number at a time."""
+    d = None
     for batch in batches:
         vectors = batch.column(0).drop_null()
         if len(vectors) == 0:
             continue
         lengths = np.unique(pc.list_value_length(vectors).to_numpy(zero_copy_only=False))
-        if lengths.size > 1 or (total is not None and total.shape[0] != lengths[0]):
+        if lengths.size > 1 or (d is not None and d != lengths[0]):
             raise ValueError("vectors differ in length")
-        flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        x = flat.reshape(len(vectors), lengths[0])
-        x = x[np.isfinite(x).all(axis=1)]
-        total = x.T @ x if total is None else total + x.T @ x
+        d = int(lengths[0])
+        rows = max(1, CHUNK_BYTES // (8 * max(1, d)))
+        for start in range(0, len(vectors), rows):
+            some = vectors.slice(start, rows)
+            x = some.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(some), d)
+            yield x[np.isfinite(x).all(axis=1)]
+
+
+def _partial_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tiles on and above the diagonal of the sum of ``x'x`` over one task.
+
+    As many tiles as fit are kept and added up; the others leave as they are for each chunk of
+    rows, so a task never holds the whole matrix.
+    """
+    sums: dict[tuple[int, int], np.ndarray] = {}
+    held = n = 0
+    for x in _chunks(batches):
         n += len(x)
-    if total is None:
-        return
-    d = total.shape[0]
-    for top in range(0, d, BLOCK):
-        for left in range(top, d, BLOCK):
-            cells = np.ascontiguousarray(total[top : top + BLOCK, left : left + BLOCK])
-            yield _block(top, left, cells, n)
+        for top in range(0, x.shape[1], BLOCK):
+            for left in range(top, x.shape[1], BLOCK):
+                cells = x[:, top : top + BLOCK].T @ x[:, left : left + BLOCK]
+                if (top, left) in sums:
+                    sums[top, left] += cells
+                elif held + cells.nbytes <= HELD_BYTES:
+                    sums[top, left] = cells
+                    held += cells.nbytes
+                else:
+                    yield _block(top, left, np.ascontiguousarray(cells), len(x))
+    for (top, left), cells in sums.items():
+        yield _block(top, left, np.ascontiguousarray(cells), n)
 
 
 def _block(top: int, left: int, cells: np.ndarray, n: int) -> pa.RecordBatch:
@@ -133,14 +154,18 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def second_moment(df: DataFrame, vec: str, damp: float = 0.01, fan_in: int = FAN_IN) -> DataFrame:
     """``(i, j, h)`` of ``H = X'X / n`` with ``damp * mean(diag H)`` added on the diagonal.
 
-    Each task multiplies its Arrow batches and sends its blocks on and above the diagonal, 8
-    bytes a cell. Blocks are added for ``fan_in`` tasks at a time and then over all, so that no
-    task reads one block from every other. Vectors with values that are not finite count nowhere.
+    Each task multiplies chunks of its rows tile by tile and sends its tiles on and above the diagonal,
+    8 bytes a cell; no task holds the matrix, whatever the dimension. Where there are more than ``fan_in`` tasks tiles are
+    added for so many at a time first, so that no task reads one tile from every other. Vectors with
+    values that are not finite count nowhere.
     """
     kinds = "top int, left int, width int, cells binary, n long"
     blocks = df.select(vec).mapInArrow(_partial_products, kinds)
-    blocks = blocks.withColumn("senders", F.floor(F.spark_partition_id() / fan_in))
-    for keys in (["top", "left", "senders"], ["top", "left"]):
+    levels = [["top", "left"]]
+    if df.select(vec).rdd.getNumPartitions() > fan_in:
+        blocks = blocks.withColumn("senders", F.floor(F.spark_partition_id() / fan_in))
+        levels.insert(0, ["top", "left", "senders"])
+    for keys in levels:
         dealt = blocks.repartition(*keys).sortWithinPartitions(*keys)
         blocks = dealt.mapInArrow(_summed_blocks, kinds)
     cells = checkpointed(blocks.mapInArrow(_cells, "i int, j int, h double"))

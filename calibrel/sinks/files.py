@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from calibrel.operators.assemble import long_conversations
 from calibrel.operators.filters import count_rows
+from calibrel.operators.packing import PACKINGS
 from calibrel.session import checkpointed
 
 
@@ -174,12 +175,28 @@ def write_sharded(df: DataFrame, path: str, max_bytes: int) -> None:
 
 
 def write_codes(
-    df: DataFrame, path: str, vec: str, shared: dict[str, DataFrame] | None = None
+    df: DataFrame, path: str, vec: str, shared: dict[str, DataFrame] | None = None, packing: str | None = None
 ) -> None:
     """Codes and scales without the floats they stand for.
 
-    ``shared`` tables, such as per-channel scales or ranks, are written once beside the rows.
+    ``shared`` tables, such as per-channel scales or ranks, are written once beside the rows. With
+    ``packing`` (``int4`` or ``e4m3``) codes take half a byte or one, in the column ``codes_`` and its
+    name; ``read_codes`` gives them back.
     """
-    df.drop(vec).write.parquet(f"{path}/rows")
+    rows = df.drop(vec)
+    if packing is not None:
+        pack, _ = PACKINGS[packing]
+        rows = rows.withColumn("codes", pack(F.col("codes"))).withColumnRenamed("codes", f"codes_{packing}")
+    rows.write.parquet(f"{path}/rows")
     for name, table in (shared or {}).items():
         table.write.parquet(f"{path}/{name}")
+
+
+def read_codes(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that ``write_codes`` was given, however their codes were packed."""
+    rows = spark.read.parquet(f"{path}/rows")
+    for name, (_, unpack) in PACKINGS.items():
+        if f"codes_{name}" in rows.columns:
+            column = f"codes_{name}"
+            return rows.withColumn(column, unpack(F.col(column))).withColumnRenamed(column, "codes")
+    return rows

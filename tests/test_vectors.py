@@ -1,7 +1,9 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from calibrel.operators.error import recon_error
 from calibrel.operators.codes import (
@@ -12,9 +14,12 @@ from calibrel.operators.codes import (
     fp8_codes,
     int_codes,
 )
+from calibrel.operators import stats
+from calibrel.operators.packing import pack_e4m3, pack_int4, unpack_e4m3, unpack_int4
 from calibrel.operators.smooth import smooth, smooth_scales
 from calibrel.operators.stats import channel_stats, importance, second_moment
 from calibrel.plans.recipe import Fp8Codes, IntCodes, Smooth, run_recipe, run_recipe_on_both
+from calibrel.sinks import read_codes, write_codes
 
 RNG = np.random.default_rng(7)
 DATA = RNG.normal(size=(40, 10)) * np.array([1, 5, 0.1, 2, 9, 0.01, 3, 4, 0, 1.0])
@@ -275,3 +280,56 @@ def test_codes_are_not_worked_out_once_per_element(spark):
     codes = [line for line in plan.splitlines() if "AS codes" in line]
     # the lambda that picks by rank works on a bound variable, not on the expression of the codes
     assert codes and all("zip_with(array(flatten(" in line for line in codes)
+
+
+def test_tiles_of_a_task_are_bounded(monkeypatch):
+    monkeypatch.setattr(stats, "BLOCK", 16)
+    monkeypatch.setattr(stats, "HELD_BYTES", 3 * 16 * 16 * 8)
+    monkeypatch.setattr(stats, "CHUNK_BYTES", 25 * 100 * 8)
+    x = np.random.default_rng(9).normal(size=(130, 100))
+    x[7, 3] = np.inf
+    batches = [pa.record_batch({"v": pa.array(x[a : a + 60].tolist())}) for a in range(0, 130, 60)]
+    total, rows = np.zeros((100, 100)), {}
+    for batch in stats._partial_products(iter(batches)):
+        (r,) = batch.to_pylist()
+        cells = np.frombuffer(r["cells"]).reshape(-1, r["width"])
+        assert cells.nbytes <= 16 * 16 * 8
+        total[r["top"] : r["top"] + cells.shape[0], r["left"] : r["left"] + r["width"]] += cells
+        rows[r["top"], r["left"]] = rows.get((r["top"], r["left"]), 0) + r["n"]
+    good = np.delete(x, 7, axis=0)
+    upper = np.triu_indices(100)
+    assert np.allclose(total[upper], (good.T @ good)[upper]) and set(rows.values()) == {129} and len(rows) == 28
+
+
+def test_packed_codes_come_back(spark):
+    nibbles = [list(range(-7, 8)), [], [3], [-7, 7], None]
+    df = spark.createDataFrame(list(enumerate(nibbles)), "id int, codes array<tinyint>")
+    packed = df.select("id", "codes", pack_int4(F.col("codes")).alias("p"))
+    for r in packed.select("id", "codes", "p", unpack_int4(F.col("p")).alias("back")).collect():
+        assert r["back"] == r["codes"] and (r["p"] is None or len(r["p"]) == (len(r["codes"]) + 1) // 2)
+    # all 256 bytes; both that are not a number read as one
+    every = spark.createDataFrame([(bytearray(range(256)),), (bytearray(),), (None,)], "p binary")
+    found = every.select("p", unpack_e4m3(F.col("p")).alias("codes"))
+    rows = found.select("p", "codes", pack_e4m3(F.col("codes")).alias("again")).collect()
+    assert rows[0]["again"] == bytearray(127 if b == 255 else b for b in range(256))
+    values = rows[0]["codes"]
+    assert values[0x08] == 2.0**-6 and values[0x01] == 2.0**-9 and values[0x7E] == 448 and values[0xC0] == -2.0
+    assert len(set(map(str, values))) == 255 and rows[1]["codes"] == [] and rows[2]["codes"] is None
+
+
+def test_packed_codes_are_small_on_disk(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, rng.normal(size=256).tolist()) for i in range(400)], "id int, v array<double>").coalesce(1)
+    sizes = {}
+    for name, coded in (("int4", int_codes(df, "v", 4, "group", 32)), ("e4m3", fp8_codes(df, "v"))):
+        path = str(tmp_path / name)
+        write_codes(coded, path, "v", packing=name)
+        assert sorted(map(str, read_codes(spark, path).select("id", "codes").collect())) == sorted(
+            map(str, coded.select("id", "codes").collect())
+        )
+        column = f"codes_{name}"
+        lengths = spark.read.parquet(f"{path}/rows").select(F.length(column)).distinct().collect()
+        assert [r[0] for r in lengths] == [128 if name == "int4" else 256]
+        spark.read.parquet(f"{path}/rows").select(column).write.parquet(path + "-codes")
+        sizes[name] = sum(f.stat().st_size for f in (tmp_path / f"{name}-codes").glob("*.parquet"))
+    assert sizes["int4"] < 400 * 128 * 1.1 + 2000 and sizes["e4m3"] < 400 * 256 * 1.1 + 2000
