@@ -1533,7 +1533,8 @@ def _(spark, sf_dir):
 
 @query(
     "sharded_written",
-    "SELECT doc_id, md5(text) AS digest, lang, source, n_chars, true AS bounded FROM documents",
+    """
+SELECT doc_id, md5(text) AS digest, lang, source, n_chars, true AS bounded, true AS filled FROM documents""",
 )
 def _(spark, sf_dir):
     path = scratch_path(spark, "sharded")
@@ -1542,11 +1543,15 @@ def _(spark, sf_dir):
     found = spark.read.parquet(path).withColumn("file", F.col("_metadata.file_path"))
     row = F.octet_length("text") + F.octet_length("lang") + F.octet_length("source") + 16
     sizes = found.groupBy("file").agg(
-        ((F.sum(row) <= limit) | (F.count(F.lit(1)) == 1)).alias("bounded")
+        F.sum(row).alias("bytes"), F.max(row).alias("top"), F.count(F.lit(1)).alias("rows")
     )
+    # of the files of small rows, all but the last are full to nine tenths
+    small = F.col("top") <= limit // 20
+    short = sizes.filter(small & (F.col("bytes") < 0.9 * limit)).agg(F.count(F.lit(1)).alias("n")).scalar()
     return found.join(sizes, "file").select(
-        "doc_id", F.md5("text").alias("digest"), "lang", "source", "n_chars", "bounded"
-    )
+        "doc_id", F.md5("text").alias("digest"), "lang", "source", "n_chars",
+        ((F.col("bytes") <= limit) | (F.col("rows") == 1)).alias("bounded"), (short <= 1).alias("filled"),
+    )
 
 
 # --- run logs ------------------------------------------------------------------------------------

@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +19,9 @@ from calibrel.operators.filters import count_rows
 from calibrel.operators.packing import PACKINGS
 from calibrel.session import checkpointed
 
+#: Rows of up to this part of a file's bound fill files together.
+SMALL_SHARE = 20
+
 
 def _joined_lines(parts: DataFrame, key: str) -> DataFrame:
     """Rows of several parts as rows that end where a line does.
@@ -141,13 +149,39 @@ def row_bytes(df: DataFrame) -> Column:
     return sum((size(F.col(f.name), f.dataType) for f in df.schema.fields), F.lit(0).cast("bigint"))
 
 
+def _size_class(max_bytes: int) -> Column:
+    """0 for rows of up to a share of the bound, else the power of two that a row's size is within."""
+    power = F.ceil(F.log2(F.greatest(F.col("_bytes"), F.lit(1)))).cast("int")
+    return F.when(F.col("_bytes") <= max_bytes // SMALL_SHARE, 0).otherwise(power + 1)
+
+
+def _numbered(bases: dict[tuple[int, int], int], firsts: dict[int, tuple[int, int]]):
+    """Rows to shards: where a row begins in the running sum of its class, in units of the class's target."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, sums = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            sizes, classes = (batch[c].to_numpy() for c in ("_bytes", "_class"))
+            shards = np.zeros(len(sizes), np.int64)
+            for k in np.unique(classes).tolist():
+                own = np.flatnonzero(classes == k)
+                ends = np.cumsum(sizes[own]) + sums.get(k, bases.get((task, k), 0))
+                first, target = firsts[k]
+                shards[own] = first + (ends - sizes[own]) // target
+                sums[k] = int(ends[-1])
+            columns = [*batch.columns[:-2], pa.array(shards, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-2], "_shard"])
+
+    return run
+
+
 def write_sharded(df: DataFrame, path: str, max_bytes: int) -> None:
     """Writes files of at most ``max_bytes`` of values each; a larger row has its own file.
 
-    Spark bounds a file by rows, so rows go into classes of similar size, each with the row count
-    that keeps its largest row times the count within the bound. The input is worked out once,
-    into a staging folder beside ``path`` that is partitioned by class; each class that has rows is
-    written from there. ``path`` must not exist and appears when all its files are complete.
+    A running sum of the rows' bytes over all tasks tells where each row stands, and so its shard; every
+    shard is one task of one write. Rows of at most a twentieth of the bound fill their files to nine
+    tenths or more; larger ones are dealt out by classes of similar size. The input is worked out once,
+    into a staging folder beside ``path``, which must not exist and appears when all its files are complete.
     """
     spark = df.sparkSession
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -155,19 +189,35 @@ def write_sharded(df: DataFrame, path: str, max_bytes: int) -> None:
     if files.exists(target):
         raise FileExistsError(path)
     staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
-    measured = row_bytes(df)
-    # a class holds rows of sizes within a factor of two
-    classed = df.withColumn("_class", F.ceil(F.log2(F.greatest(measured, F.lit(1)))).cast("int"))
-    classed.write.partitionBy("_class").parquet(f"{staging}/in")
-    staged = spark.read.schema(classed.schema).parquet(f"{staging}/in")
-    tops = staged.groupBy("_class").agg(F.max(row_bytes(df)).alias("top")).collect()
     try:
-        if not tops:
+        df.withColumn("_bytes", F.greatest(row_bytes(df), F.lit(1))).withColumn(
+            "_class", _size_class(max_bytes)
+        ).write.parquet(f"{staging}/in")
+        added = [T.StructField("_bytes", T.LongType()), T.StructField("_class", T.IntegerType())]
+        staged = spark.read.schema(T.StructType([*df.schema.fields, *added])).parquet(f"{staging}/in")
+        # One row per task and class.
+        sums = (
+            staged.groupBy(F.spark_partition_id().alias("task"), "_class")
+            .agg(F.sum("_bytes").alias("bytes"), F.max("_bytes").alias("top"))
+            .orderBy("_class", "task")
+            .collect()
+        )
+        bases, firsts, n_shards = {}, {}, 0
+        for k, of_class in groupby(sums, key=lambda r: r["_class"]):
+            rows, total = list(of_class), 0
+            for r in rows:
+                bases[r["task"], k] = total
+                total += r["bytes"]
+            # a shard begins anywhere below its target, and its last row may reach over it
+            fill = max(1, max_bytes - max(r["top"] for r in rows))
+            firsts[k] = n_shards, fill
+            n_shards += -(-total // fill)
+        if not sums:
             df.write.parquet(f"{staging}/out")
-        for row in sorted(tops, key=lambda r: r["_class"]):
-            rows = staged.filter(F.col("_class") == row["_class"]).drop("_class")
-            per_file = max(1, max_bytes // max(1, row["top"]))
-            rows.write.mode("append").option("maxRecordsPerFile", per_file).parquet(f"{staging}/out")
+        else:
+            names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+            numbered = staged.mapInArrow(_numbered(bases, firsts), f"{names}, _shard int")
+            numbered.repartitionById(n_shards, "_shard").drop("_shard").write.parquet(f"{staging}/out")
         if not files.rename(spark._jvm.org.apache.hadoop.fs.Path(f"{staging}/out"), target):
             raise OSError(f"cannot move the files to {path}")
     finally:

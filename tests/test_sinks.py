@@ -46,6 +46,9 @@ def test_no_shard_exceeds_the_bound(spark, tmp_path, large):
     )
     rows = files.collect()
     assert len(rows) > 5 and max(r["bytes"] for r in rows) <= limit
+    small = sorted(r["bytes"] for r in rows if r["n"] > 1)
+    # all but the last one are full
+    assert all(size > 0.9 * limit for size in small[1:])
 
 
 def test_a_row_over_the_bound_has_its_own_file(spark, tmp_path):
