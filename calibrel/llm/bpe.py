@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from calibrel.llm.batches import bounded_batches, slices
 
-WORDS_KEPT = 250_000
-ONCE_KEPT = 250_000
+WORDS_KEPT = 150_000
+ONCE_KEPT = 150_000
 SHORT = 64
-ENCODED_ROWS = 2048
+ENCODED_ROWS = 1024
 DECODED_ROWS = 512
 MOST_VOCABULARY_BYTES = 64 << 20
 
@@ -239,6 +239,7 @@ def encode(
             for batch in slices(batches, ENCODED_ROWS):
                 ids = coder.encode([t or "" for t in batch[text_column].to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), ids], names=[*names, ids_column])
+        pa.default_memory_pool().release_unused()
 
     return kept.mapInArrow(run, f"{fields}{', ' if fields else ''}`{ids_column}` array<int>")
 
@@ -261,5 +262,6 @@ def decode(df: DataFrame, path: str, ids_column: str = "ids", bytes_column: str
                 decoded = vocabulary.decode(batch[ids_column])
                 columns = [*(batch[n] for n in names), decoded]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, bytes_column])
+        pa.default_memory_pool().release_unused()
 
     return kept.mapInArrow(run, f"{fields}{', ' if fields else ''}`{bytes_column}` binary")

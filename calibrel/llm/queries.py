@@ -103,25 +103,35 @@ def _(spark, sf_dir):
 
 
 _CANONICAL_SQL = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}),
-  '(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*$', ' ', 'g'), 'licen[cs]e', 'license', 'g'),
+  '(?m)^[^a-z0-9\n]*((copyright )?(\(c\)|©)|copyright:? +[0-9<\[]|copyright\b[^\n]*\b[0-9]{{4}}\b|all rights reserved\.? *\r?$)[^\n]*$',
+  ' ', 'g'), 'licen[cs]e', 'license', 'g'),
   'https?://(www\.)?', '', 'g'), '\bv(er(sion)?)?\.? ?([0-9])', 'version \3', 'g'), '[^a-z0-9]+', ' ', 'g'))"""
+_PARTS_SQL = r"regexp_split_to_array({0}, '\n[^A-Za-z0-9\n]*\n')"
 
 
 def _license_sql() -> str:
     values = ", ".join(
         "('{}', '{}')".format(name, text.replace("'", "''")) for name, text in license.KNOWN_LICENSES
     )
+    parts = f"list_filter(list_transform({_PARTS_SQL.format('text')}, lambda p: {_CANONICAL_SQL.format('p')}), lambda p: p <> '')"
     return f"""
-WITH known AS (
-  SELECT DISTINCT license, sha256({_CANONICAL_SQL.format("text")}) AS digest FROM (VALUES {values}) AS v(license, text)),
+WITH given AS (SELECT * FROM (VALUES {values}) AS v(license, text)),
+alone AS (
+  SELECT form, min(license) AS license FROM (SELECT license, unnest({parts}) AS form FROM given)
+  WHERE len(string_split(form, ' ')) >= {license.LEAST_PARAGRAPH} GROUP BY form HAVING count(DISTINCT license) = 1),
+known AS (
+  SELECT license, sha256({_CANONICAL_SQL.format("text")}) AS digest FROM given
+  UNION SELECT license, sha256(form) FROM alone),
 docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-units AS (
-  SELECT doc_id, 'text' AS unit, text AS part FROM docs
-  UNION ALL SELECT doc_id, 'paragraph', unnest(regexp_split_to_array(text, '\n[\x20\t\r]*\n')) FROM docs
-  UNION ALL SELECT doc_id, 'line', unnest(regexp_split_to_array(text, '\r?\n')) FROM docs),
-digests AS (
-  SELECT doc_id, unit, sha256(form) AS digest
-  FROM (SELECT doc_id, unit, {_CANONICAL_SQL.format("part")} AS form FROM units) WHERE form <> '')
+split AS (SELECT doc_id, text, {parts} AS parts FROM docs),
+forms AS (
+  SELECT doc_id, 'text' AS unit, {_CANONICAL_SQL.format("text")} AS form FROM docs
+  UNION ALL SELECT doc_id, 'text', array_to_string(parts[2:], ' ') FROM split
+  WHERE len(parts) > 1 AND regexp_matches(parts[1], '{license.TITLE}')
+  UNION ALL SELECT doc_id, 'paragraph', unnest(parts) FROM split
+  UNION ALL SELECT doc_id, 'line', {_CANONICAL_SQL.format("line")}
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs)),
+digests AS (SELECT doc_id, unit, sha256(form) AS digest FROM forms WHERE form <> '')
 SELECT doc_id, license, bool_or(unit = 'text') AS whole_text,
        count(*) FILTER (unit = 'paragraph') AS n_paragraphs, count(*) FILTER (unit = 'line') AS n_lines
 FROM digests JOIN known USING (digest) GROUP BY 1, 2"""

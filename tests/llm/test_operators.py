@@ -231,13 +231,44 @@ def test_licences_in_any_spelling(spark, none):
     docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("license", F.lit("x"))
     found = {(r.doc_id, r.license): (r.whole_text, r.n_paragraphs, r.n_lines) for r in license.scan_licenses(docs).collect()}
     assert found == {
-        (1, "ISC"): (True, 1, 1), (2, "MIT"): (True, 1, 2), (4, "Apache-2.0"): (True, 1, 1),
+        (1, "ISC"): (True, 2, 2), (2, "MIT"): (True, 1, 2), (4, "Apache-2.0"): (True, 1, 1),
         (None, "MIT"): (True, 1, 1),
     }
     assert license.scan_licenses(none).collect() == []
     assert license.scan_licenses(docs, docs.limit(0).select("license", "text")).collect() == []
 
 
+def wrapped(text, width, before=""):
+    import textwrap
+
+    blocks = [textwrap.fill(b, width) for b in text.split("\n\n")]
+    return "\n".join((before + line).rstrip() for line in "\n\n".join(blocks).split("\n"))
+
+
+def test_licence_files_as_they_are_shipped(spark):
+    of = {}
+    for name, text in license.KNOWN_LICENSES:
+        of[name] = max(of.get(name, ""), text, key=len)
+    mit, bsd2, bsd3 = of["MIT"], of["BSD-2-Clause"], of["BSD-3-Clause"]
+    texts = [
+        (1, "MIT License\n\nCopyright (c) 2021 Some One\n\n" + wrapped(mit, 78)),
+        (2, "The MIT License (MIT)\r\n\r\nCopyright © Some One <a@b.org>\r\n\r\n" + wrapped(mit, 70).replace("\n", "\r\n")),
+        (3, "ISC License\n\nCopyright 2019 Some One\n\n" + wrapped(of["ISC"], 72)),
+        (4, "BSD 3-Clause License\n\nCopyright (c) 2020, Some One\nAll rights reserved.\n\n" + wrapped(bsd3, 80)),
+        (5, "Copyright (c) 2020, Some One\nAll rights reserved.\n\n" + wrapped(bsd2, 66)),
+        (6, "#!/bin/sh\n#\n# Copyright 2015 Some One\n#\n" + wrapped(of["Apache-2.0"], 70, "# ") + "\n\necho code\n"),
+        (7, "/*\n * Some program.\n *\n" + wrapped(of["GPL-3.0-or-later"], 66, " * ") + "\n *\n * More.\n */\nint main() {}"),
+        (8, "Only this: the above copyright notice and this permission notice must stay."),
+        (9, wrapped(bsd2.split("\n\n")[-1], 60)),  # a paragraph of two licences
+    ]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = {(r.doc_id, r.license): (r.whole_text, r.n_paragraphs) for r in license.scan_licenses(docs).collect()}
+    assert found == {
+        (1, "MIT"): (True, 3), (2, "MIT"): (True, 3), (3, "ISC"): (True, 2), (4, "BSD-3-Clause"): (True, 1),
+        (5, "BSD-2-Clause"): (True, 0), (6, "Apache-2.0"): (False, 2), (7, "GPL-3.0-or-later"): (False, 1),
+    }
+
+
 # --- 6: personal data -----------------------------------------------------------------------------
 
 
