@@ -3,14 +3,18 @@
 Addresses and numbers that the base rules find are the seeds. The words around each seed are its
 lexical patterns, and other words shaped like identifiers are candidates that stand in patterns of
 their own. Patterns and instances form a graph that Spark scores in rounds: a pattern is as good
-as the instances it surrounds, an instance as good as the patterns around it. What stands in
-patterns of high confidence is personal data of their kind, though no base rule knows its form.
+as the instances it surrounds, an instance as good as the patterns around it. Instances of high
+confidence become seeds themselves, worth a little less with every round, until a round adds none.
+What stands in patterns of high confidence is personal data of their kind, though no base rule knows
+its form.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 import xxhash
@@ -20,10 +24,10 @@ from pyspark.sql import functions as F
 from calibrel.llm.batches import text_key, texts, written
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT = 128
-ROUNDS = 3
 LEAST_SEEDS = 5
 CONFIDENCE = 0.9
+#: What a seed found in round r counts, to the power of r: bounds how far finds drift from the base rules.
+DRIFT = 0.995
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -32,6 +36,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _CANDIDATE = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
 _DIGITS = re.compile(r"[0-9]+")
+_WORD = re.compile(r"\S+")
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -97,10 +102,26 @@ def shaped_like(word: str) -> list[int]:
     return kinds
 
 
-def lexical_patterns(text: str, start: int, end: int) -> list[int]:
-    """Hashes of the two words before, and of the word on either side, digits read as 0."""
-    left = _DIGITS.sub("0", text[max(0, start - CONTEXT) : start].lower()).split()[-2:]
-    right = _DIGITS.sub("0", text[end : end + CONTEXT].lower()).split()[:1]
+class Words:
+    """Where the words of a text stand, found once it is asked for a first context."""
+
+    def __init__(self, text: str):
+        self.text, self.starts, self.ends = text, None, None
+
+    def around(self, start: int, end: int) -> tuple[list[str], list[str]]:
+        """Up to two words before ``start`` and one behind ``end``, whole, digits read as 0."""
+        if self.starts is None:
+            found = [m.span() for m in _WORD.finditer(self.text)]
+            self.starts, self.ends = [s for s, _ in found], [e for _, e in found]
+        first, last = bisect_left(self.starts, start), bisect_right(self.ends, end)
+        left = [self.text[self.starts[k] : min(self.ends[k], start)] for k in range(max(0, first - 2), first)]
+        right = [self.text[max(self.starts[k], end) : self.ends[k]] for k in range(last, min(last + 1, len(self.ends)))]
+        return [_DIGITS.sub("0", w.lower()) for w in left], [_DIGITS.sub("0", w.lower()) for w in right]
+
+
+def lexical_patterns(words: Words, start: int, end: int) -> list[int]:
+    """Hashes of the two words before, and of the word on either side."""
+    left, right = words.around(start, end)
     forms = []
     if len(left) == 2:
         forms.append("\x00".join(left))
@@ -124,12 +145,12 @@ _FOUND = (
 )
 
 
-def _mention(text: str, start: int, end: int, kinds: list[int], seed: bool) -> dict:
-    word = text[start:end]
+def _mention(words: Words, start: int, end: int, kinds: list[int], seed: bool) -> dict:
+    word = words.text[start:end]
     return {
         "start": start, "end": end, "kinds": kinds, "seed": seed,
         "instance": xxhash.xxh64_intdigest(word) - (1 << 63),
-        "patterns": lexical_patterns(text, start, end),
+        "patterns": lexical_patterns(words, start, end),
     }
 
 
@@ -137,8 +158,8 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, spans, mentions = [], [], []
         for text in batch["text"].to_pylist():
-            base = base_spans(text)
-            found = [_mention(text, s, e, [k], True) for s, k, e in base]
+            base, words = base_spans(text), Words(text)
+            found = [_mention(words, s, e, [k], True) for s, k, e in base]
             nearest, taken = 0, sorted((s, e) for s, _, e in base)
             for m in _CANDIDATE.finditer(text):
                 while nearest < len(taken) and taken[nearest][1] <= m.start():
@@ -147,7 +168,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 word = m[0].rstrip(".,;:!?)\"'")
                 if kinds := shaped_like(word):
-                    found.append(_mention(text, m.start(), m.start() + len(word), kinds, False))
+                    found.append(_mention(words, m.start(), m.start() + len(word), kinds, False))
             keys.append(text_key(text))
             spans.append([{"start": s, "kind": k, "end": e} for s, k, e in base])
             mentions.append(found)
@@ -157,39 +178,52 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def score_patterns(edges: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS) -> DataFrame:
+def score_patterns(
+    edges: DataFrame, least_seeds: int = LEAST_SEEDS, confidence: float = CONFIDENCE
+) -> DataFrame:
     """``pattern, kind, confidence`` of a graph ``pattern, kind, instance, seed``.
 
-    Seeds count 1, other instances start at 0. A pattern's confidence is the mean of its distinct
-    instances, one instance of doubt added; patterns with fewer distinct seeds than
-    ``least_seeds`` have none. An instance is then as likely as one of its patterns being right.
+    Seeds count 1, other instances 0. A pattern's confidence is the mean of its distinct instances,
+    one instance of doubt added; patterns with fewer distinct seeds than ``least_seeds`` have none.
+    An instance is then as likely as one of its patterns being right. Those of at least ``confidence``
+    are seeds of the next round, where they count ``DRIFT`` to the power of the round; seeds are only
+    ever added, so the rounds end, and each is written before the next.
     """
-    scored = edges.withColumn("score", F.col("seed").cast("double"))
-    for _ in range(rounds):
+    promoted = None
+    for number in count(1):
+        scored = edges.withColumn("score", F.col("seed").cast("double"))
+        if promoted is not None:
+            worth = F.pow(F.lit(DRIFT), F.col("since"))
+            scored = edges.join(promoted, ["kind", "instance"], "left").withColumn(
+                "score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce(worth, F.lit(0.0)))
+            )
         patterns = (
             scored.groupBy("pattern", "kind")
-            .agg(F.sum("score").alias("good"), F.count(F.lit(1)).alias("n"), F.count_if("seed").alias("seeds"))
+            .agg(F.sum("score").alias("good"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") > 0).alias("seeds"))
             .where(F.col("seeds") >= least_seeds)
             .select("pattern", "kind", (F.col("good") / (F.col("n") + 1)).alias("confidence"))
         )
+        patterns = written(patterns, "patterns")
         likely = (
             edges.where(~F.col("seed"))
             .join(patterns, ["pattern", "kind"])
             .groupBy("kind", "instance")
             .agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("likely"))
+            .where(F.col("likely") >= confidence)
         )
-        scored = edges.join(likely, ["kind", "instance"], "left").withColumn(
-            "score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("likely", F.lit(0.0)))
-        )
-        scored = scored.select(*edges.columns, "score")
-    return patterns
+        new = likely.select("kind", "instance", F.lit(number).alias("since"))
+        if promoted is not None:
+            new = new.join(promoted, ["kind", "instance"], "left_anti")
+        new = written(new, "promoted")
+        if new.isEmpty():
+            return patterns
+        promoted = new if promoted is None else promoted.unionByName(new)
 
 
 def find_personal_data(
     df: DataFrame,
     id_column: str = "doc_id",
     text_column: str = "text",
-    rounds: int = ROUNDS,
     least_seeds: int = LEAST_SEEDS,
     confidence: float = CONFIDENCE,
 ) -> DataFrame:
@@ -198,7 +232,7 @@ def find_personal_data(
     ``spans`` has the base rules' finds and the discovered ones, ordered by start and kind, in code
     points with an exclusive end; ``discovered`` those of the patterns alone, which never overlap a
     base span. Null and empty texts have none. Repeated rows and null ids are kept and all get
-    their spans. Patterns are read from 128 code points on either side. Other columns are left.
+    their spans. Other columns are left.
     """
     found = written(texts(df, id_column, text_column).mapInArrow(_find, _FOUND), "personal")
     mentions = found.select("doc_id", "text_key", F.explode("mentions").alias("m")).select(
@@ -215,7 +249,7 @@ def find_personal_data(
         .join(open_patterns, ["pattern", "kind"], "left_semi"),
         "pattern-graph",
     )
-    good = score_patterns(edges, rounds, least_seeds).where(F.col("confidence") >= confidence)
+    good = score_patterns(edges, least_seeds, confidence).where(F.col("confidence") >= confidence)
     best = (
         edges.where(~F.col("seed"))
         .join(good, ["pattern", "kind"])

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 from collections import Counter
 
 import brute
@@ -297,6 +298,31 @@ def test_patterns_find_unseen_identifiers(spark):
     assert all(spans(r.spans) == spans(r.discovered) for r in new)
 
 
+def test_finds_become_seeds(spark):
+    texts = [(k, f"please write to user{k}@mail.org today") for k in range(-900, -200)]
+    # sixty that only the first pattern knows, also in a second one, and so on to a third
+    texts += [(100 + k, f"please write to agent{k}@intranet today. Then ask for agent{k}@intranet there") for k in range(60)]
+    texts += [(200 + k, f"Then ask for clerk{k}@office there, or see our clerk{k}@office instead") for k in range(3)]
+    texts += [(300, "or see our other@place instead"), (301, "quite another thing@else altogether")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = {r.doc_id: [t[s.start : s.end] for s in r.discovered] for r, t in (
+        (r, dict(texts)[r.doc_id]) for r in pii.find_personal_data(docs).collect()
+    )}
+    assert all(found[100 + k] == [f"agent{k}@intranet"] * 2 for k in range(60))
+    assert all(f"clerk{k}@office" in found[200 + k] for k in range(3))
+    # three of them are too few for a pattern of their own, so the finds end there
+    assert found[300] == found[301] == [] and not any(found[k] for k in range(-900, -200))
+
+
+@given(st.text("ab 0\n", max_size=40), st.integers(0, 40), st.integers(0, 5))
+def test_contexts_are_whole_words(text, start, length):
+    start = min(start, len(text))
+    end = min(start + length, len(text))
+    left, right = pii.Words(text).around(start, end)
+    zero = lambda words: [re.sub("[0-9]+", "0", w) for w in words]
+    assert left == zero(text[:start].split()[-2:]) and right == zero(text[end:].split()[:1])
+
+
 # --- 7: URLs --------------------------------------------------------------------------------------
 
 RULES = (
