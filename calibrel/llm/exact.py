@@ -27,6 +27,8 @@ from calibrel.llm.batches import text_key, texts, written
 
 WHITESPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 TRIE_BYTES = 16 << 20
+#: What a node, its terminal and its place in a parent take besides the label, as measured.
+NODE_BYTES = 600
 
 _ENTRIES = (
     "doc_id long, entry string, text_sha256 string, text_key long, length long, hash long, n_points long, "
@@ -54,13 +56,14 @@ class PatriciaTrie:
             child = at.children.get(key[done])
             if child is None:
                 child = at.children[key[done]] = Node(key[done:])
-                self.held += len(child.label)
+                self.held += len(child.label) + NODE_BYTES
                 return child
             if key.startswith(child.label, done):
                 at, done = child, done + len(child.label)
                 continue
             same = self._shared(child.label, key, done)
             middle = Node(child.label[:same])
+            self.held += NODE_BYTES
             child.label = child.label[same:]
             middle.children[child.label[0]] = child
             at.children[middle.label[0]] = middle
@@ -97,7 +100,7 @@ class PatriciaTrie:
             stack, total = [child], 0
             while stack:
                 node = stack.pop()
-                total += len(node.label)
+                total += len(node.label) + NODE_BYTES
                 stack.extend(node.children.values())
             sizes[first] = total
         first = max(sizes, key=sizes.get)
