@@ -53,7 +53,14 @@ from calibrel.operators.codes import (
 from calibrel.operators.runs import run_compare, run_summary
 from calibrel.operators.sampling import first_conversations, peek, sample_n, shuffle_key
 from calibrel.operators.smooth import smooth, smooth_scales
-from calibrel.operators.stats import channel_stats, importance, second_moment
+from calibrel.operators.stats import (
+    channel_state,
+    channel_stats,
+    importance,
+    merge_states,
+    second_moment,
+    stats_of,
+)
 from calibrel.operators.vocabulary import build_vocabulary, detokenize, encode
 from calibrel.plans.calibration import (
     PRESETS,
@@ -1113,6 +1120,25 @@ def _(spark, sf_dir):
     return stats.withColumn("mean", F.round("mean", 9)).withColumn("mean_sq", F.round("mean_sq", 9))
 
 
+@query(
+    "channel_stats_merged",
+    f"""
+WITH {VALUES_SQL}
+SELECT CAST(pos AS INTEGER) AS pos, abs_max, round(mean, 9) AS mean, round(mean_sq, 9) AS mean_sq, n,
+       0 AS n_other
+FROM stats""",
+)
+def _(spark, sf_dir):
+    # one state per folder of input, kept beside it; the whole is made of the states alone
+    path = scratch_path(spark, "states")
+    vectors = embeddings(spark, sf_dir)
+    for label in range(0, 10, 5):
+        some = vectors.filter(F.col("label").between(label, label + 4))
+        channel_state(some, "embedding").write.parquet(f"{path}/folder={label}")
+    merged = stats_of(merge_states(spark.read.parquet(path)))
+    return merged.withColumns({c: F.round(c, 9) for c in ("mean", "mean_sq")})
+
+
 @query(
     "importance",
     f"""

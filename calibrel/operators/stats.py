@@ -41,6 +41,66 @@ def channel_stats(df: DataFrame, vec: str) -> DataFrame:
     )
 
 
+def channel_state(df: DataFrame, vec: str) -> DataFrame:
+    """``(pos, n, mean, m2, abs_max, n_other)``: statistics that can be added to those of other rows.
+
+    ``m2`` is the sum of squared distances from the mean. Keep one per input folder, and new data
+    costs a scan of the new data alone; see ``merge_states`` and ``stats_of``.
+    """
+    infinite = F.lit(float("inf"))
+    value = F.when(~F.isnan("value") & (F.abs("value") < infinite), F.col("value"))
+    return (
+        df.select(F.posexplode(F.col(vec).cast("array<double>")).alias("pos", "value"))
+        .groupBy("pos")
+        .agg(
+            F.count(value).alias("n"),
+            F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"),
+            F.coalesce(F.var_pop(value) * F.count(value), F.lit(0.0)).alias("m2"),
+            F.coalesce(F.max(F.abs(value)), F.lit(0.0)).alias("abs_max"),
+            F.count_if(value.isNull()).alias("n_other"),
+        )
+    )
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """One state per dimension from the rows of several ``channel_state`` tables, in any order.
+
+    Two states are added by their counts, means and ``m2``, never by differences of large squares.
+    """
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def added(a: Column, b: Column) -> Column:
+        n = a["n"] + b["n"]
+        share = b["n"] / F.greatest(n, F.lit(1))
+        apart = b["mean"] - a["mean"]
+        return F.struct(
+            n.alias("n"),
+            (a["mean"] + apart * share).alias("mean"),
+            (a["m2"] + b["m2"] + apart * apart * a["n"] * share).alias("m2"),
+        )
+
+    # As many entries as there are states, of a few numbers each.
+    own = F.array_sort(F.collect_list(F.struct("n", "mean", "m2")))
+    return (
+        states.groupBy("pos")
+        .agg(F.aggregate(own, none, added).alias("all"), F.max("abs_max").alias("abs_max"), F.sum("n_other").alias("n_other"))
+        .select("pos", "all.n", "all.mean", "all.m2", "abs_max", "n_other")
+    )
+
+
+def stats_of(state: DataFrame) -> DataFrame:
+    """What ``channel_stats`` gives, from a state."""
+    some = F.col("n") > 0
+    return state.select(
+        "pos",
+        "abs_max",
+        F.when(some, F.col("mean")).alias("mean"),
+        F.when(some, F.col("m2") / F.col("n") + F.col("mean") * F.col("mean")).alias("mean_sq"),
+        "n",
+        "n_other",
+    )
+
+
 def with_channels(df: DataFrame, name: str, stats: DataFrame, value: Column | str) -> DataFrame:
     """Adds the values of a ``(pos, ...)`` table to every row, as one array by position.
 

@@ -333,3 +333,26 @@ def test_packed_codes_are_small_on_disk(spark, tmp_path):
         spark.read.parquet(f"{path}/rows").select(column).write.parquet(path + "-codes")
         sizes[name] = sum(f.stat().st_size for f in (tmp_path / f"{name}-codes").glob("*.parquet"))
     assert sizes["int4"] < 400 * 128 * 1.1 + 2000 and sizes["e4m3"] < 400 * 256 * 1.1 + 2000
+
+
+def test_states_add_up(spark):
+    x = np.random.default_rng(2).normal(loc=1e4, size=(90, 6))
+    x[3, 2], x[50:, 4] = np.nan, np.inf
+    x[:, 5] = np.nan
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    cuts = [df.where(f"id >= {a} AND id < {b}") for a, b in ((0, 20), (20, 21), (21, 60), (60, 90), (90, 99))]
+    merged = None
+    for some in cuts:
+        state = stats.channel_state(some, "v")
+        merged = state if merged is None else stats.merge_states(merged.unionByName(state))
+    got = {r["pos"]: r for r in stats.stats_of(merged).collect()}
+    want = {r["pos"]: r for r in channel_stats(df, "v").collect()}
+    assert got.keys() == want.keys()
+    for pos, w in want.items():
+        g = got[pos]
+        assert (g["n"], g["n_other"], g["abs_max"]) == (w["n"], w["n_other"], w["abs_max"])
+        assert (g["mean"], g["mean_sq"]) == (None, None) if w["mean"] is None else (
+            g["mean"] == pytest.approx(w["mean"], rel=1e-12) and g["mean_sq"] == pytest.approx(w["mean_sq"], rel=1e-12)
+        )
+    m2 = {r["pos"]: r["m2"] for r in merged.collect()}
+    assert m2[0] == pytest.approx(((x[:, 0] - x[:, 0].mean()) ** 2).sum(), rel=1e-9)
