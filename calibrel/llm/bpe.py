@@ -15,8 +15,8 @@ merged at the right.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import duckdb
 import numpy as np
@@ -26,13 +26,15 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibrel.llm.batches import bounded_batches, slices
+from calibrel.llm.batches import bounded_batches, released, slices
 
 WORDS_KEPT = 150_000
 ONCE_KEPT = 150_000
 SHORT = 64
+#: New words that one recursive query contracts; it holds all its steps.
+CONTRACTED = 8_192
 ENCODED_ROWS = 1024
-DECODED_ROWS = 512
+DECODED_ROWS = 256
 MOST_VOCABULARY_BYTES = 64 << 20
 
 #: One contraction per word and step, for words of up to ``SHORT`` bytes.
@@ -173,42 +175,51 @@ class Coder(Vocabulary):
         short, long = [], []
         for word in words:
             (short if len(word) <= SHORT else long).append(word)
-        for query, chosen in ((ENCODE_SHORT, short), (ENCODE_LONG, long)):
-            if not chosen:
-                continue
-            lengths = np.fromiter(map(len, chosen), np.int64, len(chosen))
-            firsts = np.cumsum(lengths) - lengths
-            start = {
-                "w": pa.array(np.repeat(np.arange(len(chosen)), lengths), pa.int32()),
-                "p": pa.array(np.arange(lengths.sum()) - np.repeat(firsts, lengths), pa.int32()),
-                "t": pa.array(self.of_byte[np.frombuffer(b"".join(chosen), np.uint8)]),
-            }
-            self._load("start", pa.table(start))
-            found = self.db.sql(query).to_arrow_table()["ids"].combine_chunks()
-            ids = found.values.to_numpy().astype(np.int32).tobytes()
-            ends = (found.offsets.to_numpy() * 4).tolist()
-            yield from ((word, ids[a:b]) for word, a, b in zip(chosen, ends, ends[1:]))
+        for query, words_of in ((ENCODE_SHORT, short), (ENCODE_LONG, long)):
+            for k in range(0, len(words_of), CONTRACTED):
+                chosen = words_of[k : k + CONTRACTED]
+                lengths = np.fromiter(map(len, chosen), np.int64, len(chosen))
+                firsts = np.cumsum(lengths) - lengths
+                start = {
+                    "w": pa.array(np.repeat(np.arange(len(chosen)), lengths), pa.int32()),
+                    "p": pa.array(np.arange(lengths.sum()) - np.repeat(firsts, lengths), pa.int32()),
+                    "t": pa.array(self.of_byte[np.frombuffer(b"".join(chosen), np.uint8)]),
+                }
+                self.db.register("start", pa.table(start))
+                found = self.db.sql(query).to_arrow_table()["ids"].combine_chunks()
+                self.db.unregister("start")
+                ids = found.values.to_numpy().astype(np.int32).tobytes()
+                ends = (found.offsets.to_numpy() * 4).tolist()
+                yield from ((word, ids[a:b]) for word, a, b in zip(chosen, ends, ends[1:]))
 
     def encode(self, content: list[str]) -> pa.Array:
-        cut = [[w.encode() for w in self.pattern.findall(text)] for text in content]
-        table = dict.fromkeys(chain.from_iterable(cut))
-        new = []
-        for word in table:
+        # a word of the batch is held once; texts are numbers of words
+        numbers: dict[str, int] = {}
+        cut = [
+            array("i", [numbers.setdefault(w, len(numbers)) for w in self.pattern.findall(text)]) for text in content
+        ]
+        words = [w.encode() for w in numbers]
+        del numbers
+        coded, new = [], []
+        for number, word in enumerate(words):
             if (ids := self.words.get(word)) is None:
                 if (ids := self.once.pop(word, None)) is None:
-                    new.append(word)
-                    continue
-                self.words[word] = ids
-            table[word] = ids
+                    new.append(number)
+                else:
+                    self.words[word] = ids
+            coded.append(ids)
         if len(self.words) > WORDS_KEPT:
             self.words = {}
         if new:
-            found = dict(self.contract(new))
-            table.update(found)
             if len(self.once) + len(new) > ONCE_KEPT:
                 self.once = {}
-            self.once.update((w, ids) for w, ids in found.items() if len(w) <= SHORT)
-        parts = [b"".join([table[w] for w in words]) for words in cut]
+            number_of = {words[number]: number for number in new}
+            for word, ids in self.contract(list(number_of)):
+                coded[number_of[word]] = ids
+                if len(word) <= SHORT:
+                    self.once[word] = ids
+        pa.default_memory_pool().release_unused()
+        parts = [b"".join([coded[number] for number in text]) for text in cut]
         offsets = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
@@ -239,9 +250,8 @@ def encode(
             for batch in slices(batches, ENCODED_ROWS):
                 ids = coder.encode([t or "" for t in batch[text_column].to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), ids], names=[*names, ids_column])
-        pa.default_memory_pool().release_unused()
 
-    return kept.mapInArrow(run, f"{fields}{', ' if fields else ''}`{ids_column}` array<int>")
+    return kept.mapInArrow(released(run), f"{fields}{', ' if fields else ''}`{ids_column}` array<int>")
 
 
 def decode(df: DataFrame, path: str, ids_column: str = "ids", bytes_column: str = "decoded") -> DataFrame:
@@ -262,6 +272,5 @@ def decode(df: DataFrame, path: str, ids_column: str = "ids", bytes_column: str
                 decoded = vocabulary.decode(batch[ids_column])
                 columns = [*(batch[n] for n in names), decoded]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, bytes_column])
-        pa.default_memory_pool().release_unused()
 
-    return kept.mapInArrow(run, f"{fields}{', ' if fields else ''}`{bytes_column}` binary")
+    return kept.mapInArrow(released(run), f"{fields}{', ' if fields else ''}`{bytes_column}` binary")

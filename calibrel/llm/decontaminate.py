@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibrel.llm.batches import if_small, text_key, texts, written
+from calibrel.llm.batches import if_small, released, slices, text_key, texts, written
 
 WINDOW = 8
 SHORT_WINDOW = 5
@@ -34,6 +34,8 @@ PASSAGE_WORDS = 13
 AGREEMENT = 0.8
 BITMAP_BITS = 24
 WORDS_KEPT = 200_000
+#: Texts whose words are looked up side by side.
+TEXT_ROWS = 256
 
 # Written units of measure and of money.
 UNITS = frozenset(
@@ -178,7 +180,7 @@ def _text_windows(lengths: list[int], bitmap: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         present, words = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").view(bool), Words()
         mask = np.uint64((1 << BITMAP_BITS) - 1)
-        for batch in batches:
+        for batch in slices(batches, TEXT_ROWS):
             if len(words.plain) > WORDS_KEPT:
                 words = Words()
             content = batch["text"].to_pylist()
@@ -256,7 +258,7 @@ def find_leaks(
     # at most ``window`` different ones
     lengths = sorted(r.length for r in items.select("length").distinct().collect())
     hits = texts(df, id_column, text_column).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(
-        _text_windows(lengths, benchmark_bitmap(items)),
+        released(_text_windows(lengths, benchmark_bitmap(items))),
         "doc_id long, text_key long, at long, length int, window long, slots array<string>",
     )
     size = items.agg(

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibrel.llm.batches import text_key, texts, written
+from calibrel.llm.batches import released, text_key, texts, written
 
 WHITESPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 TRIE_BYTES = 16 << 20
@@ -225,7 +225,7 @@ def exact_duplicates(
     found = written(
         texts(df, id_column, text_column)
         .withColumn("doc_id", F.col("doc_id").cast("long"))
-        .mapInArrow(_first_tries(trie_bytes), _ENTRIES),
+        .mapInArrow(released(_first_tries(trie_bytes)), _ENTRIES),
         "trie-entries",
     )
     owners = (
@@ -233,7 +233,7 @@ def exact_duplicates(
         .select("length", "hash", "body", "entry", "owner_id", "owner_points", "copies")
         .repartition("length", "hash")
         .sortWithinPartitions("length", "hash")
-        .mapInArrow(_last_tries, "entry string, keep_id long, keep_points long, group_size long")
+        .mapInArrow(released(_last_tries), "entry string, keep_id long, keep_points long, group_size long")
     )
     members = found.where(F.col("body").isNull()).select("doc_id", "entry", "text_sha256", "text_key", "n_points")
     kept = (F.col("doc_id") == F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))

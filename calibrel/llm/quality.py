@@ -22,7 +22,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibrel.llm.batches import bounded_batches, if_small, written
+from calibrel.llm.batches import bounded_batches, if_small, released, written
 
 THRESHOLD = 0.5
 SMOOTHING = 0.5
@@ -177,7 +177,7 @@ def classify(
         df[text_column].alias("text"),
     )
     marked = written(
-        docs.mapInArrow(_features, "doc_id long, text_key long, host string, path string, bins array<int>"),
+        docs.mapInArrow(released(_features), "doc_id long, text_key long, host string, path string, bins array<int>"),
         "features",
     )
     known = labels.select(F.col("doc_id"), F.col("quality")).where("quality IN (0, 1)").distinct()

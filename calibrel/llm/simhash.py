@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibrel.llm.batches import if_small, text_key, texts, written
+from calibrel.llm.batches import if_small, released, text_key, texts, written
 from calibrel.llm.graph import components
 
 BITS = 64
@@ -238,7 +238,7 @@ def ball_links(fingerprints: DataFrame, radius: int = RADIUS, width: int = BITS)
     rows, dealt = fingerprints.select(F.lit(0).cast("long").alias("head"), "fingerprint"), None
     more = max(8, min(24, n.bit_length() - 8))
     while True:
-        rows, bits = rows.mapInArrow(_dealt(radius, bits, more, width), kind), bits + more
+        rows, bits = rows.mapInArrow(released(_dealt(radius, bits, more, width)), kind), bits + more
         # What is dealt out, not what has the head itself: neighbours of a full head are as full.
         heavy = written(rows.groupBy("head").count().where(F.col("count") > HELD).select("head"), "heavy-heads")
         many = heavy.count() if bits < width else 0
@@ -252,7 +252,7 @@ def ball_links(fingerprints: DataFrame, radius: int = RADIUS, width: int = BITS)
     return (
         dealt.repartition("bits", "head")
         .sortWithinPartitions("bits", "head")
-        .mapInArrow(_links(radius, width), "u long, v long")
+        .mapInArrow(released(_links(radius, width)), "u long, v long")
     )
 
 
@@ -273,7 +273,7 @@ def near_duplicates(
     """
     docs = texts(df, id_column, text_column).withColumn("doc_id", F.col("doc_id").cast("long"))
     fields = "doc_id long, text_key long, fingerprint long"
-    marked = written(docs.mapInArrow(_fingerprints(words), fields), "fingerprints")
+    marked = written(docs.mapInArrow(released(_fingerprints(words)), fields), "fingerprints")
     firsts = written(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = components(ball_links(firsts, radius))
     grouped = firsts.join(roots, F.col("fingerprint") == F.col("node"), "left").select(

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import brute
+import pyarrow as pa
 import pytest
 import tiktoken
 from conftest import PASSAGE, rows
@@ -15,6 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from calibrel.llm import bpe, decontaminate, exact, license, pii, quality, secrets, simhash, suffix, urls
+from calibrel.llm.batches import released
 from calibrel.llm.graph import components
 from calibrel.llm.queries import multi_tokenizer
 
@@ -180,6 +182,41 @@ def test_any_text_encodes_as_the_public_library_does(coder, reference, content):
     assert coder.encode(content).to_pylist() == [reference.encode_ordinary(t) for t in content]
 
 
+def test_new_words_are_contracted_a_few_at_a_time(coder, reference, monkeypatch):
+    given_out = []
+
+    class Watched:
+        def __init__(self, db):
+            self.db = db
+
+        def register(self, name, rows):
+            given_out.append(len(set(rows["w"].to_pylist())))
+            self.db.register(name, rows)
+
+        def __getattr__(self, name):
+            return getattr(self.db, name)
+
+    monkeypatch.setattr(bpe, "CONTRACTED", 3)
+    monkeypatch.setattr(coder, "db", Watched(coder.db))
+    content = ["qzxj wvkq zzyx qzxj jqwv kkxz vvqj", "x" * 300 + " wvkq", ""]
+    assert coder.encode(content).to_pylist() == [reference.encode_ordinary(t) for t in content]
+    assert len(given_out) >= 3 and max(given_out) <= 3
+
+
+def test_workers_give_back_what_they_freed(spark):
+    def filled(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b"x" * (1 << 20)] * 8)], names=["b"]).slice(0, 1)
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pa.total_allocated_bytes()])], names=["n"])
+
+    rows_in = spark.range(1).coalesce(1)
+    assert rows_in.mapInArrow(released(filled), "b binary").select(F.length("b")).first()[0] == 1 << 20
+    assert rows_in.mapInArrow(released(held), "n long").first().n < 1 << 20
+
+
 # --- 4: quality -----------------------------------------------------------------------------------
 
 
