@@ -31,6 +31,7 @@ from calibrel.operators.filters import settle
 from calibrel.operators.long_texts import join_tokens, tokens_of_parts
 from calibrel.operators.sampling import SEED, sample_conversations, sample_rows
 from calibrel.operators.vocabulary import encode
+from calibrel.session import bounded_batches
 
 
 @dataclass(frozen=True)
@@ -122,6 +123,8 @@ def with_tokens(
     Tokens are ids where there is a tokenizer. The extra begin token stands before the text.
     """
     text = F.col("text")
+    if options.tokenizer is not None:
+        bounded_batches(rows.sparkSession)
     if options.extra_bos is None:
         tokens = tokens_of(text, options)
     elif options.tokenizer is None:
@@ -143,6 +146,8 @@ def with_part_tokens(
     """
     rows = settle(with_text(parts, options, column), "chat", "text")
     text, own = F.col("text"), options.tokenizer is not None
+    if own:
+        bounded_batches(parts.sparkSession)
     if options.extra_bos is not None and own:
         text = F.when(F.col("part") == 0, F.concat(F.lit(options.extra_bos), text)).otherwise(text)
     given = rows.select(key, "part", text.alias("text"))

@@ -1,8 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from calibrel.functions import attention_mask, tokenize, truncate
+from calibrel.functions import CHATML, attention_mask, tokenize, truncate
+from calibrel.functions.tokens import batch_tokenizer
 from calibrel.operators.vocabulary import build_vocabulary, decode, detokenize, encode, fits_workers
+from calibrel.plans.calibration import Calibration, calibration_ids
 
 
 def one(spark, value, kind, expression):
@@ -84,3 +86,16 @@ def test_a_corpus_is_tokenized_once(spark, monkeypatch):
 
     words = spark.range(100).select(seen(F.concat(F.lit("w"), F.col("id"))).alias("token"))
     assert build_vocabulary(words).count() == 100 and calls.value == 100
+
+
+def test_a_tokenizer_of_the_caller_gets_bounded_batches(spark):
+    def sizes(texts):
+        return [[sum(map(len, texts))]] * len(texts)
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    options = Calibration(mode="as_is", layout=CHATML, max_length=None, tokenizer=batch_tokenizer(sizes))
+    message = F.struct(F.lit("user").alias("role"), F.repeat(F.lit("word "), 2_000).alias("content"))
+    rows = spark.range(0, 2_000, 1, 1).select(F.col("id").alias("conv_id"), F.array(message).alias("conversations"))
+    found = calibration_ids(rows, options).select(F.get("input_ids", 0).alias("n")).agg(F.max("n"), F.count("n"))
+    most, n = found.first()
+    assert n == 2_000 and most <= 3 << 20
