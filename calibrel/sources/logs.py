@@ -14,6 +14,8 @@ RUN_TIME = "MM_dd_yyyy_HH'h'_mm'm'_ss's'"
 STAGE_STAMP = r"\d{2}-\d{2}-\d{4}_\d{2}\.\d{2}\.\d{2}(?=\.log)"
 STAGE_TIME = "dd-MM-yyyy_HH.mm.ss"
 STAGE_LINE = r"^\s*manager stage:\s*(.*?)\s*$"
+#: Names of files that are sent to all executors.
+FILES_SENT = 100_000
 RECORD = (
     "process string, layer int, module string, loss string, samples string, damp string, "
     "time string, fwd_time string"
@@ -30,6 +32,15 @@ def _run(path: str = "_metadata.file_path") -> dict[str, Column]:
     return {"run": _from_path(RUN_NAME, path), "started": started}
 
 
+def _with_runs(texts: DataFrame, path: str) -> DataFrame:
+    """Adds ``run`` and ``started``, read from the name once per file where the files are few enough to send along."""
+    files = texts.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    names = files.select(F.col("_metadata.file_path").alias("file")).withColumns(_run("file"))
+    if names.limit(FILES_SENT + 1).count() > FILES_SENT:
+        return texts.withColumns(_run("file"))
+    return texts.join(F.broadcast(names), "file", "left")
+
+
 def read_run_logs(spark: SparkSession, path: str, only: Column | None = None) -> DataFrame:
     """Records of run logs: JSON objects one after the other, in any layout.
 
@@ -38,7 +49,7 @@ def read_run_logs(spark: SparkSession, path: str, only: Column | None = None) ->
     ``records.read_objects`` for how files are cut.
     """
     texts = read_objects(spark, path, only, **_run())
-    parsed = texts.withColumns(_run("file")).withColumn("record", F.from_json("record_text", RECORD))
+    parsed = _with_runs(texts, path).withColumn("record", F.from_json("record_text", RECORD))
     record = F.col("record")
     return parsed.select(
         "run",

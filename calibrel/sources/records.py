@@ -16,8 +16,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,11 +148,68 @@ class Cutter:
         return "".join(self.held)
 
 
-def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, int, bytes]]:
+#: Blanks before the brace of a usual piece.
+LEAD = 8
+
+
+def _usual(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Which pieces are one object whose brace is the first thing in it, and which of these begin it on a line.
+
+    Their strings are closed and hold no line break, so outside of a string each leaves the depth as it was.
+    """
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+    first, starts = offsets[0], offsets[:-1] - offsets[0]
+    ends = offsets[1:] - first
+    if not ends[-1]:
+        return np.zeros(len(values), bool), np.zeros(len(values), bool)
+    data = np.frombuffer(values.buffers()[2], np.uint8)[first : offsets[-1]]
+
+    def before(found: np.ndarray, kind: type = np.int32) -> np.ndarray:
+        return np.concatenate((np.zeros(1, kind), np.cumsum(found, dtype=kind)))
+
+    # parity is all that counts of quotes
+    quotes = before(data == ord('"'), np.uint8) & 1
+    inside = quotes[1:] != np.repeat(quotes[starts], ends - starts)
+    bad = before((data == ord("\\")) | (inside & (data == ord("\n"))))
+    braces = np.flatnonzero(data == ord("{"))
+    upto = np.searchsorted(braces, starts)
+    usual = (np.searchsorted(braces, ends) - upto == 1) & (quotes[starts] == quotes[ends]) & (bad[starts] == bad[ends])
+    places = np.flatnonzero(usual)
+    lead = braces[upto[places]] - starts[places]
+    blank = np.zeros(256, bool)
+    blank[[ord(c) for c in _BLANK]] = True
+    fits = lead <= LEAD
+    for k in range(min(LEAD, lead.max(initial=0))):
+        fits &= (lead <= k) | blank[data[np.minimum(starts[places] + k, len(data) - 1)]]
+    usual[places[~fits]] = False
+    on_line = np.zeros(len(values), bool)
+    on_line[places] = fits & (lead > 0) & (data[np.maximum(starts[places] + lead - 1, 0)] == ord("\n"))
+    return usual, on_line
+
+
+def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], int, pa.Array, np.ndarray, np.ndarray]]:
+    """Pieces of one split at a time: file and split, size of the file, values, and what ``_usual`` says."""
     for batch in batches:
-        columns = (batch[c] for c in ("file", "split", "size"))
-        for file, split, size, value in zip(*(c.to_pylist() for c in columns), batch["value"].to_pylist()):
-            yield file, split, size, value
+        if not batch.num_rows:
+            continue
+        values = batch["value"].cast(pa.binary())
+        usual, on_line = _usual(values)
+        splits = batch["split"].to_numpy()
+        files = pc.run_end_encode(batch["file"]).run_ends.to_numpy()
+        bounds = np.unique(np.concatenate(([0], np.flatnonzero(np.diff(splits)) + 1, files))).tolist()
+        for start, end in zip(bounds, bounds[1:]):
+            now = batch["file"][start].as_py(), int(splits[start])
+            some = slice(start, end)
+            yield now, batch["size"][start].as_py(), values[some], usual[some], on_line[some]
+
+
+def _usual_until(usual: np.ndarray) -> np.ndarray:
+    """For each place the next one that is not usual."""
+    odd = np.where(usual, len(usual), np.arange(len(usual)))
+    return np.minimum.accumulate(odd[::-1])[::-1]
+
+
+_LINE, _MIDST = Effect(False, 1, [1], 0, 1), Effect(False, 1, [], 0, 0)
 
 
 def _transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,18 +221,27 @@ def _transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return (file, split, length, *((t.in_string, *_numbers(t)) for t in found))
 
     length = 0
-    for file, split, size, value in _splits(batches):
-        if (file, split) != now:
+    for place, size, values, usual, on_line in _splits(batches):
+        if place != now:
             if now is not None:
                 out.append(row())
-            now, found, length = (file, split), [Transfer(False), Transfer(True)], 0
-        piece = value.decode("utf-8", "replace")
-        length += len(value) + 1
-        plain = effect_of(piece, False) if not (found[0].in_string and found[1].in_string) else None
-        quoted = effect_of(piece, True) if found[0].in_string or found[1].in_string else None
-        for transfer in found:
+            now, found, length = place, [Transfer(False), Transfer(True)], 0
+        length += pc.sum(pc.binary_length(values)).as_py() + len(values)
+        until, at = _usual_until(usual), 0
+        while at < len(values):
             # the last piece of a file counts as closed here; nothing comes behind it
-            transfer.take(quoted if transfer.in_string else plain, True)
+            if until[at] > at and not (found[0].in_string or found[1].in_string):
+                # usual pieces repeat what the first of them does, or the first on a line
+                for transfer in found:
+                    transfer.take(_LINE if on_line[at : until[at]].any() else _MIDST, True)
+                at = until[at]
+                continue
+            piece = values[at].as_py().decode("utf-8", "replace")
+            plain = effect_of(piece, False) if not (found[0].in_string and found[1].in_string) else None
+            quoted = effect_of(piece, True) if found[0].in_string or found[1].in_string else None
+            for transfer in found:
+                transfer.take(quoted if transfer.in_string else plain, True)
+            at += 1
     if now is not None:
         out.append(row())
     if out:
@@ -221,24 +290,44 @@ def _composed(splits: DataFrame) -> DataFrame:
     return of_file.select("file", F.inline(states))
 
 
-def _objects(states: dict[tuple[str, int], tuple]):
+def _objects(states, least: int, whole: bool, shared: bool):
+    """Objects that stand in one split, and the pieces of ``shared`` ones: ``ends`` tells which pieces are one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, cutter, ends, at, rows = None, None, 0, 0, []
+        now, cutter, opened, ends, at, rows = None, None, False, 0, 0, []
+
+        def add(text: str, head: bool) -> None:
+            # only what was open before the split has a part elsewhere
+            of = ends if head and opened else None
+            if whole if of is None else shared:
+                rows.append((*now, of, text))
 
         def rest() -> None:
-            if now is not None and cutter.rest().strip(_BLANK):
+            if shared and now is not None and cutter.rest().strip(_BLANK):
                 rows.append((*now, ends + cutter.ended, cutter.rest()))
 
-        for file, split, size, value in _splits(batches):
-            if (file, split) != now:
+        for place, size, values, usual, _ in _splits(batches):
+            if place != now:
                 rest()
-                now = (file, split)
+                now = place
+                if now[1] and size > least and now not in states.value:
+                    raise ValueError(f"{now} is not a split of the first scan")
                 in_string, depth, ends, at = states.value.get(now, (False, 0, 0, 0))
-                cutter = Cutter(in_string, int(depth))
-            at += len(value) + 1
-            for text, first in cutter.take(value.decode("utf-8", "replace"), at <= size):
-                # what was open before the split, or follows it, is put together by ``ends``
-                rows.append((file, split, ends if first and split else None, text))
+                cutter, opened = Cutter(in_string, int(depth)), in_string or depth > 0
+            sizes = np.cumsum(pc.binary_length(values).to_numpy() + 1) + at
+            until, k = _usual_until(usual & (sizes <= size)), 0
+            while k < len(values):
+                if until[k] > k and not (cutter.in_string or cutter.depth or cutter.held):
+                    if whole:
+                        texts = _closed(values[k : until[k]])
+                        yield _rows([now] * len(texts), texts)
+                    cutter.ended = True
+                    k = until[k]
+                    continue
+                for text, head in cutter.take(values[k].as_py().decode("utf-8", "replace"), bool(sizes[k] <= size)):
+                    add(text, head)
+                k += 1
+            at = int(sizes[-1])
             if len(rows) >= 10_000:
                 yield _rows(rows)
                 rows = []
@@ -249,11 +338,22 @@ def _objects(states: dict[tuple[str, int], tuple]):
     return run
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    files, splits, ends, texts = zip(*rows)
+def _closed(values: pa.Array) -> pa.Array:
+    try:
+        return pc.binary_join_element_wise(values.cast(pa.string()), "}", "")
+    except pa.ArrowInvalid:
+        return pa.array([v.decode("utf-8", "replace") + "}" for v in values.to_pylist()])
+
+
+def _rows(rows: list[tuple], texts: pa.Array | None = None) -> pa.RecordBatch:
+    """``rows`` of file, split, ends and text; or all of one split, with ``texts``."""
+    names = ["file", "split", "ends", "record_text"]
+    if texts is not None:
+        (file, split), n = rows[0], len(texts)
+        arrays = [pa.repeat(pa.scalar(file), n), pa.repeat(pa.scalar(split, pa.int64()), n), pa.nulls(n, pa.int64()), texts]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
     kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
-    arrays = [pa.array(c, k) for c, k in zip((files, splits, ends, texts), kinds)]
-    return pa.RecordBatch.from_arrays(arrays, names=["file", "split", "ends", "record_text"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
 _UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
@@ -268,6 +368,11 @@ def _least_split(spark: SparkSession) -> int:
     return min(sizes)
 
 
+def _not_pruned(condition: Column) -> Column:
+    """A condition on files under which Spark still lists all of them: how they are split depends on the list."""
+    return condition | F.col("value").isNull()
+
+
 def read_objects(
     spark: SparkSession, path: str, only: Column | None = None, **of_file: Column
 ) -> DataFrame:
@@ -288,32 +393,35 @@ def read_objects(
     if only is not None:
         pieces = pieces.where(only)
     given = pieces.select("file", "split", "size", F.col("value").cast("binary").alias("value"))
-    schema, least, states, many = "file string, split long, ends long, record_text string", _least_split(spark), None, 0
+    schema, least = "file string, split long, ends long, record_text string", _least_split(spark)
+    states, many, across = None, 0, 0
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     if (files.agg(F.max("length")).first()[0] or 0) > least:
-        found = given.where(F.col("size") > least).mapInArrow(
+        found = given.where(_not_pruned(F.col("size") > least)).mapInArrow(
             _transfers, "file string, split long, length long, outside array<double>, inside array<double>"
         )
         states = checkpointed(_composed(found).where("split > 0"))
-        many = states.count()
-    groups, cut = max(1, -(-many // SPLITS_AT_ONCE)), None
+        many, across = states.agg(F.count(F.lit(1)), F.count_if(F.expr("in_string OR depth > 0"))).first()
+    groups, cut, parts = max(1, -(-many // SPLITS_AT_ONCE)), [], []
     for group in range(groups):
         own = F.pmod(F.xxhash64("file"), F.lit(groups)) == group
         rows = states.where(own).collect() if many else []
-        shared = spark.sparkContext.broadcast(
+        begun = spark.sparkContext.broadcast(
             {(r.file, r.split): (r.in_string, r.depth, r.ends, r.base) for r in rows}
         )
-        some = (given.where(own) if groups > 1 else given).mapInArrow(_objects(shared), schema)
-        cut = some if cut is None else cut.union(some)
-    if many:
-        # a split's rest, the splits without an end behind it, and the beginning of the next one
-        cut = checkpointed(cut)
+        some = given.where(_not_pruned(own)) if groups > 1 else given
+        cut.append(some.mapInArrow(_objects(begun, least, True, not across), schema).select("file", "record_text"))
+        # with objects across splits: a split's rest, the splits without an end behind it, the next one's beginning
+        parts.append(some.mapInArrow(_objects(begun, least, False, True), schema))
+    # objects that stand in one split, as is usual, are cut in one scan and kept nowhere
+    objects = reduce(DataFrame.union, cut)
+    if across:
         shared_by = (
-            cut.where("ends IS NOT NULL")
+            reduce(DataFrame.union, parts)
             .groupBy("file", "ends")
             .agg(F.array_sort(F.collect_list(F.struct("split", "record_text"))).alias("parts"))
         )
         joined = F.array_join(F.col("parts")["record_text"], "").alias("record_text")
-        cut = cut.where("ends IS NULL").select("file", "record_text").union(shared_by.select("file", joined))
+        objects = objects.union(shared_by.select("file", joined))
     text = F.btrim("record_text", F.lit(_BLANK))
-    return cut.select("file", text.alias("record_text")).where("record_text <> ''")
+    return objects.select("file", text.alias("record_text")).where("record_text <> ''")

@@ -1,12 +1,13 @@
 import json
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from calibrel.operators.runs import run_compare, run_summary
-from calibrel.sources import read_run_logs, read_stage_logs
+from calibrel.sources import read_run_logs, read_stage_logs, records
 from calibrel.sources.records import read_objects
 
 
@@ -172,3 +173,47 @@ def test_stage_logs_have_day_first_names(spark, tmp_path):
     write(tmp_path, "29-02-2032_04.05.06.log", "manager stage: steps done\n" * 2)
     found = sorted((str(r["started"]), r["stage"]) for r in read_stage_logs(spark, str(tmp_path)).collect())
     assert found == [("2031-01-07 01:02:03", "steps ready")] + [("2032-02-29 04:05:06", "steps done")] * 2
+
+
+def pieces_of(content):
+    texts = content.split("}")
+    return pa.array([t.encode() for t in texts], pa.binary())
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet='{}"\\\n a:,[', max_size=60) | st.lists(st.sampled_from(['{"a": 1', '\n{\n "b": "x"', ' \n', '{"c', '\n{"d": "y\\"']), max_size=12).map("}".join))
+def test_pieces_in_bulk_do_what_each_does(content):
+    values = pieces_of(content)
+    usual, on_line = records._usual(values)
+    for piece, is_usual, line in zip(values.to_pylist(), usual.tolist(), on_line.tolist()):
+        effect = records.effect_of(piece.decode(), False)
+        if is_usual:
+            assert not effect.in_string and effect.opened == 1 and bool(effect.begins) == line
+    n = len(values)
+    batch = pa.RecordBatch.from_arrays([pa.array(["f"] * n), pa.array([9] * n), pa.array([10**6] * n), values], names=["file", "split", "size", "value"])
+    row = next(records._transfers(iter([batch]))).to_pylist()[0]
+    for side, in_string in (("outside", False), ("inside", True)):
+        one = records.Transfer(in_string)
+        for piece in values.to_pylist():
+            one.take(records.effect_of(piece.decode(), one.in_string), True)
+        assert row[side] == [float(x) for x in (one.in_string, *records._numbers(one))]
+
+
+def test_objects_of_one_split_are_cut_in_one_scan(spark, tmp_path):
+    write(tmp_path, "gptq_log_x_time_02_03_2031_04h_05m_06s.log", "".join(record("m", layer=i) + "\n" for i in range(2000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        plan = read_objects(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan text" in plan and "Scan ExistingRDD" not in plan and "Exchange" not in plan
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_small_files_beside_a_split_one(spark, tmp_path):
+    for k in range(40):
+        write(tmp_path, f"small{k}.log", json.dumps({"layer": k}, indent=1) + "\n")
+    large = [json.dumps({"layer": 100 + k, "of": {"deep": ["}"]}}) for k in range(3000)]
+    write(tmp_path, "large.log", " ".join(large))
+    # small enough that the number of all files' bytes decides how the large one is split
+    got = texts_of(spark, tmp_path, maxPartitionBytes="20000", openCostInBytes="2000", minPartitionNum="10")
+    assert len(got) == 3040 and sorted(t for t in got if "deep" in t) == sorted(large)
