@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_type
 
-from calibrel.session import checkpointed
+from calibrel.session import bounded_batches, checkpointed, scratch_path
 
 # A vocabulary within both bounds may be sent to every worker.
 SHARED_ENTRIES = 1_000_000
 SHARED_BYTES = 64 << 20
 # Values (and rows) of a block of arrays that shares one dictionary while it is joined.
-BLOCK_VALUES = 1 << 18
+BLOCK_VALUES = 1 << 20
 # Hex digits that name a bucket while ids are given out.
 BUCKET_DIGITS = 3
 
@@ -92,7 +92,26 @@ def _blocks(column: str, key: list[str], kind: pa.DataType):
     """Arrow rows to blocks: keys, lengths, the values as places in a dictionary, and that dictionary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number = TaskContext.get().partitionId(), 0
+        task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def block() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            arrays = rows[column].combine_chunks()
+            coded = pc.dictionary_encode(arrays.flatten(), null_encoding="encode")
+            keys = pa.StructArray.from_arrays([rows[c].combine_chunks() for c in key], names=key)
+            width = np.uint16 if len(coded.dictionary) <= 1 << 16 else np.uint32
+            places = pa.compress(coded.indices.to_numpy().astype(width).tobytes(), "zstd", asbytes=True)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([(task << 32) + number]),
+                    _one_list(keys),
+                    _one_list(pc.list_value_length(arrays)),
+                    pa.array([places], pa.binary()),
+                    _one_list(coded.dictionary.cast(kind)),
+                ],
+                names=["_block", "_keys", "_lengths", "_places", "_values"],
+            )
+
         for batch in batches:
             lengths = pc.fill_null(pc.list_value_length(batch[column]), 0).to_numpy()
             # rows are counted too, so that empty ones do not gather without end
@@ -100,21 +119,15 @@ def _blocks(column: str, key: list[str], kind: pa.DataType):
             cuts = np.searchsorted(sizes, np.arange(BLOCK_VALUES, sizes[-1] if len(sizes) else 0, BLOCK_VALUES))
             bounds = np.unique(np.concatenate(([0], cuts + 1, [batch.num_rows]))).tolist()
             for start, end in zip(bounds, bounds[1:]):
-                arrays = batch[column].slice(start, end - start)
-                coded = pc.dictionary_encode(arrays.flatten())
-                keys = pa.StructArray.from_arrays([batch[c].slice(start, end - start) for c in key], names=key)
-                sizes_of = pc.list_value_length(arrays)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([(task << 32) + number]),
-                        _one_list(keys),
-                        _one_list(sizes_of),
-                        _one_list(coded.indices.cast(pa.int32())),
-                        _one_list(coded.dictionary.cast(kind)),
-                    ],
-                    names=["_block", "_keys", "_lengths", "_places", "_values"],
-                )
-                number += 1
+                if start == end:
+                    continue
+                held.append(batch.select([column, *key]).slice(start, end - start))
+                size += int(sizes[end - 1] - (sizes[start - 1] if start else 0))
+                if size >= BLOCK_VALUES:
+                    yield block()
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield block()
 
     return run
 
@@ -129,14 +142,17 @@ def _unpacked(column: str, key: list[str], kind: pa.DataType, otherwise: int | s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                block = {name: batch[name].slice(row, 1).flatten() for name in ("_keys", "_lengths", "_places", "_found")}
-                places = np.full(batch["_n"][row].as_py(), -1, np.int64)
+                block = {name: batch[name].slice(row, 1).flatten() for name in ("_keys", "_lengths", "_found")}
+                lengths = block["_lengths"]
+                ends = np.concatenate(([0], np.cumsum(pc.fill_null(lengths, 0).to_numpy()))).astype(np.int32)
+                n = batch["_n"][row].as_py()
+                width = np.uint16 if n <= 1 << 16 else np.uint32
+                raw = pa.decompress(batch["_places"][row].as_py(), int(ends[-1]) * np.dtype(width).itemsize, "zstd", asbytes=True)
+                places = np.full(n, -1, np.int64)
                 found = block["_found"]
                 places[found.field("place").to_numpy()] = np.arange(len(found))
-                at = pa.array(places, mask=places < 0).take(block["_places"])
+                at = pa.array(places, mask=places < 0).take(pa.array(np.frombuffer(raw, width)))
                 values = pc.fill_null(found.field("target").take(at), otherwise).cast(kind)
-                lengths = block["_lengths"]
-                ends = np.concatenate(([0], np.cumsum(pc.fill_null(lengths, 0).to_numpy()))).astype(np.int32)
                 arrays = pa.ListArray.from_arrays(pa.array(ends), values, mask=pc.is_null(lengths))
                 fields = [block["_keys"].field(c) for c in range(len(key))]
                 yield pa.RecordBatch.from_arrays([*fields, arrays], names=[*key, column])
@@ -151,17 +167,21 @@ def _join(
 
     Rows are packed into blocks of about ``BLOCK_VALUES`` values with one dictionary each. Only the
     dictionaries meet the vocabulary, so a value that all rows have comes once per block, and the
-    arrays are places in a dictionary, translated block by block in Arrow. Rows of equal key stay apart.
+    arrays are compressed places in a dictionary, translated block by block in Arrow. Rows of equal key stay apart.
     """
     rows = df.select(*key, column)
     kinds = {f.name: f.dataType.simpleString() for f in (*rows.schema, *vocabulary.schema)}
     fields = ",".join(f"`{c}`:{kinds[c]}" for c in key)
     schema = (
-        f"_block long, _keys array<struct<{fields}>>, _lengths array<int>, _places array<int>, "
+        f"_block long, _keys array<struct<{fields}>>, _lengths array<int>, _places binary, "
         f"_values array<{kinds[source]}>"
     )
     given, made = (to_arrow_type(vocabulary.schema[c].dataType) for c in (source, target))
-    blocks = checkpointed(rows.mapInArrow(_blocks(column, key, given), schema))
+    bounded_batches(df.sparkSession)
+    # compressed, which checkpoints are not
+    path = scratch_path(df.sparkSession, "blocks")
+    rows.mapInArrow(_blocks(column, key, given), schema).write.option("compression", "zstd").parquet(path)
+    blocks = df.sparkSession.read.schema(schema).parquet(path)
     entries = blocks.select("_block", F.posexplode("_values").alias("place", source))
     found = (
         entries.join(vocabulary.hint("merge"), source)

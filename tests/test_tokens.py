@@ -1,9 +1,10 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from calibrel.functions import CHATML, attention_mask, tokenize, truncate
 from calibrel.functions.tokens import batch_tokenizer
-from calibrel.operators.vocabulary import build_vocabulary, decode, detokenize, encode, fits_workers
+from calibrel.operators.vocabulary import _blocks, build_vocabulary, decode, detokenize, encode, fits_workers
 from calibrel.plans.calibration import Calibration, calibration_ids
 
 
@@ -99,3 +100,16 @@ def test_a_tokenizer_of_the_caller_gets_bounded_batches(spark):
     found = calibration_ids(rows, options).select(F.get("input_ids", 0).alias("n")).agg(F.max("n"), F.count("n"))
     most, n = found.first()
     assert n == 2_000 and most <= 3 << 20
+
+
+def test_blocks_gather_small_batches_and_are_compressed(spark, monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"k": [1, 2, 3], "x": [["a", "b", None] * 100, None, []]})
+    monkeypatch.setattr("calibrel.operators.vocabulary.TaskContext.get", lambda: Task())
+    blocks = list(_blocks("x", ["k"], pa.string())(iter([batch] * 50)))
+    assert len(blocks) == 1 and blocks[0]["_values"].to_pylist() == [["a", "b", None]]
+    assert len(blocks[0]["_places"][0].as_py()) < 300 * 50 // 4
+
+
+class Task:
+    def partitionId(self):
+        return 0
