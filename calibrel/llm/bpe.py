@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding with recursive queries of an embedded DuckDB.
 
 Each worker cuts its texts into words by the tokenizer's pattern. Words not met before become rows
-of (word, position, token), one per byte; a recursive query joins neighbours with the merge table
-and contracts each word's pair of least rank until no pair merges. Decoding joins ids with the
-vocabulary and aggregates their bytes in order. Spark partitions the texts, and nothing is
-shuffled; the vocabulary is one bounded broadcast.
+of (word, tokens, ranks of their pairs), a token per byte; a recursive query contracts each word's pair
+of least rank and joins the new token and its neighbours with the merge table until no pair merges.
+Decoding joins ids with the vocabulary and aggregates their bytes in order. Spark partitions the
+texts, and nothing is shuffled; the vocabulary is one bounded broadcast.
 
 Short words contract their leftmost pair of least rank in each step. In words of more than ``SHORT``
 bytes all other places of that pair that do not overlap are contracted in the same step, unless a
@@ -31,28 +31,27 @@ from calibrel.llm.batches import bounded_batches, released, slices
 WORDS_KEPT = 150_000
 ONCE_KEPT = 150_000
 SHORT = 64
-#: New words that one recursive query contracts; it holds all its steps.
-CONTRACTED = 8_192
+#: New words, and bytes of them, that one recursive query contracts; it holds all its steps.
+CONTRACTED = 16_384
+CONTRACTED_BYTES = 196_608
 ENCODED_ROWS = 1024
 DECODED_ROWS = 256
 MOST_VOCABULARY_BYTES = 64 << 20
 
-#: One contraction per word and step, for words of up to ``SHORT`` bytes.
+#: One contraction per word and step, for words of up to ``SHORT`` bytes: the merged token meets its two
+#: neighbours in the merges, the ranks of all other pairs are kept.
 ENCODE_SHORT = """
 WITH RECURSIVE step AS (
-  SELECT w, list(t ORDER BY p) AS ids, FALSE AS done FROM start GROUP BY w
+  SELECT w, ids, ranks, list_min(ranks) AS least FROM start
   UNION ALL
-  SELECT step.w,
-         CASE WHEN best IS NULL THEN ids
-              ELSE ids[1:best & 255] || [(best >> 8)::INT] || ids[(best & 255) + 3:] END,
-         best IS NULL
-  FROM step LEFT JOIN (
-    SELECT w, min(m * 256 + p) AS best
-    FROM (SELECT w, unnest(ids[:-2]) AS t, unnest(ids[2:]) AS after, generate_subscripts(ids[2:], 1) - 1 AS p
-          FROM step WHERE NOT done)
-    JOIN merges ON l = t AND r = after GROUP BY w) AS least ON least.w = step.w
-  WHERE NOT step.done)
-SELECT w, ids FROM step WHERE done ORDER BY w"""
+  SELECT w, ids, ranks, list_min(ranks) FROM (
+    SELECT w, ids[1:p - 1] || [least] || ids[p + 2:] AS ids,
+           ranks[1:greatest(p - 2, 0)] || CASE WHEN p > 1 THEN [a.m] ELSE [] END || [b.m] || ranks[p + 2:] AS ranks
+    FROM (SELECT w, ids, ranks, least, p, ids[p - 1] AS before, ids[p + 2] AS beyond
+          FROM (SELECT *, list_position(ranks, least) AS p FROM step WHERE least IS NOT NULL))
+    LEFT JOIN merges AS a ON a.l = before AND a.r = least
+    LEFT JOIN merges AS b ON b.l = least AND b.r = beyond))
+SELECT w, ids FROM step WHERE least IS NULL ORDER BY w"""
 
 #: All places of the pair of least rank in one step, where none of the new pairs ranks lower.
 ENCODE_LONG = """
@@ -145,6 +144,27 @@ class Vocabulary:
         return pa.array(out, pa.binary())
 
 
+class Numbers(dict):
+    """Words numbered in the order they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+def portions(words: list[bytes]) -> Iterator[list[bytes]]:
+    """The words by length, so that those of one query take about as many steps; each portion bounded."""
+    some, size = [], 0
+    for word in sorted(words, key=len):
+        if some and (len(some) == CONTRACTED or size + len(word) > CONTRACTED_BYTES):
+            yield some
+            some, size = [], 0
+        some.append(word)
+        size += len(word)
+    if some:
+        yield some
+
+
 class Coder(Vocabulary):
     """The merges beside the vocabulary, and the words met so far."""
 
@@ -158,14 +178,20 @@ class Coder(Vocabulary):
             raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         # Words met in several batches, and those met in one so far; a full table starts anew.
-        self.words: dict[bytes, bytes] = {}
-        self.once: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.once: dict[str, bytes] = {}
+        rank_of = self.ranks.get
         merges = [
-            (self.ranks[token[:k]], self.ranks[token[k:]], rank)
+            (left, right, rank)
             for token, rank in self.ranks.items()
             for k in range(1, len(token))
-            if token[:k] in self.ranks and token[k:] in self.ranks
+            if (left := rank_of(token[:k])) is not None and (right := rank_of(token[k:])) is not None
         ]
+        # the rank of what two bytes merge to, -1 where they do not
+        self.of_pair = np.full((256, 256), -1, np.int32)
+        for token, rank in self.ranks.items():
+            if len(token) == 2:
+                self.of_pair[token[0], token[1]] = rank
         left, right, merged = (pa.array(c, pa.int32()) for c in (list(zip(*merges)) or [(), (), ()]))
         self._load("merges", pa.table({"l": left, "r": right, "m": merged}))
         self.db.execute("CREATE TABLE early AS SELECT l, r FROM merges WHERE m < greatest(l, r)")
@@ -176,15 +202,26 @@ class Coder(Vocabulary):
         for word in words:
             (short if len(word) <= SHORT else long).append(word)
         for query, words_of in ((ENCODE_SHORT, short), (ENCODE_LONG, long)):
-            for k in range(0, len(words_of), CONTRACTED):
-                chosen = words_of[k : k + CONTRACTED]
+            for chosen in portions(words_of):
                 lengths = np.fromiter(map(len, chosen), np.int64, len(chosen))
                 firsts = np.cumsum(lengths) - lengths
-                start = {
-                    "w": pa.array(np.repeat(np.arange(len(chosen)), lengths), pa.int32()),
-                    "p": pa.array(np.arange(lengths.sum()) - np.repeat(firsts, lengths), pa.int32()),
-                    "t": pa.array(self.of_byte[np.frombuffer(b"".join(chosen), np.uint8)]),
-                }
+                raw = np.frombuffer(b"".join(chosen), np.uint8)
+                tokens = self.of_byte[raw]
+                if query is ENCODE_SHORT:
+                    ranks = np.append(self.of_pair[raw[:-1], raw[1:]], np.int32(-1))
+                    ranks[firsts + lengths - 1] = -1
+                    offsets = np.append(firsts, len(raw)).astype(np.int32)
+                    start = {
+                        "w": pa.array(np.arange(len(chosen)), pa.int32()),
+                        "ids": pa.ListArray.from_arrays(offsets, tokens),
+                        "ranks": pa.ListArray.from_arrays(offsets, pa.array(ranks, mask=ranks < 0)),
+                    }
+                else:
+                    start = {
+                        "w": pa.array(np.repeat(np.arange(len(chosen)), lengths), pa.int32()),
+                        "p": pa.array(np.arange(lengths.sum()) - np.repeat(firsts, lengths), pa.int32()),
+                        "t": pa.array(tokens),
+                    }
                 self.db.register("start", pa.table(start))
                 found = self.db.sql(query).to_arrow_table()["ids"].combine_chunks()
                 self.db.unregister("start")
@@ -192,36 +229,67 @@ class Coder(Vocabulary):
                 ends = (found.offsets.to_numpy() * 4).tolist()
                 yield from ((word, ids[a:b]) for word, a, b in zip(chosen, ends, ends[1:]))
 
-    def encode(self, content: list[str]) -> pa.Array:
-        # a word of the batch is held once; texts are numbers of words
-        numbers: dict[str, int] = {}
-        cut = [
-            array("i", [numbers.setdefault(w, len(numbers)) for w in self.pattern.findall(text)]) for text in content
-        ]
-        words = [w.encode() for w in numbers]
-        del numbers
-        coded, new = [], []
-        for number, word in enumerate(words):
-            if (ids := self.words.get(word)) is None:
-                if (ids := self.once.pop(word, None)) is None:
-                    new.append(number)
-                else:
-                    self.words[word] = ids
-            coded.append(ids)
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of different words as 32-bit numbers."""
+        coded = list(map(self.words.get, words))
+        new = []
+        for number in [n for n, ids in enumerate(coded) if ids is None]:
+            word = words[number]
+            if (ids := self.once.pop(word, None)) is None:
+                new.append(number)
+            else:
+                coded[number] = self.words[word] = ids
         if len(self.words) > WORDS_KEPT:
             self.words = {}
         if new:
             if len(self.once) + len(new) > ONCE_KEPT:
                 self.once = {}
-            number_of = {words[number]: number for number in new}
+            number_of = {words[number].encode(): number for number in new}
             for word, ids in self.contract(list(number_of)):
-                coded[number_of[word]] = ids
+                number = number_of[word]
+                coded[number] = ids
                 if len(word) <= SHORT:
-                    self.once[word] = ids
+                    self.once[words[number]] = ids
+        return coded
+
+    def encode(self, content: list[str]) -> pa.Array:
+        # a word of the batch is held once; texts are numbers of words
+        numbers = Numbers()
+        number, find = numbers.__getitem__, self.pattern.findall
+        cut = [array("i", map(number, find(text))) for text in content]
+        coded = self.ids_of(list(numbers))
+        del numbers, number
+        offsets = np.cumsum([0, *map(len, coded)]) // 4
+        of_words = pa.ListArray.from_arrays(offsets.astype(np.int32), np.frombuffer(b"".join(coded), np.int32))
+        del coded
+        ends = np.cumsum([0, *map(len, cut)])
+        joined = of_words.take(pa.array(np.frombuffer(b"".join(cut), np.int32)))
         pa.default_memory_pool().release_unused()
-        parts = [b"".join([coded[number] for number in text]) for text in cut]
-        offsets = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+        return pa.ListArray.from_arrays(joined.offsets.take(pa.array(ends)), joined.values)
+
+
+#: The coder that the last task of this worker left, with its vocabulary file and pattern.
+_left: list[tuple[bytes, str, Coder]] = []
+
+
+def take_coder(ranks: bytes, pattern: str) -> Coder:
+    """The coder left with all words it met, or a new one; a task that fails leaves none."""
+    while _left:
+        known, of, coder = _left.pop()
+        if known == ranks and of == pattern:
+            return coder
+        coder.db.close()
+    return Coder(ranks, pattern)
+
+
+def leave_coder(ranks: bytes, pattern: str, coder: Coder) -> None:
+    _left.append((ranks, pattern, coder))
+
+
+def drop_coders() -> None:
+    """Give up what encoding left, before a task that has no use for it."""
+    while _left:
+        _left.pop()[2].db.close()
 
 
 def _shared(spark: SparkSession, path: str) -> Broadcast:
@@ -244,12 +312,12 @@ def encode(
     names = [n for n in kept.columns if n != ids_column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # made anew by each task: an idle worker keeps no tables
-        coder = Coder(ranks.value, pattern)
-        with coder.db:
-            for batch in slices(batches, ENCODED_ROWS):
-                ids = coder.encode([t or "" for t in batch[text_column].to_pylist()])
-                yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), ids], names=[*names, ids_column])
+        # words met by one task of a worker are known to the next
+        coder = take_coder(ranks.value, pattern)
+        for batch in slices(batches, ENCODED_ROWS):
+            ids = coder.encode([t or "" for t in batch[text_column].to_pylist()])
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), ids], names=[*names, ids_column])
+        leave_coder(ranks.value, pattern, coder)
 
     return kept.mapInArrow(released(run), f"{fields}{', ' if fields else ''}`{ids_column}` array<int>")
 
@@ -266,6 +334,7 @@ def decode(df: DataFrame, path: str, ids_column: str = "ids", bytes_column: str
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != bytes_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_coders()
         vocabulary = Vocabulary(ranks.value)
         with vocabulary.db:
             for batch in slices(batches, DECODED_ROWS):

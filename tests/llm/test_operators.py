@@ -203,6 +203,47 @@ def test_new_words_are_contracted_a_few_at_a_time(coder, reference, monkeypatch)
     assert len(given_out) >= 3 and max(given_out) <= 3
 
 
+def test_words_of_one_query_are_about_as_long(coder, reference, monkeypatch):
+    given_out = []
+
+    class Watched:
+        def __init__(self, db):
+            self.db = db
+
+        def register(self, name, rows):
+            given_out.append([len(ids) for ids in rows["ids"].to_pylist()])
+            self.db.register(name, rows)
+
+        def __getattr__(self, name):
+            return getattr(self.db, name)
+
+    monkeypatch.setattr(bpe, "CONTRACTED_BYTES", 64)
+    monkeypatch.setattr(coder, "db", Watched(coder.db))
+    words = [k * c for c in ("qj", "kz", "vw", "xq") for k in (2, 3, 15)]
+    content = [" ".join(words)]
+    assert coder.encode(content).to_pylist() == [reference.encode_ordinary(t) for t in content]
+    assert all(sum(lengths) <= 64 for lengths in given_out)
+    lengths = [n for some in given_out for n in some]
+    assert len(lengths) >= 11 and lengths == sorted(lengths)
+
+
+def test_the_next_task_knows_the_words_of_the_last(spark):
+    path, pattern = multi_tokenizer()
+    ranks = bpe.read_ranks(path)
+    bpe.drop_coders()
+    coder = bpe.take_coder(ranks, pattern)
+    coder.encode(["qzxj wvkq"])
+    bpe.leave_coder(ranks, pattern, coder)
+    again = bpe.take_coder(ranks, pattern)
+    assert again is coder and " wvkq" in again.once
+    bpe.leave_coder(ranks, pattern, coder)
+    other = bpe.take_coder(ranks, pattern + "|x")
+    assert other is not coder and not other.once
+    bpe.leave_coder(ranks, pattern + "|x", other)
+    bpe.drop_coders()
+    assert bpe.take_coder(ranks, pattern) is not coder
+
+
 def test_workers_give_back_what_they_freed(spark):
     def filled(batches):
         for batch in batches:
